@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .fingerprint import op1_fingerprint
 from .sharding import op5_sharding
 
 
 def queries() -> dict:
-    return {"op5_sharding": op5_sharding}
+    return {"op1_fingerprint": op1_fingerprint, "op5_sharding": op5_sharding}
 
 
 def oracle_sql() -> dict:
