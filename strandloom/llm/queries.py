@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from .fingerprint import op1_fingerprint
+from .line_rules import op6_line_rules
+from .pseudonyms import op9_pseudonyms
 from .sharding import op5_sharding
 
 
 def queries() -> dict:
-    return {"op1_fingerprint": op1_fingerprint, "op5_sharding": op5_sharding}
+    return {
+        "op1_fingerprint": op1_fingerprint,
+        "op5_sharding": op5_sharding,
+        "op6_line_rules": op6_line_rules,
+        "op9_pseudonyms": op9_pseudonyms,
+    }
 
 
 def oracle_sql() -> dict:
