@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .fingerprint import op1_fingerprint
 from .line_rules import op6_line_rules
+from .mixing import op10_mixing
+from .packing import op4_packing
 from .pseudonyms import op9_pseudonyms
 from .sharding import op5_sharding
 
@@ -11,9 +13,11 @@ from .sharding import op5_sharding
 def queries() -> dict:
     return {
         "op1_fingerprint": op1_fingerprint,
+        "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
         "op6_line_rules": op6_line_rules,
         "op9_pseudonyms": op9_pseudonyms,
+        "op10_mixing": op10_mixing,
     }
 
 
