@@ -81,7 +81,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     sums = np.zeros(len(starts), np.uint64)
     index = np.flatnonzero(length <= 64)
     if len(index):
-        index = index[np.argsort(-length[index], kind="stable")]
+        index = index[np.argsort((64 - length[index]).astype(np.uint8), kind="stable")]
         start, left, out = starts[index], -length[index], np.zeros(len(index), np.uint64)
         for i in range(-int(left[0])):
             live = int(np.searchsorted(left, -i, side="left"))

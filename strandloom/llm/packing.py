@@ -10,6 +10,7 @@ all can have padding.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 
@@ -35,26 +36,51 @@ class Units:
     encoded whole. The memory is emptied when it holds `most` units.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.encode_special_tokens = True
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units in a row, and how many each has.
+
+        White space separates units for the tokenizer, so many are encoded as one text with the digit 0, which
+        is always a token of its own, between them; units that have a 0 themselves are encoded one by one.
+        """
+        mark = self.tokenizer.token_to_id("0</w>")
+        # 0: ASCII letters, for which lower case and the model suffice; 1: others; 2: with a 0
+        kind = np.fromiter((0 if x.isascii() and x.isalpha() else 1 if "0" not in x else 2 for x in texts), np.int8, len(texts))
+        sizes, flats = np.zeros(len(texts), np.int64), {}
+        for k, tokenizer in ((0, self.bare), (1, self.tokenizer)):
+            joined = [x for x, own in zip(texts, kind) if own == k]
+            groups = [" 0 ".join(joined[i : i + 500]) + " 0" for i in range(0, len(joined), 500)]
+            ids = [np.array(x.ids, np.uint32) for x in tokenizer.encode_batch_fast([x.lower() for x in groups] if k == 0 else groups, add_special_tokens=False)]
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            marks = np.flatnonzero(flat == mark)
+            if len(marks) != len(joined):
+                raise ValueError("a unit without the sign 0 has its token")
+            sizes[kind == k], flats[k] = np.diff(np.concatenate([[-1], marks])) - 1, flat[flat != mark]
+        alone = [x.ids for x in self.tokenizer.encode_batch_fast([x for x, own in zip(texts, kind) if own == 2], add_special_tokens=False)]
+        sizes[kind == 2], flats[2] = [len(x) for x in alone], np.array([x for y in alone for x in y], np.uint32)
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        starts = np.cumsum(sizes) - sizes
+        for k, flat in flats.items():
+            out[K.ragged(starts[kind == k], sizes[kind == k])] = flat
+        return out, sizes
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
         if len(self.keys) + len(keys) > self.most:
             self.clear()
-        ids = self.encode(texts)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum()))
+        flat, sizes = self.encode(texts)
         starts = len(self.ids) + np.cumsum(sizes) - sizes
         self.ids, self.starts, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
         merged = np.concatenate([self.keys, keys])
@@ -89,37 +115,35 @@ class Units:
         return ids, total[first]
 
 
-_LETTER, _DIGIT = np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
-_DIGIT[48:58] = True
-_WHOLE = np.zeros(256, bool)
-_WHOLE[128:] = True
-_WHOLE[[0x27, 0x3C]] = True
-_CONTROL = np.zeros(256, bool)
-_CONTROL[[*range(0x00, 0x09), *range(0x0E, 0x20), 0x7F]] = True
+#: 0 white space, 1 letter, 2 digit, 3 another sign.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[65:91] = _KIND[97:123] = 1
+_KIND[48:58] = 2
+_KIND[K.SPACE] = 0
+#: Bytes that make a piece be encoded whole: beyond ASCII, control signs, ' and <.
+_WHOLE = np.zeros(256, np.uint8)
+_WHOLE[[*range(0x00, 0x09), *range(0x0E, 0x20), 0x27, 0x3C, *range(0x7F, 0x100)]] = 1
 
 
 def units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the units of all texts."""
-    starts, ends = K.runs(~K.SPACE[data], bounds)
+    kind = _KIND[data]
+    starts, ends = K.runs(kind != 0, bounds)
     if not len(starts):
         return starts, ends
-    odd = np.concatenate([[0], np.cumsum(_WHOLE[data] | _CONTROL[data])])
-    whole = odd[ends] > odd[starts]
-    kind = np.where(_LETTER[data], 1, np.where(_DIGIT[data], 2, 3)).astype(np.int8)
-    cut = np.zeros(len(data) + 1, bool)
-    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
-    inside = np.zeros(len(data) + 1, np.int8)
-    np.add.at(inside, starts[whole], 1)
-    np.add.at(inside, ends[whole], -1)
-    cut &= np.cumsum(inside) == 0
-    cut[:-1] &= ~K.SPACE[data]
+    whole = np.bitwise_or.reduceat(_WHOLE[data], starts) > 0
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) & (kind[1:] != 0)
+    cut |= kind == 2
     cut[starts] = True
-    cut[-1] = False
+    first = np.zeros(len(data), bool)
+    first[starts] = True
     begin = np.flatnonzero(cut)
-    last = ends[np.searchsorted(starts, begin, side="right") - 1]
-    end = np.minimum(np.append(begin[1:], len(data)), last)
-    return begin, end
+    heads = first[begin]
+    piece = np.cumsum(heads) - 1
+    stay = heads | ~whole[piece]
+    begin, piece = begin[stay], piece[stay]
+    return begin, np.minimum(np.append(begin[1:], len(data)), ends[piece])
 
 
 _units: dict[str, Units] = {}
@@ -136,7 +160,7 @@ def tokens(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     def encode(batches):
         if tokenizer not in _units:
             _units[tokenizer] = Units(tokenizer)
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, 1 << 20):
             ids, bounds = _units[tokenizer](batch.column(text))
             ids = ids.astype("<u2")
             end = np.array([END], "<u2").tobytes()
