@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run
+
 from .fingerprint import op1_fingerprint
 from .line_rules import op6_line_rules
+from .license_scan import op8_license_scan
 from .mixing import op10_mixing
+from .near_dedup import op2_near_dedup
 from .packing import op4_packing
 from .pseudonyms import op9_pseudonyms
 from .sharding import op5_sharding
@@ -13,11 +17,14 @@ from .sharding import op5_sharding
 def queries() -> dict:
     return {
         "op1_fingerprint": op1_fingerprint,
+        "op2_near_dedup": op2_near_dedup,
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
         "op6_line_rules": op6_line_rules,
+        "op8_license_scan": op8_license_scan,
         "op9_pseudonyms": op9_pseudonyms,
         "op10_mixing": op10_mixing,
+        "pipeline": run,
     }
 
 
