@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import WORD, documents, text_column
+from .util import WORD, documents, stored, text_column
 
 #: A line is boilerplate of a host above this share of its distinct documents, and above this number of them.
 LIMIT_SHARE, LIMIT_DOCS = 0.1, 10
@@ -118,5 +118,7 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their boilerplate lines."""
-    out = judged(docs).filter("kept")
+    # written before the filter: pushed below the measures, it would have every word of a text extract all words
+    columns = [c for c in docs.columns if c != "text"]
+    out = stored(judged(docs).select(*columns, "cleaned", "kept"), "judged").filter("kept")
     return out.select([F.col("cleaned").alias(c) if c == "text" else F.char_length("cleaned").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
