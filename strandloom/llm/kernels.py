@@ -148,3 +148,46 @@ def distinct_sorted(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     fresh[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     sizes = np.bincount(owner[fresh], minlength=len(bounds) - 1) if len(values) else np.zeros(len(bounds) - 1, np.int64)
     return values[fresh], np.concatenate([[0], np.cumsum(sizes)])
+
+
+def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the width bytes that start at each byte but the last width-1."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    # doubling: hashes of 1, 2, 4, .. bytes, joined by the bits of width
+    part, size, out, done = data.astype(np.uint64) + U64(1), 1, np.zeros(n, np.uint64), 0
+    power = powers(width + 1)
+    while size <= width:
+        if width & size:
+            out = out * power[size] + part[done : done + n]
+            done += size
+        if 2 * size <= width:
+            part = part[: len(part) - size] * power[size] + part[size:]
+        size *= 2
+    return mix(out)
+
+
+def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
+    """Places of values that are the minimum of some window of width neighbours; fewer values are one window."""
+    n = len(values)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    if n <= width:
+        return np.flatnonzero(values == values.min())
+    low, size = values, 1
+    while 2 * size <= width:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    if size < width:
+        low = np.minimum(low[: n - width + 1], low[width - size : width - size + n - width + 1])
+    # a value is a minimum of a window if it equals the least window minimum around it, the largest of those
+    high, size = low, 1
+    pad = np.zeros(width - 1, np.uint64)
+    high = np.concatenate([pad, low, pad])
+    while 2 * size <= width:
+        high = np.maximum(high[:-size], high[size:])
+        size *= 2
+    if size < width:
+        high = np.maximum(high[:n], high[width - size : width - size + n])
+    return np.flatnonzero(values == high[:n])

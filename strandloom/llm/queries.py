@@ -12,12 +12,14 @@ from .near_dedup import op2_near_dedup
 from .packing import op4_packing
 from .pseudonyms import op9_pseudonyms
 from .sharding import op5_sharding
+from .substring_dedup import op3_substring_dedup
 
 
 def queries() -> dict:
     return {
         "op1_fingerprint": op1_fingerprint,
         "op2_near_dedup": op2_near_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
         "op6_line_rules": op6_line_rules,
