@@ -191,3 +191,20 @@ def sliding_minima(values: np.ndarray, width: int) -> np.ndarray:
     if size < width:
         high = np.maximum(high[:n], high[width - size : width - size + n])
     return np.flatnonzero(values == high[:n])
+
+
+INVERSE = U64(pow(int(BASE), -1, 1 << 64))
+_inverses = np.ones(1, dtype=np.uint64)
+
+
+def range_hashes(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Hashes of data[low:high] for many ranges of one text, from its prefix sums; equal bytes, equal hash."""
+    global _inverses
+    n = len(data)
+    if len(_inverses) <= n:
+        out = np.full(max(n + 1, 1 << 16, 2 * len(_inverses)), INVERSE, np.uint64)
+        out[0] = 1
+        _inverses = np.multiply.accumulate(out)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + U64(1)) * powers(n), out=total[1:])
+    return mix((total[high] - total[low]) * _inverses[low] + (high - low).astype(np.uint64) * MIX_2)

@@ -45,13 +45,7 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     grams = K.gram_hashes(text, GRAM)
     at = K.sliding_minima(grams, LENGTH - GRAM + 1)
     low, high = np.maximum(at - LEFT, 0), np.minimum(at + RIGHT, len(text))
-    context = np.zeros(len(at), np.uint64)
-    whole = (high - low) == LEFT + RIGHT
-    if whole.any():
-        left, right = K.gram_hashes(text, LEFT), K.gram_hashes(text, RIGHT)
-        context[whole] = K.mix(left[low[whole]] * K.BASE + right[at[whole]])
-    cut = ~whole
-    context[cut] = K.mix(K.span_hashes(text, low[cut], at[cut]) * K.BASE + K.span_hashes(text, at[cut], high[cut]) + K.MIX_1)
+    context = K.mix(K.range_hashes(text, low, high) + (at - low).astype(np.uint64))
     return at, grams[at], context
 
 
@@ -184,21 +178,31 @@ def repeats(doc: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.nda
     rows must be sorted by `after`.
     """
     prefix = common(after[:-1], after[1:], np.minimum(right[:-1], right[1:]))
+    by_left = np.lexsort(_words(before))
+    place = np.empty(len(by_left), np.int64)
+    place[by_left] = np.arange(len(by_left))
+    # common left extensions of neighbours among all rows: those of any two are the least between them
+    shared = common(before[by_left[:-1]], before[by_left[1:]], np.minimum(left[by_left[:-1]], left[by_left[1:]]))
     out = []
     for length, first, last in intervals(prefix):
-        own = np.arange(first, last + 1)
-        order = own[np.lexsort(before[own].T[::-1])]
-        shared = common(before[order[:-1]], before[order[1:]], np.minimum(left[order[:-1]], left[order[1:]]))
-        for extension, a, b in intervals(shared):
-            if extension + length < LENGTH:
-                continue
-            members = order[a : b + 1]
-            # left-extension diversity holds: the members' left contexts differ beyond `extension`;
-            # a repeat that an inner interval has with all the same members reaches further right
-            out.append((extension, length, members))
+        order = np.sort(place[first : last + 1])
+        # the least extension between neighbours of the interval
+        least = np.minimum.reduceat(shared[: order[-1]], order[:-1])
+        if least.max() + length < LENGTH:
+            continue
+        for extension, a, b in intervals(least):
+            if extension + length >= LENGTH:
+                # left-extension diversity: beyond `extension` the members' left contexts differ
+                out.append((extension, length, by_left[order[a : b + 1]]))
     return out
 
 
+def _words(rows: np.ndarray) -> tuple:
+    """Sort keys, the first bytes last, of a byte matrix in big-endian words."""
+    n = rows.shape[1]
+    return tuple(np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -n % 8)))).view(">u8").T[::-1])
+
+
 def removable(batches):
     """Spans of all but the first occurrence of each maximal repeat; rows come sorted by key."""
     for batch in _chunks(batches):
@@ -206,8 +210,7 @@ def removable(batches):
         ids, places, at, left, right = (np.asarray(batch.column(c)) for c in ("doc_id", "place", "at", "left", "right"))
         matrix = lambda c, n: np.frombuffer(batch.column(c).cast(pa.large_binary()).buffers()[2], np.uint8)[: len(key) * n].reshape(len(key), n)  # noqa: E731,B023
         before, after = matrix("before", LEFT), matrix("after", RIGHT)
-        words = np.ascontiguousarray(np.pad(after, ((0, 0), (0, -RIGHT % 8)))).view(">u8")
-        order = np.lexsort((*words.T[::-1], key))
+        order = np.lexsort((*_words(after), key))
         key, ids, places, at, left, right, before, after = (x[order] for x in (key, ids, places, at, left, right, before, after))
         rank = np.empty(len(key), np.int64)
         rank[np.lexsort((at, places, ids))] = np.arange(len(key))
