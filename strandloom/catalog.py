@@ -2,10 +2,292 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import sequence as S
+from .operators import numeric, overlaps
+from .plans.graph import connected_components, resolved
+from .sources import formats
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, seq): texts as stand-ins of contigs."""
+    seq = F.substring(F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, BASES), 1, 120)
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", seq.alias("seq")).filter(F.length("seq") >= 40)
+
+
+def relational(text: str):
+    """A query that both engines state alike."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for name in set(re.findall(r"\w+", text)) & set(TABLES):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+        return spark.sql(text)
+
+    return query
+
+
+SEQS = f"seqs AS (SELECT doc_id, lang, source, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}'), 1, 120) AS seq FROM documents), s AS (SELECT * FROM seqs WHERE length(seq) >= 40)"
+KMERS = SEQS + ", k AS (SELECT doc_id, unnest(range(0, length(seq) - 7)) AS pos, unnest(list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8))) AS kmer FROM s)"
+PAIRS = KMERS + ", d AS (SELECT DISTINCT doc_id, kmer FROM k), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM d x JOIN d y ON x.kmer = y.kmer AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 20)"
+DOVE = PAIRS + ", o AS (SELECT a, b, x.seq AS sa, y.seq AS sb, unnest(range(24, least(length(x.seq), length(y.seq), 40) + 1)) AS depth FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b), h AS (SELECT a, b, depth, hamming(right(sa, depth), left(sb, depth)) AS dist FROM o), t AS (SELECT a, b, min(depth) AS depth, min_by(dist, depth) AS dist FROM h WHERE dist <= floor(depth * 0.05 + 0.5) GROUP BY a, b)"
+LINKS = "links AS (SELECT DISTINCT least(x.l_partkey, y.l_partkey) AS a, greatest(x.l_partkey, y.l_partkey) AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_linenumber = 1 AND y.l_linenumber = 2 AND x.l_partkey <> y.l_partkey AND x.l_orderkey % 40 = 0)"
+CHAIN = "chain AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 16 = 1 OR p_partkey = 0 THEN 0 ELSE p_partkey - 1 END AS parent FROM part)"
+STEPS = "steps AS (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events), edges AS (SELECT DISTINCT event_type AS src, following AS dst FROM steps WHERE following IS NOT NULL AND following <> event_type)"
+BLOCKS = "b AS (SELECT user_id, event_id, ts, value, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS fresh FROM events), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM b), z AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, segment ORDER BY ts, event_id) AS BIGINT) AS place FROM r)"
+HITS = "hits AS (SELECT l_orderkey AS qid, l_partkey AS sid, l_quantity / 50 AS qcvg, l_extendedprice AS slen FROM lineitem)"
+
+#: Queries of which one text runs on both engines.
+SHARED = {
+    "q01_multi_threshold_filter": "WITH t AS (SELECT l_partkey, sum(l_quantity) / 100 AS abn FROM lineitem GROUP BY l_partkey), h AS (SELECT CAST(0 AS DOUBLE) AS th UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 6 UNION ALL SELECT 8 UNION ALL SELECT 12 UNION ALL SELECT 16) SELECT th, count(*) AS n FROM t JOIN h ON abn >= th GROUP BY th",
+    "q08_len_stats": "WITH l AS (SELECT length(text) AS n FROM documents), m AS (SELECT avg(n) AS mean, min(n) AS least FROM l) SELECT round(max(mean), 6) AS avg_len, CAST(max(n) AS BIGINT) AS max_len, CAST(min(n) AS BIGINT) AS min_len, round(100 * avg(CAST(CASE WHEN n < mean THEN 1 ELSE 0 END AS DOUBLE)), 4) AS below_avg, round(100 * avg(CAST(CASE WHEN n = least THEN 1 ELSE 0 END AS DOUBLE)), 4) AS at_min FROM l CROSS JOIN m",
+    "q17_read_pair_neighbours": f"WITH {LINKS} SELECT a, b FROM links UNION ALL SELECT b, a FROM links",
+    "q22_topk_per_group": "WITH r AS (SELECT c_nationkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS k FROM orders JOIN customer ON o_custkey = c_custkey) SELECT c_nationkey, o_orderkey, o_totalprice, k FROM r WHERE k <= 60",
+    "q23_best_junction_per_end": "WITH r AS (SELECT l_partkey, l_linenumber, l_orderkey, l_quantity, CAST(row_number() OVER (PARTITION BY l_partkey, l_linenumber ORDER BY l_quantity DESC, l_orderkey, l_extendedprice) AS BIGINT) AS k FROM lineitem) SELECT l_partkey, l_linenumber, l_orderkey, l_quantity FROM r WHERE k = 1",
+    "q24_compat_case": "WITH j AS (SELECT l_orderkey, l_linenumber, l_suppkey % 4 AS head, l_partkey % 5 AS tail, l_quantity AS p1, l_tax * 500 AS p2, l_extendedprice AS s1, 900 * l_quantity AS s2 FROM lineitem), m AS (SELECT *, CASE WHEN s1 > s2 THEN 1 ELSE 2 END AS larger FROM j) SELECT head, tail, CASE WHEN head = 1 AND tail = 2 AND p1 < p2 THEN 'both' WHEN head = 3 AND tail = 4 AND p1 > p2 THEN 'both' WHEN head IN (1, 3) AND tail IN (2, 4) THEN CASE WHEN larger = 1 THEN 'head' ELSE 'tail' END WHEN head IN (1, 3) AND tail = 0 THEN 'head' WHEN head = 0 AND tail IN (2, 4) THEN 'tail' ELSE 'none' END AS verdict, count(*) AS n FROM m GROUP BY 1, 2, 3",
+    "q26_junction_flip": "SELECT l_orderkey, l_linenumber, CAST(l_partkey AS BIGINT) AS ref, CASE WHEN l_suppkey % 2 = 0 THEN l_quantity ELSE 51 - (l_quantity + l_linenumber - 1) + 1 END AS start_pos, CASE WHEN l_suppkey % 2 = 0 THEN l_quantity + l_linenumber - 1 ELSE 51 - l_quantity + 1 END AS end_pos FROM lineitem",
+    "q28_boundaries": f"WITH {BLOCKS} SELECT user_id, event_id, CAST(fresh AS BIGINT) AS boundary, CAST(segment AS BIGINT) AS segment FROM r",
+    "q29_splice_edges": f"WITH {STEPS} SELECT src, dst FROM edges",
+    "q30_segment_coverage": f"WITH {BLOCKS} SELECT event_type, place, round(sum(value), 4) AS cover, count(*) AS n FROM z GROUP BY event_type, place",
+    "q31_unary_degrees": f"WITH {STEPS}, o AS (SELECT src, count(*) AS out_n FROM edges GROUP BY src), i AS (SELECT dst, count(*) AS in_n FROM edges GROUP BY dst) SELECT coalesce(src, dst) AS node, coalesce(out_n, 0) AS out_n, coalesce(in_n, 0) AS in_n FROM o FULL OUTER JOIN i ON src = dst",
+    "q35_semi_valid": "SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)",
+    "q36_anti_evidence": "SELECT o_orderkey, o_totalprice FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25)",
+    "q37_hit_filter_cov": f"WITH {HITS} SELECT CAST(sum(CASE WHEN qcvg >= 0.8 THEN 1 ELSE 0 END) AS BIGINT) AS n80, CAST(sum(CASE WHEN qcvg >= 0.9 THEN 1 ELSE 0 END) AS BIGINT) AS n90, CAST(sum(CASE WHEN qcvg >= 0.95 THEN 1 ELSE 0 END) AS BIGINT) AS n95 FROM hits WHERE slen >= 300",
+    "q38_best_hit": f"WITH {HITS}, s AS (SELECT *, CAST(row_number() OVER (PARTITION BY sid ORDER BY qcvg DESC, qid, slen) AS BIGINT) AS k FROM hits WHERE qcvg >= 0.8 AND slen >= 300), q AS (SELECT qid, sid, qcvg, CAST(row_number() OVER (PARTITION BY qid ORDER BY qcvg DESC, sid) AS BIGINT) AS k FROM s WHERE k = 1) SELECT qid, sid, qcvg FROM q WHERE k = 1",
+    "q39_swap_qs": f"WITH {HITS} SELECT sid AS qid, qid AS sid, slen AS qlen, qcvg AS scvg FROM hits",
+    "q40_r2": "SELECT l_returnflag, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem GROUP BY l_returnflag",
+    "q47_rpkm_tpm": "WITH r AS (SELECT l_partkey, count(*) AS reads, sum(l_quantity) AS len FROM lineitem GROUP BY l_partkey), t AS (SELECT sum(reads) AS total, sum(reads / len) AS rate FROM r) SELECT l_partkey, round(1e9 * reads / (len * total), 4) AS rpkm, round(1e6 * (reads / len) / rate, 4) AS tpm FROM r CROSS JOIN t",
+}
+
+
+def q02(spark, d):
+    s = F.substring("text", 1, 200)
+    return table(spark, d, "documents").select("doc_id", S.encoded(s).alias("codes"), S.undefined(s).alias("n_undef"))
+
+
+def q03(spark, d):
+    return sequences(spark, d).select("doc_id", S.reverse_complement(F.col("seq")).alias("rc"))
+
+
+def q04(spark, d):
+    k = sequences(spark, d).select("doc_id", F.posexplode(S.kmers(F.col("seq"))).alias("pos", "kmer")).filter("pos % 4 = 0")
+    return k.groupBy("kmer").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+def q05(spark, d):
+    return sequences(spark, d).select("doc_id", S.kmer_code(F.substring("seq", 1, 8)).alias("code"))
+
+
+def coverage(spark, d):
+    p = sequences(spark, d).select("lang", F.posexplode(F.split("seq", "")).alias("pos", "base"))
+    return p.groupBy("lang", "pos").agg(*[F.sum((F.col("base") == x).cast("long")).alias(x.lower()) for x in "ACGT"])
+
+
+def q06(spark, d):
+    return coverage(spark, d).select("lang", F.col("pos").cast("long").alias("pos"), S.consensus(*map(F.col, "acgt")).alias("base"))
+
+
+def q07(spark, d):
+    depth = F.col("a") + F.col("c") + F.col("g") + F.col("t")
+    out = coverage(spark, d).groupBy("lang").agg(F.round(F.avg(depth), 6).alias("mean_depth"), F.sum(depth).alias("volume"))
+    return out.filter("volume > 152")
+
+
+def q09(spark, d):
+    tail = lambda pattern: F.length(F.regexp_extract("seq", pattern, 0)).cast("long")
+    out = sequences(spark, d).select("doc_id", tail("A+$").alias("f"), tail("^T+").alias("b"))
+    return out.filter("f >= 3 or b >= 3")
+
+
+def q10(spark, d):
+    s = sequences(spark, d)
+    pairs = overlaps.with_sequences(overlaps.candidates(overlaps.kmer_postings(s), 20), s).filter("length(seq_a) = length(seq_b)")
+    out = pairs.withColumn("dist", S.hamming(F.col("seq_a"), F.col("seq_b")))
+    return out.filter(F.col("dist") <= S.distance_limit(F.length("seq_a"), 0.05)).select("a", "b", "dist")
+
+
+def q11(spark, d):
+    return overlaps.candidates(overlaps.kmer_postings(sequences(spark, d)), 20)
+
+
+def q12(spark, d):
+    from pyspark.sql.window import Window
+
+    c = q11(spark, d)
+    both = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
+    return both.withColumn("k", rank.cast("long")).filter("k <= 3")
+
+
+def dovetailed(spark, d):
+    s = sequences(spark, d)
+    return overlaps.dovetails(q11(spark, d), s, 24, 40, 0.05)
+
+
+def q14(spark, d):
+    s = sequences(spark, d)
+    probes = s.filter("length(seq) >= 70").select(F.col("doc_id").alias("probe_id"), F.substring("seq", 31, 40).alias("probe"))
+    return overlaps.contained(probes, s, 70)
+
+
+def q15(spark, d):
+    scored = dovetailed(spark, d).withColumn("score", F.col("dist") * 76 - F.col("depth"))
+    return overlaps.best_per(scored, "b", "score", "a").select("a", "b", "score")
+
+
+def q16(spark, d):
+    hits = q14(spark, d).join(sequences(spark, d).select("doc_id", F.length("seq").alias("len")), "doc_id")
+    return overlaps.best_per(hits, "probe_id", F.desc("len"), "doc_id").select("probe_id", F.col("doc_id").alias("container"), "pos")
+
+
+def links(spark, d):
+    return relational(f"WITH {LINKS} SELECT a, b FROM links")(spark, d)
+
+
+def chain(spark, d):
+    return relational(f"WITH {CHAIN} SELECT node, parent FROM chain")(spark, d)
+
+
+def q18(spark, d):
+    return resolved(chain(spark, d)).select("node", "root")
+
+
+def q19(spark, d):
+    return connected_components(links(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+
+def q20(spark, d):
+    return q19(spark, d).groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
+
+
+def q21(spark, d):
+    cap = 4
+    weighted = links(spark, d).withColumn("w", (F.col("a") * 7 + F.col("b") * 3) % 101)
+    parts = q19(spark, d)
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    rows = weighted.join(parts.withColumnRenamed("node", "a"), "a").join(sizes, "component")
+    low = rows.groupBy("component").agg(F.min("w").alias("low"))
+    return rows.join(low, "component").filter(f"size <= {cap} or w > low").select("a", "b", "w")
+
+
+def q25(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_suppkey") % 2 == 0, 1).otherwise(-1).alias("ref"), F.element_at(F.array(*map(F.lit, (1, 2, -1, -2))), (F.col("l_partkey") % 4 + 1).cast("int")).alias("mode"))
+    direction, strand = S.strand(F.col("ref"), F.col("mode"))
+    return rows.select("l_orderkey", "l_linenumber", direction.alias("direction"), strand.alias("strand"))
+
+
+def q27(spark, d):
+    """Blocks of 2 * round(1.5 * rl), step block - round(1.1 * rl), for rl 76; the last one reaches the end."""
+    block, step, n = 228, 144, F.col("n_chars")
+    count = F.greatest(F.ceil((n - block) / step) + 1, F.lit(1)).cast("long")
+    rows = table(spark, d, "documents").select("doc_id", n, F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"), count.alias("__n"))
+    end = F.when(F.col("block") == F.col("__n") - 1, n).otherwise(F.col("block") * step + block)
+    return rows.select("doc_id", "block", (F.col("block") * step + 1).alias("start_pos"), end.alias("end_pos"))
+
+
+def q32(spark, d):
+    return resolved(chain(spark, d)).groupBy("root").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("node")), "-").alias("path"))
+
+
+def reads(spark, d):
+    return relational("SELECT DISTINCT x.l_orderkey AS read_id, x.l_partkey AS c1, y.l_partkey AS c2 FROM lineitem x LEFT JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = 2 WHERE x.l_linenumber = 1")(spark, d)
+
+
+def q34(spark, d):
+    parts = q19(spark, d)
+    g1, g2 = (parts.select(F.col("node").alias(f"c{i}"), F.col("component").alias(f"g{i}")) for i in (1, 2))
+    return reads(spark, d).join(g1, "c1", "left").join(g2, "c2", "left").select("read_id", "c1", "c2", F.coalesce("g1", F.lit(0)).alias("group1"), F.coalesce("g2", F.lit(0)).alias("group2")).filter("group1 > 0 or group2 > 0")
+
+
+def q33(spark, d):
+    r = q34(spark, d)
+    one = lambda c: F.sum(F.expr(c).cast("long"))
+    return r.agg(F.count("*").alias("mapped"), one("(group1 = 0) <> (group2 = 0)").alias("single"), one("group1 > 0 and group2 > 0 and group1 <> group2").alias("wrong"), one("group1 > 0 and group1 = group2").alias("same"))
+
+
+def q41(spark, d):
+    name = F.concat_ws(":", F.col("c_name"), F.col("c_nationkey"), F.round("c_acctbal", 1))
+    f = S.trailing_fields(name, ":")
+    return table(spark, d, "customer").select("c_custkey", F.get(f, F.lit(0)).alias("last"), F.get(f, F.lit(1)).alias("second"), F.get(f, F.lit(2)).alias("third"))
+
+
+def q42(spark, d):
+    return dovetailed(spark, d).select("a", "b", (F.col("dist") <= 0.05 * F.col("depth")).alias("valid"))
+
+
+def q43(spark, d):
+    return table(spark, d, "documents").orderBy(F.desc("n_chars"), "doc_id").limit(50).select("doc_id", "n_chars")
+
+
+def q44(spark, d):
+    """Paths of at most four edges over the step graph of two users, without a node twice."""
+    e = relational(f"WITH {STEPS} SELECT src, dst FROM edges")(spark, d).cache()
+    level = e.select(F.array("src", "dst").alias("path"))
+    out = level
+    for _ in range(3):
+        level = level.join(e, F.element_at("path", -1) == F.col("src")).filter("NOT array_contains(path, dst)").select(F.concat("path", F.array("dst")).alias("path"))
+        out = out.unionByName(level)
+    return out.select(F.array_join("path", ">").alias("path"), (F.size("path") - 1).cast("long").alias("n_edges"))
+
+
+CC = LINKS + ", both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (SELECT DISTINCT a AS node, a AS r FROM both_ways UNION SELECT both_ways.b, reach.r FROM reach JOIN both_ways ON both_ways.a = reach.node), cc AS (SELECT node, min(r) AS component FROM reach GROUP BY node)"
+ROOTS = CHAIN + ", walk AS (SELECT node, CASE WHEN parent = 0 THEN node ELSE parent END AS root FROM chain UNION SELECT walk.node, CASE WHEN chain.parent = 0 THEN chain.node ELSE chain.parent END FROM walk JOIN chain ON chain.node = walk.root), roots AS (SELECT node, min(root) AS root FROM walk GROUP BY node)"
+READS = CC + ", reads AS (SELECT DISTINCT x.l_orderkey AS read_id, x.l_partkey AS c1, y.l_partkey AS c2 FROM lineitem x LEFT JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = 2 WHERE x.l_linenumber = 1), g AS (SELECT read_id, c1, c2, coalesce(p.component, 0) AS group1, coalesce(q.component, 0) AS group2 FROM reads LEFT JOIN cc p ON p.node = c1 LEFT JOIN cc q ON q.node = c2)"
+CONT = SEQS + ", p AS (SELECT doc_id AS probe_id, substr(seq, 31, 40) AS probe FROM s WHERE length(seq) >= 70), hit AS (SELECT probe_id, doc_id, instr(seq, probe) AS pos, length(seq) AS len FROM p JOIN s ON probe_id <> doc_id AND contains(seq, probe) WHERE length(seq) >= 70)"
+COVER = SEQS + ", b AS (SELECT lang, unnest(range(0, length(seq))) AS pos, unnest(string_split(seq, '')) AS base FROM s), v AS (SELECT lang, pos, sum((base = 'A')::INT) AS a, sum((base = 'C')::INT) AS c, sum((base = 'G')::INT) AS g, sum((base = 'T')::INT) AS t FROM b GROUP BY ALL)"
+
+#: name: (query, its SQL or None).
+OWN = {
+    "q02_encode_undef": (q02, "SELECT doc_id, regexp_replace(translate(regexp_replace(substr(text, 1, 200), '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', '01230123'), 'x', 'x') AS codes, CAST(length(regexp_replace(substr(text, 1, 200), '[ACGTacgt]', '', 'g')) AS BIGINT) AS n_undef FROM documents"),
+    "q03_revcomp": (q03, f"WITH {SEQS} SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM s"),
+    "q04_kmer_spectrum": (q04, f"WITH {KMERS} SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM k WHERE pos % 4 = 0 GROUP BY kmer"),
+    "q05_kmer_code": (q05, f"WITH {SEQS} SELECT doc_id, CAST(list_sum(list_transform(range(1, 9), lambda i: (instr('ACGT', substr(seq, i, 1)) - 1) * CAST(pow(4, 8 - i) AS BIGINT))) AS BIGINT) AS code FROM s"),
+    "q06_consensus": (q06, f"WITH {COVER} SELECT lang, pos, CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END AS base FROM v"),
+    "q07_mean_depth_volume": (q07, f"WITH {COVER} SELECT lang, round(avg(a + c + g + t), 6) AS mean_depth, CAST(sum(a + c + g + t) AS BIGINT) AS volume FROM v GROUP BY lang HAVING sum(a + c + g + t) > 152"),
+    "q09_polya_tail": (q09, f"WITH {SEQS} SELECT doc_id, CAST(length(regexp_extract(seq, 'A+$')) AS BIGINT) AS f, CAST(length(regexp_extract(seq, '^T+')) AS BIGINT) AS b FROM s WHERE length(regexp_extract(seq, 'A+$')) >= 3 OR length(regexp_extract(seq, '^T+')) >= 3"),
+    "q10_hamming_pairs": (q10, f"WITH {PAIRS} SELECT a, b, CAST(hamming(x.seq, y.seq) AS BIGINT) AS dist FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE length(x.seq) = length(y.seq) AND hamming(x.seq, y.seq) <= floor(length(x.seq) * 0.05 + 0.5)"),
+    "q11_kmer_candidates": (q11, f"WITH {PAIRS} SELECT a, b, shared FROM c"),
+    "q12_topk_candidates": (q12, f"WITH {PAIRS}, e AS (SELECT a, b, shared FROM c UNION ALL SELECT b, a, shared FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM e) SELECT a, b, shared, k FROM r WHERE k <= 3"),
+    "q13_dovetail_overlap": (dovetailed, f"WITH {DOVE} SELECT a, b, depth, CAST(dist AS BIGINT) AS dist FROM t"),
+    "q14_containment": (q14, f"WITH {CONT} SELECT probe_id, doc_id, pos FROM hit"),
+    "q15_best_connection": (q15, f"WITH {DOVE}, r AS (SELECT a, b, dist * 76 - depth AS score, row_number() OVER (PARTITION BY b ORDER BY dist * 76 - depth, a) AS k FROM t) SELECT a, b, CAST(score AS BIGINT) AS score FROM r WHERE k = 1"),
+    "q16_containment_merge": (q16, f"WITH {CONT}, r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY len DESC, doc_id) AS k FROM hit) SELECT probe_id, doc_id AS container, pos FROM r WHERE k = 1"),
+    "q18_pointer_resolve": (q18, f"WITH RECURSIVE {ROOTS} SELECT node, root FROM roots"),
+    "q19_connected_components": (q19, f"WITH RECURSIVE {CC} SELECT node, component FROM cc"),
+    "q20_group_sizes": (q20, f"WITH RECURSIVE {CC}, z AS (SELECT component, count(*) AS size FROM cc GROUP BY component) SELECT size, count(*) AS n FROM z GROUP BY size"),
+    "q21_weak_edge_prune": (q21, f"WITH RECURSIVE {CC}, z AS (SELECT component, count(*) AS size FROM cc GROUP BY component), w AS (SELECT a, b, (a * 7 + b * 3) % 101 AS w, component, size FROM links JOIN cc ON node = a JOIN z USING (component)), m AS (SELECT component, min(w) AS low FROM w GROUP BY component) SELECT a, b, w FROM w JOIN m USING (component) WHERE size <= 4 OR w > low"),
+    "q25_strand_sign": (q25, "WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE -1 END AS ref, CASE l_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN -1 ELSE -2 END AS mode FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(CASE WHEN abs(mode) = 1 THEN -ref ELSE ref END AS BIGINT) AS direction, CAST(ref * sign(mode) AS BIGINT) AS strand FROM r"),
+    "q27_sliding_blocks": (q27, "WITH n AS (SELECT doc_id, n_chars, CAST(greatest(ceil((n_chars - 228) / 144) + 1, 1) AS BIGINT) AS n FROM documents), b AS (SELECT doc_id, n_chars, n, unnest(range(0, n)) AS block FROM n) SELECT doc_id, block, block * 144 + 1 AS start_pos, CASE WHEN block = n - 1 THEN n_chars ELSE block * 144 + 228 END AS end_pos FROM b"),
+    "q32_chain_compaction": (q32, f"WITH RECURSIVE {ROOTS} SELECT root, count(*) AS n, string_agg(CAST(node AS VARCHAR), '-' ORDER BY node) AS path FROM roots GROUP BY root"),
+    "q33_read_map_stats": (q33, f"WITH RECURSIVE {READS} SELECT count(*) AS mapped, CAST(sum(((group1 = 0) <> (group2 = 0))::INT) AS BIGINT) AS single, CAST(sum((group1 > 0 AND group2 > 0 AND group1 <> group2)::INT) AS BIGINT) AS wrong, CAST(sum((group1 > 0 AND group1 = group2)::INT) AS BIGINT) AS same FROM g WHERE group1 > 0 OR group2 > 0"),
+    "q34_read_group_map": (q34, f"WITH RECURSIVE {READS} SELECT read_id, c1, c2, group1, group2 FROM g WHERE group1 > 0 OR group2 > 0"),
+    "q41_name_fields": (q41, "SELECT c_custkey, CAST(round(c_acctbal, 1) AS DOUBLE) AS last, CAST(c_nationkey AS DOUBLE) AS second, try_cast(c_name AS DOUBLE) AS third FROM customer"),
+    "q42_integrity": (q42, f"WITH {DOVE} SELECT a, b, dist <= 0.05 * depth AS valid FROM t"),
+    "q43_sorts": (q43, "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50"),
+    "q44_paths": (q44, f"WITH RECURSIVE {STEPS}, p AS (SELECT [src, dst] AS path FROM edges UNION ALL SELECT list_append(path, dst) FROM p JOIN edges ON src = path[-1] AND NOT list_contains(path, dst) WHERE len(path) <= 4) SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS n_edges FROM p"),
+    "q45_nn_lasso": (lambda spark, d: numeric.lasso_by_label(table(spark, d, "embeddings")), None),
+    "q46_multi_format_roundtrip": (lambda spark, d: formats.round_trip(sequences(spark, d)), None),
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(sorted({**{k: relational(v) for k, v in SHARED.items()}, **{k: v[0] for k, v in OWN.items()}}.items()))
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(sorted({**SHARED, **{k: v[1] for k, v in OWN.items() if v[1]}}.items()))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verified overlaps of documents' sequences."""
+    return q10(spark, sf_dir)

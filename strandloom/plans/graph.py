@@ -35,3 +35,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         turn += 1
     least = labels.groupBy("label").agg(F.min("node").alias("component"))
     return labels.join(least, "label").select("node", "component")
+
+
+def resolved(pointers: DataFrame) -> DataFrame:
+    """(node, root) of (node, parent) by pointer jumping: a node that points to itself or 0 is a root.
+
+    Chains of length n take about log2(n) rounds. Pointers to nodes that don't exist resolve to null.
+    """
+    now = stored(pointers.select("node", F.when((F.col("parent") == 0) | (F.col("parent") == F.col("node")), F.col("node")).otherwise(F.col("parent")).alias("root")), "roots")
+    while True:
+        there = now.select(F.col("node").alias("n"), F.col("root").alias("r"))
+        then = stored(now.join(there, F.col("root") == F.col("n"), "left").select("node", F.col("r").alias("root")), "roots")
+        changed = now.join(then.withColumnRenamed("root", "new"), "node").filter(~F.col("root").eqNullSafe(F.col("new")))
+        if changed.isEmpty():
+            return then
+        now = then
