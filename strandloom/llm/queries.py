@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpus_pipeline import run
 
+from .compact_windows import op7_compact_windows
 from .fingerprint import op1_fingerprint
 from .line_rules import op6_line_rules
 from .license_scan import op8_license_scan
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op4_packing": op4_packing,
         "op5_sharding": op5_sharding,
         "op6_line_rules": op6_line_rules,
+        "op7_compact_windows": op7_compact_windows,
         "op8_license_scan": op8_license_scan,
         "op9_pseudonyms": op9_pseudonyms,
         "op10_mixing": op10_mixing,
