@@ -74,7 +74,7 @@ def mixed(df: DataFrame, tokens: Column, source: str = "source", target: float =
     place = F.xxhash64(F.lit(seed), *[F.col(c) for c in names])
     df = df.withColumn("__tokens", tokens).withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("\0null")))
     df = df.withColumn("__place", place).withColumn("__block", F.pmod("__place", F.lit(blocks)).cast("int"))
-    sums = df.groupBy("__source", "__block").agg(F.sum("__tokens").alias("n")).toPandas()
+    sums = df.groupBy("__source", "__block").agg(F.sum("__tokens").alias("n")).toPandas().sort_values(["__source", "__block"])
     by_source = sums.groupby("__source").n.sum() if len(sums) else sums
     total = float(by_source.sum()) if len(sums) else 0.0
     plan = []
