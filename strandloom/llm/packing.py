@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .util import documents, pieces, shuffle_partitions, stored, text_column
+from .util import documents, freed, pieces, shuffle_partitions, stored, text_column
 
 SEQUENCE, CHUNK, END = 2048, 512, 1
 #: Tokens of a block, about; a block is packed by one task.
@@ -36,7 +36,7 @@ class Units:
     encoded whole. The memory is emptied when it holds `most` units.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -47,8 +47,8 @@ class Units:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units in a row, and how many each has.
@@ -82,9 +82,9 @@ class Units:
             self.clear()
         flat, sizes = self.encode(texts)
         starts = len(self.ids) + np.cumsum(sizes) - sizes
-        self.ids, self.starts, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
+        self.ids, self.starts, self.sizes = np.concatenate([self.ids, flat]), np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes.astype(np.int32)])
         merged = np.concatenate([self.keys, keys])
-        at = np.concatenate([self.at, np.arange(len(self.at), len(self.at) + len(keys))])
+        at = np.concatenate([self.at, np.arange(len(self.at), len(self.at) + len(keys), dtype=np.int32)])
         order = np.argsort(merged, kind="stable")
         self.keys, self.at = merged[order], at[order]
 
@@ -109,7 +109,7 @@ class Units:
             self.learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in place[new]])
         where, _ = self.known(distinct)
         at = self.at[where][inverse] if len(distinct) else np.zeros(0, np.int64)
-        sizes = self.sizes[at]
+        sizes = self.sizes[at].astype(np.int64)
         ids = self.ids[K.ragged(self.starts[at], sizes)]
         total = np.concatenate([[0], np.cumsum(sizes)])
         return ids, total[first]
@@ -158,6 +158,7 @@ def tokens(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others) + ", n_tokens long, ids binary"
 
     def encode(batches):
+        freed()
         if tokenizer not in _units:
             _units[tokenizer] = Units(tokenizer)
         for batch in pieces(batches, text, 1 << 20):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +49,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
+def freed() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def feistel(x: Column, a: Column, b: Column, prf, rounds: int = 8) -> Column:
     """A keyed permutation of 0 .. a*b-1: x = left*b + right, each half in turn shifted by a hash of the other.
 
