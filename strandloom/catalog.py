@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import sequence as S
 from .operators import numeric, overlaps
-from .plans.graph import connected_components, resolved
+from .plans.graph import capped_components, connected_components, resolved, signed_components
 from .sources import formats
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -280,6 +280,27 @@ OWN = {
 }
 
 
+
+def q48(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strands along customers' halving trees, cut at multiples of 7; a negative balance turns the strand."""
+    c = F.col("c_custkey")
+    root = (c % 7 == 0) | (c == 1)
+    edges = table(spark, sf_dir, "customer").select(c.alias("src"), F.when(root, c).otherwise(F.floor(c / 2)).alias("dst"), F.when(~root & (F.col("c_acctbal") < 0), -1).otherwise(1).alias("sign"))
+    return signed_components(edges).select("node", "root", F.col("strand").cast("int").alias("strand"), "conflict")
+
+
+def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' halving tree cut down to groups of about 40 along edges of the lowest score."""
+    edges = table(spark, sf_dir, "part").filter("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"), ((F.col("p_size") % 4 + 1) * 15).alias("score"))
+    return capped_components(edges, 40, 50)
+
+
+OWN |= {
+    "q48_strand_propagation": (q48, "WITH RECURSIVE t AS (SELECT c_custkey AS node, c_custkey AS root, 1 AS strand FROM customer WHERE c_custkey % 7 = 0 OR c_custkey = 1 UNION ALL SELECT c.c_custkey, t.root, t.strand * CASE WHEN c.c_acctbal < 0 THEN -1 ELSE 1 END FROM customer c JOIN t ON c.c_custkey // 2 = t.node WHERE c.c_custkey % 7 <> 0 AND c.c_custkey > 1) SELECT node, root, CAST(strand AS INT) AS strand, false AS conflict FROM t"),
+    "q49_capped_components": (q49, None),
+}
+
+
 def queries() -> dict:
     return dict(sorted({**{k: relational(v) for k, v in SHARED.items()}, **{k: v[0] for k, v in OWN.items()}}.items()))
 

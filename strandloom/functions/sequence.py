@@ -56,6 +56,23 @@ def dovetail(a: Column, b: Column, shortest: int, longest: int, share: float) ->
     return F.get(F.filter(tried, lambda x: x["dist"] <= distance_limit(x["depth"], share)), F.lit(0))
 
 
+def prefix_suffix(a: Column, b: Column, shortest: int, longest: int, share: float, both_strands: bool = True) -> Column:
+    """An end overlap of a and b as struct(pos, dep, dist); null if there is none.
+
+    Tried in turn: a's head on b's tail (dep positive), a's tail on b's head (dep negative), then both with b's
+    reverse complement (pos negative), each from the shortest length up. An overlap of all of b has pos 0 and
+    yields to any later one; if there is none, the last of them stands.
+    """
+    size = F.length(b)
+
+    def tried(other: Column, sign: int) -> list[Column]:
+        head, tail = dovetail(other, a, shortest, longest, share), dovetail(a, other, shortest, longest, share)
+        return [F.when(x.isNotNull(), F.struct((sign * (size - x["depth"])).alias("pos"), (way * x["depth"]).alias("dep"), x["dist"].alias("dist"))) for x, way in ((head, 1), (tail, -1))]
+
+    found = F.filter(F.array(*tried(b, 1), *(tried(reverse_complement(b), -1) if both_strands else [])), lambda x: x.isNotNull())
+    return F.coalesce(F.get(F.filter(found, lambda x: x["pos"] != 0), F.lit(0)), F.get(found, F.size(found) - 1))
+
+
 def strand(ref: Column, mode: Column) -> tuple[Column, Column]:
     """(direction, strand) of a neighbour by the connection mode (1, 2; negative: reverse complement)."""
     direction = F.when(F.abs(mode) == 1, -ref).when(F.abs(mode) == 2, ref).otherwise(F.lit(0))

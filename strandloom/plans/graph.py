@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +52,43 @@ def resolved(pointers: DataFrame) -> DataFrame:
         if changed.isEmpty():
             return then
         now = then
+
+
+def signed_components(edges: DataFrame) -> DataFrame:
+    """(node, root, strand, conflict) of edges (src, dst, sign: 1 or -1; a loop with sign 1 names a single node).
+
+    Components of the double cover: node v has the copies 2v (as its root) and 2v+1 (reversed), and a negative
+    edge crosses over. strand is the product of the signs on the way to the root, the smallest node of the
+    group. Where two ways disagree, both copies meet: conflict holds for the whole group and strand is 1.
+    Node ids must be below 2**62.
+    """
+    rows = edges.select(F.col("src").cast("long").alias("u"), F.col("dst").cast("long").alias("v"), (F.col("sign") < 0).cast("long").alias("cross")).dropna()
+    copies = rows.select(F.explode(F.array(*[F.struct((2 * F.col("u") + side).alias("src"), (2 * F.col("v") + (F.lit(side).bitwiseXOR(F.col("cross")))).alias("dst")) for side in (0, 1)])).alias("e")).select("e.*")
+    found = connected_components(copies).withColumn("v", F.floor(F.col("node") / 2).cast("long"))
+    both = found.groupBy("v").agg(F.min_by("component", "node").alias("own"), F.count_distinct("component").alias("n"))
+    root, conflict = F.floor(F.col("own") / 2).cast("long"), F.col("n") == 1
+    return both.select(F.col("v").alias("node"), root.alias("root"), F.when(conflict | (F.col("own") % 2 == 0), 1).otherwise(-1).alias("strand"), conflict.alias("conflict"))
+
+
+def capped_components(edges: DataFrame, cap: int = 40, safe: float = 50) -> DataFrame:
+    """(node, component) of edges (src, dst, score) whose groups have been cut down towards `cap` nodes.
+
+    In each round every group above the cap loses all edges of its lowest score, if that is below `safe` or
+    the group has more than 1.33 * cap nodes; rounds end when nothing is lost. There are at most as many
+    rounds as distinct scores. Nodes without edges left stay as groups of their own. A null score counts as 0.
+    """
+    start = stored(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.coalesce("score", F.lit(0)).alias("score")).dropna(), "scored")
+    nodes = start.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    live, done = start, []
+    while True:
+        groups = stored(connected_components(live), "groups")
+        large = groups.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > cap)
+        placed = live.join(groups, F.col("src") == F.col("node")).drop("node")
+        low = placed.join(large, "component").groupBy("component").agg(F.min("score").alias("low"), F.first("size").alias("size"))
+        low = stored(low.filter((F.col("low") < safe) | (F.col("size") > round(1.33 * cap))), "weak")
+        # groups that lose nothing are final
+        done.append(groups.join(low, "component", "left_anti").select("node", "component"))
+        if low.isEmpty():
+            groups = functools.reduce(DataFrame.unionByName, done)
+            return nodes.join(groups, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
+        live = stored(placed.join(low, "component").filter("score > low").select("src", "dst", "score"), "scored")

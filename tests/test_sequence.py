@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.operators import numeric
-from strandloom.plans.graph import connected_components, resolved
-from strandloom.sources.formats import read_config
+from strandloom.plans.graph import capped_components, connected_components, resolved, signed_components
+from strandloom.sources.formats import read_config, read_contigs, read_segments, write_segments
 
 
 def one(spark, column):
@@ -47,3 +47,46 @@ def test_components(spark):
 def test_config():
     c = read_config("NOMINAL_READ_LENGTH 76 # rl\nUNKNOWN 3\nNORM_DIST_THRESHOLD 0.05\n")
     assert c.nominal_read_length == 76 and c.norm_dist_threshold == 0.05
+
+
+def test_prefix_suffix(spark):
+    """The vectors traced by hand, and all pairs of short words against a plain loop."""
+    hit = lambda a, b, lo, hi: one(spark, S.prefix_suffix(F.lit(a), F.lit(b), lo, hi, 0.0))
+    assert tuple(hit("CGTAA", "TTCGT", 3, 5)) == (2, 3, 0)
+    assert tuple(hit("ACG", "ACG", 3, 3)) == (0, -3, 0)
+    assert hit("AAAA", "CCCC", 2, 4) is None
+    words = ["ACGTA", "TACGG", "CCGTA", "GGGTT", "AACCC", "ACG", "CGTAC"]
+    rows = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    for r in rows.withColumn("x", S.prefix_suffix(F.col("a"), F.col("b"), 2, 4, 0.0)).collect():
+        want = None
+        for b, sign in ((r.b, 1), (r.b[::-1].translate(str.maketrans("ACGT", "TGCA")), -1)):
+            for way in (1, -1):
+                for n in range(2, min(4, len(r.a), len(b)) + 1):
+                    if (r.a[:n] == b[-n:]) if way == 1 else (r.a[-n:] == b[:n]):
+                        if not want or want[0] == 0:
+                            want = (sign * (len(b) - n), way * n, 0)
+                        break
+        assert (tuple(r.x) if r.x else None) == want, r
+
+
+def test_signed_components(spark):
+    rows = [(1, 2, -1), (2, 3, -1), (3, 4, 1), (4, 9, -1), (20, 21, 1), (21, 22, 1), (20, 22, -1), (30, 30, 1), (None, 5, 1)]
+    got = {r.node: (r.root, r.strand, r.conflict) for r in signed_components(spark.createDataFrame(rows, "src long, dst long, sign int")).collect()}
+    assert got == {1: (1, 1, False), 2: (1, -1, False), 3: (1, 1, False), 4: (1, 1, False), 9: (1, -1, False), 20: (20, 1, True), 21: (20, 1, True), 22: (20, 1, True), 30: (30, 1, False)}
+
+
+def test_capped_components(spark):
+    rows = [(i, i + 1, 10 if i % 4 == 0 else 60) for i in range(1, 12)] + [(50, 51, 1)]
+    got = {r.node: r.component for r in capped_components(spark.createDataFrame(rows, "src long, dst long, score int"), 6).collect()}
+    assert got == {i: (i - 1) // 4 * 4 + 1 for i in range(1, 13)} | {50: 50, 51: 50}
+
+
+def test_contigs_and_segments(spark, tmp_path):
+    counts = ["1 0 0 0", "0 2 0 0", "0 0 3 0", "0 0 0 4"]
+    (tmp_path / "x.cntg").write_text("\n".join([">c v1 7 5 9", "ACGT", *counts, ">c v1 8 1 2", "ACGT", *counts]) + "\n")
+    rows = read_contigs(spark, str(tmp_path / "x.cntg")).orderBy("cntg_id").collect()
+    assert [(r.cntg_id, r.n_valid, r.n_total, r.seq, r.depth) for r in rows] == [(7, 5, 9, "ACGT", 2.5), (8, 1, 2, "ACGT", 2.5)]
+    segments = read_contigs(spark, str(tmp_path / "x.cntg")).selectExpr("cntg_id as seg_id", "1 as group_id", "seq", "cov")
+    write_segments(segments, str(tmp_path / "s"))
+    back = read_segments(spark, str(tmp_path / "s")).orderBy("seg_id").collect()
+    assert [(r.seg_id, r.group_id, r.len, r.seq, r.cov) for r in back] == [(7, 1, 4, "ACGT", rows[0].cov), (8, 1, 4, "ACGT", rows[0].cov)]
