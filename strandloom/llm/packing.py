@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .util import documents, freed, pieces, shuffle_partitions, stored, text_column
+from .util import batch_bytes, documents, freed, pieces, shuffle_partitions, stored, text_column
 
 SEQUENCE, CHUNK, END = 2048, 512, 1
 #: Tokens of a block, about; a block is packed by one task.
@@ -228,7 +228,8 @@ def packed(df: DataFrame, tokenizer: str, key: str = "doc_id", source: str = "so
     """
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("string").alias("__key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), text_column(text).alias("__text"))
-    table = stored(tokens(rows, tokenizer, "__text"), "tokens")
+    with batch_bytes(spark):
+        table = stored(tokens(rows, tokenizer, "__text"), "tokens")
     total = table.agg(F.sum("n_tokens")).first()[0] or 0
     blocks = max(1, -(-total // block_tokens), min(4 * shuffle_partitions(spark), total // (16 * SEQUENCE)))
     place = F.xxhash64("__key", "__source", F.crc32("ids"), "n_tokens")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 from collections.abc import Iterator
 
@@ -49,6 +50,23 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
+@contextlib.contextmanager
+def batch_bytes(spark: SparkSession, most: int = 4 << 20):
+    """Arrow batches of about `most` bytes for what is executed within, so that neither side of a worker's pipe holds more.
+
+    The session's own limit is kept where it is lower, and comes back afterwards.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    held = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if held <= 0 or held > most:
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def freed() -> None:
     """Give memory that earlier tasks of this worker have freed back to the system, where the C library can."""
     pa.default_memory_pool().release_unused()
