@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import sequence as S
 from .operators import numeric, overlaps
-from .plans.graph import capped_components, connected_components, resolved, signed_components
+from .plans.graph import capped_components, compacted, connected_components, resolved, signed_components
 from .sources import formats
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -295,7 +295,33 @@ def q49(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped_components(edges, 40, 50)
 
 
+BRANCHES = "step AS (SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_partkey % 16 <> 0 UNION SELECT p_partkey, p_partkey + 5 FROM part WHERE p_partkey % 11 = 0), branch AS (SELECT src, dst FROM step WHERE dst IN (SELECT p_partkey FROM part))"
+CHAINS = BRANCHES + ", counted AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS o, count(*) OVER (PARTITION BY dst) AS i FROM branch), unary_edge AS (SELECT src, dst FROM counted WHERE o = 1 AND i = 1), walk AS (SELECT p_partkey AS head, p_partkey AS node, 0 AS depth FROM part WHERE p_partkey NOT IN (SELECT dst FROM unary_edge) UNION ALL SELECT head, dst, depth + 1 FROM walk JOIN unary_edge ON src = node)"
+
+
+def parts_compacted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Runs of 16 parts with branches, each part with two counts, compacted."""
+    edges = relational(f"WITH {BRANCHES} SELECT src, dst FROM branch")(spark, sf_dir)
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.array(F.col("p_size").cast("long"), F.col("p_partkey") % 7).alias("cover"))
+    return compacted(nodes, edges)
+
+
+def q50(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts_compacted(spark, sf_dir)[0].select("head", "n_nodes", F.array_join(F.col("cover").cast("array<string>"), " ").alias("cover"))
+
+
+def q51(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parts_compacted(spark, sf_dir)[1]
+
+
+def q52(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.read_group_round_trip(q34(spark, sf_dir))
+
+
 OWN |= {
+    "q50_unary_compaction": (q50, f"WITH RECURSIVE {CHAINS} SELECT head, count(*) AS n_nodes, string_agg(concat(p_size, ' ', p_partkey % 7), ' ' ORDER BY depth) AS cover FROM walk JOIN part ON node = p_partkey GROUP BY head"),
+    "q51_compacted_edges": (q51, f"WITH RECURSIVE {CHAINS} SELECT DISTINCT x.head AS src, y.head AS dst FROM branch b JOIN walk x ON b.src = x.node JOIN walk y ON b.dst = y.node WHERE NOT (x.head = y.head AND y.depth = x.depth + 1)"),
+    "q52_read_group_file": (q52, f"WITH RECURSIVE {READS} SELECT read_id, group1, group2 FROM g WHERE group1 > 0 OR group2 > 0"),
     "q48_strand_propagation": (q48, "WITH RECURSIVE t AS (SELECT c_custkey AS node, c_custkey AS root, 1 AS strand FROM customer WHERE c_custkey % 7 = 0 OR c_custkey = 1 UNION ALL SELECT c.c_custkey, t.root, t.strand * CASE WHEN c.c_acctbal < 0 THEN -1 ELSE 1 END FROM customer c JOIN t ON c.c_custkey // 2 = t.node WHERE c.c_custkey % 7 <> 0 AND c.c_custkey > 1) SELECT node, root, CAST(strand AS INT) AS strand, false AS conflict FROM t"),
     "q49_capped_components": (q49, None),
 }

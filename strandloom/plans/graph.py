@@ -92,3 +92,43 @@ def capped_components(edges: DataFrame, cap: int = 40, safe: float = 50) -> Data
             groups = functools.reduce(DataFrame.unionByName, done)
             return nodes.join(groups, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
         live = stored(placed.join(low, "component").filter("score > low").select("src", "dst", "score"), "scored")
+
+
+def unary_chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, head, depth) for every node (node: long): its place in the chain of unary edges that it lies on.
+
+    An edge (src, dst) is unary if src has no other way out and dst no other way in; equal edges count once.
+    A ring of unary edges is opened at its smallest node. Chains of length n take about log2(n) rounds.
+    """
+    once = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).dropna().distinct()
+    out = once.groupBy("src").agg(F.count("*").alias("n"), F.first("dst").alias("dst")).filter("n = 1").select("src", "dst")
+    entered = once.groupBy("dst").agg(F.count("*").alias("n")).filter("n = 1").select("dst")
+    unary = stored(out.join(entered, "dst", "left_semi").filter("src <> dst").select("src", "dst"), "unary")
+    # a group of unary edges is a path, with one node that has no edge in, or a ring
+    groups = connected_components(unary)
+    rings = groups.join(unary, F.col("node") == F.col("dst"), "left").groupBy("component").agg(F.count_if(F.col("dst").isNull()).alias("heads")).filter("heads = 0")
+    unary = unary.join(rings, F.col("dst") == F.col("component"), "left_anti")
+    now = nodes.select(F.col("node").cast("long").alias("node")).distinct().join(unary, F.col("node") == F.col("dst"), "left")
+    now = stored(now.select("node", F.coalesce("src", "node").alias("head"), F.col("src").isNotNull().cast("long").alias("depth")), "chains")
+    while True:
+        there = now.filter("depth > 0").select(F.col("node").alias("n"), F.col("head").alias("h"), F.col("depth").alias("d"))
+        then = now.join(there, F.col("head") == F.col("n"), "left")
+        then = stored(then.select("node", F.coalesce("h", "head").alias("head"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"), F.col("h").isNotNull().alias("moved")), "chains")
+        now = then.drop("moved")
+        if then.filter("moved").isEmpty():
+            return now
+
+
+def compacted(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chains (head, n_nodes, cover) of nodes (node, cover: array) joined along unary edges, and the edges left between heads.
+
+    A null cover counts as empty. A chain's cover is its nodes' covers in order, one row, as it is one segment.
+    """
+    place = unary_chains(nodes, edges)
+    rows = nodes.select("node", "cover").join(place, "node")
+    chains = rows.groupBy("head").agg(F.array_sort(F.collect_list(F.struct("depth", F.coalesce("cover", F.array()).alias("cover")))).alias("parts"))
+    chains = chains.select("head", F.size("parts").cast("long").alias("n_nodes"), F.flatten(F.transform("parts", lambda x: x["cover"])).alias("cover"))
+    ends = lambda n, h, d: place.select(F.col("node").alias(n), F.col("head").alias(h), F.col("depth").alias(d))
+    held = edges.select("src", "dst").distinct().join(ends("src", "src_head", "d"), "src").join(ends("dst", "dst_head", "e"), "dst")
+    inner = (F.col("src_head") == F.col("dst_head")) & (F.col("e") == F.col("d") + 1)
+    return chains, held.filter(~inner).select(F.col("src_head").alias("src"), F.col("dst_head").alias("dst")).distinct()

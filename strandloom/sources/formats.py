@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.storage import shared_dir
 
@@ -110,6 +111,75 @@ def write_segments(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws("\n", head, "seq", *counts).alias("value")).write.text(path)
 
 
-def write_tab(df: DataFrame, path: str) -> None:
-    """Edges (from_seg, to_seg) or read groups (read_id, group1, group2) as tab-separated lines."""
-    df.write.csv(path, sep="\t")
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(at, value): the whole numbers of one text file in order, at from 0.
+
+    Lines are counted within each split of the file; the driver holds one sum per split.
+    """
+    words = F.filter(F.split("value", r"\s+"), lambda x: x != "")
+    rows = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), words.alias("words"))
+    sums, starts, at = rows.groupBy("split").agg(F.sum(F.size("words")).alias("n")).orderBy("split").collect(), [], 0
+    for split, n in sums:
+        starts.append((split, at))
+        at += n
+    window = Window.partitionBy("split").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("before", F.sum(F.size("words")).over(window) - F.size("words")).join(F.broadcast(spark.createDataFrame(starts, "split long, start long")), "split")
+    rows = rows.select((F.col("start") + F.col("before")).alias("first"), F.posexplode("words").alias("i", "word"))
+    return rows.select((F.col("first") + F.col("i")).alias("at"), F.col("word").cast("long").alias("value"))
+
+
+def read_read_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Contigs (cntg_id, parent_id) and reads (read_id, cntg1, cntg2), ids from 1, of one read-map file.
+
+    The file: the number of contigs, a pointer for each, the number of reads, two contigs for each. Reads
+    beyond the number that the file names are left aside.
+    """
+    numbers = _numbered(spark, path)
+    held = lambda at: (numbers.filter(F.col("at") == at).first() or [0, 0])[1]
+    n = held(0)
+    reads = held(n + 1)
+    contigs = numbers.filter(F.col("at").between(1, n)).select(F.col("at").alias("cntg_id"), F.col("value").alias("parent_id"))
+    place = F.col("at") - (n + 2)
+    pairs = numbers.filter((place >= 0) & (place < 2 * reads)).withColumn("read_id", F.floor(place / 2).cast("long") + 1)
+    mate = lambda i: F.max(F.when(F.pmod(place, F.lit(2)) == i, F.col("value"))).alias(f"cntg{i + 1}")
+    return contigs, pairs.groupBy("read_id").agg(mate(0), mate(1))
+
+
+def _write_headed(head: DataFrame, rows: DataFrame, path: str) -> None:
+    """A header line, then tab-separated rows; the header is the first part, so the parts in order are the file."""
+    lines = rows.select(F.concat_ws("\t", *rows.columns).alias("value"))
+    head.coalesce(1).unionByName(lines).write.text(path)
+
+
+def write_read_groups(df: DataFrame, path: str) -> None:
+    """Rows (read_id, group1, group2) after a line with their number."""
+    rows = df.select("read_id", "group1", "group2")
+    _write_headed(rows.agg(F.count("*").cast("string").alias("value")), rows, path)
+
+
+def write_edges(df: DataFrame, path: str, n_segments: int, n_groups: int, n_valid: int, n_total: int) -> None:
+    """Rows (from_seg, to_seg) after a line with the four numbers."""
+    head = df.sparkSession.range(1).select(F.lit(f"{n_segments} {n_groups} {n_valid} {n_total}").alias("value"))
+    _write_headed(head, df.select("from_seg", "to_seg"), path)
+
+
+def _fields(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """The lines that have as many numbers as names; a header has more or fewer."""
+    words = F.split(F.trim("value"), r"\s+")
+    rows = spark.read.text(path).select(words.alias("w")).filter(F.size("w") == len(names))
+    return rows.select(*[F.get("w", F.lit(i)).cast("long").alias(n) for i, n in enumerate(names)])
+
+
+def read_read_groups(spark: SparkSession, path: str) -> DataFrame:
+    return _fields(spark, path, ["read_id", "group1", "group2"])
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    return _fields(spark, path, ["from_seg", "to_seg"])
+
+
+def read_group_round_trip(groups: DataFrame) -> DataFrame:
+    """Read groups written with their header and read again."""
+    path = f"{shared_dir(groups.sparkSession)}/groups-{uuid.uuid4().hex}"
+    write_read_groups(groups, path)
+    return read_read_groups(groups.sparkSession, path)

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
 from strandloom.operators import numeric
-from strandloom.plans.graph import capped_components, connected_components, resolved, signed_components
-from strandloom.sources.formats import read_config, read_contigs, read_segments, write_segments
+from strandloom.plans.graph import capped_components, compacted, connected_components, resolved, signed_components, unary_chains
+from strandloom.sources.formats import read_config, read_contigs, read_edges, read_group_round_trip, read_read_map, read_segments, write_edges, write_segments
 
 
 def one(spark, column):
@@ -90,3 +90,42 @@ def test_contigs_and_segments(spark, tmp_path):
     write_segments(segments, str(tmp_path / "s"))
     back = read_segments(spark, str(tmp_path / "s")).orderBy("seg_id").collect()
     assert [(r.seg_id, r.group_id, r.len, r.seq, r.cov) for r in back] == [(7, 1, 4, "ACGT", rows[0].cov), (8, 1, 4, "ACGT", rows[0].cov)]
+
+
+def test_read_map(spark, tmp_path):
+    path = tmp_path / "a.rcmap"
+    path.write_text("3\n0\n1 -1\n2\n1 3\n\n2 0\n9 9\n")
+    contigs, reads = read_read_map(spark, str(path))
+    assert sorted(map(tuple, contigs.collect())) == [(1, 0), (2, 1), (3, -1)]
+    assert sorted(map(tuple, reads.collect())) == [(1, 1, 3), (2, 2, 0)]
+    many = tmp_path / "b.rcmap"
+    many.write_text("0\n4000\n" + "".join(f"{i}\n{i + 7}\n" for i in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = read_read_map(spark, str(many))[1].collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(map(tuple, rows)) == [(i + 1, i, i + 7) for i in range(4000)]
+
+
+def test_headed_files(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "from_seg long, to_seg long")
+    write_edges(edges, str(tmp_path / "e"), 3, 1, 2, 2)
+    parts = sorted((tmp_path / "e").glob("part-*"))
+    assert "".join(x.read_text() for x in parts).splitlines()[0] == "3 1 2 2"
+    assert sorted(map(tuple, read_edges(spark, str(tmp_path / "e")).collect())) == [(1, 2), (2, 3)]
+    groups = spark.createDataFrame([(1, 4, 0), (2, 4, 5)], "read_id long, group1 long, group2 long")
+    assert sorted(map(tuple, read_group_round_trip(groups).collect())) == [(1, 4, 0), (2, 4, 5)]
+
+
+def test_unary_chains(spark):
+    # a path of 5, a branch at its end, a ring of 3, a node alone, a loop
+    edges = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (5, 7), (21, 22), (22, 23), (23, 21), (40, 40)]
+    nodes = [(i, [i]) for i in (1, 2, 3, 4, 5, 6, 7, 21, 22, 23, 30, 40)]
+    e, n = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(nodes, "node long, cover array<long>")
+    assert {r.node: (r["head"], r.depth) for r in unary_chains(n, e).collect()} == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 5: (1, 4), 6: (6, 0), 7: (7, 0), 21: (21, 0), 22: (21, 1), 23: (21, 2), 30: (30, 0), 40: (40, 0)}
+    chains, left = compacted(n, e)
+    assert {r["head"]: r.cover for r in chains.collect()} == {1: [1, 2, 3, 4, 5], 6: [6], 7: [7], 21: [21, 22, 23], 30: [30], 40: [40]}
+    assert sorted(map(tuple, left.collect())) == [(1, 6), (1, 7), (21, 21), (40, 40)]
+    assert unary_chains(n.limit(0), e.limit(0)).count() == 0
