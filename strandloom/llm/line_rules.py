@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import WORD, documents, stored, text_column
+from .util import WORD, aside, documents, stored, text_column
 
 #: A line is boilerplate of a host above this share of its distinct documents, and above this number of them.
 LIMIT_SHARE, LIMIT_DOCS = 0.1, 10
@@ -88,9 +88,19 @@ def judged(df: DataFrame, host: str = "source", text: str = "text", carry: list[
 
     Null or empty texts have no words, so base_failed holds and kept is false. A null host is a host of its
     own. Equal rows get equal verdicts. carry: columns to return besides; with text among them, `cleaned` is
-    the text without its boilerplate lines.
+    the text without its boilerplate lines. A carried column with the name of a measure is replaced.
     """
     carry = df.columns if carry is None else carry
+    df, names = aside(df, (host, text))
+    rows = _judged(df, host, text, [names[c] for c in carry])
+    results = [c for c in MEASURES if c in rows.columns]
+    return rows.select(*[F.col(names[c]).alias(c) for c in carry if c not in results], *results)
+
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept", "cleaned")
+
+
+def _judged(df: DataFrame, host: str, text: str, carry: list[str]) -> DataFrame:
     marks = flagged(df, host, text).select(F.col("__doc").alias("__d"), F.coalesce(F.col("__host"), F.lit("")).alias("__h"), F.col("__host").isNull().alias("__null"), "__flagged")
     lines = F.split(text_column(text), "\n", -1)
     counts = F.transform(lines, lambda x: let(normalised(x), lambda y: F.struct(F.when(y == "", F.lit(0).cast("long")).otherwise(F.xxhash64(y)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n"))))
@@ -119,6 +129,7 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose their boilerplate lines."""
     # written before the filter: pushed below the measures, it would have every word of a text extract all words
-    columns = [c for c in docs.columns if c != "text"]
-    out = stored(judged(docs).select(*columns, "cleaned", "kept"), "judged").filter("kept")
-    return out.select([F.col("cleaned").alias(c) if c == "text" else F.char_length("cleaned").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    rows, names = aside(docs, ("text", "source"))
+    columns = [x for c, x in names.items() if c != "text"]
+    out = stored(judged(rows).select(*columns, "cleaned", "kept"), "judged").filter("kept")
+    return out.select([(F.col("cleaned") if c == "text" else F.char_length("cleaned").cast("long") if c == "n_chars" else F.col(x)).alias(c) for c, x in names.items()])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .util import WORD, documents, text_column
+from .util import WORD, documents, named, text_column, untouched
 
 BLOCKS, ENTROPY, MAX_REPEATS, SEED = 64, 0.95, 2.0, 71
 
@@ -69,11 +69,10 @@ def mixed(df: DataFrame, tokens: Column, source: str = "source", target: float =
     blocks x sources sums, the sources of a mixture being a bounded list.
     """
     spark = df.sparkSession
-    df = df.drop("pass", "weight", "mix_rank")
-    names = df.columns
-    place = F.xxhash64(F.lit(seed), *[F.col(c) for c in names])
-    df = df.withColumn("__tokens", tokens).withColumn("__source", F.coalesce(F.col(source).cast("string"), F.lit("\0null")))
-    df = df.withColumn("__place", place).withColumn("__block", F.pmod("__place", F.lit(blocks)).cast("int"))
+    held = [c for c in df.columns if c not in ("pass", "weight", "mix_rank")]
+    # one struct: as columns under other names, a hash of all makes the optimizer's constraints double with each
+    df = df.select(F.struct(*[named(c) for c in held]).alias("__row"), tokens.alias("__tokens"), F.coalesce(named(source).cast("string"), F.lit("\0null")).alias("__source"))
+    df = df.withColumn("__place", F.xxhash64(F.lit(seed), "__row")).withColumn("__block", F.pmod("__place", F.lit(blocks)).cast("int"))
     sums = df.groupBy("__source", "__block").agg(F.sum("__tokens").alias("n")).toPandas().sort_values(["__source", "__block"])
     by_source = sums.groupby("__source").n.sum() if len(sums) else sums
     total = float(by_source.sum()) if len(sums) else 0.0
@@ -90,13 +89,13 @@ def mixed(df: DataFrame, tokens: Column, source: str = "source", target: float =
     out = df.join(F.broadcast(plan) if few else plan, (F.col("__source") == F.col("__s")) & (F.col("__block") == F.col("__b")))
     # of the block where a pass ends, the documents that still fit in a keyed order
     key = F.xxhash64(F.lit(seed), "pass", "__place")
-    window = Window.partitionBy("__source", "pass").orderBy(key, *[F.col(c) for c in names])
+    window = Window.partitionBy("__source", "pass").orderBy(key, "__row")
     part = out.filter("__part").withColumn("__in", F.sum("__tokens").over(window.rowsBetween(Window.unboundedPreceding, 0)))
     part = part.filter(F.col("__at") + F.col("__in") <= F.col("__goal")).drop("__in")
     out = out.filter(~F.col("__part")).unionByName(part)
     spread = F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
     rank = (F.col("__at") + spread * F.col("__tokens")) / F.greatest(F.col("__goal"), F.lit(1.0))
-    return out.select(*names, "pass", "weight", F.least(rank, F.lit(1.0)).alias("mix_rank"))
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in held], "pass", "weight", F.least(rank, F.lit(1.0)).alias("mix_rank"))
 
 
 def passes(source: str, total: int, weight: float, budget: int, sums, seed: int) -> list[tuple]:
@@ -124,4 +123,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture reads them."""
-    return mixed(docs, word_count()).select(docs.columns)
+    return untouched(docs, ("text", "source"), lambda df: mixed(df, word_count()))

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..plans.graph import connected_components
 from . import kernels as K
-from .util import documents, pieces, stored, text_column
+from .util import documents, pieces, stored, text_column, untouched
 
 SKETCH, NEED, PERCENT = 64, 34, 85
 #: Lists up to this length give their pairs; members of a block of longer ones.
@@ -218,4 +218,4 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each component stays, the one with the smallest doc_id."""
     verdict = components(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("place").alias("__place")).distinct()
     place = F.xxhash64(text_column())
-    return docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")) & (place == F.col("__place")), "left_semi")
+    return untouched(docs, ("doc_id", "text"), lambda df: df.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")) & (place == F.col("__place")), "left_semi"))

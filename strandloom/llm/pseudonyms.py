@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import documents, feistel, text_column, walked
+from .util import aside, documents, feistel, text_column, untouched, walked
 
 KEY = "strandloom-demo-key"
 
@@ -112,6 +112,8 @@ def pseudonymised(df: DataFrame, text: str = "text", key: str = KEY) -> DataFram
     Texts without such a value come back unchanged, byte for byte. Equal rows have equal results. A column
     named n_replaced is replaced.
     """
+    held = [c for c in df.columns if c != "n_replaced"]
+    df, names = aside(df, (text,))
     own = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("__found", F.coalesce(own, F.array().cast("array<string>")))
     df = df.withColumn("__parts", F.when(F.size("__found") > 0, F.split(F.col(text), ANY, -1)))
@@ -119,7 +121,7 @@ def pseudonymised(df: DataFrame, text: str = "text", key: str = KEY) -> DataFram
     joined = F.concat(F.array_join(F.zip_with(F.slice("__parts", F.lit(1), F.size("__new")), "__new", lambda a, b: F.concat(a, b)), ""), F.element_at("__parts", -1))
     n = F.size(F.filter(F.arrays_zip("__found", "__new"), lambda x: x["__found"] != x["__new"])).cast("long")
     out = df.withColumns({text: F.when(F.size("__found") > 0, joined).otherwise(F.col(text)), "n_replaced": n})
-    return out.drop("__found", "__parts", "__new")
+    return out.select(*[F.col(names[c]).alias(c) for c in held], "n_replaced")
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,4 +132,4 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymised(docs).select(docs.columns)
+    return untouched(docs, ("text",), pseudonymised)

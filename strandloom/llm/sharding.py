@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .util import documents, feistel, shuffle_partitions, text_column, walked
+from .util import documents, feistel, named, shuffle_partitions, text_column, walked
 
 
 def communication_matrix(block_sizes: np.ndarray, shard_sizes: np.ndarray, seed: int) -> np.ndarray:
@@ -36,9 +36,10 @@ def shard(df: DataFrame, n_shards: int = 40, key: list[str] | None = None, block
     rows / blocks rows, must be sorted in one task.
     """
     spark = df.sparkSession
-    key = key or df.columns
+    held = [c for c in df.columns if c not in ("shard", "slot")]
+    df = df.select(F.struct(*[named(c) for c in held]).alias("__row"), *[named(c).alias(f"__k{i}") for i, c in enumerate(key or [])])
+    key = [f"__k{i}" for i in range(len(key))] if key else ["__row"]
     blocks = blocks or max(64, 8 * shuffle_partitions(spark))
-    df = df.drop("shard", "slot")
     hashed = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), *[F.col(c) for c in key])
     df = df.withColumn("__block", F.pmod(hashed("block"), F.lit(blocks)).cast("int"))
     sizes = np.zeros(blocks, np.int64)
@@ -62,7 +63,7 @@ def shard(df: DataFrame, n_shards: int = 40, key: list[str] | None = None, block
     df = df.withColumn("slot", walked(F.col("__slot"), F.col("__n"), permute))
     part = F.floor(F.col("slot") * 16 / F.greatest(F.col("__n"), F.lit(1)))
     df = df.repartition(F.col("shard"), part).sortWithinPartitions("shard", "slot")
-    return df.drop("__block", "__upto", "__from", "__before", "__rank", "__n", "__slot", "__side")
+    return df.select(*[F.col("__row").getField(c).alias(c) for c in held], "shard", "slot")
 
 
 def op5_sharding(spark, sf_dir: str) -> DataFrame:

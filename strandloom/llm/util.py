@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -27,6 +27,23 @@ def text_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def named(name: str) -> Column:
+    """A column by its whole name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def aside(df: DataFrame, own: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """df with every column but `own` under a name that no operator uses, and the new name of each."""
+    names = {c: c if c in own else f"__x{i}" for i, c in enumerate(df.columns)}
+    return df.select([named(c).alias(n) for c, n in names.items()]), names
+
+
+def untouched(df: DataFrame, own: tuple[str, ...], apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df's columns after apply, which sees those not in `own` under other names and can't replace them."""
+    inner, names = aside(df, own)
+    return apply(inner).select([F.col(n).alias(c) for c, n in names.items()])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -105,3 +105,49 @@ def test_mixing(docs, empty):
 def test_fingerprint(docs):
     got = {r.doc_id: r for r in fingerprint.with_next(docs.select("doc_id", "text"), derived={"s": fingerprint.sketch(line_rules.text_column())}).collect()}
     assert got[1].next_text == ROWS[0][1] and got[0].next_text == ROWS[6][1] and got[0].s == got[1].s
+
+
+#: Names that operators use for columns of their own, and the results' names.
+CLASHES = "__id __place place n cls component node kept label least __d __h __null __doc __host __l __line cleaned n_words base_failed n_removed_words __text __words __flagged n_replaced pass weight mix_rank __tokens __source __block __s __b n_tokens ids __key __order shard slot v a b src dst".split()
+RUNS = {
+    "line rules": lambda df: line_rules.judged(df),
+    "near duplicates": lambda df: near_dedup.components(df),
+    "pseudonyms": lambda df: pseudonyms.pseudonymised(df),
+    "mixing": lambda df: mixing.mixed(df, mixing.word_count()),
+    "packing": lambda df: packing.packed(df, packing.tokenizer_path()),
+    "sharding": lambda df: sharding.shard(df, 3, ["doc_id"]),
+    "substrings": lambda df: substring_dedup.deduplicated(df),
+    "passages": lambda df: compact_windows.near_passages(df),
+    "licenses": lambda df: license_scan.scanned(df)[0],
+    "fingerprint": lambda df: fingerprint.with_next(df, values=("text",)),
+}
+
+
+@pytest.mark.parametrize("name", RUNS)
+def test_clashing_columns(docs, name):
+    """Extra columns with an operator's own names change nothing in its rows."""
+    wide = docs.selectExpr("*", *[f"doc_id + {i} AS `{c}`" for i, c in enumerate(CLASHES)])
+    plain = RUNS[name](docs)
+    got = RUNS[name](wide)
+    if name in ("line rules", "pseudonyms", "mixing", "sharding"):  # these return the table's other columns as well
+        assert set(wide.columns) <= set(got.columns)
+        extra = [c for c in CLASHES if c not in plain.columns]
+        assert all(r[c] == r.doc_id + CLASHES.index(c) for r in got.collect() for c in extra)
+    if name not in ("mixing", "sharding"):  # there the extra values count as part of a row and deal it elsewhere
+        assert sorted(map(repr, got.select(plain.columns).collect())) == sorted(map(repr, plain.collect()))
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages(spark, docs, empty, stage):
+    """Each stage keeps the columns of documents, whatever else the table holds, and takes an empty table."""
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    extra = docs.selectExpr("*", *[f"doc_id + {i} AS `{c}`" for i, c in enumerate(CLASHES)])
+    out = run(spark, extra, "")
+    if stage < 4:
+        assert out.columns == extra.columns
+        assert all(r[c] == r.doc_id + i for r in out.collect() for i, c in enumerate(CLASHES))
+    assert out.count() > 0 and run(spark, empty, "").count() == 0
+    nulls = spark.createDataFrame([(None, None, None, None), (None, WORDS, None, None), (None, WORDS, None, None)], SCHEMA)
+    run(spark, nulls, "").collect()
