@@ -24,8 +24,8 @@ from .util import documents, pieces, stored, text_column, untouched
 SKETCH, NEED, PERCENT = 64, 34, 85
 #: Lists up to this length give their pairs; members of a block of longer ones.
 SHORT, BLOCK = 32, 1024
-#: Pairs whose sketches estimate less than this aren't near: 85 % less over four standard deviations.
-ESTIMATE = 0.66
+#: Pairs whose sketches estimate less than this aren't near: at PERCENT, under 33 of SKETCH values are common with a chance under 1e-9.
+ESTIMATE = 33 / 64
 
 
 def text_sets(column) -> tuple[np.ndarray, np.ndarray]:
