@@ -1,7 +1,7 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 A document's set is its distinct five-word shingles. Documents of one set are one class. A class keeps the K
-smallest shingle hashes. Two sets with a Jaccard index of THRESHOLD or more share at least NEED of their K
+smallest shingle hashes. Two sets with a Jaccard index of the threshold (PERCENT, in the pipeline STAGE_PERCENT) or more share at least NEED of their K
 retained values (fewer than one pair in 10**9 has less; sets within K are held whole, where it is certain), so
 they share one of each other's K - NEED + 1 rarest retained values. Only these enter the inverted lists, which
 keeps frequent passages out of them. Short lists give pairs; long ones are compared with a hub first, then in
@@ -21,11 +21,11 @@ from ..plans.graph import connected_components
 from . import kernels as K
 from .util import documents, pieces, stored, text_column, untouched
 
-SKETCH, NEED, PERCENT = 64, 34, 85
+SKETCH, PERCENT, STAGE_PERCENT = 64, 85, 80
+#: By percentage: common values of SKETCH that two near sets have, and that their sketches' estimate is based on, each but for a chance under 1e-9.
+NEED, ESTIMATE = {85: 34, 80: 30}, {85: 33 / SKETCH, 80: 29 / SKETCH}
 #: Lists up to this length give their pairs; members of a block of longer ones.
 SHORT, BLOCK = 32, 1024
-#: Pairs whose sketches estimate less than this aren't near: at PERCENT, under 33 of SKETCH values are common with a chance under 1e-9.
-ESTIMATE = 33 / 64
 
 
 def text_sets(column) -> tuple[np.ndarray, np.ndarray]:
@@ -92,11 +92,11 @@ def similar(least: float | None):
     return stage
 
 
-def near_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (src, dst) between classes that suffice for the components of all pairs from THRESHOLD on."""
+def near_links(classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (src, dst) between classes that suffice for the components of all pairs from `percent` on."""
     kept = F.least("n", F.lit(SKETCH))
-    # below 55 shingles a partner's set is within the sketch as well, and the needed overlap is exact
-    need = F.when(F.col("n") <= SKETCH * PERCENT // 100, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.least(F.lit(NEED), kept))
+    # where n / percent is within SKETCH, a partner's set is within the sketch as well, and the needed overlap is exact
+    need = F.when(F.col("n") <= SKETCH * percent // 100, F.ceil(F.col("n") * percent / 100)).otherwise(F.least(F.lit(NEED[percent]), kept))
     values = classes.select("cls", "n", "sketch").mapInArrow(entries, "v long, cls long, n long")
     common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
     hits = values.join(common, "v")
@@ -108,7 +108,7 @@ def near_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     short, long = sizes.filter(F.col("size") <= SHORT).select("v"), sizes.filter(F.col("size") > SHORT).select("v", "least")
 
     # short lists: pairs of fitting sizes, estimated from the sketches
-    fits = lambda a, b: 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
+    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     listed = hits.join(short, "v")
     left = listed.select("v", F.col("cls").alias("a"), F.col("n").alias("na"))
     right = listed.select(F.col("v").alias("w"), F.col("cls").alias("b"), F.col("n").alias("nb"))
@@ -116,7 +116,7 @@ def near_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     sketches = classes.select("cls", "sketch")
     with_both = lambda p, t, c: p.join(t.select(F.col("cls").alias("a"), F.col(c).alias("left")), "a").join(t.select(F.col("cls").alias("b"), F.col(c).alias("right")), "b")
     measures = "a long, b long, na long, nb long, index double"
-    pairs = stored(with_both(pairs, sketches, "sketch").mapInArrow(similar(ESTIMATE), measures).drop("index"), "pairs")
+    pairs = stored(with_both(pairs, sketches, "sketch").mapInArrow(similar(ESTIMATE[percent]), measures).drop("index"), "pairs")
 
     # long lists: classes connected by them form a cloud with one hub
     crowd = stored(hits.join(long, "v").select("cls", "n", "least"), "crowd")
@@ -132,25 +132,25 @@ def near_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     sets = stored(found.mapInArrow(full_sets, "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
 
     exact = with_both(pairs, sets, "shingles").mapInArrow(similar(None), measures)
-    links = exact.filter(F.col("index") * 100 >= PERCENT - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = exact.filter(F.col("index") * 100 >= percent - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     to_hub = members.join(hubs, "cloud").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
     to_hub = stored(with_both(to_hub, sets, "shingles").mapInArrow(similar(None), measures), "hubs")
-    links = links.unionByName(to_hub.filter(F.col("index") * 100 >= PERCENT - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return links.unionByName(rest_of_clouds(members, to_hub, sets))
+    links = links.unionByName(to_hub.filter(F.col("index") * 100 >= percent - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return links.unionByName(rest_of_clouds(members, to_hub, sets, percent))
 
 
-def rest_of_clouds(members: DataFrame, to_hub: DataFrame, sets: DataFrame) -> DataFrame:
+def rest_of_clouds(members: DataFrame, to_hub: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of the members that aren't linked with their hub: each is compared with every block of its cloud."""
     rows = members.join(to_hub.select(F.col("b").alias("cls"), "index"), "cls").join(sets, "cls")
     size = members.groupBy("cloud").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(size, "cloud").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     held = rows.select("cloud", F.col("own").alias("block"), "cls", "n", "index", "shingles", F.lit(False).alias("asks"))
-    asking = rows.filter(F.col("index") * 100 < PERCENT - 1e-9)
+    asking = rows.filter(F.col("index") * 100 < percent - 1e-9)
     asking = asking.select("cloud", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", "n", "index", "shingles", F.lit(True).alias("asks"))
-    return held.unionByName(asking).groupBy("cloud", "block").applyInPandas(block_links, "src long, dst long")
+    return held.unionByName(asking).groupBy("cloud", "block").applyInPandas(lambda frame: block_links(frame, percent), "src long, dst long")
 
 
-def block_links(frame: pd.DataFrame) -> pd.DataFrame:
+def block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between the asking and the held classes of a block that join different groups."""
     held, asking = frame[~frame.asks], frame[frame.asks]
     if not len(held) or not len(asking):
@@ -161,7 +161,7 @@ def block_links(frame: pd.DataFrame) -> pd.DataFrame:
     values = np.concatenate(values)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    group = {int(c): (-1 if j * 100 >= PERCENT - 1e-9 else int(c)) for c, j in zip(ids, near)}  # -1: the hub's
+    group = {int(c): (-1 if j * 100 >= percent - 1e-9 else int(c)) for c, j in zip(ids, near)}  # -1: the hub's
 
     def root(c: int) -> int:
         while group.get(c, c) != c and c != -1:
@@ -174,7 +174,7 @@ def block_links(frame: pd.DataFrame) -> pd.DataFrame:
         low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
         both = np.bincount(owner[K.ragged(low, high - low)], minlength=len(ids))
         # distances to the hub that differ by more than the limit rule a link out
-        linked = (100 * both >= PERCENT * (n + sizes - both)) & (ids != cls) & (np.abs(near - j) <= 1 - PERCENT / 100 + 1e-9)
+        linked = (100 * both >= percent * (n + sizes - both)) & (ids != cls) & (np.abs(near - j) <= 1 - percent / 100 + 1e-9)
         for other in ids[linked]:
             a, b = root(int(cls)), root(int(other))
             if a != b:
@@ -190,8 +190,8 @@ def full_sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["cls", "shingles"])
 
 
-def components(df: DataFrame) -> DataFrame:
-    """(doc_id, place, n_shingles, component_id, kept) for every row of df (doc_id long, text).
+def components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, place, n_shingles, component_id, kept) for every row of df (doc_id long, text), linked from a Jaccard index of `percent` on (85 or 80).
 
     A text without words (or null) is a component of its own. A component's id is its smallest doc_id, null
     ids left aside; kept says that a row's id is that id (both null counts). Rows with one doc_id and one text
@@ -200,7 +200,7 @@ def components(df: DataFrame) -> DataFrame:
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), F.xxhash64(text_column()).alias("place"))
     marks = stored(texts.mapInArrow(signatures, "doc_id long, place long, n long, cls long, sketch binary"), "signatures")
     classes = stored(marks.filter("n > 0").dropDuplicates(["cls"]), "classes")
-    labels = connected_components(near_links(classes, texts))
+    labels = connected_components(near_links(classes, texts, percent))
     rows = marks.select("doc_id", "place", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls"))
     rows = stored(rows.select("doc_id", "place", "n", "label"), "labelled")
     least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
@@ -216,6 +216,6 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays, the one with the smallest doc_id."""
-    verdict = components(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("place").alias("__place")).distinct()
+    verdict = components(docs, STAGE_PERCENT).filter("kept").select(F.col("doc_id").alias("__id"), F.col("place").alias("__place")).distinct()
     place = F.xxhash64(text_column())
     return untouched(docs, ("doc_id", "text"), lambda df: df.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")) & (place == F.col("__place")), "left_semi"))

@@ -42,3 +42,14 @@ def test_unlucky_sketch(spark):
     a, b = unlucky()
     got = {r.doc_id: r.component_id for r in N.components(spark.createDataFrame([(1, a, "s", 1), (2, b, "s", 1)], SCHEMA)).collect()}
     assert got == {1: 1, 2: 1}
+
+
+def test_stage_threshold(spark):
+    """An index between 0.80 and 0.85: apart in op2's contract, one document in the pipeline."""
+    words = [f"word{i}" for i in range(504)]
+    changed = [f"new{i}" if i % 50 == 20 else w for i, w in enumerate(words)]
+    a, b = " ".join(words), " ".join(changed)
+    assert 0.80 <= index(sets(a), sets(b)) < 0.85
+    docs = spark.createDataFrame([(1, a, "s", 1), (2, b, "s", 1)], SCHEMA)
+    assert {r.component_id for r in N.components(docs).collect()} == {1, 2}
+    assert [r.doc_id for r in N.near_dedup_stage(spark, docs, "").collect()] == [1]
