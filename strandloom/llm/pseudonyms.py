@@ -26,8 +26,8 @@ FORMATS = {
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(f"(?:{x})" for x in FORMATS.values())
-#: A text without a digit or an @ has none of them.
-HINT = r"[0-9@]|password="
+#: A text without any of these has none of them; keys and tokens can be of letters alone.
+HINT = r"[0-9@]|password=|AKIA|token = "
 
 
 def prf(key: str):
