@@ -3,9 +3,10 @@
 Documents become token ids once, in a table in the shared folder. A token's weight follows its source: each
 window of sequence_tokens gets a quantum of every source's target share, sources with a positive deficit are
 served chunk by chunk, and what a source got above or below its share is carried to the next window. Rows are
-dealt to blocks by hash; a block's first token and the deficits it starts with follow from sums over blocks
-and sources, so blocks are packed independently and still form one gapless stream: only the last sequence of
-all can have padding.
+dealt to blocks by hash; a block's first token and the deficits it starts with are running sums over blocks
+and sources, a table that is joined to the rows, so blocks are packed independently and still form one gapless
+stream: only the last sequence of all can have padding. Copies of a row (a mixture reads some documents more
+than once) stand evenly apart in their block, never next to each other.
 """
 
 from __future__ import annotations
@@ -19,13 +20,22 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kernels as K
-from .util import batch_bytes, documents, freed, pieces, shuffle_partitions, stored, text_column
+from .util import batch_bytes, documents, freed, pieces, stored, text_column
 
 SEQUENCE, CHUNK, END = 2048, 512, 1
 #: Tokens of a block, about; a block is packed by one task.
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 20
+#: Blocks of a stretch: running sums are made within stretches first, then over the stretches' sums.
+STRETCH = 4096
+#: Equal rows up to this many share a block; more of them are dealt to several.
+COPIES = 256
+
+
+#: Texts that show whether a tokenizer treats units alone as it treats them in a text.
+PROBES = ["It's 10:30 -- don't PANIC, McDonald's e-mail: a.b@c.org!", "x=1;y==20 <|endoftext|> \u00e9t\u00e9 ... stra\u00dfe\n\n  2,000.50%", "Hello HELLO hello", "a\tb\u00a0c \u4e2d\u6587 1a2b", ""]
 
 
 class Units:
@@ -33,7 +43,8 @@ class Units:
 
     Text is cut at ASCII white space; a cut piece of plain ASCII without ' or < is cut further into runs of
     letters, single digits and runs of other signs, as the tokenizer's own first step does. Other pieces are
-    encoded whole. The memory is emptied when it holds `most` units.
+    encoded whole. The memory is emptied when it holds `most` units. A tokenizer for which these cuts change
+    the ids (another vocabulary's first step, one that tells upper from lower case) is used on whole texts.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -45,6 +56,17 @@ class Units:
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.clear()
+        self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.whole = False
+        try:
+            ids, bounds = self(pa.array(PROBES))
+            self.whole = any(ids[a:b].tolist() != self.plain(x) for x, a, b in zip(PROBES, bounds[:-1], bounds[1:]))
+        except ValueError:
+            self.whole = True
+        self.clear()
+
+    def plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def clear(self) -> None:
         self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int32)
@@ -95,6 +117,9 @@ class Units:
 
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's ids start (one entry more than texts)."""
+        if self.whole:
+            rows = [self.plain(x or "") for x in column.to_pylist()]
+            return np.array([i for x in rows for i in x], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in rows], dtype=np.int64)])
         data, bounds = K.utf8(column)
         starts, ends = units(data, bounds)
         first = np.searchsorted(starts, bounds, side="left")
@@ -150,7 +175,8 @@ _units: dict[str, Units] = {}
 
 
 def tokens(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """df's columns (without the text) with n_tokens and ids: little-endian unsigned 16-bit ids, the end id last.
+    """df's columns (without the text) with n_tokens and ids: little-endian unsigned ids of 16 bits (32 for a
+    vocabulary beyond 65,536), the end id last.
 
     A null text counts as empty and has the end id alone.
     """
@@ -161,10 +187,11 @@ def tokens(df: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
         freed()
         if tokenizer not in _units:
             _units[tokenizer] = Units(tokenizer)
+        kind = "<u4" if _units[tokenizer].wide else "<u2"
+        end = np.array([END], kind).tobytes()
         for batch in pieces(batches, text, 1 << 20):
             ids, bounds = _units[tokenizer](batch.column(text))
-            ids = ids.astype("<u2")
-            end = np.array([END], "<u2").tobytes()
+            ids = ids.astype(kind)
             rows = [ids[a:b].tobytes() + end for a, b in zip(bounds[:-1], bounds[1:])]
             columns = [batch.column(f.name) for f in others] + [pa.array(np.diff(bounds) + 1, pa.int64()), pa.array(rows, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in others), "n_tokens", "ids"])
@@ -219,39 +246,76 @@ def round_robin(sources: list, sizes: np.ndarray, shares: dict, carried: dict, o
     return out
 
 
+def plan(sums: DataFrame, shares: dict | None) -> DataFrame:
+    """(__b, __s, __start, __share, __carried) of sums (__block, __source, n): a block's first token, and for each of its
+    sources the target share and what earlier blocks owe it.
+
+    Running sums over blocks are made in stretches of STRETCH blocks, then over the stretches, so that no window
+    holds more than STRETCH rows or the stretches' sums.
+    """
+    sums = sums.withColumn("__far", F.floor(F.col("__block") / STRETCH))
+
+    def before(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+        """rows (one for each block and `by`) with the sum of `value` over all earlier blocks."""
+        near = Window.partitionBy(*by, "__far").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+        far = Window.partitionBy(*by).orderBy("__far").rowsBetween(Window.unboundedPreceding, -1)
+        stretches = rows.groupBy(*by, "__far").agg(F.sum(value).alias("__sum"))
+        stretches = stretches.withColumn("__base", F.coalesce(F.sum("__sum").over(far), F.lit(0))).drop("__sum")
+        rows = rows.withColumn(name, F.coalesce(F.sum(value).over(near), F.lit(0)))
+        return rows.join(stretches, [*by, "__far"]).withColumn(name, F.col(name) + F.col("__base")).drop("__base")
+
+    blocks = before(sums.groupBy("__block", "__far").agg(F.sum("n").alias("n")).withColumn("__all", F.lit(0)), ["__all"], "n", "__start")
+    served = before(sums, ["__source"], "n", "__served")
+    total = sums.groupBy("__source").agg(F.sum("n").alias("__n"))
+    share = F.col("__n") / F.sum("__n").over(Window.partitionBy())  # one row for each source
+    if shares:
+        share = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("__source")), F.lit(0.0))
+    wanted = total.select("__source", share.cast("double").alias("__share"))
+    rows = served.join(blocks.select("__block", "__start"), "__block").join(wanted, "__source")
+    return rows.select(F.col("__block").alias("__b"), F.col("__source").alias("__s"), F.col("__start").cast("long").alias("__start"), "__share", (F.col("__share") * F.col("__start") - F.col("__served")).alias("__carried"))
+
+
+def queued(frame: pd.DataFrame, blocks: int) -> pd.DataFrame:
+    """A block's rows in the order of their queues: by hash, copies of a row evenly apart."""
+    frame = frame.sort_values(["__place", "__key", "__source", "n_tokens"], kind="stable")
+    same = frame.groupby("__place", sort=False)
+    unit = (frame["__place"].to_numpy().view(np.uint64) // blocks) / float(2**64 // blocks + 1)
+    at = (unit + same.cumcount().to_numpy() / same["__place"].transform("size").to_numpy()) % 1.0
+    return frame.assign(__at=at).sort_values(["__at", "__place"], kind="stable")
+
+
 def packed(df: DataFrame, tokenizer: str, key: str = "doc_id", source: str = "source", text: str = "text", shares: dict | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and source.
 
     shares: the target share of each source's tokens (by default its own share). Null keys and sources are
-    values like others; an empty table gives no rows; equal rows are packed each for itself. The driver holds
-    one sum per block and source.
+    values like others, a null text counts as empty; an empty table gives no rows; equal rows are packed each
+    for itself, half the block apart if there are two of them, and so on. Other columns are left aside. The
+    result depends on the rows alone, not on how Spark has dealt them (but for more than COPIES equal rows,
+    which are dealt to blocks as they come). The driver holds one number, the tokens of all.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("string").alias("__key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), text_column(text).alias("__text"))
+    rows = df.select(F.col(key).cast("string").alias("__key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), text_column(text).alias("__text"), F.monotonically_increasing_id().alias("__row"))
     with batch_bytes(spark):
-        table = stored(tokens(rows, tokenizer, "__text"), "tokens")
+        table = stored(tokens(rows, tokenizer, "__text").withColumn("__place", F.xxhash64("__key", "__source", F.crc32("ids"), "n_tokens")), "tokens")
     total = table.agg(F.sum("n_tokens")).first()[0] or 0
-    blocks = max(1, -(-total // block_tokens), min(4 * shuffle_partitions(spark), total // (16 * SEQUENCE)))
-    place = F.xxhash64("__key", "__source", F.crc32("ids"), "n_tokens")
-    table = table.withColumn("__block", F.pmod(place, F.lit(blocks)))
-    sums = table.groupBy("__block", "__source").agg(F.sum("n_tokens").alias("n")).toPandas()  # blocks x sources
-    by_source = sums.groupby("__source").n.sum()
-    wanted = {s: (shares or {}).get(s, 0.0) for s in by_source.index} if shares else {s: n / max(total, 1) for s, n in by_source.items()}
-    grid = sums.pivot_table(index="__block", columns="__source", values="n", fill_value=0, aggfunc="sum").sort_index() if len(sums) else pd.DataFrame()
-    start = (grid.sum(axis=1).cumsum() - grid.sum(axis=1)).astype("int64") if len(grid) else pd.Series(dtype="int64")
-    served = grid.cumsum() - grid if len(grid) else grid
-    plan = [(int(b), int(start[b]), [float(wanted[s] * start[b] - served.at[b, s]) for s in grid.columns]) for b in grid.index]
-    names = list(grid.columns)
-    plan = spark.createDataFrame(plan, "__block long, __start long, __carried array<double>")
+    blocks = max(1, -(-total // block_tokens))
+    table = table.withColumn("__block", F.pmod("__place", F.lit(blocks)))
+    many = stored(table.groupBy("__place").agg(F.count("*").alias("__n")).filter(F.col("__n") > COPIES), "copies")
+    if not many.isEmpty():
+        table = table.join(many, "__place", "left")
+        spread = F.xxhash64("__place", F.pmod("__row", F.ceil(F.col("__n") / COPIES)))
+        table = table.withColumn("__block", F.coalesce(F.pmod(spread, F.lit(blocks)), "__block")).drop("__n")
+    table = table.drop("__row")
+    dealt = plan(table.groupBy("__block", "__source").agg(F.sum("n_tokens").alias("n")), shares)
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        offset = int(frame["__start"].iloc[0])
-        carried = dict(zip(names, frame["__carried"].iloc[0]))
-        frame = frame.sort_values(["__order", "__key", "n_tokens"], kind="stable")
-        ids = [np.frombuffer(x, "<u2") for x in frame["ids"]]
+    def pack(frame: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        offset = int(own["__start"].iloc[0])
+        frame = queued(frame, blocks)
         sizes = frame["n_tokens"].to_numpy()
-        order = round_robin(list(frame["__source"]), sizes, wanted, carried, offset)
+        width = len(frame["ids"].iloc[0]) // int(sizes[0])
+        ids = [np.frombuffer(x, f"<u{width}") for x in frame["ids"]]
+        order = round_robin(list(frame["__source"]), sizes, dict(zip(own["__s"], own["__share"])), dict(zip(own["__s"], own["__carried"])), offset)
         out, at = [], offset
         for i, begin, n in order:
             # neighbouring chunks of a document in one window are one piece
@@ -264,8 +328,8 @@ def packed(df: DataFrame, tokenizer: str, key: str = "doc_id", source: str = "so
         crc = [zlib.crc32(ids[i][a : a + n].astype("<u4").tobytes()) for i, a, n in zip(doc, begin, length)]
         return pd.DataFrame({"doc_id": frame["__key"].iloc[doc].array, "start": begin, "length": length, "ids_crc32": crc, "doc_tokens": sizes[doc], "sequence_id": where // SEQUENCE, "offset": where % SEQUENCE, "source": frame["__source"].iloc[doc].array})
 
-    joined = table.withColumn("__order", place).join(F.broadcast(plan), "__block")  # blocks x sources numbers
-    return joined.groupBy("__block").applyInPandas(pack, schema).withColumn("doc_id", F.col("doc_id").cast(df.schema[key].dataType))
+    out = table.groupBy("__block").cogroup(dealt.groupBy("__b")).applyInPandas(pack, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(df.schema[key].dataType))
 
 
 def tokenizer_path() -> str:
@@ -280,4 +344,8 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full sequences; null and empty texts have the end id alone, an empty table has no pieces.
+
+    Documents that the mixture reads again are rows of their own and stand apart from their copies.
+    """
     return packed(docs, tokenizer_path())
