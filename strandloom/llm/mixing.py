@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from .util import WORD, documents, named, text_column, untouched
 
 BLOCKS, ENTROPY, MAX_REPEATS, SEED = 64, 0.95, 2.0, 71
+#: The block in which a budget ends is cut into 2 ** FINE_BITS stretches of its order.
+FINE_BITS = 12
 
 
 def weights(shares: np.ndarray, alpha: float) -> np.ndarray:
@@ -87,17 +89,30 @@ def mixed(df: DataFrame, tokens: Column, source: str = "source", target: float =
     few = len(plan) <= 100_000
     plan = spark.createDataFrame(plan, "__s string, __b int, pass int, weight double, __at long, __goal double, __part boolean")
     out = df.join(F.broadcast(plan) if few else plan, (F.col("__source") == F.col("__s")) & (F.col("__block") == F.col("__b")))
-    # of the block where a pass ends, the documents that still fit in a keyed order
     key = F.xxhash64(F.lit(seed), "pass", "__place")
-    window = Window.partitionBy("__source", "pass").orderBy(key, "__row")
-    part = out.filter("__part").withColumn("__in", F.sum("__tokens").over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    part = part.filter(F.col("__at") + F.col("__in") <= F.col("__goal")).drop("__in")
-    out = out.filter(~F.col("__part")).unionByName(part)
+    out = out.filter(~F.col("__part")).unionByName(fitting(out.filter("__part"), key))
     spread = F.shiftrightunsigned(key, 11) / F.lit(float(1 << 53))
     rank = (F.col("__at") + spread * F.col("__tokens")) / F.greatest(F.col("__goal"), F.lit(1.0))
     return out.select(*[F.col("__row").getField(c).alias(c) for c in held], "pass", "weight", F.least(rank, F.lit(1.0)).alias("mix_rank"))
 
 
+def fitting(part: DataFrame, key: Column) -> DataFrame:
+    """Of the block where a pass ends, the rows that still fit, in the keyed order.
+
+    The block is cut into FINE stretches of the order, whose sums tell the one where the budget ends; only that
+    one's rows are sorted, whatever the size of the block.
+    """
+    part = part.withColumn("__key", key).withColumn("__fine", F.shiftrightunsigned("__key", 64 - FINE_BITS).cast("int"))
+    order = Window.partitionBy("__os", "__op").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = part.groupBy(F.col("__source").alias("__os"), F.col("pass").alias("__op"), F.col("__fine").alias("__of")).agg(F.sum("__tokens").alias("__sum"))
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(order), F.lit(0)))
+    part = part.join(sums, (F.col("__source") == F.col("__os")) & (F.col("pass") == F.col("__op")) & (F.col("__fine") == F.col("__of"))).drop("__os", "__op", "__of")
+    room = F.col("__goal") - F.col("__at") - F.col("__before")
+    within = Window.partitionBy("__source", "pass", "__fine").orderBy("__key", "__row").rowsBetween(Window.unboundedPreceding, 0)
+    edge = part.filter((room >= 0) & (F.col("__sum") > room)).withColumn("__in", F.sum("__tokens").over(within)).filter(F.col("__in") <= room).drop("__in")
+    return part.filter(F.col("__sum") <= room).unionByName(edge).drop("__key", "__fine", "__sum", "__before")
+
+
 def passes(source: str, total: int, weight: float, budget: int, sums, seed: int) -> list[tuple]:
     """What a source's passes take: (source, block, pass, weight, tokens before, the source's budget, partly)."""
     goal, out, at, n = weight * budget, [], 0, 0
@@ -122,5 +137,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture reads them."""
+    """Documents as often as the mixture reads them; null texts and sources are kept, an empty table stays empty.
+
+    The columns are those of the documents, so a document that is read again is a further equal row; packing
+    numbers them anew and keeps them apart.
+    """
     return untouched(docs, ("text", "source"), lambda df: mixed(df, word_count()))
