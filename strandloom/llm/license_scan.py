@@ -3,11 +3,14 @@
 All rolling word k-gram hashes of a text are joined with the positions of the same k-grams in license
 templates. A match votes for its diagonal (text position less template position); neighbouring diagonals are
 merged, so single inserted or lost words don't split a span, and a span counts where enough of its template's
-k-grams are met. Fixed phrases are found as consecutive words beside that.
+k-grams are met and, by comparison of the words themselves, enough of its words. Fixed phrases are found as
+consecutive words beside that. Texts are scanned once; only those with a span are read again to verify it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .util import documents, pieces, text_column
+from .license_texts import TEMPLATES
+from .util import documents, pieces, stored, text_column
 
 GRAM, DRIFT, LEAST = 4, 3, 0.6
+#: Templates of up to this many k-grams together (a few MB) are broadcast; more are joined.
+SMALL = 100_000
 
 #: Bytes of a word: 0-9, a-z and all beyond ASCII (after A-Z are lower-cased).
 IS_WORD = np.zeros(256, bool)
@@ -30,17 +36,6 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Notices that licenses ask for, by the label of the method.
-TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "cc-by-nc-4.0": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"],
-    "cc-by-4.0": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
-    "gpl-3.0": ["this work is licensed under the gnu general public license version 3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
-    "mit-notice": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"],
-}
-
-
 def word_hashes(column) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of an Arrow column, and per text the index of its first."""
     data, bounds = K.utf8(column)
@@ -87,8 +82,12 @@ def scan(k: int = GRAM, phrases: dict = PHRASES):
                     labels[i].append(label)
             every = K.chained(hashes, k).view(np.int64)
             sizes = np.maximum(np.diff(first) - k + 1, 0)
-            grams = every[K.ragged(first[:-1], sizes)]
-            grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(grams))
+            # each list starts with a null, which is the row of the text's measures
+            ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+            grams, head = np.zeros(ends[-1], np.int64), np.zeros(ends[-1], bool)
+            head[ends[:-1]] = True
+            grams[~head] = every[K.ragged(first[:-1], sizes)]
+            grams = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(grams, mask=head))
             none = counts == 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("place"), pa.array(np.diff(first)), pa.array(counts), pa.array(low, mask=none), pa.array(high.astype(np.int64), mask=none), pa.array(labels, pa.list_(pa.string())), grams],
@@ -98,30 +97,71 @@ def scan(k: int = GRAM, phrases: dict = PHRASES):
     return stage
 
 
+def checked(templates: dict, least: float):
+    """Over texts with their candidate spans: the spans of which enough of the template's words stand where its diagonals say."""
+    known = [(label, _words(text)) for label, texts in templates.items() for text in texts]
+
+    def stage(batches):
+        for batch in pieces(batches):
+            rows = []
+            for doc_id, place, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "place", "text", "asked"))):
+                at: dict = {}
+                for i, w in enumerate(_words(text)):
+                    at.setdefault(w, []).append(i)
+                for x in asked:
+                    label, words = known[x["template"]]
+                    met = 0
+                    for i, w in enumerate(words):
+                        own = at.get(w, [])
+                        j = bisect_left(own, i + x["low"])
+                        met += j < len(own) and own[j] <= i + x["high"]
+                    if met >= least * len(words):
+                        rows.append((doc_id, place, x["template"], label, x["first"], x["last"], met / len(words)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "place", "template", "label", "first", "last", "coverage"])
+
+    return stage
+
+
+def _words(text: str) -> list[bytes]:
+    """The words themselves, A-Z in lower case."""
+    data, bounds = K.utf8(pa.array([text]))
+    data = K.LOWER[data]
+    starts, ends, _ = K.words(data, bounds, IS_WORD)
+    raw = data.tobytes()
+    return [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
 def scanned(df: DataFrame, templates: dict = TEMPLATES, k: int = GRAM, drift: int = DRIFT, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """The texts' measures, and the verified spans (doc_id, place, template, label, first, last, coverage).
+    """The texts' measures, and the verified spans (doc_id, place, template, label, first, last, coverage in words).
 
     A null text counts as empty; texts shorter than k words have no k-grams. Equal rows have equal results; a
-    row is known by doc_id and place, a hash of its text. The templates are constants, so their table has a
-    fixed size.
+    row is known by doc_id and place, a hash of its text. Other columns are left aside.
     """
     spark = df.sparkSession
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), F.xxhash64(text_column()).alias("place"))
     schema = "doc_id long, place long, n_words long, n_base long, first_word long, last_word long, found array<string>, grams array<long>"
-    measures = texts.mapInArrow(scan(k), schema)
-    known = spark.createDataFrame(template_grams(templates, k), "gram long, template int, label string, at long, n_grams long")
-    grams = measures.select("doc_id", "place", F.posexplode("grams").alias("pos", "gram"))
-    votes = grams.join(F.broadcast(known), "gram").distinct().withColumn("diagonal", F.col("pos") - F.col("at"))
+    grams = template_grams(templates, k)
+    known = spark.createDataFrame(grams, "gram long, template int, label string, at long, n_grams long")
+    rows = texts.mapInArrow(scan(k), schema)
+    rows = rows.select(*(c for c in rows.columns if c != "grams"), F.posexplode("grams").alias("pos", "gram")).withColumn("pos", F.col("pos") - 1)
+    # one pass over the texts: their measures (position -1) and the k-grams that a template has
+    marks = stored(rows.join(F.broadcast(known) if len(grams) <= SMALL else known, "gram", "left").filter("pos < 0 OR template IS NOT NULL"), "marks")
+    measures = marks.filter("pos < 0").select("doc_id", "place", "n_words", "n_base", "first_word", "last_word", "found")
     own = ["doc_id", "place", "template", "label", "n_grams"]
+    votes = marks.filter("pos >= 0").select(*own, "pos", "at").distinct().withColumn("diagonal", F.col("pos") - F.col("at"))
     lines = votes.groupBy(*own, "diagonal").agg(F.count("*").alias("n"))
     order = Window.partitionBy("doc_id", "place", "template").orderBy("diagonal")
     fresh = (F.col("diagonal") - F.lag("diagonal").over(order) > drift) | F.lag("diagonal").over(order).isNull()
     lines = lines.withColumn("span", F.sum(fresh.cast("int")).over(order))
-    # verify: which share of the template's k-grams the merged diagonals meet
+    # the share of the template's k-grams that the merged diagonals meet
     spans = votes.join(lines.select("doc_id", "place", "template", "diagonal", "span").withColumnsRenamed({"doc_id": "d", "place": "p", "template": "t", "diagonal": "g"}), votes.doc_id.eqNullSafe(F.col("d")) & (votes.place == F.col("p")) & (votes.template == F.col("t")) & (votes.diagonal == F.col("g")))
-    spans = spans.groupBy(*own, "span").agg(F.count_distinct("at").alias("met"), F.min("pos").alias("first"), (F.max("pos") + k - 1).alias("last"))
-    spans = spans.withColumn("coverage", F.col("met") / F.col("n_grams")).filter(F.col("coverage") >= least)
-    return measures.drop("grams"), spans.select("doc_id", "place", "template", "label", "first", "last", "coverage")
+    spans = spans.groupBy(*own, "span").agg(F.count_distinct("at").alias("met"), F.min("pos").cast("long").alias("first"), (F.max("pos") + k - 1).cast("long").alias("last"), F.min("diagonal").cast("long").alias("low"), F.max("diagonal").cast("long").alias("high"))
+    spans = spans.filter(F.col("met") >= least * F.col("n_grams"))
+    asked = spans.groupBy(F.col("doc_id").alias("d"), F.col("place").alias("p")).agg(F.collect_list(F.struct("template", "first", "last", "low", "high")).alias("asked"))
+    found = texts.join(asked, texts.doc_id.eqNullSafe(F.col("d")) & (texts.place == F.col("p"))).select("doc_id", "place", "text", "asked")
+    verified = found.mapInArrow(checked(templates, least), "doc_id long, place long, template int, label string, first long, last long, coverage double").distinct()
+    return measures, verified
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
