@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .util import aside, documents, feistel, text_column, untouched, walked
 
-KEY = "strandloom-demo-key"
+#: The session's setting with the secret key, and the key of tests and demonstrations where it is unset.
+SETTING, KEY = "strandloom.pseudonyms.key", "strandloom-demo-key"
 
 #: The formats, most specific first.
 FORMATS = {
@@ -30,6 +31,11 @@ ANY = "|".join(f"(?:{x})" for x in FORMATS.values())
 HINT = r"[0-9@]|password=|AKIA|token = "
 
 
+def key_of(spark: SparkSession) -> str:
+    """The key that the session names; whoever has it can undo the pseudonyms."""
+    return spark.conf.get(SETTING, KEY)
+
+
 def prf(key: str):
     """Non-negative 56-bit values from SHA-256 under the key."""
     return lambda i, half: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), i.cast("string"), half.cast("string")), 256), 1, 14), 16, 10).cast("long")
@@ -54,6 +60,11 @@ def permuted(text: Column, key: str, rounds: int = 6, letters: int = 26) -> Colu
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, i: F.when(i % 2 == 1, F.struct(shifted(s["l"], digest(i, s["r"]), letters).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), shifted(s["r"], digest(i, s["l"]), letters).alias("r"))), lambda s: F.concat(s["l"], s["r"]))
 
 
+def recased(text: Column, pattern: Column) -> Column:
+    """The text's letters, upper case where the pattern has upper case."""
+    return F.array_join(F.zip_with(F.split(text, ""), F.split(pattern, ""), lambda c, p: F.when(p.between("A", "Z"), F.upper(c)).otherwise(c)), "")
+
+
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a digit string whose last digit is not doubled."""
     n = F.char_length(digits)
@@ -99,7 +110,8 @@ def phone(value: Column, key: str) -> Column:
 def pseudonym(value: Column, key: str = KEY) -> Column:
     """The pseudonym of one found value, by its format."""
     whole = lambda kind: value.rlike(f"^(?:{FORMATS[kind]})$")
-    out = F.when(value.contains("@"), permuted(value, f"{key}|mail"))
+    # addresses in other case are one address: permuted in lower case, the value's own case put back
+    out = F.when(value.contains("@"), recased(permuted(F.lower(value), f"{key}|mail"), value))
     out = out.when(whole("date"), date(value, f"{key}|date")).when(whole("ip"), ip(value, f"{key}|ip"))
     out = out.when(whole("phone") | whole("ssn"), phone(value, f"{key}|phone"))
     out = out.when(value.rlike(r"^\d(?:[ -]?\d){12,18}$"), card(value, f"{key}|card"))
@@ -127,9 +139,10 @@ def pseudonymised(df: DataFrame, text: str = "text", key: str = KEY) -> DataFram
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their personal numbers, addresses, dates and secrets under pseudonyms."""
     df = documents(spark, sf_dir).select("doc_id", "text", F.sha2(text_column(), 256).alias("before"))
-    out = pseudonymised(df)
+    out = pseudonymised(df, key=key_of(spark))
     return out.select("doc_id", "text", "n_replaced", (F.sha2(text_column(), 256) != F.col("before")).alias("changed"))
 
 
 def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return untouched(docs, ("text",), pseudonymised)
+    """Documents with their values under pseudonyms of the session's key; null and empty texts stay as they are."""
+    return untouched(docs, ("text",), lambda df: pseudonymised(df, key=key_of(spark)))
