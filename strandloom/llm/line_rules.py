@@ -2,8 +2,9 @@
 
 Lines are normalised (lower case, white space collapsed) and hashed. For each host (here: source) the number
 of distinct documents that hold a line is counted; a whole-document copy counts once, as copies are the
-business of deduplication. Lines in more than LIMIT_SHARE of a host's distinct documents, and in LIMIT_DOCS at
-least, are boilerplate and are removed. A document of which too little is left is rejected.
+business of deduplication. Lines in more than LIMIT_SHARE of a host's distinct documents, and in more than
+LIMIT_DOCS, are boilerplate and are removed, as are those in more than LIMIT_MANY documents of any host, however
+large. A document of which too little is left is rejected.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from .util import WORD, aside, documents, stored, text_column
 
 #: A line is boilerplate of a host above this share of its distinct documents, and above this number of them.
 LIMIT_SHARE, LIMIT_DOCS = 0.1, 10
+#: Above this number of a host's distinct documents a line is boilerplate whatever its share.
+LIMIT_MANY = 10_000
 #: A document is depleted with fewer words left, or a smaller share of its words left.
 LEAST_WORDS, LEAST_SHARE = 10, 0.2
 WINDOW = 5
@@ -49,13 +52,13 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: let(normalised(x), lambda y: F.when(y == "", F.lit(0).cast("long")).otherwise(F.xxhash64(y))))
 
 
-def boilerplate(df: DataFrame, host: str = "source", text: str = "text", share: float = LIMIT_SHARE, least: int = LIMIT_DOCS) -> DataFrame:
+def boilerplate(df: DataFrame, host: str = "source", text: str = "text", share: float = LIMIT_SHARE, least: int = LIMIT_DOCS, many: int = LIMIT_MANY) -> DataFrame:
     """(__host, __line, n_docs): the lines of each host above the limits."""
     rows = df.select(F.col(host).alias("__host"), F.xxhash64(text_column(text)).alias("__doc"), F.array_distinct(F.filter(line_hashes(text_column(text)), lambda h: h != 0)).alias("__lines"))
     counts = rows.select("__host", "__doc").distinct().groupBy("__host").agg(F.count("*").alias("__docs"))
     lines = rows.select("__host", "__doc", F.explode("__lines").alias("__line")).distinct().groupBy("__host", "__line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > least)
     lines = lines.join(counts.withColumnRenamed("__host", "__of"), F.col("__host").eqNullSafe(F.col("__of")))
-    return lines.filter(F.col("n_docs") > share * F.col("__docs")).select("__host", "__line", "n_docs")
+    return lines.filter((F.col("n_docs") > share * F.col("__docs")) | (F.col("n_docs") > many)).select("__host", "__line", "n_docs")
 
 
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
@@ -127,7 +130,10 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the others lose their boilerplate lines."""
+    """Rejected documents go; the others lose their boilerplate lines.
+
+    Null and empty texts are rejected, a null source is a host of its own, an empty table stays empty.
+    """
     # written before the filter: pushed below the measures, it would have every word of a text extract all words
     rows, names = aside(docs, ("text", "source"))
     columns = [x for c, x in names.items() if c != "text"]
