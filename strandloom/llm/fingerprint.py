@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .util import GAP, documents, shuffle_partitions, text_column
+from .util import GAP, aside, documents, shuffle_partitions, text_column
 
 #: Hashes are 40 bits; a sketch keeps those below 2**40 / SCALE.
 BITS, SCALE, WIDTH = 40, 4, 5
@@ -72,6 +72,7 @@ def with_next(df: DataFrame, key: str = "doc_id", values: tuple[str, ...] = ("te
     bounds, `buckets` numbers whatever the number of rows.
     """
     spark = df.sparkSession
+    df, names = aside(df, (key, *values))
     buckets = buckets or 8 * shuffle_partitions(spark)
     at = F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 100 * buckets).alias("bounds")
     found = df.agg(at, F.max(key).alias("most")).first()
@@ -91,12 +92,15 @@ def with_next(df: DataFrame, key: str = "doc_id", values: tuple[str, ...] = ("te
     # -1 marks the copy of the very first row that ends bucket 0
     df = df.withColumn("__copy", F.col("__at") != F.col("__bucket")).withColumn("__at", F.greatest("__at", F.lit(0)))
     order = [F.col("__copy"), F.col(key).desc_nulls_last(), *[F.col(v) for v in values]]
+    own = (*values, *(derived or ()))
     df = df.repartition("__at").withColumns(derived or {})
     window = Window.partitionBy("__at").orderBy(*order)
-    values = (*values, *(derived or ()))
-    df = df.withColumns({f"next_{v}": F.lead(v).over(window) for v in values} | {"__end": F.lead(F.lit(1)).over(window)})
-    first = [F.coalesce(F.col(f"next_{v}"), F.when(F.col("__end").isNull(), F.col(v))).alias(f"next_{v}") for v in values]
-    return df.filter(~F.col("__copy")).select(*[c for c in df.columns if not c.startswith("__") and not c.startswith("next_")], *first)
+    # without any key there is no copy that ends the order: after the last row comes the window's first
+    start = (lambda v: F.first(v).over(window)) if found["most"] is None else F.col
+    df = df.withColumns({f"__next_{v}": F.lead(v).over(window) for v in own} | {f"__first_{v}": start(v) for v in own} | {"__end": F.lead(F.lit(1)).over(window)})
+    first = [F.coalesce(F.col(f"__next_{v}"), F.when(F.col("__end").isNull(), F.col(f"__first_{v}"))).alias(f"next_{v}") for v in own]
+    made = {*(derived or ()), *(f"next_{v}" for v in own)}
+    return df.filter(~F.col("__copy")).select(*[F.col(n).alias(c) for c, n in names.items() if c not in made], *(derived or ()), *first)
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
