@@ -1,11 +1,18 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 A document's set is its distinct five-word shingles. Documents of one set are one class. A class keeps the K
-smallest shingle hashes. Two sets with a Jaccard index of the threshold (PERCENT, in the pipeline STAGE_PERCENT) or more share at least NEED of their K
-retained values (fewer than one pair in 10**9 has less; sets within K are held whole, where it is certain), so
-they share one of each other's K - NEED + 1 rarest retained values. Only these enter the inverted lists, which
-keeps frequent passages out of them. Short lists give pairs; long ones are compared with a hub first, then in
-blocks within workers. The sketches of a pair's union estimate its index, and full sets decide.
+smallest shingle hashes. Two sets with a Jaccard index of the threshold (PERCENT, in the pipeline STAGE_PERCENT)
+or more share at least NEED of their K retained values (fewer than one pair in 10**9 has less; sets within K are
+held whole, where it is certain), so they share one of each other's K - NEED + 1 rarest retained values. Only
+these enter the inverted lists, which keeps frequent passages out of them. Short lists give pairs, whose union
+sketch estimates their index, and full sets decide.
+
+Classes in long lists get second lists, of their whole sets, where the overlap that the threshold asks for is
+exact and a pair shares one of a sixth of its values, the rarest among these classes: documents of a common
+template part here, as their own words are rarer. What is still in a long list (a text in very many versions)
+forms clouds. A cloud's members are compared with its hub, and those near enough to be linked with the hub's
+neighbours with some of these. Only members for which neither gives a link are compared with the cloud, in tiles
+of bounded size whose distances from the hub allow a link.
 """
 
 from __future__ import annotations
@@ -24,8 +31,12 @@ from .util import documents, pieces, stored, text_column, untouched
 SKETCH, PERCENT, STAGE_PERCENT = 64, 85, 80
 #: By percentage: common values of SKETCH that two near sets have, and that their sketches' estimate is based on, each but for a chance under 1e-9.
 NEED, ESTIMATE = {85: 34, 80: 30}, {85: 33 / SKETCH, 80: 29 / SKETCH}
-#: Lists up to this length give their pairs; members of a block of longer ones.
-SHORT, BLOCK = 32, 1024
+#: Lists up to this length give their pairs.
+SHORT = 32
+#: Classes of one side of a tile, and shingles of them, about; neighbours of a hub that are asked as well.
+TILE, TILE_VALUES, MORE_HUBS = 1024, 1 << 20, 16
+#: Width of the steps of the index by which a cloud's tiles are told apart.
+STEP = 0.05
 
 
 def text_sets(column) -> tuple[np.ndarray, np.ndarray]:
@@ -58,10 +69,10 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def entries(batches):
-    """A row for each retained value of a class."""
+    """A row for each value of a class's sketch or set."""
     for batch in batches:
         if batch.num_rows:
-            values, bounds = flat(batch.column("sketch"))
+            values, bounds = flat(batch.column("held"))
             owner = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             for i in range(0, len(values), 1 << 18):
                 part = owner[i : i + (1 << 18)]
@@ -92,66 +103,107 @@ def similar(least: float | None):
     return stage
 
 
-def near_links(classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (src, dst) between classes that suffice for the components of all pairs from `percent` on."""
-    kept = F.least("n", F.lit(SKETCH))
-    # where n / percent is within SKETCH, a partner's set is within the sketch as well, and the needed overlap is exact
-    need = F.when(F.col("n") <= SKETCH * percent // 100, F.ceil(F.col("n") * percent / 100)).otherwise(F.least(F.lit(NEED[percent]), kept))
-    values = classes.select("cls", "n", "sketch").mapInArrow(entries, "v long, cls long, n long")
+MEASURES = "a long, b long, na long, nb long, index double"
+
+
+def rarest(classes: DataFrame, held: str, kept, need) -> DataFrame:
+    """(v, cls, n): of each class's values those that it must share one of, with a partner that has `need` of its `kept`.
+
+    Values of one class alone come first in the order of rarity and need no list.
+    """
+    values = classes.select("cls", "n", F.col(held).alias("held")).mapInArrow(entries, "v long, cls long, n long")
     common = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    hits = values.join(common, "v")
     own = Window.partitionBy("cls")
-    hits = hits.withColumn("rank", F.row_number().over(own.orderBy("df", "v"))).withColumn("found", F.count("*").over(own))
-    hits = hits.filter(F.col("rank") <= kept - need + 1 - (kept - F.col("found"))).select("v", "cls", "n")
-    hits = stored(hits, "lists")
+    hits = values.join(common, "v").withColumn("rank", F.row_number().over(own.orderBy("df", "v"))).withColumn("found", F.count("*").over(own))
+    return hits.filter(F.col("rank") <= kept - need + 1 - (kept - F.col("found"))).select("v", "cls", "n")
+
+
+def listed(hits: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b, na, nb) of fitting sizes in short lists, and (cls, n, least) for each class of a long list."""
     sizes = hits.groupBy("v").agg(F.count("*").alias("size"), F.min("cls").alias("least")).filter("size > 1")
     short, long = sizes.filter(F.col("size") <= SHORT).select("v"), sizes.filter(F.col("size") > SHORT).select("v", "least")
+    rows = hits.join(short, "v")
+    left = rows.select("v", F.col("cls").alias("a"), F.col("n").alias("na"))
+    right = rows.select(F.col("v").alias("w"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    pairs = left.join(right, (F.col("v") == F.col("w")) & (F.col("a") < F.col("b")) & fits).select("a", "b", "na", "nb").distinct()
+    return pairs, hits.join(long, "v").select("cls", "n", "least")
+
+
+def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    side = lambda c, name: table.select(F.col("cls").alias(c), F.col(column).alias(name))
+    return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
 
-    # short lists: pairs of fitting sizes, estimated from the sketches
-    fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    listed = hits.join(short, "v")
-    left = listed.select("v", F.col("cls").alias("a"), F.col("n").alias("na"))
-    right = listed.select(F.col("v").alias("w"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, (F.col("v") == F.col("w")) & (F.col("a") < F.col("b")) & fits(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb").distinct()
-    sketches = classes.select("cls", "sketch")
-    with_both = lambda p, t, c: p.join(t.select(F.col("cls").alias("a"), F.col(c).alias("left")), "a").join(t.select(F.col("cls").alias("b"), F.col(c).alias("right")), "b")
-    measures = "a long, b long, na long, nb long, index double"
-    pairs = stored(with_both(pairs, sketches, "sketch").mapInArrow(similar(ESTIMATE[percent]), measures).drop("index"), "pairs")
-
-    # long lists: classes connected by them form a cloud with one hub
-    crowd = stored(hits.join(long, "v").select("cls", "n", "least"), "crowd")
-    clouds = connected_components(crowd.select(F.col("cls").alias("src"), F.col("least").alias("dst")))
-    counts = crowd.groupBy("cls").agg(F.count("*").alias("lists"), F.first("n").alias("n"))
+
+def near_links(classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (src, dst) between classes that suffice for the components of all pairs from `percent` on."""
+    kept = F.least("n", F.lit(SKETCH))
+    # where n / percent is within SKETCH, a partner's set is within the sketch as well, and the needed overlap is exact
+    needed = F.ceil(F.col("n") * percent / 100)
+    need = F.when(F.col("n") <= SKETCH * percent // 100, needed).otherwise(F.least(F.lit(NEED[percent]), kept))
+    pairs, crowd = listed(stored(rarest(classes, "sketch", kept, need), "lists"), percent)
+    estimated = lambda rows: with_both(rows, classes.select("cls", "sketch"), "sketch").mapInArrow(similar(ESTIMATE[percent]), MEASURES).drop("index")
+    pairs = stored(estimated(pairs), "pairs")
+    crowd = stored(crowd.select("cls").distinct(), "crowd")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(crowd).distinct()
+    where = wanted.join(classes.select("cls", "doc_id", "place", "n"), "cls").withColumnsRenamed({"doc_id": "id", "place": "at"})
+    found = texts.join(where, (texts["place"] == where["at"]) & texts["doc_id"].eqNullSafe(F.col("id"))).select("cls", "n", "text")
+    sets = stored(found.mapInArrow(full_sets, "cls long, n long, shingles binary").dropDuplicates(["cls"]), "sets")
+    exact = lambda rows: with_both(rows, sets, "shingles").mapInArrow(similar(None), MEASURES)
+    near = F.col("index") * 100 >= percent - 1e-9
+    linked = lambda rows: rows.filter(near).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+    more, clouded = listed(stored(rarest(sets.join(crowd, "cls", "left_semi"), "shingles", F.col("n"), needed), "lists"), percent)
+    more = stored(estimated(more.join(pairs, ["a", "b"], "left_anti").select("a", "b", "na", "nb")), "pairs")
+    links = linked(exact(pairs.unionByName(more)))
+
+    clouded = stored(clouded, "clouded")
+    clouds = connected_components(clouded.select(F.col("cls").alias("src"), F.col("least").alias("dst")))
+    counts = clouded.groupBy("cls").agg(F.count("*").alias("lists"), F.first("n").alias("n"))
     members = counts.join(clouds, F.col("cls") == F.col("node")).select("cls", "n", "lists", F.col("component").alias("cloud"))
     members = stored(members, "members")
     hubs = members.groupBy("cloud").agg(F.min_by(F.struct("cls", "n"), F.struct(-F.col("lists"), F.col("cls"))).alias("hub"))
+    to_hub = members.join(hubs, "cloud").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
+    to_hub = stored(exact(to_hub), "hubs")
+    members = members.join(to_hub.select(F.col("b").alias("cls"), "index"), "cls").select("cloud", "cls", "n", "index")
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(members.select("cls")).distinct()
-    where = needed.join(classes.select("cls", "doc_id", "place"), "cls")
-    found = texts.join(where.withColumnRenamed("doc_id", "id"), (texts["place"] == where["place"]) & texts["doc_id"].eqNullSafe(F.col("id"))).select("cls", "text")
-    sets = stored(found.mapInArrow(full_sets, "cls long, shingles binary").dropDuplicates(["cls"]), "sets")
+    # members that can be linked with the hub's neighbours, with some of these
+    neighbours = members.filter(near).groupBy("cloud", F.pmod(F.xxhash64("cls"), F.lit(MORE_HUBS))).agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(1))).alias("hub"))
+    between = members.filter(~near & (F.col("index") >= 2 * percent / 100 - 1 - 1e-9))
+    asked = between.join(neighbours.select("cloud", "hub"), "cloud").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
+    second = stored(linked(exact(asked)), "second")
+    rest = members.filter(~near).join(second.select(F.col("dst").alias("cls")).distinct(), "cls", "left_anti")
+    return links.unionByName(linked(to_hub)).unionByName(second).unionByName(tiled(members, stored(rest, "rest"), sets, percent))
 
-    exact = with_both(pairs, sets, "shingles").mapInArrow(similar(None), measures)
-    links = exact.filter(F.col("index") * 100 >= percent - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    to_hub = members.join(hubs, "cloud").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-    to_hub = stored(with_both(to_hub, sets, "shingles").mapInArrow(similar(None), measures), "hubs")
-    links = links.unionByName(to_hub.filter(F.col("index") * 100 >= percent - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return links.unionByName(rest_of_clouds(members, to_hub, sets, percent))
 
+def tiled(members: DataFrame, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the rest (cloud, cls, n, index with the hub) with the cloud's members.
+
+    Blocks are of one step of the index, so that both sides of a tile hold about TILE classes and TILE_VALUES
+    shingles; indexes of two linked classes differ by 1 - percent / 100 at most, as their distances do.
+    """
+    far = int((1 - percent / 100) / STEP) + 1
+
+    def blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = rows.withColumn("step", F.floor(F.col("index") / STEP).cast("int"))
+        sizes = rows.groupBy("cloud", "step").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_VALUES)).cast("int").alias("parts"))
+        return rows.join(sizes, ["cloud", "step"]).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).drop("parts"), sizes
 
-def rest_of_clouds(members: DataFrame, to_hub: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the members that aren't linked with their hub: each is compared with every block of its cloud."""
-    rows = members.join(to_hub.select(F.col("b").alias("cls"), "index"), "cls").join(sets, "cls")
-    size = members.groupBy("cloud").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(size, "cloud").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    held = rows.select("cloud", F.col("own").alias("block"), "cls", "n", "index", "shingles", F.lit(False).alias("asks"))
-    asking = rows.filter(F.col("index") * 100 < percent - 1e-9)
-    asking = asking.select("cloud", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cls", "n", "index", "shingles", F.lit(True).alias("asks"))
-    return held.unionByName(asking).groupBy("cloud", "block").applyInPandas(lambda frame: block_links(frame, percent), "src long, dst long")
+    held, held_sizes = blocks(members)
+    asks, ask_sizes = blocks(rest)
+    tiles = ask_sizes.withColumnsRenamed({"step": "ask_step", "parts": "ask_parts"}).join(held_sizes, "cloud").filter(F.abs(F.col("step") - F.col("ask_step")) <= far)
+    tiles = tiles.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("ask_part", F.explode(F.sequence(F.lit(0), F.col("ask_parts") - 1)))
+    tiles = tiles.select("cloud", "step", "part", "ask_step", "ask_part")
+    columns = ["cloud", "step", "part", "ask_step", "ask_part", "cls", "n", "index", "shingles", "asks"]
+    held = tiles.join(held.join(sets.select("cls", "shingles"), "cls"), ["cloud", "step", "part"]).withColumn("asks", F.lit(False))
+    asks = tiles.join(asks.join(sets.select("cls", "shingles"), "cls").withColumnsRenamed({"step": "ask_step", "part": "ask_part"}), ["cloud", "ask_step", "ask_part"]).withColumn("asks", F.lit(True))
+    rows = held.select(columns).unionByName(asks.select(columns))
+    return rows.groupBy("cloud", "step", "part", "ask_step", "ask_part").applyInPandas(lambda frame: block_links(frame, percent), "src long, dst long")
 
 
 def block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between the asking and the held classes of a block that join different groups."""
+    """Links between the asking and the held classes of a tile that join different groups."""
     held, asking = frame[~frame.asks], frame[frame.asks]
     if not len(held) or not len(asking):
         return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64")})
@@ -187,7 +239,7 @@ def full_sets(batches):
     for batch in pieces(batches):
         values, bounds = text_sets(batch.column("text"))
         raw = values.astype("<u8").tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["cls", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("n"), pa.array([raw[8 * a : 8 * b] for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], names=["cls", "n", "shingles"])
 
 
 def components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -215,7 +267,11 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the smallest doc_id."""
+    """One document of each component stays, the one with the smallest doc_id.
+
+    Documents without words (null or empty texts) are components of their own and stay; an empty table stays
+    empty. Rows with one doc_id and one text stay or go together.
+    """
     verdict = components(docs, STAGE_PERCENT).filter("kept").select(F.col("doc_id").alias("__id"), F.col("place").alias("__place")).distinct()
     place = F.xxhash64(text_column())
     return untouched(docs, ("doc_id", "text"), lambda df: df.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")) & (place == F.col("__place")), "left_semi"))
