@@ -6,7 +6,11 @@ array (sorted right contexts with their common prefix lengths) is scanned with a
 intervals; members of an interval are told apart by their left extensions, and intervals that extend
 differently to the left are the maximal repeats. Each repeat is output with all its occurrences; every one but
 the first is removable. Occurrences of one whole context (GRAM's window to both sides) are one class from the
-start and need no comparison.
+start, known by two 64-bit hashes (of the gram and of the context).
+
+A gram with more than HOT classes (a passage in very many surroundings) is not sorted by one task: the strings of
+LENGTH bytes around it are dealt by their own hashes instead, and all but the first place of each are removable,
+which is the same result by as many light rows as a suffix has places.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from .util import documents, pieces, stored, text_column
 
 LENGTH, GRAM = 100, 40
 LEFT, RIGHT = LENGTH - GRAM, LENGTH
+#: Classes of one gram that are sorted together.
+HOT = 1024
 #: The place in the order of rows without doc_id: after all others.
 LAST = np.iinfo(np.int64).max
 
@@ -43,6 +49,7 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if len(text) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     grams = K.gram_hashes(text, GRAM)
+    grams &= ~K.U64(1)  # odd keys are those of whole strings
     at = K.sliding_minima(grams, LENGTH - GRAM + 1)
     low, high = np.maximum(at - LEFT, 0), np.minimum(at + RIGHT, len(text))
     context = K.mix(K.range_hashes(text, low, high) + (at - low).astype(np.uint64))
@@ -50,7 +57,7 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def scanned(kind: str):
-    """Per slice of rows: the first occurrence of each (gram, context), or the spans of the others ("gone")."""
+    """Per slice of rows: the first occurrence of each (gram, context), the spans of the others ("gone"), or all ("every")."""
 
     def stage(batches):
         for batch in pieces(batches):
@@ -79,6 +86,7 @@ def scanned(kind: str):
                 shift = owner * (int(size.max(initial=0)) + 2)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[owner]), pa.array(places[owner]), pa.array(start - shift), pa.array(end - shift)], names=["doc_id", "place", "start", "end"])
             else:
+                fresh |= kind == "every"
                 r = row[fresh]
                 yield pa.RecordBatch.from_arrays([pa.array(key[fresh].view(np.int64)), pa.array(context[fresh].view(np.int64)), pa.array(ids[r]), pa.array(places[r]), pa.array(at[fresh]), pa.array(size[fresh])], names=["key", "context", "doc_id", "place", "at", "size"])
 
@@ -126,15 +134,35 @@ def classes(batches):
         )
 
 
+FIELDS = ["key", "doc_id", "place", "at", "left", "right", "before", "after"]
+CONTEXTS = "key long, doc_id long, place long, at long, left long, right long, before binary, after binary"
+
+
+def strings(batch, row, bounds, data, at):
+    """The strings of LENGTH bytes that hold the gram at each place: their hashes as keys, their own places."""
+    for i in np.unique(row):
+        text = data[bounds[i] : bounds[i + 1]]
+        own = at[row == i]
+        low, high = np.maximum(own - LEFT, 0), np.minimum(own, len(text) - LENGTH)
+        start = np.unique(K.ragged(low, np.maximum(high - low + 1, 0)))
+        key = K.range_hashes(text, start, start + LENGTH) | K.U64(1)
+        n = len(start)
+        same = lambda c: pa.array(np.full(n, np.asarray(batch.column(c))[i]))  # noqa: E731,B023
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), same("doc_id"), same("place"), pa.array(start), *[pa.array(np.full(n, -1, np.int64))] * 2, *[pa.nulls(n, pa.binary())] * 2], names=FIELDS)
+
+
 def contexts(batches):
-    """Left (reversed) and right contexts of the asked anchors of each text."""
+    """Left (reversed) and right contexts of the asked anchors of each text; for hot grams their strings (left is -1)."""
     for batch in pieces(batches):
         data, bounds = K.utf8(batch.column("text"))
         lists = batch.column("asked")
         offsets = np.asarray(lists.offsets)
         asked = lists.flatten()
-        key, at = np.asarray(asked.field("key")), np.asarray(asked.field("at"))
+        key, at, hot = (np.asarray(asked.field(c)) for c in ("key", "at", "hot"))
         row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        hot = hot.astype(bool)
+        yield from strings(batch, row[hot], bounds, data, at[hot])
+        key, at, row = key[~hot], at[~hot], row[~hot]
         start, end = bounds[:-1][row], bounds[1:][row]
         here = start + at
         left, right = np.minimum(at, LEFT), np.minimum(end - here, RIGHT)
@@ -146,7 +174,7 @@ def contexts(batches):
             after = window[:, LEFT:] * (np.arange(RIGHT) < right[p, None])
             take = lambda c: np.asarray(batch.column(c))[row[p]]  # noqa: E731,B023
             fixed = lambda m, n: pa.FixedSizeBinaryArray.from_buffers(pa.binary(n), len(m), [None, pa.py_buffer(np.ascontiguousarray(m, dtype=np.uint8).tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(take("doc_id")), pa.array(take("place")), pa.array(at[p]), pa.array(left[p]), pa.array(right[p]), fixed(before, LEFT), fixed(after, RIGHT)], names=["key", "doc_id", "place", "at", "left", "right", "before", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(take("doc_id")), pa.array(take("place")), pa.array(at[p]), pa.array(left[p]), pa.array(right[p]), fixed(before, LEFT), fixed(after, RIGHT)], names=FIELDS)
 
 
 def common(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -203,48 +231,58 @@ def _words(rows: np.ndarray) -> tuple:
     return tuple(np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -n % 8)))).view(">u8").T[::-1])
 
 
-def removable(batches):
-    """Spans of all but the first occurrence of each maximal repeat; rows come sorted by key."""
-    for batch in _chunks(batches):
-        key = np.asarray(batch.column("key"))
-        ids, places, at, left, right = (np.asarray(batch.column(c)) for c in ("doc_id", "place", "at", "left", "right"))
-        matrix = lambda c, n: np.frombuffer(batch.column(c).cast(pa.large_binary()).buffers()[2], np.uint8)[: len(key) * n].reshape(len(key), n)  # noqa: E731,B023
-        before, after = matrix("before", LEFT), matrix("after", RIGHT)
-        order = np.lexsort((*_words(after), key))
-        key, ids, places, at, left, right, before, after = (x[order] for x in (key, ids, places, at, left, right, before, after))
-        rank = np.empty(len(key), np.int64)
-        rank[np.lexsort((at, places, ids))] = np.arange(len(key))
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(heads, len(key)))
-        gone, low, high = [], [], []
-        # buckets of two: one interval
-        i = heads[sizes == 2]
-        if len(i):
-            r = common(after[i], after[i + 1], np.minimum(right[i], right[i + 1]))
-            n = common(before[i], before[i + 1], np.minimum(left[i], left[i + 1]))
-            late = np.where(rank[i] > rank[i + 1], i, i + 1)[n + r >= LENGTH]
-            gone.append(late)
-            low.append(at[late] - n[n + r >= LENGTH])
-            high.append(at[late] + r[n + r >= LENGTH])
-        for a, n in zip(heads[sizes > 2], sizes[sizes > 2]):
-            s = slice(a, a + n)
-            best = np.full(n, -1)
-            for extension, length, members in repeats(rank[s], left[s], right[s], before[s], after[s]):
-                away = members[members != members[rank[s][members].argmin()]]
-                away = away[best[away] < extension]  # inner intervals come first and reach further right
-                best[away] = extension
-                gone.append(a + away)
-                low.append(at[a + away] - extension)
-                high.append(at[a + away] + length)
-        if gone:
-            g = np.concatenate(gone)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[g]), pa.array(places[g]), pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], names=["doc_id", "place", "start", "end"])
-
-
-def _chunks(batches, rows: int = 20_000):
-    """Whole buckets, about `rows` rows at a time."""
+SPAN_NAMES = ["doc_id", "place", "start", "end"]
+
+
+def bucket_spans(batch: pa.RecordBatch):
+    """Spans of all but the first occurrence of each maximal repeat in whole buckets."""
+    key = np.asarray(batch.column("key"))
+    ids, places, at, left, right = (np.asarray(batch.column(c)) for c in ("doc_id", "place", "at", "left", "right"))
+    before, after = _matrix(batch, "before", LEFT), _matrix(batch, "after", RIGHT)
+    order = np.lexsort((*_words(after), key))
+    key, ids, places, at, left, right, before, after = (x[order] for x in (key, ids, places, at, left, right, before, after))
+    rank = np.empty(len(key), np.int64)
+    rank[np.lexsort((at, places, ids))] = np.arange(len(key))
+    heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    sizes = np.diff(np.append(heads, len(key)))
+    gone, low, high = [], [], []
+    # buckets of two: one interval
+    i = heads[sizes == 2]
+    if len(i):
+        r = common(after[i], after[i + 1], np.minimum(right[i], right[i + 1]))
+        n = common(before[i], before[i + 1], np.minimum(left[i], left[i + 1]))
+        late = np.where(rank[i] > rank[i + 1], i, i + 1)[n + r >= LENGTH]
+        gone.append(late)
+        low.append(at[late] - n[n + r >= LENGTH])
+        high.append(at[late] + r[n + r >= LENGTH])
+    for a, n in zip(heads[sizes > 2], sizes[sizes > 2]):
+        s = slice(a, a + n)
+        best = np.full(n, -1)
+        for extension, length, members in repeats(rank[s], left[s], right[s], before[s], after[s]):
+            away = members[members != members[rank[s][members].argmin()]]
+            away = away[best[away] < extension]  # inner intervals come first and reach further right
+            best[away] = extension
+            gone.append(a + away)
+            low.append(at[a + away] - extension)
+            high.append(at[a + away] + length)
+    if gone:
+        g = np.concatenate(gone)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[g]), pa.array(places[g]), pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], names=SPAN_NAMES)
+
+
+def bucketed(batches, string_spans, bucket_results, rows: int = 20_000):
+    """Rows sorted by (key, doc_id, place, at): results of hot grams' strings as they come, of other buckets as a whole, some at a time."""
     held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        whole = np.asarray(batch.column("left")) < 0
+        if whole.any():
+            own = batch.filter(pa.array(whole))
+            key = np.asarray(own.column("key"))
+            yield from string_spans(own, np.concatenate([[key[0] == last], key[1:] == key[:-1]]))
+            last, batch = key[-1], batch.filter(pa.array(~whole))
         if batch.num_rows:
             held.append(batch)
         if sum(x.num_rows for x in held) < rows:
@@ -253,12 +291,48 @@ def _chunks(batches, rows: int = 20_000):
         key = np.asarray(table.column("key"))
         cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
         if cut:
-            yield table.slice(0, cut).combine_chunks().to_batches()[0]
+            yield from bucket_results(table.slice(0, cut).combine_chunks().to_batches()[0])
             held = table.slice(cut).combine_chunks().to_batches()
-        else:
-            held = table.to_batches()
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield from bucket_results(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+
+def again(batch: pa.RecordBatch, repeated: np.ndarray):
+    """The spans of strings that have stood before."""
+    ids, places, at = (np.asarray(batch.column(c))[repeated] for c in FIELDS[1:4])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids, places, at, at + LENGTH)], names=SPAN_NAMES)
+
+
+def removable(batches):
+    """Spans of all but the first occurrence of each repeat."""
+    return bucketed(batches, again, bucket_spans)
+
+
+def bucket_groups(batch: pa.RecordBatch):
+    """The maximal repeats of whole buckets, a row for each class that holds one (twice, where it has several occurrences)."""
+    key = np.asarray(batch.column("key"))
+    at, left, right, context, count = (np.asarray(batch.column(c)) for c in ("at", "left", "right", "context", "count"))
+    before, after = _matrix(batch, "before", LEFT), _matrix(batch, "after", RIGHT)
+    # a class of several occurrences repeats itself: it is there twice
+    order = np.repeat(np.arange(len(key)), np.minimum(count, 2))
+    order = order[np.lexsort((*_words(after[order]), key[order]))]
+    key, at, left, right, context, before, after = (x[order] for x in (key, at, left, right, context, before, after))
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b - a > 1:
+            s = slice(a, b)
+            for extension, length, members in repeats(np.arange(b - a), left[s], right[s], before[s], after[s]):
+                own = np.unique(context[s][members])
+                text = before[a + members[0], :extension][::-1].tobytes() + after[a + members[0], :length].tobytes()
+                name = int.from_bytes(hashlib.sha256(text).digest()[:8], "little", signed=True)
+                rows += [(name, int(key[a]), int(c), int(extension), int(extension + length)) for c in own]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["repeat", "key", "context", "before", "length"])
+
+
+def _matrix(batch: pa.RecordBatch, column: str, n: int) -> np.ndarray:
+    return np.frombuffer(batch.column(column).cast(pa.large_binary()).buffers()[2], np.uint8)[: batch.num_rows * n].reshape(batch.num_rows, n)
 
 
 def kept(batches):
@@ -292,13 +366,38 @@ def spans(texts: DataFrame) -> DataFrame:
     rows = rows.repartition("key").sortWithinPartitions("key", "context", "doc_id", "place", "at")
     found = stored(rows.mapInArrow(classes, f"key long, {SPANS}"), "classes")
     later = found.filter("key is null").drop("key")
-    asked = found.filter("key is not null").select("key", "doc_id", "place", F.col("start").alias("at"))
-    asked = asked.groupBy("doc_id", "place").agg(F.collect_list(F.struct("key", "at")).alias("asked")).withColumnsRenamed({"doc_id": "d", "place": "p"})
+    around = surrounded(texts, found.filter("key is not null").select("key", "doc_id", "place", F.col("start").alias("at")))
+    return local.unionByName(later).unionByName(around.mapInArrow(removable, SPANS))
+
+
+def surrounded(texts: DataFrame, asked: DataFrame, hot: int = HOT) -> DataFrame:
+    """The contexts of the asked anchors (key, doc_id, place, at), or their strings where a key has more than `hot`, dealt and sorted by key."""
+    many = asked.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("key", F.lit(True).alias("hot"))
+    asked = asked.join(many, "key", "left").groupBy(F.col("doc_id").alias("d"), F.col("place").alias("p")).agg(F.collect_list(F.struct("key", "at", F.coalesce("hot", F.lit(False)).cast("int").alias("hot"))).alias("asked"))
     known = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(int(LAST))))
     known = known.join(asked, (known.doc_id == F.col("d")) & (known.place == F.col("p"))).select("doc_id", "place", "text", "asked")
-    around = known.mapInArrow(contexts, "key long, doc_id long, place long, at long, left long, right long, before binary, after binary")
-    around = around.repartition("key").sortWithinPartitions("key")
-    return local.unionByName(later).unionByName(around.mapInArrow(removable, SPANS))
+    around = known.mapInArrow(contexts, CONTEXTS)
+    return around.repartition("key").sortWithinPartitions("key", "doc_id", "place", "at")
+
+
+def repeat_groups(df: DataFrame) -> DataFrame:
+    """(repeat, length, doc_id, place, start) of every occurrence of every maximal repeat of LENGTH bytes or more.
+
+    A repeat is known by a hash of its bytes. It is maximal within the context of an anchor (LEFT bytes before
+    and RIGHT bytes after): longer ones have several rows, shifted along. Null texts count as empty, null
+    doc_ids as the largest number. Texts are known by doc_id and place, a hash of the text; of equal rows one
+    counts. All classes of a gram are held by one task here; the removal above needs no such bound.
+    """
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), F.xxhash64(text_column()).alias("place")).dropDuplicates(["doc_id", "place"])
+    every = stored(texts.mapInArrow(scanned("every"), "key long, context long, doc_id long, place long, at long, size long"), "anchors")
+    classes_ = every.groupBy("key", "context").agg(F.min(F.struct("doc_id", "place", "at")).alias("first"), F.count("*").alias("count"))
+    several = classes_.groupBy("key").agg(F.sum("count").alias("n")).filter("n > 1").select("key")
+    classes_ = stored(classes_.join(several, "key").select("key", "context", "count", "first.*"), "repeated")
+    around = surrounded(texts, classes_.select("key", "doc_id", "place", "at"), 1 << 62)
+    around = around.join(classes_, ["key", "doc_id", "place", "at"]).repartition("key").sortWithinPartitions("key")
+    groups = around.mapInArrow(lambda batches: bucketed(batches, again, bucket_groups), "repeat long, key long, context long, before long, length long")
+    rows = groups.join(every, ["key", "context"])
+    return rows.select("repeat", "length", "doc_id", "place", (F.col("at") - F.col("before")).alias("start")).distinct()
 
 
 def deduplicated(df: DataFrame) -> DataFrame:
