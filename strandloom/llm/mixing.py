@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .util import WORD, documents, named, text_column, untouched
+from .util import WORD, documents, named, stored, text_column, untouched
 
 BLOCKS, ENTROPY, MAX_REPEATS, SEED = 64, 0.95, 2.0, 71
 #: The block in which a budget ends is cut into 2 ** FINE_BITS stretches of its order.
@@ -102,7 +102,8 @@ def fitting(part: DataFrame, key: Column) -> DataFrame:
     The block is cut into FINE stretches of the order, whose sums tell the one where the budget ends; only that
     one's rows are sorted, whatever the size of the block.
     """
-    part = part.withColumn("__key", key).withColumn("__fine", F.shiftrightunsigned("__key", 64 - FINE_BITS).cast("int"))
+    part = stored(part.withColumn("__key", key), "part")  # read three times
+    part = part.withColumn("__fine", F.shiftrightunsigned("__key", 64 - FINE_BITS).cast("int"))
     order = Window.partitionBy("__os", "__op").orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)
     sums = part.groupBy(F.col("__source").alias("__os"), F.col("pass").alias("__op"), F.col("__fine").alias("__of")).agg(F.sum("__tokens").alias("__sum"))
     sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(order), F.lit(0)))
