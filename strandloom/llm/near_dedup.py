@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from ..plans.graph import connected_components
 from . import kernels as K
-from .util import documents, pieces, stored, text_column, untouched
+from .util import batch_bytes, documents, freed, pieces, stored, text_column, untouched
 
 SKETCH, PERCENT, STAGE_PERCENT = 64, 85, 80
 #: By percentage: common values of SKETCH that two near sets have, and that their sketches' estimate is based on, each but for a chance under 1e-9.
@@ -49,6 +49,7 @@ def text_sets(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(batches):
+    freed()
     for batch in pieces(batches):
         values, bounds = text_sets(batch.column("text"))
         sizes = np.diff(bounds)
@@ -149,7 +150,8 @@ def near_links(classes: DataFrame, texts: DataFrame, percent: int = PERCENT) ->
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(crowd).distinct()
     where = wanted.join(classes.select("cls", "doc_id", "place", "n"), "cls").withColumnsRenamed({"doc_id": "id", "place": "at"})
     found = texts.join(where, (texts["place"] == where["at"]) & texts["doc_id"].eqNullSafe(F.col("id"))).select("cls", "n", "text")
-    sets = stored(found.mapInArrow(full_sets, "cls long, n long, shingles binary").dropDuplicates(["cls"]), "sets")
+    with batch_bytes(texts.sparkSession):
+        sets = stored(found.mapInArrow(full_sets, "cls long, n long, shingles binary").dropDuplicates(["cls"]), "sets")
     exact = lambda rows: with_both(rows, sets, "shingles").mapInArrow(similar(None), MEASURES)
     near = F.col("index") * 100 >= percent - 1e-9
     linked = lambda rows: rows.filter(near).select(F.col("a").alias("src"), F.col("b").alias("dst"))
@@ -236,6 +238,7 @@ def block_links(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def full_sets(batches):
+    freed()
     for batch in pieces(batches):
         values, bounds = text_sets(batch.column("text"))
         raw = values.astype("<u8").tobytes()
@@ -250,7 +253,8 @@ def components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     have one verdict. place is a hash of the text.
     """
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), F.xxhash64(text_column()).alias("place"))
-    marks = stored(texts.mapInArrow(signatures, "doc_id long, place long, n long, cls long, sketch binary"), "signatures")
+    with batch_bytes(df.sparkSession):
+        marks = stored(texts.mapInArrow(signatures, "doc_id long, place long, n long, cls long, sketch binary"), "signatures")
     classes = stored(marks.filter("n > 0").dropDuplicates(["cls"]), "classes")
     labels = connected_components(near_links(classes, texts, percent))
     rows = marks.select("doc_id", "place", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls"))
