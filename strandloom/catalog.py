@@ -6,10 +6,13 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .functions import sequence as S
+from .functions import tails
 from .operators import numeric, overlaps
 from .plans.graph import capped_components, compacted, connected_components, resolved, signed_components
+from .plans.storage import stored
 from .sources import formats
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,11 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, seq): texts as stand-ins of contigs."""
-    seq = F.substring(F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, BASES), 1, 120)
+    """(doc_id, lang, source, seq): whole texts as stand-ins of assembled sequences; short ones are dropped (P5)."""
+    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, BASES)
     return table(spark, sf_dir, "documents").select("doc_id", "lang", "source", seq.alias("seq")).filter(F.length("seq") >= 40)
 
 
+def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, doc_id, seq): the contigs that all sequences are cut into."""
+    return overlaps.contigs(sequences(spark, sf_dir))
+
+
+def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, seq, copies): the distinct contigs, stored once; equal ones are one class, known by its smallest id."""
+    return stored(overlaps.distinct_sequences(pieces(spark, sf_dir)), "contigs")
+
+
 def relational(text: str):
     """A query that both engines state alike."""
 
@@ -37,11 +50,27 @@ def relational(text: str):
     return query
 
 
-SEQS = f"seqs AS (SELECT doc_id, lang, source, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}'), 1, 120) AS seq FROM documents), s AS (SELECT * FROM seqs WHERE length(seq) >= 40)"
+SEQS = f"seqs AS (SELECT doc_id, lang, source, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}') AS seq FROM documents), s AS (SELECT * FROM seqs WHERE length(seq) >= 40)"
 KMERS = SEQS + ", k AS (SELECT doc_id, unnest(range(0, length(seq) - 7)) AS pos, unnest(list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8))) AS kmer FROM s)"
-PAIRS = KMERS + ", d AS (SELECT DISTINCT doc_id, kmer FROM k), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM d x JOIN d y ON x.kmer = y.kmer AND x.doc_id < y.doc_id GROUP BY ALL HAVING count(*) >= 20)"
-DOVE = PAIRS + ", o AS (SELECT a, b, x.seq AS sa, y.seq AS sb, unnest(range(24, least(length(x.seq), length(y.seq), 40) + 1)) AS depth FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b), h AS (SELECT a, b, depth, hamming(right(sa, depth), left(sb, depth)) AS dist FROM o), t AS (SELECT a, b, min(depth) AS depth, min_by(dist, depth) AS dist FROM h WHERE dist <= floor(depth * 0.05 + 0.5) GROUP BY a, b)"
-LINKS = "links AS (SELECT DISTINCT least(x.l_partkey, y.l_partkey) AS a, greatest(x.l_partkey, y.l_partkey) AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey WHERE x.l_linenumber = 1 AND y.l_linenumber = 2 AND x.l_partkey <> y.l_partkey AND x.l_orderkey % 40 = 0)"
+PIECES = SEQS + ", cut AS (SELECT doc_id, seq, greatest((length(seq) + 80) // 120, 1) AS n FROM s), spread AS (SELECT doc_id, seq, n, unnest(range(0, n)) AS k FROM cut), contigs AS (SELECT doc_id * 100000 + k AS id, doc_id, substr(seq, k * 120 + 1, CASE WHEN k = n - 1 THEN length(seq) - k * 120 ELSE 120 END) AS seq FROM spread)"
+CLASSES = PIECES + ", c AS (SELECT min(id) AS id, seq, count(*) AS copies FROM contigs GROUP BY seq), rc AS (SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM c)"
+ENDS = CLASSES + ", tails AS (SELECT DISTINCT id AS a, unnest(list_transform(range(1, 34), lambda i: substr(right(seq, 40), i, 8))) AS kmer FROM c), heads AS (SELECT DISTINCT id AS b, unnest(list_transform(range(1, 34), lambda i: substr(seq, i, 8))) AS kmer FROM c), cand AS (SELECT a, b, count(*) AS shared FROM tails JOIN heads USING (kmer) WHERE a <> b GROUP BY a, b HAVING count(*) >= 20)"
+
+
+def sql_tail_head(name: str, tails: str, heads: str) -> str:
+    """Tables of the least overlaps of tails with heads, 24 to 119 letters, by stretches as the operator takes them."""
+    parts = []
+    for low, high, d in overlaps.limit_steps(24, 119, 0.05):
+        size = low // (d + 1)
+        keys = f"SELECT id AS b, seq AS sb, unnest(range(0, {d + 1})) * {size} AS pb, unnest(list_transform(range(0, {d + 1}), lambda i: substr(seq, i * {size} + 1, {size}))) AS stretch FROM {heads} WHERE length(seq) >= {low}"
+        first = f"greatest(length(seq) - {high}, 0)"
+        places = f"SELECT id AS a, seq AS sa, unnest(range({first}, length(seq) - {size} + 1)) AS pa, unnest(list_transform(range({first}, length(seq) - {size} + 1), lambda i: substr(seq, i + 1, {size}))) AS stretch FROM {tails} WHERE length(seq) >= {low}"
+        parts.append(f"SELECT DISTINCT a, b, sa, sb, length(sa) - pa + pb AS depth FROM ({places}) JOIN ({keys}) USING (stretch) WHERE a <> b AND length(sa) - pa + pb BETWEEN {low} AND least({high}, length(sa), length(sb))")
+    return f"{name}_d AS ({' UNION '.join(parts)}), {name}_h AS (SELECT a, b, depth, hamming(right(sa, depth), left(sb, depth)) AS dist FROM {name}_d), {name} AS (SELECT a, b, min(depth) AS depth, min_by(dist, depth) AS dist FROM {name}_h WHERE dist <= floor(depth * 0.05 + 0.5) GROUP BY a, b)"
+
+
+DOVE = CLASSES + ", " + ", ".join(sql_tail_head(*x) for x in (("fwd", "c", "c"), ("out2", "c", "rc"), ("in2", "rc", "c"))) + ", t AS (SELECT a, b, 2 AS mode, depth, dist FROM fwd UNION ALL SELECT b, a, 1, depth, dist FROM fwd UNION ALL SELECT a, b, -2, depth, dist FROM out2 UNION ALL SELECT b, a, -1, depth, dist FROM in2)"
+LINKS = "links AS (SELECT DISTINCT least(x.c, y.c) AS a, greatest(x.c, y.c) AS b FROM (SELECT l_orderkey, l_partkey * 64 + CAST(l_quantity AS BIGINT) AS c FROM lineitem WHERE l_linenumber = 1) x JOIN (SELECT l_orderkey, l_partkey * 64 + CAST(l_quantity AS BIGINT) AS c FROM lineitem WHERE l_linenumber = 2) y ON x.l_orderkey = y.l_orderkey WHERE x.c <> y.c)"
 CHAIN = "chain AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 16 = 1 OR p_partkey = 0 THEN 0 ELSE p_partkey - 1 END AS parent FROM part)"
 STEPS = "steps AS (SELECT user_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following FROM events), edges AS (SELECT DISTINCT event_type AS src, following AS dst FROM steps WHERE following IS NOT NULL AND following <> event_type)"
 BLOCKS = "b AS (SELECT user_id, event_id, ts, value, event_type, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS fresh FROM events), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS segment FROM b), z AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, segment ORDER BY ts, event_id) AS BIGINT) AS place FROM r)"
@@ -71,7 +100,7 @@ SHARED = {
 
 
 def q02(spark, d):
-    s = F.substring("text", 1, 200)
+    s = F.col("text")
     return table(spark, d, "documents").select("doc_id", S.encoded(s).alias("codes"), S.undefined(s).alias("n_undef"))
 
 
@@ -85,7 +114,9 @@ def q04(spark, d):
 
 
 def q05(spark, d):
-    return sequences(spark, d).select("doc_id", S.kmer_code(F.substring("seq", 1, 8)).alias("code"))
+    """How often each 8-mer's code stands in each sequence."""
+    codes = sequences(spark, d).select("doc_id", F.explode(S.kmers(F.col("seq"))).alias("kmer"))
+    return codes.groupBy("doc_id", "kmer").agg(F.count("*").alias("n")).select("doc_id", S.kmer_code(F.col("kmer")).alias("code"), "n")
 
 
 def coverage(spark, d):
@@ -104,50 +135,42 @@ def q07(spark, d):
 
 
 def q09(spark, d):
-    tail = lambda pattern: F.length(F.regexp_extract("seq", pattern, 0)).cast("long")
-    out = sequences(spark, d).select("doc_id", tail("A+$").alias("f"), tail("^T+").alias("b"))
-    return out.filter("f >= 3 or b >= 3")
+    """Fuzzy tails of A and heads of T with one mismatch in twenty."""
+    out = sequences(spark, d).select("doc_id", tails.fuzzy_run(F.reverse("seq"), "A", 3, 0.05).alias("f"), tails.fuzzy_run(F.col("seq"), "T", 3, 0.05).alias("b"))
+    return out.filter("f > 0 or b > 0")
 
 
 def q10(spark, d):
-    s = sequences(spark, d)
-    pairs = overlaps.with_sequences(overlaps.candidates(overlaps.kmer_postings(s), 20), s).filter("length(seq_a) = length(seq_b)")
-    out = pairs.withColumn("dist", S.hamming(F.col("seq_a"), F.col("seq_b")))
-    return out.filter(F.col("dist") <= S.distance_limit(F.length("seq_a"), 0.05)).select("a", "b", "dist")
+    return overlaps.hamming_pairs(classes(spark, d))
 
 
 def q11(spark, d):
-    return overlaps.candidates(overlaps.kmer_postings(sequences(spark, d)), 20)
+    return overlaps.end_candidates(classes(spark, d), 20)
 
 
 def q12(spark, d):
-    from pyspark.sql.window import Window
-
-    c = q11(spark, d)
-    both = c.unionByName(c.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("shared"), "b"))
-    return both.withColumn("k", rank.cast("long")).filter("k <= 3")
+    return q11(spark, d).withColumn("k", rank.cast("long")).filter("k <= 3")
 
 
 def dovetailed(spark, d):
-    s = sequences(spark, d)
-    return overlaps.dovetails(q11(spark, d), s, 24, 40, 0.05)
+    return overlaps.dovetails(classes(spark, d))
 
 
 def q14(spark, d):
-    s = sequences(spark, d)
-    probes = s.filter("length(seq) >= 70").select(F.col("doc_id").alias("probe_id"), F.substring("seq", 31, 40).alias("probe"))
-    return overlaps.contained(probes, s, 70)
+    """Short contigs, the ends of sequences, in whole ones."""
+    rows = classes(spark, d)
+    return overlaps.contained(rows.filter("length(seq) < 120"), rows.filter("length(seq) >= 120"))
 
 
 def q15(spark, d):
     scored = dovetailed(spark, d).withColumn("score", F.col("dist") * 76 - F.col("depth"))
-    return overlaps.best_per(scored, "b", "score", "a").select("a", "b", "score")
+    return overlaps.best_per(scored, "b", "score", "a", "mode").select("a", "b", "mode", "score")
 
 
 def q16(spark, d):
-    hits = q14(spark, d).join(sequences(spark, d).select("doc_id", F.length("seq").alias("len")), "doc_id")
-    return overlaps.best_per(hits, "probe_id", F.desc("len"), "doc_id").select("probe_id", F.col("doc_id").alias("container"), "pos")
+    hits = q14(spark, d).join(classes(spark, d).select("id", F.length("seq").alias("len")), "id")
+    return overlaps.best_per(hits, "probe_id", F.desc("len"), "id").select("probe_id", F.col("id").alias("container"), "pos")
 
 
 def links(spark, d):
@@ -199,8 +222,11 @@ def q32(spark, d):
     return resolved(chain(spark, d)).groupBy("root").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("node")), "-").alias("path"))
 
 
+PLACED = "placed AS (SELECT DISTINCT x.l_orderkey AS read_id, x.l_partkey * 64 + CAST(x.l_quantity AS BIGINT) AS c1, y.l_partkey * 64 + CAST(y.l_quantity AS BIGINT) AS c2 FROM lineitem x LEFT JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = 2 WHERE x.l_linenumber = 1)"
+
+
 def reads(spark, d):
-    return relational("SELECT DISTINCT x.l_orderkey AS read_id, x.l_partkey AS c1, y.l_partkey AS c2 FROM lineitem x LEFT JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = 2 WHERE x.l_linenumber = 1")(spark, d)
+    return relational(f"WITH {PLACED} SELECT read_id, c1, c2 FROM placed")(spark, d)
 
 
 def q34(spark, d):
@@ -222,7 +248,7 @@ def q41(spark, d):
 
 
 def q42(spark, d):
-    return dovetailed(spark, d).select("a", "b", (F.col("dist") <= 0.05 * F.col("depth")).alias("valid"))
+    return dovetailed(spark, d).select("a", "b", "mode", (F.col("dist") <= 0.05 * F.col("depth")).alias("valid"))
 
 
 def q43(spark, d):
@@ -230,8 +256,8 @@ def q43(spark, d):
 
 
 def q44(spark, d):
-    """Paths of at most four edges over the step graph of two users, without a node twice."""
-    e = relational(f"WITH {STEPS} SELECT src, dst FROM edges")(spark, d).cache()
+    """Paths of at most four edges over the graph of event types, without a node twice."""
+    e = relational(f"WITH {STEPS} SELECT src, dst FROM edges")(spark, d)
     level = e.select(F.array("src", "dst").alias("path"))
     out = level
     for _ in range(3):
@@ -242,26 +268,33 @@ def q44(spark, d):
 
 CC = LINKS + ", both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach AS (SELECT DISTINCT a AS node, a AS r FROM both_ways UNION SELECT both_ways.b, reach.r FROM reach JOIN both_ways ON both_ways.a = reach.node), cc AS (SELECT node, min(r) AS component FROM reach GROUP BY node)"
 ROOTS = CHAIN + ", walk AS (SELECT node, CASE WHEN parent = 0 THEN node ELSE parent END AS root FROM chain UNION SELECT walk.node, CASE WHEN chain.parent = 0 THEN chain.node ELSE chain.parent END FROM walk JOIN chain ON chain.node = walk.root), roots AS (SELECT node, min(root) AS root FROM walk GROUP BY node)"
-READS = CC + ", reads AS (SELECT DISTINCT x.l_orderkey AS read_id, x.l_partkey AS c1, y.l_partkey AS c2 FROM lineitem x LEFT JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = 2 WHERE x.l_linenumber = 1), g AS (SELECT read_id, c1, c2, coalesce(p.component, 0) AS group1, coalesce(q.component, 0) AS group2 FROM reads LEFT JOIN cc p ON p.node = c1 LEFT JOIN cc q ON q.node = c2)"
-CONT = SEQS + ", p AS (SELECT doc_id AS probe_id, substr(seq, 31, 40) AS probe FROM s WHERE length(seq) >= 70), hit AS (SELECT probe_id, doc_id, instr(seq, probe) AS pos, length(seq) AS len FROM p JOIN s ON probe_id <> doc_id AND contains(seq, probe) WHERE length(seq) >= 70)"
+READS = CC + ", " + PLACED + ", g AS (SELECT read_id, c1, c2, coalesce(p.component, 0) AS group1, coalesce(q.component, 0) AS group2 FROM placed LEFT JOIN cc p ON p.node = c1 LEFT JOIN cc q ON q.node = c2)"
+def sql_contained(name: str, probes: str) -> str:
+    """Hits of the short ones of `probes` in long contigs, by 12 letters of each of their stretches."""
+    keys = f"SELECT id AS probe_id, seq AS sb, unnest(list_transform(range(0, d + 1), lambda k: k * (length(seq) // (d + 1)))) AS pb, unnest(list_transform(range(0, d + 1), lambda k: substr(seq, k * (length(seq) // (d + 1)) + 1, 12))) AS stretch FROM (SELECT id, seq, CAST(floor(length(seq) * 0.05 + 0.5) AS BIGINT) AS d FROM {probes} WHERE length(seq) < 120)"
+    places = "SELECT id, seq AS sa, unnest(range(0, length(seq) - 11)) AS pa, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS stretch FROM c WHERE length(seq) >= 120"
+    return f"{name}_d AS (SELECT DISTINCT probe_id, id, sa, sb, pa - pb AS ia FROM ({places}) JOIN ({keys}) USING (stretch) WHERE pa >= pb AND pa - pb + length(sb) <= length(sa)), {name} AS (SELECT probe_id, id, ia, length(sa) AS len, hamming(substr(sa, ia + 1, length(sb)), sb) AS dist, length(sb) AS n FROM {name}_d WHERE hamming(substr(sa, ia + 1, length(sb)), sb) <= floor(length(sb) * 0.05 + 0.5))"
+
+
+CONT = CLASSES + ", " + sql_contained("same", "c") + ", " + sql_contained("turned", "rc") + ", every AS (SELECT probe_id, id, len, 0 AS turn, ia, dist FROM same UNION ALL SELECT probe_id, id, len, 1, ia, dist FROM turned), hit AS (SELECT probe_id, id, any_value(len) AS len, min({'turn': turn, 'ia': ia, 'dist': dist}) AS m FROM every GROUP BY probe_id, id)"
 COVER = SEQS + ", b AS (SELECT lang, unnest(range(0, length(seq))) AS pos, unnest(string_split(seq, '')) AS base FROM s), v AS (SELECT lang, pos, sum((base = 'A')::INT) AS a, sum((base = 'C')::INT) AS c, sum((base = 'G')::INT) AS g, sum((base = 'T')::INT) AS t FROM b GROUP BY ALL)"
 
 #: name: (query, its SQL or None).
 OWN = {
-    "q02_encode_undef": (q02, "SELECT doc_id, regexp_replace(translate(regexp_replace(substr(text, 1, 200), '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', '01230123'), 'x', 'x') AS codes, CAST(length(regexp_replace(substr(text, 1, 200), '[ACGTacgt]', '', 'g')) AS BIGINT) AS n_undef FROM documents"),
+    "q02_encode_undef": (q02, "SELECT doc_id, regexp_replace(translate(regexp_replace(text, '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', '01230123'), 'x', 'x') AS codes, CAST(length(regexp_replace(text, '[ACGTacgt]', '', 'g')) AS BIGINT) AS n_undef FROM documents"),
     "q03_revcomp": (q03, f"WITH {SEQS} SELECT doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM s"),
     "q04_kmer_spectrum": (q04, f"WITH {KMERS} SELECT kmer, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM k WHERE pos % 4 = 0 GROUP BY kmer"),
-    "q05_kmer_code": (q05, f"WITH {SEQS} SELECT doc_id, CAST(list_sum(list_transform(range(1, 9), lambda i: (instr('ACGT', substr(seq, i, 1)) - 1) * CAST(pow(4, 8 - i) AS BIGINT))) AS BIGINT) AS code FROM s"),
+    "q05_kmer_code": (q05, f"WITH {KMERS}, g AS (SELECT doc_id, kmer, count(*) AS n FROM k GROUP BY doc_id, kmer) SELECT doc_id, CAST(list_sum(list_transform(range(1, 9), lambda i: (instr('ACGT', substr(kmer, i, 1)) - 1) * CAST(pow(4, 8 - i) AS BIGINT))) AS BIGINT) AS code, n FROM g"),
     "q06_consensus": (q06, f"WITH {COVER} SELECT lang, pos, CASE greatest(a, c, g, t) WHEN a THEN 'A' WHEN c THEN 'C' WHEN g THEN 'G' ELSE 'T' END AS base FROM v"),
     "q07_mean_depth_volume": (q07, f"WITH {COVER} SELECT lang, round(avg(a + c + g + t), 6) AS mean_depth, CAST(sum(a + c + g + t) AS BIGINT) AS volume FROM v GROUP BY lang HAVING sum(a + c + g + t) > 152"),
-    "q09_polya_tail": (q09, f"WITH {SEQS} SELECT doc_id, CAST(length(regexp_extract(seq, 'A+$')) AS BIGINT) AS f, CAST(length(regexp_extract(seq, '^T+')) AS BIGINT) AS b FROM s WHERE length(regexp_extract(seq, 'A+$')) >= 3 OR length(regexp_extract(seq, '^T+')) >= 3"),
-    "q10_hamming_pairs": (q10, f"WITH {PAIRS} SELECT a, b, CAST(hamming(x.seq, y.seq) AS BIGINT) AS dist FROM c JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE length(x.seq) = length(y.seq) AND hamming(x.seq, y.seq) <= floor(length(x.seq) * 0.05 + 0.5)"),
-    "q11_kmer_candidates": (q11, f"WITH {PAIRS} SELECT a, b, shared FROM c"),
-    "q12_topk_candidates": (q12, f"WITH {PAIRS}, e AS (SELECT a, b, shared FROM c UNION ALL SELECT b, a, shared FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM e) SELECT a, b, shared, k FROM r WHERE k <= 3"),
-    "q13_dovetail_overlap": (dovetailed, f"WITH {DOVE} SELECT a, b, depth, CAST(dist AS BIGINT) AS dist FROM t"),
-    "q14_containment": (q14, f"WITH {CONT} SELECT probe_id, doc_id, pos FROM hit"),
-    "q15_best_connection": (q15, f"WITH {DOVE}, r AS (SELECT a, b, dist * 76 - depth AS score, row_number() OVER (PARTITION BY b ORDER BY dist * 76 - depth, a) AS k FROM t) SELECT a, b, CAST(score AS BIGINT) AS score FROM r WHERE k = 1"),
-    "q16_containment_merge": (q16, f"WITH {CONT}, r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY len DESC, doc_id) AS k FROM hit) SELECT probe_id, doc_id AS container, pos FROM r WHERE k = 1"),
+    "q09_polya_tail": (q09, f"WITH {SEQS}, {tails.sql_run('tail', 'reverse(seq)', 'A', 3, 0.05)}, {tails.sql_run('head', 'seq', 'T', 3, 0.05)} SELECT doc_id, tail.run AS f, head.run AS b FROM tail JOIN head USING (doc_id) WHERE tail.run > 0 OR head.run > 0"),
+    "q10_hamming_pairs": (q10, f"WITH {CLASSES}, z AS (SELECT id, seq, length(seq) AS len, CAST(floor(length(seq) * 0.05 + 0.5) AS BIGINT) AS d FROM c), st AS (SELECT id, seq, len, unnest(range(0, d + 1)) AS k, unnest(list_transform(range(0, d + 1), lambda k: substr(seq, k * (len // (d + 1)) + 1, len // (d + 1)))) AS stretch FROM z) SELECT DISTINCT x.id AS a, y.id AS b, CAST(hamming(x.seq, y.seq) AS BIGINT) AS dist FROM st x JOIN st y ON x.len = y.len AND x.k = y.k AND x.stretch = y.stretch AND x.id < y.id WHERE hamming(x.seq, y.seq) <= floor(x.len * 0.05 + 0.5)"),
+    "q11_kmer_candidates": (q11, f"WITH {ENDS} SELECT a, b, shared FROM cand"),
+    "q12_topk_candidates": (q12, f"WITH {ENDS}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) AS k FROM cand) SELECT a, b, shared, k FROM r WHERE k <= 3"),
+    "q13_dovetail_overlap": (dovetailed, f"WITH {DOVE} SELECT a, b, mode, depth, CAST(dist AS BIGINT) AS dist FROM t"),
+    "q14_containment": (q14, f"WITH {CONT} SELECT probe_id, id, CASE WHEN m.turn = 1 THEN -(m.ia + 1) ELSE m.ia + 1 END AS pos, CAST(m.dist AS BIGINT) AS dist FROM hit"),
+    "q15_best_connection": (q15, f"WITH {DOVE}, r AS (SELECT a, b, mode, dist * 76 - depth AS score, row_number() OVER (PARTITION BY b ORDER BY dist * 76 - depth, a, mode) AS k FROM t) SELECT a, b, mode, CAST(score AS BIGINT) AS score FROM r WHERE k = 1"),
+    "q16_containment_merge": (q16, f"WITH {CONT}, r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY len DESC, id) AS k FROM hit) SELECT probe_id, id AS container, CASE WHEN m.turn = 1 THEN -(m.ia + 1) ELSE m.ia + 1 END AS pos FROM r WHERE k = 1"),
     "q18_pointer_resolve": (q18, f"WITH RECURSIVE {ROOTS} SELECT node, root FROM roots"),
     "q19_connected_components": (q19, f"WITH RECURSIVE {CC} SELECT node, component FROM cc"),
     "q20_group_sizes": (q20, f"WITH RECURSIVE {CC}, z AS (SELECT component, count(*) AS size FROM cc GROUP BY component) SELECT size, count(*) AS n FROM z GROUP BY size"),
@@ -272,11 +305,11 @@ OWN = {
     "q33_read_map_stats": (q33, f"WITH RECURSIVE {READS} SELECT count(*) AS mapped, CAST(sum(((group1 = 0) <> (group2 = 0))::INT) AS BIGINT) AS single, CAST(sum((group1 > 0 AND group2 > 0 AND group1 <> group2)::INT) AS BIGINT) AS wrong, CAST(sum((group1 > 0 AND group1 = group2)::INT) AS BIGINT) AS same FROM g WHERE group1 > 0 OR group2 > 0"),
     "q34_read_group_map": (q34, f"WITH RECURSIVE {READS} SELECT read_id, c1, c2, group1, group2 FROM g WHERE group1 > 0 OR group2 > 0"),
     "q41_name_fields": (q41, "SELECT c_custkey, CAST(round(c_acctbal, 1) AS DOUBLE) AS last, CAST(c_nationkey AS DOUBLE) AS second, try_cast(c_name AS DOUBLE) AS third FROM customer"),
-    "q42_integrity": (q42, f"WITH {DOVE} SELECT a, b, dist <= 0.05 * depth AS valid FROM t"),
+    "q42_integrity": (q42, f"WITH {DOVE} SELECT a, b, mode, dist <= 0.05 * depth AS valid FROM t"),
     "q43_sorts": (q43, "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50"),
     "q44_paths": (q44, f"WITH RECURSIVE {STEPS}, p AS (SELECT [src, dst] AS path FROM edges UNION ALL SELECT list_append(path, dst) FROM p JOIN edges ON src = path[-1] AND NOT list_contains(path, dst) WHERE len(path) <= 4) SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS BIGINT) AS n_edges FROM p"),
     "q45_nn_lasso": (lambda spark, d: numeric.lasso_by_label(table(spark, d, "embeddings")), None),
-    "q46_multi_format_roundtrip": (lambda spark, d: formats.round_trip(sequences(spark, d)), None),
+    "q46_multi_format_roundtrip": (lambda spark, d: formats.round_trip(sequences(spark, d)), f"WITH {SEQS} SELECT doc_id, seq FROM s"),
 }
 
 
@@ -327,6 +360,42 @@ OWN |= {
 }
 
 
+def q53(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences(spark, sf_dir).select("doc_id", tails.trimmed(F.col("seq"), 3, 0.05).alias("seq"))
+
+
+def q54(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Junctions of contigs whose ends have much in common: the head of one in the other, the tail of the other in the one."""
+    rows = classes(spark, sf_dir)
+    pairs = overlaps.end_candidates(rows, 20).join(rows.select(F.col("id").alias("a"), F.col("seq").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("seq").alias("sb")), "b")
+    way = lambda r, t, side: F.struct(F.col(r).alias("ref_id"), F.col(f"s{r}").alias("ref"), F.col(t).alias("tgt_id"), F.col(f"s{t}").alias("tgt"), F.lit(side).alias("side"))
+    found = overlaps.junctions(pairs.select(F.explode(F.array(way("a", "b", 0), way("b", "a", 1))).alias("p")).select("p.*"))
+    found = found.join(rows.select(F.col("id").alias("ref_id"), F.length("seq").alias("len")), "ref_id")
+    return overlaps.bounded(found, F.lit(1), F.lit(0), F.lit(1), F.col("len"), 144, 12).drop("len")
+
+
+def q57(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct 8-mers of each contig on either strand and on both."""
+    own = F.array_distinct(S.kmers(F.col("seq")))
+    other = F.array_distinct(S.kmers(S.reverse_complement(F.col("seq"))))
+    return classes(spark, sf_dir).select("id", F.size(own).cast("long").alias("n"), F.size(F.array_union(own, other)).cast("long").alias("n_both"))
+
+
+PAIRED = """junc AS (SELECT l_orderkey AS ref, l_suppkey % 4 AS tgt, l_linenumber AS line, l_partkey AS k, l_extendedprice AS pos, l_quantity - 100 * l_tax AS ov, CASE WHEN l_linenumber % 2 = 1 THEN CASE WHEN l_partkey % 2 = 0 THEN 1 ELSE 3 END ELSE CASE WHEN l_partkey % 2 = 0 THEN 2 ELSE 4 END END AS mode FROM lineitem),
+pairing AS (SELECT h.ref, h.tgt, h.line AS head, h.k AS head_k, h.pos AS head_pos, t.line AS tail, t.k AS tail_k, t.pos AS tail_pos, h.ov AS ov1, t.ov AS ov2, CASE WHEN h.mode = 1 AND t.mode = 2 AND h.pos < t.pos THEN 'both' WHEN h.mode = 3 AND t.mode = 4 AND h.pos > t.pos THEN 'both' WHEN h.ov > t.ov THEN 'head' ELSE 'tail' END AS verdict FROM junc h JOIN junc t ON h.ref = t.ref AND h.tgt = t.tgt WHERE h.mode IN (1, 3) AND t.mode IN (2, 4)),
+scored AS (SELECT *, CASE verdict WHEN 'both' THEN ov1 + ov2 WHEN 'head' THEN ov1 ELSE ov2 END AS score FROM pairing),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY ref, tgt ORDER BY score DESC, head, head_k, head_pos, tail, tail_k, tail_pos) AS place FROM scored)"""
+SHARED |= {
+    "q55_best_junction_pair": f"WITH {PAIRED} SELECT ref, tgt, head, head_k, tail, tail_k, verdict, round(score, 4) + 0.0 AS score FROM ranked WHERE place = 1",
+    "q56_junction_stats": "SELECT l_suppkey AS grp, count(*) AS n, CAST(sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS BIGINT) AS n_valid, max(l_quantity) AS max_ovlp, min(l_quantity) AS min_ovlp, min(CASE WHEN l_returnflag = 'R' THEN l_orderkey END) AS first_match FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, grp",
+}
+OWN |= {
+    "q53_polya_trim": (q53, f"WITH {SEQS}, {tails.sql_run('tail', 'reverse(seq)', 'A', 3, 0.05)}, {tails.sql_run('head', 'seq', 'T', 3, 0.05)} SELECT doc_id, CASE WHEN tail.run >= length(seq) OR head.run >= length(seq) THEN NULL WHEN tail.run > 0 AND tail.run > head.run THEN substr(seq, 1, length(seq) - tail.run + 3) WHEN head.run > 0 THEN reverse(translate(substr(seq, head.run - 2), 'ACGT', 'TGCA')) ELSE seq END AS seq FROM s JOIN tail USING (doc_id) JOIN head USING (doc_id)"),
+    "q54_junctions": (q54, None),
+    "q57_both_strand_kmers": (q57, f"WITH {CLASSES}, both_k AS (SELECT c.id, list_distinct(list_transform(range(1, length(c.seq) - 6), lambda i: substr(c.seq, i, 8))) AS k, list_transform(range(1, length(c.seq) - 6), lambda i: substr(rc.seq, i, 8)) AS r FROM c JOIN rc USING (id)) SELECT id, CAST(len(k) AS BIGINT) AS n, CAST(len(list_distinct(list_concat(k, r))) AS BIGINT) AS n_both FROM both_k"),
+}
+
+
 def queries() -> dict:
     return dict(sorted({**{k: relational(v) for k, v in SHARED.items()}, **{k: v[0] for k, v in OWN.items()}}.items()))
 

@@ -23,9 +23,15 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGT", "TGCA"))
 
 
-def kmers(seq: Column, k: int = 8) -> Column:
-    """All k-mers in order; a shorter sequence is its own single one."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(seq) - k + 1, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))
+def kmers(seq: Column, k: int = 8, stretch: int = 256) -> Column:
+    """All k-mers in order; a shorter sequence is its own single one.
+
+    A substring is found by counting from the start, so long sequences are cut into stretches first.
+    """
+    first = F.sequence(F.lit(0), F.greatest(F.length(seq) - k, F.lit(0)), F.lit(stretch))
+    parts = F.transform(first, lambda at: seq.substr(at + 1, F.lit(stretch + k - 1)))
+    own = lambda part: F.transform(F.sequence(F.lit(1), F.greatest(F.length(part) - k + 1, F.lit(1))), lambda i: part.substr(i, F.lit(k)))
+    return F.flatten(F.transform(parts, own))
 
 
 def kmer_code(kmer: Column) -> Column:

@@ -1,48 +1,287 @@
-"""Fuzzy joins: k-mer candidates by an inverted list, a count filter, then exact verification."""
+"""Fuzzy joins of sequences: exact seeds by the pigeonhole principle, then verification of the letters.
+
+An overlap of n letters with at most d mismatches has an exact stretch among any d + 1 stretches of it, so an
+equi-join on stretches finds every pair and no frequent short k-mer is ever a key by itself.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sequence as S
 
+#: Letters of a contig cut from a longer sequence, the shortest one, and the letters of an end.
+WIDTH, LEAST, END = 120, 40, 40
+
+
+def contigs(seqs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
+    """(id, doc_id, seq): the whole sequence of each row as consecutive contigs of `width` letters.
+
+    A rest of under `least` letters stays with the contig before it, so every letter is in exactly one contig.
+    """
+    n = F.length("seq")
+    count = F.greatest(F.floor((n + (width - least)) / width), F.lit(1)).cast("long")
+    rows = seqs.select("doc_id", "seq", count.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("k"))
+    size = F.when(F.col("k") == F.col("n") - 1, F.length("seq") - F.col("k") * width).otherwise(F.lit(width)).cast("int")
+    return rows.select((F.col("doc_id") * 100_000 + F.col("k")).alias("id"), "doc_id", F.substring("seq", (F.col("k") * width + 1).cast("int"), size).alias("seq"))
+
+
+def distinct_sequences(rows: DataFrame) -> DataFrame:
+    """(id, seq, copies): one row for each sequence, under its smallest id; copies are linked by that alone."""
+    return rows.groupBy("seq").agg(F.min("id").alias("id"), F.count("*").alias("copies")).select("id", "seq", "copies")
+
+
+def letters(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and where each value starts."""
+    values = batch.column(column).cast(pa.large_string())
+    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
+
 
-def kmer_postings(seqs: DataFrame, k: int = 8, step: int = 1) -> DataFrame:
-    """(doc_id, kmer), distinct; step: every step-th k-mer only."""
-    every = seqs.select("doc_id", F.posexplode(S.kmers(F.col("seq"), k)).alias("pos", "kmer"))
-    return every.filter(F.col("pos") % step == 0).select("doc_id", "kmer").distinct()
+def compared(rows: DataFrame) -> DataFrame:
+    """rows (sa, ia, sb, ib, n, ..) without these and with dist: mismatches of the n letters from sa[ia] and sb[ib] (from 0)."""
+    fields = [f for f in rows.schema.fields if f.name not in ("sa", "ia", "sb", "ib", "n")]
 
+    def stage(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            (a, starts_a), (b, starts_b) = letters(batch, "sa"), letters(batch, "sb")
+            ia, ib, n = (np.asarray(batch.column(c)).astype(np.int64) for c in ("ia", "ib", "n"))
+            ends = np.cumsum(n)
+            step = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+            wrong = a[np.repeat(starts_a[:-1] + ia, n) + step] != b[np.repeat(starts_b[:-1] + ib, n) + step]
+            total = np.concatenate([[0], np.cumsum(wrong)])
+            dist = total[ends] - total[ends - n]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(dist, pa.int64())], names=[*(f.name for f in fields), "dist"])
 
-def candidates(postings: DataFrame, least: int) -> DataFrame:
-    """(a, b, shared): pairs a < b with at least `least` common k-mers."""
-    left = postings.withColumnRenamed("doc_id", "a")
-    right = postings.withColumnRenamed("doc_id", "b")
-    return left.join(right, "kmer").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    return rows.mapInArrow(stage, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", dist long")
 
 
 def with_sequences(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    a = seqs.select(F.col("doc_id").alias("a"), F.col("seq").alias("seq_a"))
-    b = seqs.select(F.col("doc_id").alias("b"), F.col("seq").alias("seq_b"))
+    """pairs (a, b, ..) with both sequences as sa and sb."""
+    a = seqs.select(F.col("id").alias("a"), F.col("seq").alias("sa"))
+    b = seqs.select(F.col("id").alias("b"), F.col("seq").alias("sb"))
     return pairs.join(a, "a").join(b, "b")
 
 
-def dovetails(pairs: DataFrame, seqs: DataFrame, shortest: int, longest: int, share: float) -> DataFrame:
-    """(a, b, depth, dist): the least tail-to-head overlap of each pair, both directions tried as given."""
-    rows = with_sequences(pairs, seqs).withColumn("hit", S.dovetail(F.col("seq_a"), F.col("seq_b"), shortest, longest, share))
-    return rows.filter("hit is not null").select("a", "b", F.col("hit.depth").cast("long").alias("depth"), F.col("hit.dist").alias("dist"))
+def hamming_pairs(seqs: DataFrame, share: float = 0.05) -> DataFrame:
+    """(a, b, dist): pairs a < b of different sequences (id, seq) of one length within the distance limit."""
+    n, parts = F.length("seq"), S.distance_limit(F.length("seq"), share) + 1
+    rows = seqs.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    size = F.floor(n / parts)
+    stretch = F.col("seq").substr((F.col("k") * size + 1).cast("int"), F.when(F.col("k") == parts - 1, n).otherwise(size).cast("int"))
+    rows = rows.select("id", F.xxhash64(n, "k", stretch).alias("key"), n.alias("len"))
+    pairs = rows.withColumnRenamed("id", "a").join(rows.withColumnRenamed("id", "b"), ["key", "len"]).filter("a < b").select("a", "b").distinct()
+    rows = with_sequences(pairs, seqs).select("a", "b", "sa", "sb", F.lit(0).alias("ia"), F.lit(0).alias("ib"), F.length("sa").alias("n"), F.length("sa").alias("len"))
+    return compared(rows).filter(F.col("dist") <= S.distance_limit(F.col("len"), share)).select("a", "b", "dist")
+
+
+def end_candidates(seqs: DataFrame, least: int, end: int = END, k: int = 8) -> DataFrame:
+    """(a, b, shared): the last `end` letters of a and the first of b have `least` distinct k-mers or more in common.
+
+    Only the rarest k-mers of an end, of which a pair must share one, are joined; then whole ends are compared.
+    """
+    kmers = lambda part: F.array_distinct(S.kmers(part, k))
+    rows = seqs.select("id", kmers(F.expr(f"right(seq, {end})")).alias("tail"), kmers(F.expr(f"left(seq, {end})")).alias("head"))
+    spread = rows.select("id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("tail").alias("kmers")), F.struct(F.lit(1).alias("side"), F.col("head").alias("kmers")))).alias("e")).select("id", "e.side", F.size("e.kmers").alias("n"), F.explode("e.kmers").alias("kmer"))
+    counts = spread.groupBy("kmer").agg(F.count("*").alias("df"))
+    rank = F.row_number().over(Window.partitionBy("id", "side").orderBy("df", "kmer"))
+    rare = spread.join(counts, "kmer").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - least + 1)
+    tails, heads = (rare.filter(f"side = {i}").select(F.col("id").alias(c), "kmer") for i, c in ((0, "a"), (1, "b")))
+    pairs = tails.join(heads, "kmer").filter("a <> b").select("a", "b").distinct()
+    pairs = pairs.join(rows.select(F.col("id").alias("a"), "tail"), "a").join(rows.select(F.col("id").alias("b"), "head"), "b")
+    return pairs.select("a", "b", F.size(F.array_intersect("tail", "head")).cast("long").alias("shared")).filter(F.col("shared") >= least)
+
+
+def limit_steps(shortest: int, longest: int, share: float) -> list[tuple[int, int, int]]:
+    """(first length, last length, mismatches allowed) of overlap lengths, by the number allowed."""
+    out: list[tuple[int, int, int]] = []
+    for n in range(shortest, longest + 1):
+        d = int(n * share + 0.5)
+        out = [*out[:-1], (out[-1][0], n, d)] if out and out[-1][2] == d else [*out, (n, n, d)]
+    return out
+
+
+def tail_head(tails: DataFrame, heads: DataFrame, shortest: int, longest: int, share: float) -> DataFrame:
+    """(a, turn_a, b, turn_b, depth, dist): the least overlap of a tail (id, turn, seq) with a head of another id within the distance limit.
+
+    For each number d of mismatches the first letters of the head, as many as the shortest overlap with d has,
+    are cut into d + 1 stretches; one of them stands in the tail without a mismatch. All numbers are one join,
+    by a hash of number and stretch. Two turned sequences are left aside, as they overlap like the same two as they are.
+    """
+    n = F.length("seq")
+    keys, places = [], []
+    for low, high, d in limit_steps(shortest, longest, share):
+        size = low // (d + 1)
+        own = lambda at: F.xxhash64(F.lit(d), F.col("seq").substr(at + 1, F.lit(size))).alias("key")  # noqa: E731,B023
+        rows = heads.filter(n >= low).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(d))))
+        keys.append(rows.select(F.col("id").alias("b"), F.col("turn").alias("turn_b"), n.alias("nb"), (F.col("k") * size).alias("pb"), F.lit(low).alias("low"), F.lit(high).alias("high"), own(F.col("k") * size)))
+        # places of the tail that a stretch can have
+        rows = tails.filter(n >= low).withColumn("pa", F.explode(F.sequence(F.greatest(n - high, F.lit(0)), n - size)))
+        places.append(rows.select(F.col("id").alias("a"), F.col("turn").alias("turn_a"), n.alias("na"), "pa", own(F.col("pa"))))
+    keys, places = functools.reduce(DataFrame.unionByName, keys), functools.reduce(DataFrame.unionByName, places)
+    depth = F.col("na") - F.col("pa") + F.col("pb")
+    met = places.join(keys, "key").withColumn("depth", depth)
+    met = met.filter((F.col("a") != F.col("b")) & (F.col("turn_a") + F.col("turn_b") < 2) & F.col("depth").between(F.col("low"), F.least("high", "na", "nb")))
+    met = met.select("a", "turn_a", "b", "turn_b", "depth").distinct()
+    side = lambda rows, x: rows.select(F.col("id").alias(x), F.col("turn").alias(f"turn_{x}"), F.col("seq").alias(f"s{x}"))
+    met = met.join(side(tails, "a"), ["a", "turn_a"]).join(side(heads, "b"), ["b", "turn_b"])
+    hits = compared(met.select("a", "turn_a", "b", "turn_b", "depth", "sa", (F.length("sa") - F.col("depth")).alias("ia"), "sb", F.lit(0).alias("ib"), F.col("depth").alias("n")))
+    hits = hits.filter(F.col("dist") <= S.distance_limit(F.col("depth"), share))
+    best = hits.groupBy("a", "turn_a", "b", "turn_b").agg(F.min(F.struct("depth", "dist")).alias("m"))
+    return best.select("a", "turn_a", "b", "turn_b", F.col("m.depth").cast("long").alias("depth"), F.col("m.dist").alias("dist"))
+
+
+def dovetails(seqs: DataFrame, shortest: int = 24, longest: int = 119, share: float = 0.05, both_strands: bool = True) -> DataFrame:
+    """(a, b, mode, depth, dist): the least overlap of each ordered pair of sequences (id, seq) in each mode.
 
+    Modes, by what b is to a: 2: a's tail on b's head; 1: a's head on b's tail; with b's reverse complement
+    -1: a's head on its tail, -2: a's tail on its head.
+    """
+    rows = seqs.select("id", F.lit(0).alias("turn"), "seq")
+    if both_strands:
+        rows = rows.unionByName(seqs.select("id", F.lit(1).alias("turn"), S.reverse_complement(F.col("seq")).alias("seq")))
+    found = tail_head(rows, rows, shortest, longest, share)
+    # an overlap of two sequences as they are is one of either with the other
+    mode = lambda a, b, m: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.lit(m).alias("mode"))
+    modes = F.when(F.col("turn_b") == 1, F.array(mode("a", "b", -2))).when(F.col("turn_a") == 1, F.array(mode("b", "a", -1))).otherwise(F.array(mode("a", "b", 2), mode("b", "a", 1)))
+    return found.select(F.explode(modes).alias("m"), "depth", "dist").select("m.*", "depth", "dist")
 
-def contained(probes: DataFrame, seqs: DataFrame, least: int) -> DataFrame:
-    """(probe_id, doc_id, pos): probes (probe_id, probe) inside sequences of other documents, by first k-mer."""
-    k = 8
-    keyed = probes.withColumn("kmer", F.substring("probe", 1, k))
-    postings = seqs.filter(F.length("seq") >= least).select("doc_id", "seq", F.explode(F.array_distinct(S.kmers(F.col("seq"), k))).alias("kmer"))
-    hits = keyed.join(postings, "kmer").filter("probe_id <> doc_id").withColumn("pos", F.instr("seq", F.col("probe")).cast("long"))
-    return hits.filter("pos > 0").select("probe_id", "doc_id", "pos")
+
+def contained(short: DataFrame, long: DataFrame, share: float = 0.05, both_strands: bool = True, seed: int = 12) -> DataFrame:
+    """(probe_id, id, pos, dist): where each short sequence (id, seq) stands in a longer one within the distance limit.
+
+    pos is the leftmost place (from 1); negative if the short one's reverse complement stands there, which
+    counts only where the short one itself does not. Short sequences must have `seed` letters for each stretch.
+    """
+    n, parts = F.length("seq"), S.distance_limit(F.length("seq"), share) + 1
+    key = lambda at: F.xxhash64(F.col("seq").substr(at + 1, F.lit(seed)))
+    probes = short.select("id", "seq", F.lit(1).alias("sign"))
+    if both_strands:
+        probes = probes.unionByName(short.select("id", S.reverse_complement(F.col("seq")).alias("seq"), F.lit(-1).alias("sign")))
+    keys = probes.withColumn("pb", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda k: (k * F.floor(n / parts)).cast("int"))))
+    keys = keys.select(F.col("id").alias("probe_id"), "sign", F.col("seq").alias("sb"), "pb", key(F.col("pb")).alias("key"))
+    rows = long.withColumn("pa", F.explode(F.sequence(F.lit(0), n - seed))).select("id", n.alias("na"), "pa", key(F.col("pa")).alias("key"))
+    at = F.col("pa") - F.col("pb")
+    hits = rows.join(keys, "key").filter((F.col("id") != F.col("probe_id")) & (F.col("na") > F.length("sb")) & (at >= 0) & (at + F.length("sb") <= F.col("na"))).select("probe_id", "sign", "id", "sb", at.alias("ia")).distinct()
+    hits = hits.join(long.select("id", F.col("seq").alias("sa")), "id").select("probe_id", "id", "sign", F.col("ia").alias("at"), "sa", "ia", "sb", F.lit(0).alias("ib"), F.length("sb").alias("n"), F.length("sb").alias("len"))
+    found = compared(hits).filter(F.col("dist") <= S.distance_limit(F.col("len"), share))
+    best = found.groupBy("probe_id", "id").agg(F.min(F.struct((-F.col("sign")).alias("turned"), "at", "dist")).alias("m"))
+    return best.select("probe_id", "id", (-F.col("m.turned") * (F.col("m.at") + 1)).cast("long").alias("pos"), F.col("m.dist").alias("dist"))
 
 
 def best_per(df: DataFrame, key: str, *order) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__rank = 1").drop("__rank")
+
+
+def longest_run(a: np.ndarray, b: np.ndarray, limits: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of letters a and b: the place (from 0) of the last match before mismatches exceed limits[place], and the mismatches up to it.
+
+    Without any match the run is 0 and the distance 10000. sizes: letters of a row that count.
+    """
+    wrong = a != b
+    total = np.cumsum(wrong, axis=1)
+    over = wrong & (total > limits[: a.shape[1]])
+    place = np.arange(a.shape[1])
+    end = np.where(over.any(axis=1), over.argmax(axis=1), a.shape[1])
+    end = end if sizes is None else np.minimum(end, sizes)
+    ok = ~wrong & (place < end[:, None])
+    last = np.where(ok.any(axis=1), a.shape[1] - 1 - ok[:, ::-1].argmax(axis=1), -1)
+    return np.maximum(last, 0), np.where(last >= 0, total[np.arange(len(a)), last], 10000)
+
+
+def junction(first: bytes, second: bytes, head: bool, least: int, most: int, share: float, enough: int, both_strands: bool = True) -> tuple[int, int, int, int]:
+    """(pos, depth, mode, dist) of the longest approximate run of second's head (or tail) in first; zeros and 10000 for none.
+
+    Places wholly inside are tried first, then those that stick out over an end. Of each the first longest run
+    counts, and the search ends at a run beyond `enough`. The depth is the place of the last match from 0, so a
+    perfect run of seven letters has six. Modes 1 and 2: head and tail as they are; 3 and 4 on the other strand.
+    A head is tried as it is first, a tail on the other strand first; with one strand alone, only a head as it
+    is and a tail as it is.
+    """
+    size = min(most, len(first), len(second))
+    if size < 1:
+        return 0, 0, 0, 10000
+    text = np.frombuffer(first, np.uint8)
+    own = np.frombuffer(second[:size] if head else second[len(second) - size :], np.uint8)
+    flipped = np.frombuffer(own.tobytes().translate(bytes.maketrans(b"ACGT", b"TGCA"))[::-1], np.uint8)
+    k = np.arange(max(size, 1))
+    limits = np.floor(np.where(k < least, least, k) * share + 0.5).astype(np.int64)
+    # onward: read from the end of second that is searched for; backward: towards it
+    onward, backward = (own, flipped) if head else (flipped, own)
+    turns = [(onward, 1, 1 if head else 4)] if head or both_strands else []
+    turns += [(backward, -1, 3 if head else 2)] if not head or both_strands else []
+    windows = np.lib.stride_tricks.sliding_window_view(text, size)
+    for inside in (True, False):
+        if not inside and size < least:
+            break
+        for pattern, way, mode in turns:
+            sizes = None
+            if inside:
+                a = windows[:, ::way]
+            else:
+                sizes = np.arange(least, size + 1)
+                padded = np.zeros((len(sizes), size), np.uint8)
+                for i, n in enumerate(sizes):
+                    padded[i, :n] = text[len(text) - n :] if way > 0 else text[:n][::-1]
+                a = padded
+            run, dist = longest_run(a, np.broadcast_to(pattern[::way], a.shape), limits, sizes)
+            stop = np.flatnonzero(run > enough)
+            best = int(run[: stop[0] + 1 if len(stop) else len(run)].argmax())
+            depth = int(run[best])
+            if depth >= least:
+                if way > 0:
+                    pos = best + 1 if inside else len(text) - least - best + 1
+                else:
+                    pos = best + size - depth + 1 if inside else least - depth + best + 1
+                return pos, depth, mode, int(dist[best])
+    return 0, 0, 0, 10000
+
+
+JUNCTION = "ref_id long, tgt_id long, side int, pos int, depth int, mode int, dist int"
+
+
+def junctions(pairs: DataFrame, least: int = 24, most: int = 100, share: float = 0.05, enough: int = 50, both_strands: bool = True) -> DataFrame:
+    """Junctions of pairs (ref_id, ref, tgt_id, tgt, side: 0 for the target's head, 1 for its tail); pairs without one are left out."""
+
+    def stage(batches):
+        for batch in batches:
+            rows = []
+            for ref_id, ref, tgt_id, tgt, side in zip(*(batch.column(c).to_pylist() for c in ("ref_id", "ref", "tgt_id", "tgt", "side"))):
+                found = junction(ref.encode(), tgt.encode(), side == 0, least, most, share, enough, both_strands)
+                if found[0]:
+                    rows.append((ref_id, tgt_id, side, *found))
+            if rows:
+                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in JUNCTION.split(", ")])
+
+    return pairs.mapInArrow(stage, JUNCTION)
+
+
+def bounded(rows: DataFrame, blocks: Column, block: Column, start: Column, ref_len: Column, unshared: int, backoff: int) -> DataFrame:
+    """Junctions (pos, depth, mode, ref_id, tgt_id) of a block by the boundary rules, with bnd1 and bnd2 on the whole reference.
+
+    block: its number from 0 of `blocks`; start: its first place on the reference (from 1); unshared: letters
+    of a block before the next one starts. A junction in the part that the next block has too, or at the first
+    place of a later block, belongs to the other block. One that lies inside the reference is drawn back by
+    `backoff` letters at its open end. One that touches an end is a connection and kept once, where the larger id is the reference.
+    """
+    pos, depth = F.col("pos"), F.col("depth")
+    rows = rows.filter(~((block < blocks - 1) & (pos > unshared)) & ~((block > 0) & (pos == 1)))
+    first, last = pos + start - 1, pos + start - 1 + depth - 1
+    inner = (first > 1) & (last < ref_len)
+    late = inner & F.col("mode").isin(2, 3)
+    rows = rows.withColumns({"bnd1": (first + F.when(late, backoff).otherwise(0)).cast("long"), "bnd2": (last - F.when(inner & ~late, backoff).otherwise(0)).cast("long")})
+    end = (F.col("bnd1") == 1) | (F.col("bnd2") == ref_len)
+    return rows.filter((F.col("bnd1") < F.col("bnd2")) & (~end | (F.col("ref_id") > F.col("tgt_id"))))
+
+

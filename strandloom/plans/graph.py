@@ -42,16 +42,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def resolved(pointers: DataFrame) -> DataFrame:
     """(node, root) of (node, parent) by pointer jumping: a node that points to itself or 0 is a root.
 
-    Chains of length n take about log2(n) rounds. Pointers to nodes that don't exist resolve to null.
+    Chains of length n take about log2(n) rounds. Pointers to nodes that don't exist resolve to null, and so do
+    nodes on a ring or leading to one: after as many rounds as the longest possible chain needs, what still
+    doesn't point to a root never will.
     """
-    now = stored(pointers.select("node", F.when((F.col("parent") == 0) | (F.col("parent") == F.col("node")), F.col("node")).otherwise(F.col("parent")).alias("root")), "roots")
-    while True:
-        there = now.select(F.col("node").alias("n"), F.col("root").alias("r"))
-        then = stored(now.join(there, F.col("root") == F.col("n"), "left").select("node", F.col("r").alias("root")), "roots")
-        changed = now.join(then.withColumnRenamed("root", "new"), "node").filter(~F.col("root").eqNullSafe(F.col("new")))
-        if changed.isEmpty():
-            return then
-        now = then
+    parent = F.when((F.col("parent") == 0) | (F.col("parent") == F.col("node")), F.col("node")).otherwise(F.col("parent"))
+    now = stored(pointers.select("node", parent.alias("root"), (parent == F.col("node")).alias("done")), "roots")
+    for _ in range(now.count().bit_length() + 1):
+        there = now.select(F.col("node").alias("n"), F.col("root").alias("r"), F.col("done").alias("d"))
+        then = now.join(there, F.col("root") == F.col("n"), "left").select("node", F.col("r").alias("root"), F.coalesce("d", F.col("r").isNull()).alias("done"))
+        now = stored(then, "roots")
+        if now.filter(~F.col("done")).isEmpty():
+            break
+    return now.select("node", F.when(F.col("done"), F.col("root")).alias("root"))
 
 
 def signed_components(edges: DataFrame) -> DataFrame:

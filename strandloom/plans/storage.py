@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by the session; a local one of our own only where the session names none."""
+    """The folder that the session names in spark.checkpoint.dir.
+
+    Where it names none, one of our own serves a session in one process (as in tests); on a cluster, whose
+    executors wouldn't see it, that is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="strandloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

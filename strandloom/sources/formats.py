@@ -1,15 +1,14 @@
-"""Text formats of sequence data: FASTA and FASTQ records, config files."""
+"""Text formats of sequence data: FASTA and FASTQ records, contigs, segments, read maps, alignment hits."""
 
 from __future__ import annotations
 
-import dataclasses
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.storage import shared_dir
+from ..plans.storage import shared_dir, stored
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -23,50 +22,95 @@ def write_fasta(df: DataFrame, path: str) -> None:
     df.select(F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value")).write.text(path)
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, value): the lines of text files with their numbers from 0 in each file.
+
+    Lines are counted within each split of a file; the driver holds one count for each split.
+    """
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"), "value")
+    starts, at, last = [], 0, None
+    for file, split, n in rows.groupBy("file", "split").count().orderBy("file", "split").collect():
+        at = 0 if file != last else at
+        starts.append((file, split, at))
+        at, last = at + n, file
+    known = spark.createDataFrame(starts, "file string, split long, start long")
+    number = F.row_number().over(Window.partitionBy("file", "split").orderBy("line")) - 1
+    return rows.withColumn("number", number).join(known, ["file", "split"]).select("file", (F.col("start") + F.col("number")).alias("at"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, qual) of four-line FASTQ records whose name lines start with @."""
-    lines = F.split("value", "\n")
-    records = spark.read.option("lineSep", "\n@").text(path)
-    return records.select(F.regexp_replace(F.get(lines, F.lit(0)), "^@", "").alias("name"), F.get(lines, F.lit(1)).alias("seq"), F.get(lines, F.lit(3)).alias("qual"))
+    """(read_id, name, seq, qual) of records of four lines each, whatever their quality lines start with; read_id from 0 in each file."""
+    rows = lines(spark, path).withColumn("read_id", F.floor(F.col("at") / 4).cast("long"))
+    line = lambda i: F.max(F.when(F.col("at") % 4 == i, F.col("value")))
+    rows = rows.groupBy("file", "read_id").agg(line(0).alias("name"), line(1).alias("seq"), line(3).alias("qual"))
+    return rows.filter(F.col("name").startswith("@")).select("read_id", F.substring("name", 2, 1 << 30).alias("name"), "seq", "qual")
+
+
+def read_fastq_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
+    """(read_id, mate, name, seq, qual) of two files whose records belong together by their numbers."""
+    side = lambda path, mate: read_fastq(spark, path).withColumn("mate", F.lit(mate))
+    return side(first, 1).unionByName(side(second, 2)).select("read_id", "mate", "name", "seq", "qual")
+
+
+def line_count(spark: SparkSession, path: str) -> int:
+    return spark.read.text(path).count()
+
+
+def file_kind(spark: SparkSession, path: str) -> str:
+    """fasta or fastq by a file's first letter, else what follows the last dot of its name, in lower case."""
+    first = spark.read.text(path).first()
+    start = (first.value if first else "")[:1]
+    return {">": "fasta", "@": "fastq"}.get(start) or (path.rsplit("/", 1)[-1].rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else "")
+
+
+def fasta_counts(spark: SparkSession, path: str, least: int = 300) -> DataFrame:
+    """One row (n, n_long): the records of a FASTA file and those of at least `least` letters, the last one included."""
+    return read_fasta(spark, path).agg(F.count("*").alias("n"), F.count_if(F.length("seq") >= least).alias("n_long"))
+
+
+def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, idx, grp, len, abn, tpm, nrv, nrb, seq) of FASTA headers with these fields; len is that of the sequence.
+
+    Records without a sequence or a header are left out; missing numbers are null.
+    """
+    words = F.split(F.trim("header"), r"\s+")
+    word = lambda i, kind: F.get(words, F.lit(i)).try_cast(kind)
+    rows = read_fasta(spark, path).filter("header <> '' and seq <> ''")
+    return rows.select(word(0, "string").alias("name"), word(1, "int").alias("idx"), word(2, "int").alias("grp"), F.length("seq").alias("len"), word(4, "double").alias("abn"), word(5, "double").alias("tpm"), word(6, "int").alias("nrv"), word(7, "int").alias("nrb"), "seq")
+
+
+def write_transcripts(df: DataFrame, path: str) -> None:
+    head = F.concat_ws("\t", "name", "idx", "grp", F.length("seq"), "abn", "tpm", "nrv", "nrb")
+    write_fasta(df.select(head.alias("header"), "seq"), path)
+
+
+def write_by_threshold(df: DataFrame, path: str, thresholds: list[float]) -> DataFrame:
+    """Transcripts of at least each depth, a folder MinCvgDepth=<threshold> for each; returns (threshold, n)."""
+    limits = F.explode(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("abn") >= t))
+    rows = df.withColumn("threshold", limits)
+    head = F.concat_ws("\t", "name", "idx", "grp", F.length("seq"), "abn", "tpm", "nrv", "nrb")
+    out = rows.select(F.round("threshold").cast("long").alias("MinCvgDepth"), F.concat(F.lit(">"), head, F.lit("\n"), "seq").alias("value"))
+    out.write.partitionBy("MinCvgDepth").text(path)
+    return rows.groupBy("threshold").agg(F.count("*").alias("n"))
+
+
+#: Columns of the match table, each under its own label.
+MATCH_COLUMNS = "qid sid qlen slen scvg qcvg est_abn est_rpkm grp iso true_abn true_rpkm nident mismatch".split()
+
+
+def write_matches(df: DataFrame, path: str) -> None:
+    """Matches as tab-separated rows under a header, every value under its own label."""
+    df.select(MATCH_COLUMNS).write.csv(path, sep="\t", header=True)
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     """Tabular alignment hits with the coverage of subject and query."""
+    # fixed values: the columns of the tabular hit format
     names = "qseqid sseqid qlen length slen qstart qend sstart send nident mismatch gapopen qcovs qcovhsp bitscore".split()
     schema = ", ".join(f"{n} {'string' if i < 2 else 'double'}" for i, n in enumerate(names))
     return spark.read.csv(path, sep="\t", schema=schema).withColumns({"scvg": F.col("length") / F.col("slen"), "qcvg": F.col("length") / F.col("qlen")})
 
 
-@dataclasses.dataclass(frozen=True)
-class Config:
-    """Assembly settings; unset ones get their defaults from the read length."""
-
-    nominal_read_length: int
-    norm_dist_threshold: float = 0.06
-    min_overlap_depth: float = 44
-    junction_threshold: int = 24
-    connection_threshold: int = 24
-    s_overlap_threshold: int = 50
-    junction_backoff: int = 12
-    max_n_cntgs_per_group: int = 40
-    strand_specificity: int = 0
-    output_file_prefix: str = "assembly"
-
-
-def read_config(text: str) -> Config:
-    """Lines of `KEYWORD value # comment`; unknown keywords are left aside, NOMINAL_READ_LENGTH is needed."""
-    found = {}
-    kinds = {f.name: f.type for f in dataclasses.fields(Config)}
-    for line in text.splitlines():
-        words = line.split("#")[0].split()
-        if len(words) >= 2 and words[0].lower() in kinds:
-            name = words[0].lower()
-            found[name] = {"int": int, "float": float, "str": str}[kinds[name]](words[1])
-    if "nominal_read_length" not in found:
-        raise ValueError("NOMINAL_READ_LENGTH is missing")
-    return Config(**found)
-
-
 def round_trip(seqs: DataFrame) -> DataFrame:
     """Sequences written as FASTA and read again."""
     path = f"{shared_dir(seqs.sparkSession)}/fasta-{uuid.uuid4().hex}"
@@ -134,7 +178,7 @@ def read_read_map(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     The file: the number of contigs, a pointer for each, the number of reads, two contigs for each. Reads
     beyond the number that the file names are left aside.
     """
-    numbers = _numbered(spark, path)
+    numbers = stored(_numbered(spark, path), "numbers")
     held = lambda at: (numbers.filter(F.col("at") == at).first() or [0, 0])[1]
     n = held(0)
     reads = held(n + 1)

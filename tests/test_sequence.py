@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as S
 from strandloom.operators import numeric
 from strandloom.plans.graph import capped_components, compacted, connected_components, resolved, signed_components, unary_chains
-from strandloom.sources.formats import read_config, read_contigs, read_edges, read_group_round_trip, read_read_map, read_segments, write_edges, write_segments
+from strandloom.sources.formats import read_contigs, read_edges, read_group_round_trip, read_read_map, read_segments, write_edges, write_segments
 
 
 def one(spark, column):
@@ -44,11 +44,6 @@ def test_components(spark):
     assert {r.root for r in resolved(chain).collect()} == {1}
 
 
-def test_config():
-    c = read_config("NOMINAL_READ_LENGTH 76 # rl\nUNKNOWN 3\nNORM_DIST_THRESHOLD 0.05\n")
-    assert c.nominal_read_length == 76 and c.norm_dist_threshold == 0.05
-
-
 def test_prefix_suffix(spark):
     """The vectors traced by hand, and all pairs of short words against a plain loop."""
     hit = lambda a, b, lo, hi: one(spark, S.prefix_suffix(F.lit(a), F.lit(b), lo, hi, 0.0))
