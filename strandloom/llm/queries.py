@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corpus_pipeline import run
 
+from . import oracles
 from .compact_windows import op7_compact_windows
 from .fingerprint import op1_fingerprint
 from .line_rules import op6_line_rules
@@ -33,4 +34,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op2_near_dedup": oracles.NEAR_DEDUP, "op3_substring_dedup": oracles.SUBSTRINGS, "op6_line_rules": oracles.LINE_RULES}
