@@ -26,12 +26,19 @@ def reverse_complement(seq: Column) -> Column:
 def kmers(seq: Column, k: int = 8, stretch: int = 256) -> Column:
     """All k-mers in order; a shorter sequence is its own single one.
 
-    A substring is found by counting from the start, so long sequences are cut into stretches first.
+    A substring is found by counting from the start, so long sequences are cut into stretches first. The
+    sequence is bound once, as an expression within a function over stretches would be computed for each.
     """
-    first = F.sequence(F.lit(0), F.greatest(F.length(seq) - k, F.lit(0)), F.lit(stretch))
-    parts = F.transform(first, lambda at: seq.substr(at + 1, F.lit(stretch + k - 1)))
     own = lambda part: F.transform(F.sequence(F.lit(1), F.greatest(F.length(part) - k + 1, F.lit(1))), lambda i: part.substr(i, F.lit(k)))
-    return F.flatten(F.transform(parts, own))
+
+    def every(whole: Column) -> Column:
+        first = F.sequence(F.lit(0), F.greatest(F.length(whole) - k, F.lit(0)), F.lit(stretch))
+        return F.flatten(F.transform(first, lambda at: own_of(whole.substr(at + 1, F.lit(stretch + k - 1)))))
+
+    def own_of(part: Column) -> Column:
+        return F.transform(F.array(part), own)[0]
+
+    return F.transform(F.array(seq), every)[0]
 
 
 def kmer_code(kmer: Column) -> Column:

@@ -129,7 +129,7 @@ def tail_head(tails: DataFrame, heads: DataFrame, shortest: int, longest: int, s
         places.append(rows.select(F.col("id").alias("a"), F.col("turn").alias("turn_a"), n.alias("na"), "pa", own(F.col("pa"))))
     keys, places = functools.reduce(DataFrame.unionByName, keys), functools.reduce(DataFrame.unionByName, places)
     depth = F.col("na") - F.col("pa") + F.col("pb")
-    met = places.join(keys, "key").withColumn("depth", depth)
+    met = places.join(keys.hint("shuffle_hash"), "key").withColumn("depth", depth)
     met = met.filter((F.col("a") != F.col("b")) & (F.col("turn_a") + F.col("turn_b") < 2) & F.col("depth").between(F.col("low"), F.least("high", "na", "nb")))
     met = met.select("a", "turn_a", "b", "turn_b", "depth").distinct()
     side = lambda rows, x: rows.select(F.col("id").alias(x), F.col("turn").alias(f"turn_{x}"), F.col("seq").alias(f"s{x}"))
