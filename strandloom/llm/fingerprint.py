@@ -66,7 +66,8 @@ def rendered(a: Column) -> Column:
 def with_next(df: DataFrame, key: str = "doc_id", values: tuple[str, ...] = ("text",), derived: dict[str, Column] | None = None, buckets: int | None = None) -> DataFrame:
     """df with next_<value>: the value of the row that follows by descending key; after the last row the first.
 
-    derived: further columns, made after the exchange, that get a next_<name> too. Rows with a null key follow all others; equal keys are ordered by the values. Only one exchange moves the
+    derived: further columns, made after the exchange, that get a next_<name> too. Rows with a null key follow
+    all others; equal keys are ordered by the values. Other columns are kept. Only one exchange moves the
     values. Bounds between buckets are keys that occur, from approximate percentiles of the key alone; each
     bucket also gets the row just below it, so a window per bucket finds every follower. The driver holds the
     bounds, `buckets` numbers whatever the number of rows.
