@@ -136,47 +136,69 @@ def with_both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(side("a", "left"), "a").join(side("b", "right"), "b")
 
 
-def near_links(classes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (src, dst) between classes that suffice for the components of all pairs from `percent` on."""
+def sets_of(wanted: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(cls, n, shingles), one row for each class wanted (cls, n, doc_id, place).
+
+    Sets are wider than texts, so they aren't dealt by class to drop doubles: only where a (doc_id, place) is in
+    `repeated` has a class several rows, and these are dropped as texts.
+    """
+    where = wanted.withColumnsRenamed({"doc_id": "id", "place": "at"})
+    marked = repeated.withColumnsRenamed({"doc_id": "id", "place": "at"})
+    same = where["id"].eqNullSafe(marked["id"]) & (where["at"] == marked["at"])
+
+    def found(rows: DataFrame) -> DataFrame:
+        return texts.join(rows, (texts["place"] == rows["at"]) & texts["doc_id"].eqNullSafe(rows["id"])).select("cls", "n", "text")
+
+    rows = found(where.join(marked, same, "left_anti")).unionByName(found(where.join(marked, same, "left_semi")).dropDuplicates(["cls"]))
+    with batch_bytes(texts.sparkSession):
+        return stored(rows.mapInArrow(full_sets, "cls long, n long, shingles binary"), "sets")
+
+
+def near_links(classes: DataFrame, texts: DataFrame, repeated: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (src, dst) between classes that suffice for the components of all pairs from `percent` on.
+
+    repeated: every (doc_id, place) that several rows of texts have.
+    """
     kept = F.least("n", F.lit(SKETCH))
     # where n / percent is within SKETCH, a partner's set is within the sketch as well, and the needed overlap is exact
     needed = F.ceil(F.col("n") * percent / 100)
     need = F.when(F.col("n") <= SKETCH * percent // 100, needed).otherwise(F.least(F.lit(NEED[percent]), kept))
     pairs, crowd = listed(stored(rarest(classes, "sketch", kept, need), "lists"), percent)
-    estimated = lambda rows: with_both(rows, classes.select("cls", "sketch"), "sketch").mapInArrow(similar(ESTIMATE[percent]), MEASURES).drop("index")
-    pairs = stored(estimated(pairs), "pairs")
+    estimated = lambda rows, sketches: with_both(rows, sketches, "sketch").mapInArrow(similar(ESTIMATE[percent]), MEASURES).drop("index")
+    pairs = stored(estimated(pairs, classes), "pairs")
     crowd = stored(crowd.select("cls").distinct(), "crowd")
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(crowd).distinct()
-    where = wanted.join(classes.select("cls", "doc_id", "place", "n"), "cls").withColumnsRenamed({"doc_id": "id", "place": "at"})
-    found = texts.join(where, (texts["place"] == where["at"]) & texts["doc_id"].eqNullSafe(F.col("id"))).select("cls", "n", "text")
-    with batch_bytes(texts.sparkSession):
-        sets = stored(found.mapInArrow(full_sets, "cls long, n long, shingles binary").dropDuplicates(["cls"]), "sets")
-    exact = lambda rows: with_both(rows, sets, "shingles").mapInArrow(similar(None), MEASURES)
+    sets = sets_of(stored(wanted.join(classes.select("cls", "n", "doc_id", "place"), "cls"), "wanted"), texts, repeated)
+    # what follows about long lists and clouds reads and deals the sets of these classes alone
+    crowded = stored(sets.join(crowd, "cls", "left_semi"), "crowded")
+    exact = lambda rows, table: with_both(rows, table, "shingles").mapInArrow(similar(None), MEASURES)
     near = F.col("index") * 100 >= percent - 1e-9
     linked = lambda rows: rows.filter(near).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
-    more, clouded = listed(stored(rarest(sets.join(crowd, "cls", "left_semi"), "shingles", F.col("n"), needed), "lists"), percent)
-    more = stored(estimated(more.join(pairs, ["a", "b"], "left_anti").select("a", "b", "na", "nb")), "pairs")
-    links = linked(exact(pairs.unionByName(more)))
+    more, clouded = listed(stored(rarest(crowded, "shingles", F.col("n"), needed), "lists"), percent)
+    sketches = crowded.select("cls", F.substring("shingles", 1, 8 * SKETCH).alias("sketch"))
+    more = stored(estimated(more.join(pairs, ["a", "b"], "left_anti").select("a", "b", "na", "nb"), sketches), "pairs")
+    links = linked(exact(pairs.unionByName(more), sets))
 
     clouded = stored(clouded, "clouded")
     clouds = connected_components(clouded.select(F.col("cls").alias("src"), F.col("least").alias("dst")))
     counts = clouded.groupBy("cls").agg(F.count("*").alias("lists"), F.first("n").alias("n"))
     members = counts.join(clouds, F.col("cls") == F.col("node")).select("cls", "n", "lists", F.col("component").alias("cloud"))
     members = stored(members, "members")
+    held = stored(crowded.join(members, "cls", "left_semi"), "held")
     hubs = members.groupBy("cloud").agg(F.min_by(F.struct("cls", "n"), F.struct(-F.col("lists"), F.col("cls"))).alias("hub"))
     to_hub = members.join(hubs, "cloud").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-    to_hub = stored(exact(to_hub), "hubs")
+    to_hub = stored(exact(to_hub, held), "hubs")
     members = members.join(to_hub.select(F.col("b").alias("cls"), "index"), "cls").select("cloud", "cls", "n", "index")
 
     # members that can be linked with the hub's neighbours, with some of these
     neighbours = members.filter(near).groupBy("cloud", F.pmod(F.xxhash64("cls"), F.lit(MORE_HUBS))).agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls", F.lit(1))).alias("hub"))
     between = members.filter(~near & (F.col("index") >= 2 * percent / 100 - 1 - 1e-9))
     asked = between.join(neighbours.select("cloud", "hub"), "cloud").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
-    second = stored(linked(exact(asked)), "second")
+    second = stored(linked(exact(asked, held)), "second")
     rest = members.filter(~near).join(second.select(F.col("dst").alias("cls")).distinct(), "cls", "left_anti")
-    return links.unionByName(linked(to_hub)).unionByName(second).unionByName(tiled(members, stored(rest, "rest"), sets, percent))
+    return links.unionByName(linked(to_hub)).unionByName(second).unionByName(tiled(members, stored(rest, "rest"), held, percent))
 
 
 def tiled(members: DataFrame, rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -256,7 +278,8 @@ def components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     with batch_bytes(df.sparkSession):
         marks = stored(texts.mapInArrow(signatures, "doc_id long, place long, n long, cls long, sketch binary"), "signatures")
     classes = stored(marks.filter("n > 0").dropDuplicates(["cls"]), "classes")
-    labels = connected_components(near_links(classes, texts, percent))
+    repeated = stored(marks.filter("n > 0").groupBy("doc_id", "place").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", "place"), "repeated")
+    labels = connected_components(near_links(classes, texts, repeated, percent))
     rows = marks.select("doc_id", "place", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls"))
     rows = stored(rows.select("doc_id", "place", "n", "label"), "labelled")
     least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
