@@ -53,3 +53,13 @@ def test_stage_threshold(spark):
     docs = spark.createDataFrame([(1, a, "s", 1), (2, b, "s", 1)], SCHEMA)
     assert {r.component_id for r in N.components(docs).collect()} == {1, 2}
     assert [r.doc_id for r in N.near_dedup_stage(spark, docs, "").collect()] == [1]
+
+
+def test_repeated_rows(spark):
+    """Rows with one doc_id and one text, beside near copies that are compared by full sets, give one verdict each."""
+    words = [f"w{i}" for i in range(200)]
+    other = [*words[:-1], "changed"]
+    rows = [(7, " ".join(words)), (7, " ".join(words)), (None, " ".join(other)), (None, " ".join(other)), (9, " ".join(other)), (4, "some other text of more than five words"), (4, "some other text of more than five words")]
+    got = N.components(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()
+    want = [(7, 7, True), (7, 7, True), (None, 7, False), (None, 7, False), (9, 7, False), (4, 4, True), (4, 4, True)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
