@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read again, which also cuts its lineage."""
+    """df written once to the shared folder and read again, which also cuts its lineage.
+
+    The table stays until it is `discarded` or the function `within` which it was stored has returned.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for scope in _scopes:
+        scope.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+_scopes: list[list[str]] = []
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more; only those that `stored` returned itself."""
+    for table in tables:
+        _deleted(table.sparkSession, table._stored_at)
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def within(name: str):
+    """A function whose result is stored, after which all tables go that it has stored on the way."""
+
+    def decorated(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(make)
+        def run(*args, **options) -> DataFrame:
+            made: list[str] = []
+            _scopes.append(made)
+            try:
+                out = stored(make(*args, **options), name)
+            finally:
+                _scopes.remove(made)
+            for path in made:
+                if path != out._stored_at:
+                    _deleted(out.sparkSession, path)
+            return out
+
+        return run
+
+    return decorated
