@@ -53,3 +53,72 @@ coalesce(covered.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_removed_words
 j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
 NOT base_failed AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 10 OR n_words - n_removed_words < 0.2 * n_words)) AS kept, n_removed_words FROM j"""
+
+
+def url_filter() -> str:
+    """SQL of op12: every rule and every listed URL is tried against every page by equality or prefix, without a filter."""
+    from .url_filter import SPAM_WORDS, TRACKING
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = ", ".join(f"'{w}'" for w in SPAM_WORDS)
+    names = ", ".join(f"'{w}'" for w in TRACKING)
+    bare = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':(80|443)?$', ''), '\\.$', ''), '^www\\.(.)', '\\1')"
+    return f"""WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS tail FROM pages),
+    parts AS (SELECT page_id, translate(regexp_extract(tail, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(tail, '^[^/?#]*([^?#]*)', 1) AS path, string_split(regexp_extract(tail, '^[^?#]*[?]([^#]*)', 1), '&') AS asked FROM cut),
+    forms AS (SELECT page_id, host, path, CASE WHEN {bare} <> '' THEN {bare} || regexp_replace(path, '/+$', '') || '/?' || array_to_string(list_sort(list_filter(asked, lambda p: p <> '' AND NOT list_contains([{names}], string_split(p, '=')[1]) AND NOT starts_with(p, 'utm_'))), '&') END AS form FROM parts),
+    spam AS (SELECT DISTINCT form FROM forms WHERE form IS NOT NULL AND list_has_any(regexp_split_to_array(host, '[.-]'), [{words}])),
+    rules(rule_host, rule_path, rule_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+    fits AS (SELECT page_id, host AS h, path AS p, max(struct_pack(n := length(rule_host || rule_path), rule := rule_host || rule_path, v := rule_verdict)) AS best FROM forms JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id, host, path)
+    SELECT page_id, host, path, best.rule AS rule, form IS NOT NULL AND form IN (SELECT form FROM spam) AS listed, CASE WHEN best.v IS NOT NULL THEN best.v WHEN form IS NOT NULL AND form IN (SELECT form FROM spam) THEN 'block' ELSE 'allow' END AS verdict
+    FROM forms LEFT JOIN (SELECT page_id AS fit_id, best FROM fits) ON page_id = fit_id"""
+
+
+def centroids(k: int = 40, rounds: int = 5) -> str:
+    """SQL of op13: all distances in every round, as whole numbers."""
+    squares = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    steps = [
+        f"kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)",
+        "named AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) AS place, v FROM kept)",
+        f"c0 AS (SELECT CAST(place - 1 AS INT) AS cluster, v AS c FROM named WHERE place <= {k})",
+        "rows AS (SELECT row_number() OVER () AS n, vec_id, v FROM kept)",
+    ]
+    for t in range(rounds + 1):
+        steps.append(f"a{t} AS MATERIALIZED (SELECT n, vec_id, v, min(struct_pack(d := CAST({squares} AS BIGINT), i := cluster)) AS m FROM rows, c{t} GROUP BY n, vec_id, v)")
+        if t < rounds:
+            steps.append(f"m{t} AS (SELECT m.i AS cluster, at, CAST(floor(sum(x)::HUGEINT // count(*) - CASE WHEN sum(x)::HUGEINT < 0 AND sum(x)::HUGEINT % count(*) <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS x FROM (SELECT m, unnest(v) AS x, unnest(range(64)) AS at FROM a{t}) GROUP BY m.i, at)")
+            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(f.v, c.c) AS c FROM c{t} c LEFT JOIN (SELECT cluster, list(x ORDER BY at) AS v FROM m{t} GROUP BY cluster) f ON f.cluster = c.cluster)")
+    return (
+        "WITH " + ", ".join(steps) + f" SELECT vec_id, m.i AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.i) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON cluster = m.i"
+    )
+
+
+def merkle(levels: int = 6) -> str:
+    """SQL of op11, for languages of up to 8 ** levels rows and as many languages."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    digest = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {byte}), 4294967295)"
+    small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [
+        f"leaves AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS g, {digest('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {digest(small)} ELSE {digest('text')} END AS shown FROM documents)",
+        "t0 AS MATERIALIZED (SELECT doc_id, g, leaf, shown, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at FROM leaves)",
+        "n0 AS (SELECT g, at, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM t0)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            steps.append(f"{name}{k + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM (SELECT g, at // 8 AS at, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY at)) ELSE any_value(d) END AS d FROM {name}{k} GROUP BY g, at // 8))")
+
+    climb("n")
+    steps.append(f"s0 AS MATERIALIZED (SELECT g AS lang, 0 AS g, row_number() OVER (ORDER BY g) - 1 AS at, d, count(*) OVER () AS n FROM n{levels})")
+    steps.append("u0 AS (SELECT g, at, d, n FROM s0)")
+    climb("u")
+    side = lambda way: f"(SELECT coalesce(string_agg(d, '' ORDER BY at), '') FROM {{t}} x WHERE x.g = {{g}} AND x.n > 1 AND x.at // 8 = {{at}} // 8 AND x.at {way} {{at}})"
+    steps.append("f0 AS MATERIALIZED (SELECT t0.*, s0.at AS top, s0.d AS subroot, shown AS node, '' AS proof FROM t0 JOIN s0 ON s0.lang = t0.g)")
+    row = 0
+    for name, g, at, way in [(f"n{k}", "f.g", f"(f.at // {8**k})", k) for k in range(levels)] + [(f"u{k}", "0", f"(f.top // {8**k})", k) for k in range(levels)]:
+        before, after = (side(w).format(t=name, g=g, at=at) for w in ("<", ">"))
+        steps.append(f"j{row} AS MATERIALIZED (SELECT f.*, {before} AS b, {after} AS a, EXISTS (SELECT 1 FROM {name} x WHERE x.g = {g} AND x.n > 1) AS more FROM f{row} f)")
+        steps.append(f"f{row + 1} AS MATERIALIZED (SELECT * EXCLUDE (a, b, more, node, proof), CASE WHEN more THEN sha256(b || node || a) ELSE node END AS node, proof || b || a AS proof FROM j{row})")
+        row += 1
+    return "WITH " + ", ".join(steps) + f" SELECT doc_id, leaf, subroot, (SELECT d FROM u{levels}) AS root, sha256(proof) AS proof_sha256, node AS folded_root, node = (SELECT d FROM u{levels}) AS verified FROM f{row}"

@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import stored  # noqa: F401  for the operators
+from ..plans.storage import discarded, stored, within  # noqa: F401  for the operators
 
 #: Words: maximal runs of characters other than space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
