@@ -85,8 +85,8 @@ def centroids(k: int = 40, rounds: int = 5) -> str:
     for t in range(rounds + 1):
         steps.append(f"a{t} AS MATERIALIZED (SELECT n, vec_id, v, min(struct_pack(d := CAST({squares} AS BIGINT), i := cluster)) AS m FROM rows, c{t} GROUP BY n, vec_id, v)")
         if t < rounds:
-            steps.append(f"m{t} AS (SELECT m.i AS cluster, at, CAST(floor(sum(x)::HUGEINT // count(*) - CASE WHEN sum(x)::HUGEINT < 0 AND sum(x)::HUGEINT % count(*) <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS x FROM (SELECT m, unnest(v) AS x, unnest(range(64)) AS at FROM a{t}) GROUP BY m.i, at)")
-            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(f.v, c.c) AS c FROM c{t} c LEFT JOIN (SELECT cluster, list(x ORDER BY at) AS v FROM m{t} GROUP BY cluster) f ON f.cluster = c.cluster)")
+            steps.append(f"m{t} AS (SELECT m.i AS cluster, pos, CAST(floor(sum(x)::HUGEINT // count(*) - CASE WHEN sum(x)::HUGEINT < 0 AND sum(x)::HUGEINT % count(*) <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS x FROM (SELECT m, unnest(v) AS x, unnest(range(64)) AS pos FROM a{t}) GROUP BY m.i, pos)")
+            steps.append(f"c{t + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(f.v, c.c) AS c FROM c{t} c LEFT JOIN (SELECT cluster, list(x ORDER BY pos) AS v FROM m{t} GROUP BY cluster) f ON f.cluster = c.cluster)")
     return (
         "WITH " + ", ".join(steps) + f" SELECT vec_id, m.i AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.i) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON cluster = m.i"
     )
@@ -101,23 +101,23 @@ def merkle(levels: int = 6) -> str:
     small = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     steps = [
         f"leaves AS MATERIALIZED (SELECT doc_id, coalesce('=' || lang, '') AS g, {digest('text')} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {digest(small)} ELSE {digest('text')} END AS shown FROM documents)",
-        "t0 AS MATERIALIZED (SELECT doc_id, g, leaf, shown, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at FROM leaves)",
-        "n0 AS (SELECT g, at, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM t0)",
+        "t0 AS MATERIALIZED (SELECT doc_id, g, leaf, shown, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves)",
+        "n0 AS (SELECT g, pos, leaf AS d, count(*) OVER (PARTITION BY g) AS n FROM t0)",
     ]
 
     def climb(name: str) -> None:
         for k in range(levels):
-            steps.append(f"{name}{k + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM (SELECT g, at // 8 AS at, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY at)) ELSE any_value(d) END AS d FROM {name}{k} GROUP BY g, at // 8))")
+            steps.append(f"{name}{k + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM (SELECT g, pos // 8 AS pos, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE any_value(d) END AS d FROM {name}{k} GROUP BY g, pos // 8))")
 
     climb("n")
-    steps.append(f"s0 AS MATERIALIZED (SELECT g AS lang, 0 AS g, row_number() OVER (ORDER BY g) - 1 AS at, d, count(*) OVER () AS n FROM n{levels})")
-    steps.append("u0 AS (SELECT g, at, d, n FROM s0)")
+    steps.append(f"s0 AS MATERIALIZED (SELECT g AS lang, 0 AS g, row_number() OVER (ORDER BY g) - 1 AS pos, d, count(*) OVER () AS n FROM n{levels})")
+    steps.append("u0 AS (SELECT g, pos, d, n FROM s0)")
     climb("u")
-    side = lambda way: f"(SELECT coalesce(string_agg(d, '' ORDER BY at), '') FROM {{t}} x WHERE x.g = {{g}} AND x.n > 1 AND x.at // 8 = {{at}} // 8 AND x.at {way} {{at}})"
-    steps.append("f0 AS MATERIALIZED (SELECT t0.*, s0.at AS top, s0.d AS subroot, shown AS node, '' AS proof FROM t0 JOIN s0 ON s0.lang = t0.g)")
+    side = lambda way: f"(SELECT coalesce(string_agg(d, '' ORDER BY pos), '') FROM {{t}} x WHERE x.g = {{g}} AND x.n > 1 AND x.pos // 8 = {{pos}} // 8 AND x.pos {way} {{pos}})"
+    steps.append("f0 AS MATERIALIZED (SELECT t0.*, s0.pos AS top, s0.d AS subroot, shown AS node, '' AS proof FROM t0 JOIN s0 ON s0.lang = t0.g)")
     row = 0
-    for name, g, at, way in [(f"n{k}", "f.g", f"(f.at // {8**k})", k) for k in range(levels)] + [(f"u{k}", "0", f"(f.top // {8**k})", k) for k in range(levels)]:
-        before, after = (side(w).format(t=name, g=g, at=at) for w in ("<", ">"))
+    for name, g, pos, way in [(f"n{k}", "f.g", f"(f.pos // {8**k})", k) for k in range(levels)] + [(f"u{k}", "0", f"(f.top // {8**k})", k) for k in range(levels)]:
+        before, after = (side(w).format(t=name, g=g, pos=pos) for w in ("<", ">"))
         steps.append(f"j{row} AS MATERIALIZED (SELECT f.*, {before} AS b, {after} AS a, EXISTS (SELECT 1 FROM {name} x WHERE x.g = {g} AND x.n > 1) AS more FROM f{row} f)")
         steps.append(f"f{row + 1} AS MATERIALIZED (SELECT * EXCLUDE (a, b, more, node, proof), CASE WHEN more THEN sha256(b || node || a) ELSE node END AS node, proof || b || a AS proof FROM j{row})")
         row += 1
