@@ -52,7 +52,7 @@ def relational(text: str):
 
 SEQS = f"seqs AS (SELECT doc_id, lang, source, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), '{LETTERS}', '{BASES}') AS seq FROM documents), s AS (SELECT * FROM seqs WHERE length(seq) >= 40)"
 KMERS = SEQS + ", k AS (SELECT doc_id, unnest(range(0, length(seq) - 7)) AS pos, unnest(list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8))) AS kmer FROM s)"
-PIECES = SEQS + ", cut AS (SELECT doc_id, seq, greatest((length(seq) + 80) // 120, 1) AS n FROM s), spread AS (SELECT doc_id, seq, n, unnest(range(0, n)) AS k FROM cut), contigs AS (SELECT doc_id * 100000 + k AS id, doc_id, substr(seq, k * 120 + 1, CASE WHEN k = n - 1 THEN length(seq) - k * 120 ELSE 120 END) AS seq FROM spread)"
+PIECES = SEQS + ", cut AS (SELECT doc_id, seq, greatest((length(seq) + 80) // 120, 1) AS n FROM s), spread AS (SELECT doc_id, seq, n, unnest(range(0, n)) AS k FROM cut), contigs AS (SELECT doc_id * 4294967296 + k AS id, doc_id, substr(seq, k * 120 + 1, CASE WHEN k = n - 1 THEN length(seq) - k * 120 ELSE 120 END) AS seq FROM spread)"
 CLASSES = PIECES + ", c AS (SELECT min(id) AS id, seq, count(*) AS copies FROM contigs GROUP BY seq), rc AS (SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM c)"
 ENDS = CLASSES + ", tails AS (SELECT DISTINCT id AS a, unnest(list_transform(range(1, 34), lambda i: substr(right(seq, 40), i, 8))) AS kmer FROM c), heads AS (SELECT DISTINCT id AS b, unnest(list_transform(range(1, 34), lambda i: substr(seq, i, 8))) AS kmer FROM c), cand AS (SELECT a, b, count(*) AS shared FROM tails JOIN heads USING (kmer) WHERE a <> b GROUP BY a, b HAVING count(*) >= 20)"
 
@@ -158,9 +158,9 @@ def dovetailed(spark, d):
 
 
 def q14(spark, d):
-    """Short contigs, the ends of sequences, in whole ones."""
+    """Contigs in longer ones."""
     rows = classes(spark, d)
-    return overlaps.contained(rows.filter("length(seq) < 120"), rows.filter("length(seq) >= 120"))
+    return overlaps.contained(rows, rows)
 
 
 def q15(spark, d):
@@ -364,16 +364,6 @@ def q53(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences(spark, sf_dir).select("doc_id", tails.trimmed(F.col("seq"), 3, 0.05).alias("seq"))
 
 
-def q54(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Junctions of contigs whose ends have much in common: the head of one in the other, the tail of the other in the one."""
-    rows = classes(spark, sf_dir)
-    pairs = overlaps.end_candidates(rows, 20).join(rows.select(F.col("id").alias("a"), F.col("seq").alias("sa")), "a").join(rows.select(F.col("id").alias("b"), F.col("seq").alias("sb")), "b")
-    way = lambda r, t, side: F.struct(F.col(r).alias("ref_id"), F.col(f"s{r}").alias("ref"), F.col(t).alias("tgt_id"), F.col(f"s{t}").alias("tgt"), F.lit(side).alias("side"))
-    found = overlaps.junctions(pairs.select(F.explode(F.array(way("a", "b", 0), way("b", "a", 1))).alias("p")).select("p.*"))
-    found = found.join(rows.select(F.col("id").alias("ref_id"), F.length("seq").alias("len")), "ref_id")
-    return overlaps.bounded(found, F.lit(1), F.lit(0), F.lit(1), F.col("len"), 144, 12).drop("len")
-
-
 def q57(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct 8-mers of each contig on either strand and on both."""
     own = F.array_distinct(S.kmers(F.col("seq")))
@@ -391,7 +381,6 @@ SHARED |= {
 }
 OWN |= {
     "q53_polya_trim": (q53, f"WITH {SEQS}, {tails.sql_run('tail', 'reverse(seq)', 'A', 3, 0.05)}, {tails.sql_run('head', 'seq', 'T', 3, 0.05)} SELECT doc_id, CASE WHEN tail.run >= length(seq) OR head.run >= length(seq) THEN NULL WHEN tail.run > 0 AND tail.run > head.run THEN substr(seq, 1, length(seq) - tail.run + 3) WHEN head.run > 0 THEN reverse(translate(substr(seq, head.run - 2), 'ACGT', 'TGCA')) ELSE seq END AS seq FROM s JOIN tail USING (doc_id) JOIN head USING (doc_id)"),
-    "q54_junctions": (q54, None),
     "q57_both_strand_kmers": (q57, f"WITH {CLASSES}, both_k AS (SELECT c.id, list_distinct(list_transform(range(1, length(c.seq) - 6), lambda i: substr(c.seq, i, 8))) AS k, list_transform(range(1, length(c.seq) - 6), lambda i: substr(rc.seq, i, 8)) AS r FROM c JOIN rc USING (id)) SELECT id, CAST(len(k) AS BIGINT) AS n, CAST(len(list_distinct(list_concat(k, r))) AS BIGINT) AS n_both FROM both_k"),
 }
 

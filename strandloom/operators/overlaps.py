@@ -23,13 +23,14 @@ WIDTH, LEAST, END = 120, 40, 40
 def contigs(seqs: DataFrame, width: int = WIDTH, least: int = LEAST) -> DataFrame:
     """(id, doc_id, seq): the whole sequence of each row as consecutive contigs of `width` letters.
 
-    A rest of under `least` letters stays with the contig before it, so every letter is in exactly one contig.
+    A rest of under `least` letters stays with the contig before it, so every letter is in exactly one contig. Ids
+    are doc_id * 2**32 + number of the contig, so doc_id must be below 2**31.
     """
     n = F.length("seq")
     count = F.greatest(F.floor((n + (width - least)) / width), F.lit(1)).cast("long")
     rows = seqs.select("doc_id", "seq", count.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("k"))
     size = F.when(F.col("k") == F.col("n") - 1, F.length("seq") - F.col("k") * width).otherwise(F.lit(width)).cast("int")
-    return rows.select((F.col("doc_id") * 100_000 + F.col("k")).alias("id"), "doc_id", F.substring("seq", (F.col("k") * width + 1).cast("int"), size).alias("seq"))
+    return rows.select((F.col("doc_id") * (1 << 32) + F.col("k")).alias("id"), "doc_id", F.substring("seq", (F.col("k") * width + 1).cast("int"), size).alias("seq"))
 
 
 def distinct_sequences(rows: DataFrame) -> DataFrame:

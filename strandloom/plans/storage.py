@@ -65,7 +65,7 @@ def within(name: str):
             try:
                 out = stored(make(*args, **options), name)
             finally:
-                _scopes.remove(made)
+                _scopes[:] = [x for x in _scopes if x is not made]
             for path in made:
                 if path != out._stored_at:
                     _deleted(out.sparkSession, path)
