@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import catalog
 from .operators import junctions as J
+from .operators import overlaps, positions
+from .plans.graph import pruned, signed_components
 from .plans.storage import stored, within
 
 
@@ -22,7 +25,7 @@ def q54(spark, d):
 
 
 def long_contigs(spark, d):
-    return stored(catalog.overlaps.distinct_sequences(catalog.overlaps.contigs(catalog.sequences(spark, d), 480, 160)), "contigs")
+    return catalog.spread(overlaps.distinct_sequences(overlaps.contigs(catalog.sequences(spark, d), 480, 160)))
 
 
 @within("junctions")
@@ -45,6 +48,70 @@ def q60(spark, d):
     return J.connections(pairs(spark, d))
 
 
+@within("oriented")
+def oriented(spark, d):
+    """(kind, ..) in one table: the groups, strands and junctions that all later queries start from."""
+    rows = junction_table(spark, d)
+    best = stored(J.best_pairs(rows), "pairs")
+    edges = best.select(F.least("ref_id", "tgt_id").alias("src"), F.greatest("ref_id", "tgt_id").alias("dst"), "score", F.signum("onward").cast("int").alias("sign"))
+    # of the two searches of a pair the better one decides, the one as it is among equals
+    edges = stored(edges.groupBy("src", "dst").agg(F.max("score").alias("score"), F.max(F.struct("score", "sign")).alias("m")).select("src", "dst", "score", "m.sign"), "edges")
+    groups, kept = pruned(edges.select("src", "dst", "score"), 40, 50)
+    groups, kept = stored(groups, "groups"), stored(kept.select("src", "dst"), "kept")
+    every = catalog.classes(spark, d)
+    nodes = every.select(F.col("id").alias("node")).join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
+    signs = signed_components(edges.join(kept, ["src", "dst"]).select("src", "dst", "sign"))
+    nodes = stored(nodes.join(signs.select("node", "strand", "conflict"), "node", "left").select("node", "grp", F.coalesce("strand", F.lit(1)).alias("strand"), F.coalesce("conflict", F.lit(False)).alias("conflict")), "nodes")
+    held = J.standing(rows, best).withColumn("src", F.least("ref_id", "tgt_id")).withColumn("dst", F.greatest("ref_id", "tgt_id")).join(kept, ["src", "dst"], "left_semi").drop("src", "dst")
+    turned = J.turned(every.select("id", "seq", "copies"), nodes)
+    fitting = J.rewritten(held, nodes)
+    whole = J.intact(fitting.filter("fits"), turned).select("ref_id", "block", "tgt_id", "side", F.lit(True).alias("whole"))
+    fitting = fitting.join(whole, ["ref_id", "block", "tgt_id", "side"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    contigs = nodes.join(turned, F.col("node") == F.col("id")).select(F.struct("node", "grp", "strand", "conflict", "seq", "copies").alias("contig"))
+    return contigs.unionByName(fitting.select(F.struct(*fitting.columns).alias("junction")), allowMissingColumns=True)
+
+
+def q61(spark, d):
+    """Each contig's group of about 40 at most, and the strand that its connections give it."""
+    return oriented(spark, d).filter("contig IS NOT NULL").select("contig.node", "contig.grp", "contig.strand", "contig.conflict")
+
+
+def q62(spark, d):
+    """The standing junctions on turned contigs."""
+    return oriented(spark, d).filter("junction IS NOT NULL").select("junction.*")
+
+
+@within("laid")
+def laid(spark, d):
+    """Every position of every contig in its segment, and the contigs' letters."""
+    rows = oriented(spark, d)
+    contigs = rows.filter("contig IS NOT NULL").select("contig.*")
+    found = rows.filter("junction.whole").select("junction.*").join(contigs.select(F.col("node").alias("ref_id"), "grp"), "ref_id")
+    found = found.select("grp", "ref_id", F.col("ref_start").cast("int").alias("ref_pos"), "tgt_id", F.col("tgt_start").cast("int").alias("tgt_pos"), F.col("size").cast("int").alias("length"), (F.col("dist") - F.col("size")).alias("rank"))
+    placed = positions.laid_out(positions.cells(contigs.select("grp", F.col("node").alias("seq_id"), F.length("seq").alias("length")), found))
+    return placed.join(positions.letter_counts(contigs.select(F.col("node").alias("seq_id"), "seq", "copies"), F.col("copies")), ["seq_id", "pos"])
+
+
+def q63(spark, d):
+    """How many positions are joined with others, stand alone, or had an equality left out, in each group of several contigs."""
+    rows = laid(spark, d)
+    size = Window.partitionBy("cls_seq", "cls_pos")
+    rows = rows.withColumn("n", F.count("*").over(size)).groupBy("grp").agg(F.count_distinct("seq_id").alias("contigs"), F.count("*").alias("positions"), F.count_if(F.col("n") > 1).alias("joined"), F.count_if("cut").alias("cut"))
+    return rows.filter("contigs > 1")
+
+
+def q64(spark, d):
+    """The segments with their letters, mean depth and members."""
+    rows = laid(spark, d)
+    out = positions.segments(rows.drop("a", "c", "g", "t"), rows.select("seq_id", "pos", "a", "c", "g", "t"))
+    return out.select("grp", "seg_seq", "seg_pos", "length", "seq", "depth", "members")
+
+
+def q65(spark, d):
+    """Which segments follow each other."""
+    return positions.splices(laid(spark, d))
+
+
 def sql_junctions(name: str, seqs: str, least: int = 24, most: int = 100, enough: int = 50, backoff: int = 12) -> str:
     """Tables up to `name`, the junctions of sequences (id, seq): every diagonal on which one half of the first 24 letters is equal, read letter by letter."""
     size, step = J.block_sizes()
@@ -88,6 +155,11 @@ OWN = {
     "q58_block_junctions": (q58, f"WITH {LONG}, {sql_junctions('junc', 'long_c')} SELECT * FROM junc"),
     "q59_best_junctions": (q59, f"WITH {BEST} SELECT ref_id, tgt_id, hb AS head_block, tb AS tail_block, v[1] AS head, v[2] AS tail, CAST(score AS BIGINT) AS score FROM best WHERE k = 1"),
     "q60_connections": (q60, f"WITH {BEST} SELECT ref_id AS a, tgt_id AS b, v[3] AS mode, CAST(score AS BIGINT) AS score FROM best WHERE k = 1 UNION ALL SELECT tgt_id, ref_id, v[4], CAST(score AS BIGINT) FROM best WHERE k = 1"),
+    "q61_group_strands": (q61, None),
+    "q62_oriented_junctions": (q62, None),
+    "q63_position_classes": (q63, None),
+    "q64_segments": (q64, None),
+    "q65_segment_edges": (q65, None),
 }
 
 

@@ -36,7 +36,12 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, seq, copies): the distinct contigs, stored once; equal ones are one class, known by its smallest id."""
-    return stored(overlaps.distinct_sequences(pieces(spark, sf_dir)), "contigs")
+    return spread(overlaps.distinct_sequences(pieces(spark, sf_dir)))
+
+
+def spread(contigs: DataFrame) -> DataFrame:
+    """Contigs stored in as many files as there are shuffle partitions: each becomes hundreds of seeds, so few large files would make few tasks."""
+    return stored(contigs.repartition(int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"), "contigs")
 
 
 def relational(text: str):
@@ -270,10 +275,10 @@ CC = LINKS + ", both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM
 ROOTS = CHAIN + ", walk AS (SELECT node, CASE WHEN parent = 0 THEN node ELSE parent END AS root FROM chain UNION SELECT walk.node, CASE WHEN chain.parent = 0 THEN chain.node ELSE chain.parent END FROM walk JOIN chain ON chain.node = walk.root), roots AS (SELECT node, min(root) AS root FROM walk GROUP BY node)"
 READS = CC + ", " + PLACED + ", g AS (SELECT read_id, c1, c2, coalesce(p.component, 0) AS group1, coalesce(q.component, 0) AS group2 FROM placed LEFT JOIN cc p ON p.node = c1 LEFT JOIN cc q ON q.node = c2)"
 def sql_contained(name: str, probes: str) -> str:
-    """Hits of the short ones of `probes` in long contigs, by 12 letters of each of their stretches."""
-    keys = f"SELECT id AS probe_id, seq AS sb, unnest(list_transform(range(0, d + 1), lambda k: k * (length(seq) // (d + 1)))) AS pb, unnest(list_transform(range(0, d + 1), lambda k: substr(seq, k * (length(seq) // (d + 1)) + 1, 12))) AS stretch FROM (SELECT id, seq, CAST(floor(length(seq) * 0.05 + 0.5) AS BIGINT) AS d FROM {probes} WHERE length(seq) < 120)"
-    places = "SELECT id, seq AS sa, unnest(range(0, length(seq) - 11)) AS pa, unnest(list_transform(range(1, length(seq) - 10), lambda i: substr(seq, i, 12))) AS stretch FROM c WHERE length(seq) >= 120"
-    return f"{name}_d AS (SELECT DISTINCT probe_id, id, sa, sb, pa - pb AS ia FROM ({places}) JOIN ({keys}) USING (stretch) WHERE pa >= pb AND pa - pb + length(sb) <= length(sa)), {name} AS (SELECT probe_id, id, ia, length(sa) AS len, hamming(substr(sa, ia + 1, length(sb)), sb) AS dist, length(sb) AS n FROM {name}_d WHERE hamming(substr(sa, ia + 1, length(sb)), sb) <= floor(length(sb) * 0.05 + 0.5))"
+    """Hits of `probes` in longer contigs, by the last 11 letters of each of their stretches, that are counted from the end."""
+    keys = f"SELECT id AS probe_id, seq AS sb, unnest(list_transform(range(0, d + 1), lambda k: length(seq) - k * (length(seq) // (d + 1)) - 11)) AS pb, unnest(list_transform(range(0, d + 1), lambda k: substr(seq, length(seq) - k * (length(seq) // (d + 1)) - 10, 11))) AS stretch FROM (SELECT id, seq, CAST(floor(length(seq) * 0.05 + 0.5) AS BIGINT) AS d FROM {probes})"
+    places = "SELECT id, seq AS sa, unnest(range(0, length(seq) - 10)) AS pa, unnest(list_transform(range(1, length(seq) - 9), lambda i: substr(seq, i, 11))) AS stretch FROM c"
+    return f"{name}_d AS (SELECT DISTINCT probe_id, id, sa, sb, pa - pb AS ia FROM ({places}) JOIN ({keys}) USING (stretch) WHERE pa >= pb AND length(sb) < length(sa) AND probe_id <> id AND pa - pb + length(sb) <= length(sa)), {name} AS (SELECT probe_id, id, ia, length(sa) AS len, hamming(substr(sa, ia + 1, length(sb)), sb) AS dist, length(sb) AS n FROM {name}_d WHERE hamming(substr(sa, ia + 1, length(sb)), sb) <= floor(length(sb) * 0.05 + 0.5))"
 
 
 CONT = CLASSES + ", " + sql_contained("same", "c") + ", " + sql_contained("turned", "rc") + ", every AS (SELECT probe_id, id, len, 0 AS turn, ia, dist FROM same UNION ALL SELECT probe_id, id, len, 1, ia, dist FROM turned), hit AS (SELECT probe_id, id, any_value(len) AS len, min({'turn': turn, 'ia': ia, 'dist': dist}) AS m FROM every GROUP BY probe_id, id)"

@@ -251,23 +251,6 @@ def junction(first: bytes, second: bytes, head: bool, least: int, most: int, sha
 JUNCTION = "ref_id long, tgt_id long, side int, pos int, depth int, mode int, dist int"
 
 
-def junctions(pairs: DataFrame, least: int = 24, most: int = 100, share: float = 0.05, enough: int = 50, both_strands: bool = True) -> DataFrame:
-    """Junctions of pairs (ref_id, ref, tgt_id, tgt, side: 0 for the target's head, 1 for its tail); pairs without one are left out."""
-
-    def stage(batches):
-        for batch in batches:
-            rows = []
-            for ref_id, ref, tgt_id, tgt, side in zip(*(batch.column(c).to_pylist() for c in ("ref_id", "ref", "tgt_id", "tgt", "side"))):
-                found = junction(ref.encode(), tgt.encode(), side == 0, least, most, share, enough, both_strands)
-                if found[0]:
-                    rows.append((ref_id, tgt_id, side, *found))
-            if rows:
-                kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in JUNCTION.split(", ")])
-
-    return pairs.mapInArrow(stage, JUNCTION)
-
-
 def bounded(rows: DataFrame, blocks: Column, block: Column, start: Column, ref_len: Column, unshared: int, backoff: int) -> DataFrame:
     """Junctions (pos, depth, mode, ref_id, tgt_id) of a block by the boundary rules, with bnd1 and bnd2 on the whole reference.
 
@@ -284,5 +267,3 @@ def bounded(rows: DataFrame, blocks: Column, block: Column, start: Column, ref_l
     rows = rows.withColumns({"bnd1": (first + F.when(late, backoff).otherwise(0)).cast("long"), "bnd2": (last - F.when(inner & ~late, backoff).otherwise(0)).cast("long")})
     end = (F.col("bnd1") == 1) | (F.col("bnd2") == ref_len)
     return rows.filter((F.col("bnd1") < F.col("bnd2")) & (~end | (F.col("ref_id") > F.col("tgt_id"))))
-
-

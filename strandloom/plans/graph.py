@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import functools
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import stored, within
 
 
+@within("components")
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (src, dst: long); component is the smallest node reachable.
 
@@ -73,28 +75,104 @@ def signed_components(edges: DataFrame) -> DataFrame:
     return both.select(F.col("v").alias("node"), root.alias("root"), F.when(conflict | (F.col("own") % 2 == 0), 1).otherwise(-1).alias("strand"), conflict.alias("conflict"))
 
 
+#: Edges of a group above its cap that one task cuts down; larger groups lose their weakest edges in rounds until they are smaller.
+IN_TASK = 1 << 20
+
+
 def capped_components(edges: DataFrame, cap: int = 40, safe: float = 50) -> DataFrame:
     """(node, component) of edges (src, dst, score) whose groups have been cut down towards `cap` nodes.
 
-    In each round every group above the cap loses all edges of its lowest score, if that is below `safe` or
-    the group has more than 1.33 * cap nodes; rounds end when nothing is lost. There are at most as many
-    rounds as distinct scores. Nodes without edges left stay as groups of their own. A null score counts as 0.
+    Every group above the cap loses all edges of its lowest score, if that is below `safe` or the group has more
+    than 1.33 * cap nodes, again and again until nothing is lost. Nodes without edges left stay as groups of their
+    own. A null score counts as 0.
     """
-    start = stored(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.coalesce("score", F.lit(0)).alias("score")).dropna(), "scored")
-    nodes = start.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    live, done = start, []
+    return pruned(edges, cap, safe)[0]
+
+
+def pruned(edges: DataFrame, cap: int = 40, safe: float = 50) -> tuple[DataFrame, DataFrame]:
+    """The groups of `capped_components`, and the edges (src, dst, score) that are left in them."""
+    start = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")).dropna()
+    live, done = stored(start, "scored"), []
+    most = round(1.33 * cap)
     while True:
         groups = stored(connected_components(live), "groups")
-        large = groups.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") > cap)
-        placed = live.join(groups, F.col("src") == F.col("node")).drop("node")
-        low = placed.join(large, "component").groupBy("component").agg(F.min("score").alias("low"), F.first("size").alias("size"))
-        low = stored(low.filter((F.col("low") < safe) | (F.col("size") > round(1.33 * cap))), "weak")
-        # groups that lose nothing are final
-        done.append(groups.join(low, "component", "left_anti").select("node", "component"))
-        if low.isEmpty():
-            groups = functools.reduce(DataFrame.unionByName, done)
-            return nodes.join(groups, F.col("id") == F.col("node"), "left").select(F.col("id").alias("node"), F.coalesce("component", "id").alias("component"))
-        live = stored(placed.join(low, "component").filter("score > low").select("src", "dst", "score"), "scored")
+        placed = live.join(groups, F.col("src") == F.col("node")).select("component", "src", "dst", "score")
+        sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
+        weights = placed.groupBy("component").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+        sizes = stored(sizes.join(weights, "component").withColumn("final", (F.col("size") <= cap) | (F.col("low") >= safe) & (F.col("size") <= most)), "sizes")
+        final = placed.join(sizes.filter("final"), "component", "left_semi")
+        inner = placed.join(sizes.filter(f"NOT final AND n <= {IN_TASK}"), "component", "left_semi")
+        inner = inner.groupBy("component").applyInArrow(lambda t: _cut_table(t, cap, safe), placed.schema)
+        done.append(stored(final.unionByName(inner), "kept"))
+        large = sizes.filter(f"NOT final AND n > {IN_TASK}")
+        if large.isEmpty():
+            break
+        live = stored(placed.join(large, "component").filter("score > low").select("src", "dst", "score"), "scored")
+    kept = functools.reduce(DataFrame.unionByName, done)
+    named = kept.select("component", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = start.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(named, "node", "left")
+    return nodes.select("node", F.coalesce("component", "node").alias("component")), kept.select("src", "dst", "score")
+
+
+def _cut_table(table: pa.Table, cap: int, safe: float) -> pa.Table:
+    src, dst, score = (table.column(c).to_pylist() for c in ("src", "dst", "score"))
+    rows = [(group, src[i], dst[i], score[i]) for group, i in cut_down(src, dst, score, cap, safe)]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["component", "src", "dst", "score"])
+
+
+def cut_down(src: list[int], dst: list[int], score: list[float], cap: int, safe: float) -> list[tuple[int, int]]:
+    """(group, number of the edge) for all edges that are left when groups above the cap lose their weakest edges.
+
+    Edges join sets in descending order of score, which gives a tree of sets, each with the score at which it came
+    about. From the top down a set that may stay is a group, known by its smallest node; else all its edges of that
+    score go and its parts are looked at.
+    """
+    sets: list[tuple[float, int, list[int], list[int]]] = []  # score, number of nodes, parts that are sets, lone nodes
+    parent: dict[int, int] = {}
+    held: dict[int, int | None] = {}  # of a root its set, None for a lone node
+
+    def root(x: int) -> int:
+        if x not in parent:
+            parent[x], held[x] = x, None
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    size = lambda x: 1 if held[x] is None else sets[held[x]][1]
+    for i in sorted(range(len(src)), key=lambda i: -score[i]):
+        a, b = root(src[i]), root(dst[i])
+        if a != b:
+            a, b = (b, a) if size(a) < size(b) else (a, b)
+            sets.append((score[i], size(a) + size(b), [held[x] for x in (a, b) if held[x] is not None], [x for x in (a, b) if held[x] is None]))
+            parent[b], held[a] = a, len(sets) - 1
+    group: dict[int, tuple[int, float, float]] = {}  # of a node its group, the score up to which edges were lost, and the least one kept
+    roots = [x for x in parent if parent[x] == x]
+    group |= {x: (x, float("-inf"), float("-inf")) for x in roots if held[x] is None}  # only loops
+    todo = [(held[x], float("-inf")) for x in roots if held[x] is not None]
+    while todo:
+        top, lost = todo.pop()
+        level, n, *_ = sets[top]
+        stays = n <= cap or (n <= round(1.33 * cap) and level >= safe)
+        nodes, inner = [], [top]
+        while inner:
+            at, _, parts, lone = sets[inner.pop()]
+            nodes += lone
+            for part in parts:
+                if stays or sets[part][0] == level:
+                    inner.append(part)
+                else:
+                    todo.append((part, level))
+        if stays:
+            group |= dict.fromkeys(nodes, (min(nodes), lost, float("-inf") if n <= cap else safe))
+        else:
+            group |= {x: (x, level, float("-inf")) for x in nodes}
+    out = []
+    for i in range(len(src)):
+        g = group.get(src[i])
+        if g is not None and g == group.get(dst[i]) and score[i] > g[1] and score[i] >= g[2]:
+            out.append((g[0], i))
+    return out
 
 
 def unary_chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import tails
-from strandloom.operators import merging, numeric, positions
+from strandloom.operators import merging, numeric
 from strandloom.operators import overlaps as O
 
 TURN = str.maketrans("ACGT", "TGCA")
@@ -194,17 +194,3 @@ def test_joined(spark, words):
     hits = spark.createDataFrame([(2, 1, 31), (3, 1, -51)], "probe_id long, id long, pos long")
     got = merging.absorbed(df, hits).collect()
     assert len(got) == 1 and got[0].seq == base[:120] and sum(got[0].cover[55]) == 3 and got[0].n == 3
-
-
-def test_positions(spark):
-    lengths = spark.createDataFrame([(1, 10), (2, 8), (3, 4), (4, 6)], "seq_id long, length int")
-    junctions = spark.createDataFrame([(1, 4, 2, 1, 5), (2, 2, 3, 1, 3), (4, 1, 4, 3, 2)], "ref_id long, ref_pos int, tgt_id long, tgt_pos int, length int")
-    cells = positions.cells(lengths, junctions)
-    got = {(r.seq_id, r.pos): (r.cls, r.conflict) for r in cells.collect()}
-    assert got[1, 5][0] == got[2, 2][0] == got[3, 1][0] and got[1, 4][0] == got[2, 1][0] and not got[1, 5][1]
-    assert got[4, 1][1] and got[4, 1][0] != got[4, 3][0] and not got[4, 5][1]
-    segments, edges = positions.partitioned(cells)
-    of = {r.cls: r.segment for r in segments.collect()}
-    at = lambda s, p: of[got[s, p][0]]
-    assert at(1, 1) == at(1, 3) != at(1, 4) != at(1, 5) == at(1, 7) == at(3, 3) != at(1, 8)
-    assert (at(1, 3), at(1, 4)) in {tuple(r) for r in edges.collect()} and at(4, 1) == at(4, 6)
