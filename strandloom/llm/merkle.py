@@ -20,9 +20,8 @@ from pyspark.sql.window import Window
 
 from .util import discarded, documents, stored
 
-#: Nodes of a run, levels of a block, leaves of a block.
+#: Nodes of a run, levels of a block (of 4096 leaves).
 ARITY, HEIGHT = 8, 4
-BLOCK = ARITY**HEIGHT
 #: Columns of a leaf, in the order in which they are hashed.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -129,60 +128,62 @@ def height_of(count: int) -> int:
     return levels
 
 
-def by_block(nodes: DataFrame):
-    return nodes.groupBy("grp", F.floor(F.col("rank") / BLOCK).cast("long").alias("__block"))
+def by_block(nodes: DataFrame, height: int):
+    return nodes.groupBy("grp", F.floor(F.col("rank") / ARITY**height).cast("long").alias("__block"))
 
 
-def tops(nodes: DataFrame) -> DataFrame:
+def tops(nodes: DataFrame, height: int) -> DataFrame:
     """The nodes (grp, rank, count, node) over aligned blocks of nodes of the same form."""
 
+    block = ARITY**height
+
     def stage(table: pa.Table) -> pa.Table:
         table = table.sort_by("rank")
         count, rank = table.column("count")[0].as_py(), table.column("rank")[0].as_py()
-        node = top(table.column("node").to_pylist(), min(HEIGHT, height_of(count)))
-        return pa.table({"grp": table.column("grp")[:1], "rank": pa.array([rank // BLOCK], pa.int64()), "count": pa.array([-(-count // BLOCK)], pa.int64()), "node": [node]})
+        node = top(table.column("node").to_pylist(), min(height, height_of(count)))
+        return pa.table({"grp": table.column("grp")[:1], "rank": pa.array([rank // block], pa.int64()), "count": pa.array([-(-count // block)], pa.int64()), "node": [node]})
 
-    return by_block(nodes.select("grp", "rank", "count", "node")).applyInArrow(stage, NODES)
+    return by_block(nodes.select("grp", "rank", "count", "node"), height).applyInArrow(stage, NODES)
 
 
-def climbed(nodes: DataFrame) -> list[DataFrame]:
+def climbed(nodes: DataFrame, height: int) -> list[DataFrame]:
     """nodes, the tops of their blocks, the tops of these, and so on to one node for each group."""
     levels, most = [nodes], nodes.agg(F.max("count")).first()[0] or 0
     while len(levels) == 1 or most > 1:
-        levels.append(stored(tops(levels[-1]), "tops"))
-        most = -(-most // BLOCK)
+        levels.append(stored(tops(levels[-1], height), "tops"))
+        most = -(-most // ARITY**height)
     return levels
 
 
-def walked_blocks(lower: pa.Table, above: pa.Table) -> Iterator[tuple[list[list[str]], list[int]]]:
+def walked_blocks(lower: pa.Table, above: pa.Table, height: int) -> Iterator[tuple[list[list[str]], list[int]]]:
     """For each of a block's nodes, sorted by rank, its runs and places up to the root."""
     runs, places = above.column("runs")[0].as_py(), above.column("places")[0].as_py()
-    height = min(HEIGHT, height_of(lower.column("count")[0].as_py()))
+    height = min(height, height_of(lower.column("count")[0].as_py()))
     first = lower.column("rank")[0].as_py()
     for i, own in enumerate(traversed(lower.column("node").to_pylist(), height)):
         yield [*own, *runs], [(first + i) // ARITY**k % ARITY for k in range(height)] + places
 
 
-def paths(nodes: DataFrame, upper: DataFrame) -> DataFrame:
+def paths(nodes: DataFrame, upper: DataFrame, height: int) -> DataFrame:
     """Paths of nodes: upper holds those of their blocks, which are appended."""
 
     def stage(lower: pa.Table, above: pa.Table) -> pa.Table:
         lower = lower.sort_by("rank")
-        found = [(list(runs), places) for runs, places in walked_blocks(lower, above)] if lower.num_rows else []
+        found = [(list(runs), places) for runs, places in walked_blocks(lower, above, height)] if lower.num_rows else []
         same = lambda c: pa.array([above.column(c)[0].as_py()] * len(found), pa.string())
         return pa.table({
             "grp": lower.column("grp"), "rank": lower.column("rank"), "runs": pa.array([x[0] for x in found], RUNS),
             "places": pa.array([x[1] for x in found], pa.list_(pa.int32())), "subroot": same("subroot"), "root": same("root"),
         })
 
-    return by_block(nodes).cogroup(by_rank(upper)).applyInArrow(stage, PATHS)
+    return by_block(nodes, height).cogroup(by_rank(upper)).applyInArrow(stage, PATHS)
 
 
 def by_rank(upper: DataFrame):
     return upper.groupBy("grp", F.col("rank").alias("__block"))
 
 
-def proofs(nodes: DataFrame, upper: DataFrame) -> DataFrame:
+def proofs(nodes: DataFrame, upper: DataFrame, height: int) -> DataFrame:
     """The rows of the manifest: of each leaf the hash of its siblings, and the root that it (or `shown`) gives with them."""
 
     def stage(lower: pa.Table, above: pa.Table) -> pa.Table:
@@ -191,7 +192,7 @@ def proofs(nodes: DataFrame, upper: DataFrame) -> DataFrame:
         root = above.column("root")[0].as_py()
         proof, fold = [], []
         leaves = lower.column("node").to_pylist()
-        for (runs, places), leaf, shown in zip(walked_blocks(lower, above) if n else (), leaves, lower.column("shown").to_pylist()):
+        for (runs, places), leaf, shown in zip(walked_blocks(lower, above, height) if n else (), leaves, lower.column("shown").to_pylist()):
             siblings = [node for run, place in zip(runs, places) for j, node in enumerate(run) if j != place]
             proof.append(parent(siblings))
             fold.append(folded(leaf if shown is None else shown, places, runs))
@@ -201,33 +202,34 @@ def proofs(nodes: DataFrame, upper: DataFrame) -> DataFrame:
             "proof_sha256": pa.array(proof, pa.string()), "folded_root": pa.array(fold, pa.string()), "verified": pa.array([x == root for x in fold], pa.bool_()),
         })
 
-    return by_block(nodes).cogroup(by_rank(upper)).applyInArrow(stage, PROOFS)
+    return by_block(nodes, height).cogroup(by_rank(upper)).applyInArrow(stage, PROOFS)
 
 
-def manifest(leaves: DataFrame) -> DataFrame:
+def manifest(leaves: DataFrame, height: int = HEIGHT) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of leaves (doc_id, lang, leaf, shown).
 
     shown: another digest that is folded in the leaf's place, or null. Leaves of one language (null is one, and the
     first) ascend by doc_id, nulls first, then by their digests, so repeated rows stand side by side, each a leaf.
     proof_sha256 is the hash of all siblings up to the root, and verified whether the folded root is the root. A lone
     leaf is its language's top, and a lone language's top the root; without siblings the proof is the hash of nothing.
-    An empty table gives an empty result. Languages may be many and of any size: blocks are the unit of work.
+    An empty table gives an empty result. Languages may be many and of any size: blocks of 8 ** height leaves are the
+    unit of work, and don't change the result.
     """
     name = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit(""))  # null first
     rows = stored(leaves.select(name.alias("grp"), "doc_id", F.col("leaf").alias("node"), "shown"), "leaves")
     nodes = ranked(rows, ["doc_id", "node"])
     discarded(rows)
-    levels = climbed(nodes)
+    levels = climbed(nodes, height)
     crowns = ranked(levels[-1].select(F.lit("").alias("grp"), F.col("grp").alias("lang"), "node"), ["lang"])
-    above = climbed(crowns)
+    above = climbed(crowns, height)
     none = "CAST(array() AS array<array<string>>)", "CAST(array() AS array<int>)"
     upper = above[-1].selectExpr("grp", "rank", f"{none[0]} AS runs", f"{none[1]} AS places", "CAST(NULL AS string) AS subroot", "node AS root")
     for level in reversed(above[:-1]):
-        upper = stored(paths(level, upper), "paths")
+        upper = stored(paths(level, upper, height), "paths")
     upper = crowns.join(upper.drop("grp"), "rank").select(F.col("lang").alias("grp"), F.lit(0).cast("long").alias("rank"), "runs", "places", F.col("node").alias("subroot"), "root")
     for level in reversed(levels[1:-1]):
-        upper = stored(paths(level, upper), "paths")
-    return proofs(nodes, upper)
+        upper = stored(paths(level, upper, height), "paths")
+    return proofs(nodes, upper, height)
 
 
 def leaves_of(df: DataFrame, text: Column | None = None) -> DataFrame:
