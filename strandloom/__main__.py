@@ -25,6 +25,7 @@ def main(args: list[str] | None = None) -> None:
     two.add_argument("out")
     two.add_argument("--cover", type=float, default=0.8)
     two.add_argument("--length", type=int, default=300)
+    two.add_argument("--transcripts", help="the FASTA whose transcripts were aligned, to be counted")
     three = commands.add_parser("settings", help="the settings of a file with their defaults")
     three.add_argument("path")
     asked = parser.parse_args(args)
@@ -36,7 +37,8 @@ def main(args: list[str] | None = None) -> None:
             logging.info("depth %s: %s transcripts", row.threshold, row.n)
     elif asked.command == "evaluate":
         matches = evaluate.with_names(evaluate.best_hits(formats.read_hits(spark, asked.hits), asked.cover, asked.length))
-        formats.write_matches(matches, asked.out)
+        found = formats.fasta_counts(spark, asked.transcripts, asked.length).first()[1] if asked.transcripts else None
+        formats.write_matches(matches, asked.out, found)
         for row in evaluate.recovered(matches).orderBy("share").collect():  # one row for each share
             logging.info("covered %s: %s matches, fit %s", row.share, row.n, row.r2)
     else:

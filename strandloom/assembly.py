@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import catalog
+from . import catalog, evaluate
 from .operators import junctions as J
 from .operators import overlaps, positions
 from .plans.graph import pruned, signed_components
 from .plans.storage import stored, within
+from .sources import formats
 
 
 @within("junctions")
@@ -112,6 +113,24 @@ def q65(spark, d):
     return positions.splices(laid(spark, d))
 
 
+NAMED_HITS = "SELECT concat('ref', l_orderkey, ':', l_orderkey % 97, ':', l_orderkey % 50, ':', l_orderkey % 1000) AS qseqid, concat('asm', l_partkey, '_', l_partkey % 7 + 1, '_', l_partkey % 40, '_', l_partkey % 900, '_', l_partkey % 100) AS sseqid, 400 AS qlen, CAST(250 + 3 * l_quantity AS INT) AS length, CAST(280 + l_partkey % 200 AS INT) AS slen, CAST(249 + 3 * l_quantity AS INT) AS nident, 1 AS mismatch FROM lineitem"
+
+
+@within("matches")
+def matches(spark, d):
+    """Best matches of a stored table of hits: order lines stand in for alignments, orders for known transcripts, parts for estimates."""
+    hits = formats.hits_round_trip(catalog.relational(NAMED_HITS)(spark, d))
+    return evaluate.with_names(evaluate.best_hits(hits))
+
+
+def q66(spark, d):
+    return matches(spark, d)
+
+
+def q67(spark, d):
+    return evaluate.recovered(matches(spark, d), (0.7, 0.8, 0.9, 0.95)).withColumn("r2", F.round("r2", 6))
+
+
 def sql_junctions(name: str, seqs: str, least: int = 24, most: int = 100, enough: int = 50, backoff: int = 12) -> str:
     """Tables up to `name`, the junctions of sequences (id, seq): every diagonal on which one half of the first 24 letters is equal, read letter by letter."""
     size, step = J.block_sizes()
@@ -149,8 +168,14 @@ VERDICT = """CASE WHEN hm = 1 AND tm = 2 AND hp < tp THEN [1, 1, 2, 1] WHEN hm =
 BEST = JUNCTIONS + f""", hj AS (SELECT ref_id, tgt_id, block AS hb, mode AS hm, ref_start AS hp, size - dist AS hs FROM junc WHERE side = 0), tj AS (SELECT ref_id, tgt_id, block AS tb, mode AS tm, ref_start AS tp, size - dist AS ts FROM junc WHERE side = 1),
     judged AS (SELECT *, {VERDICT} AS v FROM hj FULL JOIN tj USING (ref_id, tgt_id)), valued AS (SELECT *, coalesce(hs, 0) * v[1] + coalesce(ts, 0) * v[2] AS score FROM judged),
     best AS (SELECT *, row_number() OVER (PARTITION BY ref_id, tgt_id ORDER BY score DESC, tb NULLS FIRST, hb NULLS FIRST) AS k FROM valued)"""
+MATCHES = f"""named_hits AS ({NAMED_HITS}), fitting AS (SELECT *, length / slen AS scvg, length / qlen AS qcvg FROM named_hits WHERE length / qlen >= 0.8 AND slen >= 300),
+    of_subject AS (SELECT *, row_number() OVER (PARTITION BY sseqid ORDER BY qcvg DESC, qseqid) AS k FROM fitting), of_query AS (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY qseqid ORDER BY qcvg DESC, sseqid) AS k FROM of_subject WHERE k = 1),
+    named AS (SELECT *, string_split(qseqid, ':') AS q, string_split(sseqid, '_') AS s FROM of_query WHERE k = 1),
+    match AS (SELECT qseqid AS qid, sseqid AS sid, CAST(qlen AS DOUBLE) AS qlen, CAST(length AS DOUBLE) AS alen, CAST(slen AS DOUBLE) AS slen, qcvg, scvg, CAST(s[3] AS DOUBLE) AS est_abn, CAST(q[3] AS DOUBLE) AS true_abn, CAST(s[4] AS DOUBLE) AS est_rpkm, CAST(q[4] AS DOUBLE) AS true_rpkm, CAST(s[2] AS DOUBLE) AS grp, CAST(s[5] AS DOUBLE) AS iso, CAST(q[2] AS DOUBLE) AS exp_cvg FROM named)"""
 
 OWN = {
+    "q66_match_info": (q66, f"WITH {MATCHES} SELECT * FROM match"),
+    "q67_recovered": (q67, f"WITH {MATCHES}, shares(share) AS (VALUES (CAST(0.7 AS DOUBLE)), (0.8), (0.9), (0.95)) SELECT share, count(*) AS n, round(regr_r2(est_rpkm, true_rpkm), 6) AS r2 FROM match JOIN shares ON qcvg >= share GROUP BY share"),
     "q54_junctions": (q54, f"WITH {JUNCTIONS} SELECT * FROM junc"),
     "q58_block_junctions": (q58, f"WITH {LONG}, {sql_junctions('junc', 'long_c')} SELECT * FROM junc"),
     "q59_best_junctions": (q59, f"WITH {BEST} SELECT ref_id, tgt_id, hb AS head_block, tb AS tail_block, v[1] AS head, v[2] AS tail, CAST(score AS BIGINT) AS score FROM best WHERE k = 1"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,18 +15,33 @@ def best_hits(hits: DataFrame, least_cover: float = 0.8, least_length: int = 300
     return rows.withColumn("rank", first("qseqid", "sseqid")).filter("rank = 1").drop("rank")
 
 
-def with_names(matches: DataFrame, sign: str = ":") -> DataFrame:
-    """Matches with the numbers in their names, counted from the end: the estimate's depth, rate, group and isoform, the truth's depth and rate."""
-    field = lambda c, i: F.get(F.reverse(F.split(c, sign)), F.lit(i)).try_cast("double")
+def with_names(matches: DataFrame) -> DataFrame:
+    """Matches with the numbers in their names, counted from the end.
+
+    A known transcript's name ends in `:expressed share:depth:rate`, an estimate's in `_group size_depth_rate_share of
+    its group`. A name with fewer than two or three numbers has none of them, and what is missing counts as 0.
+    """
+
+    def field(name: str, sign: str, i: int, least: int) -> Column:
+        held = leading_numbers(F.col(name), sign)
+        return F.when(F.size(held) >= least, F.coalesce(F.get(held, F.lit(i)), F.lit(0.0))).otherwise(0.0)
+
+    known, found = (lambda i: field("qseqid", ":", i, 2)), (lambda i: field("sseqid", "_", i, 3))
     return matches.select(
-        F.col("qseqid").alias("qid"), F.col("sseqid").alias("sid"), F.col("qlen"), F.col("slen"), "scvg", "qcvg",
-        field("sseqid", 2).alias("est_abn"), field("sseqid", 3).alias("est_rpkm"), field("sseqid", 1).alias("grp"), field("sseqid", 0).alias("iso"),
-        field("qseqid", 0).alias("true_abn"), field("qseqid", 1).alias("true_rpkm"), "nident", "mismatch",
+        F.col("qseqid").alias("qid"), F.col("sseqid").alias("sid"), "qlen", F.col("length").alias("alen"), "slen", "qcvg", "scvg", found(2).alias("est_abn"), known(1).alias("true_abn"),
+        found(1).alias("est_rpkm"), known(0).alias("true_rpkm"), found(3).alias("grp"), F.floor(found(0) + 0.5).cast("double").alias("iso"), known(2).alias("exp_cvg"),
     )
 
 
+def leading_numbers(name: Column, sign: str) -> Column:
+    """The numbers that a name ends in, the last first, 20 at most, up to the first field that is none."""
+    fields = F.slice(F.reverse(F.slice(F.split(name, sign), 2, 1 << 30)), 1, 20)
+    values = F.transform(fields, lambda x: x.try_cast("double"))
+    stop = F.array_position(F.transform(values, lambda x: x.isNull()), True)
+    return F.when(stop > 0, F.slice(values, F.lit(1), (stop - 1).cast("int"))).otherwise(values)
+
+
 def recovered(matches: DataFrame, shares: tuple[float, ...] = (0.8, 0.9, 0.95)) -> DataFrame:
-    """(share, n, r2): matches of each covered share, and the fit of estimated to true depth on a logarithmic scale."""
+    """(share, n, r2): matches of each covered share, and the linear fit of estimated to true rates."""
     rows = matches.withColumn("share", F.explode(F.filter(F.array(*[F.lit(s) for s in shares]), lambda s: F.col("qcvg") >= s)))
-    log = lambda c: F.when(F.col(c) > 0, F.log10(c))
-    return rows.groupBy("share").agg(F.count("*").alias("n"), F.regr_r2(log("est_abn"), log("true_abn")).alias("r2"))
+    return rows.groupBy("share").agg(F.count("*").alias("n"), F.regr_r2("est_rpkm", "true_rpkm").alias("r2"))

@@ -95,12 +95,17 @@ def write_by_threshold(df: DataFrame, path: str, thresholds: list[float]) -> Dat
 
 
 #: Columns of the match table, each under its own label.
-MATCH_COLUMNS = "qid sid qlen slen scvg qcvg est_abn est_rpkm grp iso true_abn true_rpkm nident mismatch".split()
+MATCH_COLUMNS = "qid sid qlen alen slen qcvg scvg est_abn true_abn est_rpkm true_rpkm grp iso exp_cvg".split()
 
 
-def write_matches(df: DataFrame, path: str) -> None:
-    """Matches as tab-separated rows under a header, every value under its own label."""
+def write_matches(df: DataFrame, path: str, found: int | None = None) -> None:
+    """Matches as tab-separated rows under a header, every value under its own label.
+
+    found: the number of transcripts that were looked for, which goes to a table of one line, `@ n`, beside it.
+    """
     df.select(MATCH_COLUMNS).write.csv(path, sep="\t", header=True)
+    if found is not None:
+        df.sparkSession.createDataFrame([(f"@ {found}",)], "value string").coalesce(1).write.text(f"{path.rstrip('/')}.count")
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
@@ -227,3 +232,11 @@ def read_group_round_trip(groups: DataFrame) -> DataFrame:
     path = f"{shared_dir(groups.sparkSession)}/groups-{uuid.uuid4().hex}"
     write_read_groups(groups, path)
     return read_read_groups(groups.sparkSession, path)
+
+
+def hits_round_trip(hits: DataFrame) -> DataFrame:
+    """Hits (qseqid, sseqid, qlen, length, slen, nident, mismatch) written as a table of hits and read again."""
+    path = f"{shared_dir(hits.sparkSession)}/hits-{uuid.uuid4().hex}"
+    zero = F.lit(0)
+    hits.select("qseqid", "sseqid", "qlen", "length", "slen", F.lit(1), "length", F.lit(1), "length", "nident", "mismatch", zero, zero, zero, zero).toDF(*map(str, range(15))).write.csv(path, sep="\t")
+    return read_hits(hits.sparkSession, path)

@@ -44,14 +44,32 @@ def test_transcripts(spark, tmp_path):
 
 
 def test_evaluation(spark, tmp_path):
-    hit = lambda q, s, n: "\t".join(map(str, (q, s, 400, n, 400, 1, n, 1, n, n, 0, 0, 90, 90, 500)))
-    (tmp_path / "h.tblst").write_text("\n".join([hit("q:8:4", "s:10:5:2:1", 390), hit("q:8:4", "t:9:5:3:1", 350), hit("r:2:1", "t:9:5:3:1", 340), hit("u:1:1", "v:1:1:1:1", 100)]) + "\n")
+    hit = lambda q, s, n: "\t".join(map(str, (q, s, 400, n, 500, 1, n, 1, n, n, 0, 0, 90, 90, 500)))
+    # a known name ends in share, depth, rate; an estimate's in group size, depth, rate, share of its group
+    known, found = "ref:95.0:7.5:40.0", "asm_12_3.5_41.2_0.7"
+    rows = [hit(known, found, 390), hit(known, "asm_1_9_5_3", 350), hit("r:2:1", "asm_1_9_5_3", 340), hit("u:1:1", "v_1_1_1", 100), hit("bare", "x_2_y_3_4", 400)]
+    (tmp_path / "h.tblst").write_text("\n".join(rows) + "\n")
     hits = formats.read_hits(spark, str(tmp_path / "h.tblst"))
-    best = evaluate.with_names(evaluate.best_hits(hits)).collect()
-    assert {(r.qid, r.sid) for r in best} == {("q:8:4", "s:10:5:2:1")} and best[0].true_abn == 4 and best[0].iso == 1 and best[0].grp == 2
-    command.main(["evaluate", str(tmp_path / "h.tblst"), str(tmp_path / "matches")])
+    best = {r.qid: r for r in evaluate.with_names(evaluate.best_hits(hits)).collect()}
+    r = best[known]
+    assert r.sid == found and (r.true_rpkm, r.true_abn, r.exp_cvg) == (40.0, 7.5, 95.0) and (r.iso, r.est_rpkm, r.est_abn, r.grp) == (1.0, 41.2, 3.5, 12.0)
+    assert (r.alen, r.qcvg, r.scvg) == (390, 0.975, 0.78) and set(best) == {known, "bare"}
+    assert (best["bare"].true_rpkm, best["bare"].est_rpkm, best["bare"].grp) == (0, 0, 0)
+    (tmp_path / "t.fasta").write_text(">a\n" + "ACGT" * 100 + "\n>b\nACGT\n")
+    command.main(["evaluate", str(tmp_path / "h.tblst"), str(tmp_path / "matches"), "--transcripts", str(tmp_path / "t.fasta")])
     back = spark.read.csv(str(tmp_path / "matches"), sep="\t", header=True)
-    assert back.columns == formats.MATCH_COLUMNS and back.first().true_rpkm == "8.0"
+    assert back.columns == formats.MATCH_COLUMNS and {x.true_rpkm for x in back.collect()} == {"40.0", "0.0"}
+    assert spark.read.text(str(tmp_path / "matches.count")).first()[0] == "@ 1"
+
+
+def test_fit(spark):
+    """The fit is linear in the rates as they are."""
+    rows = [(float(x), 2.0 * x + (x % 3), 0.85 if x % 2 else 0.97) for x in range(40)]
+    got = {r.share: r for r in evaluate.recovered(spark.createDataFrame(rows, "true_rpkm double, est_rpkm double, qcvg double")).collect()}
+    assert {k: r.n for k, r in got.items()} == {0.8: 40, 0.9: 20, 0.95: 20}
+    mx, my = (sum(r[i] for r in rows) / 40 for i in (0, 1))
+    sxy, sxx, syy = (sum((r[i] - m) * (r[j] - k) for r in rows) for i, m, j, k in ((0, mx, 1, my), (0, mx, 0, mx), (1, my, 1, my)))
+    assert abs(got[0.8].r2 - sxy**2 / sxx / syy) < 1e-9
 
 
 def test_config(spark, tmp_path):
