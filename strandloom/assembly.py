@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from . import catalog, evaluate
 from .operators import junctions as J
-from .operators import overlaps, positions
+from .operators import merging, overlaps, positions
 from .plans.graph import pruned, signed_components
 from .plans.storage import stored, within
 from .sources import formats
@@ -113,6 +113,16 @@ def q65(spark, d):
     return positions.splices(laid(spark, d))
 
 
+@within("assembled")
+def q68(spark, d):
+    """Contigs joined along their best overlaps on both strands until nothing joins: letters, and how deep they are covered."""
+    rows = catalog.classes(spark, d)
+    deep = F.transform(merging.once(F.col("seq")), lambda x: F.struct(*[(x[b] * F.col("copies")).cast("int").alias(b) for b in "acgt"]))
+    out = merging.assembled(rows.withColumn("cover", deep))
+    depth = F.aggregate("cover", F.lit(0).cast("long"), lambda n, x: n + x["a"] + x["c"] + x["g"] + x["t"])
+    return out.select("id", "seq", F.length("seq").cast("long").alias("length"), depth.alias("volume"))
+
+
 NAMED_HITS = "SELECT concat('ref', l_orderkey, ':', l_orderkey % 97, ':', l_orderkey % 50, ':', l_orderkey % 1000) AS qseqid, concat('asm', l_partkey, '_', l_partkey % 7 + 1, '_', l_partkey % 40, '_', l_partkey % 900, '_', l_partkey % 100) AS sseqid, 400 AS qlen, CAST(250 + 3 * l_quantity AS INT) AS length, CAST(280 + l_partkey % 200 AS INT) AS slen, CAST(249 + 3 * l_quantity AS INT) AS nident, 1 AS mismatch FROM lineitem"
 
 
@@ -185,6 +195,7 @@ OWN = {
     "q63_position_classes": (q63, None),
     "q64_segments": (q64, None),
     "q65_segment_edges": (q65, None),
+    "q68_assembled": (q68, None),
 }
 
 

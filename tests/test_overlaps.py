@@ -181,6 +181,73 @@ def test_lasso():
     assert x[0] == 0.0  # 8 - 1 * 12, clamped
 
 
+def plain_assembly(words, both):
+    """Rounds of mutually best overlaps on lists; a sequence is (letters, counts by position)."""
+    start = lambda x: [tuple(int(c == b) for b in "ACGT") for c in x]
+    flip = lambda c: [x[::-1] for x in c[::-1]]
+    letters = lambda c: "".join("ACGT"[x.index(max(x))] for x in c)
+    now = {i: start(x) for i, x in enumerate(words)}
+    while True:
+        nodes = {(i, t): flip(c) if t else c for i, c in now.items() for t in ((0, 1) if both else (0,))}
+        text = {k: letters(c) for k, c in nodes.items()}
+        edges = {}
+        for u, x in text.items():
+            for v, y in text.items():
+                if u[0] != v[0]:
+                    for n in range(24, min(len(x), len(y), 119) + 1):
+                        if wrong(x[-n:], y[:n]) <= limit(n):
+                            edges[u, v] = (wrong(x[-n:], y[:n]) * 76 - n, n)
+                            break
+        out, into = {}, {}
+        for (u, v), (score, _) in edges.items():
+            out[u] = min(out.get(u, ((1 << 60,), None)), ((score, v[0], v[1]), v))
+            into[v] = min(into.get(v, ((1 << 60,), None)), ((score, u[0], -u[1]), u))
+        links = {u: v for u, (_, v) in out.items() if into[v][1] == u}
+        if not links:
+            return {i: (letters(c), c) for i, c in now.items()}
+        after, seen = {}, set()
+        for name in sorted(now):
+            if name in seen:
+                continue
+            back = {v: u for u, v in links.items()}
+            head = (name, 0)
+            while head in back and back[head] != (name, 0):
+                head = back[head]
+            if head in back:
+                head = (name, 0)  # a ring
+            chain = [head]
+            while chain[-1] in links and links[chain[-1]] != head:
+                chain.append(links[chain[-1]])
+            seen |= {i for i, _ in chain}
+            total, at = [], 0
+            for k, u in enumerate(chain):
+                at = at + len(nodes[chain[k - 1]]) - edges[chain[k - 1], u][1] if k else 0
+                for j, c in enumerate(nodes[u]):
+                    if at + j < len(total):
+                        total[at + j] = tuple(a + b for a, b in zip(total[at + j], c))
+                    else:
+                        total.append(c)
+            after[name] = total
+        now = after
+
+
+@pytest.mark.parametrize("both", [True, False])
+def test_assembled(spark, both):
+    r = random.Random(11)
+    letters = lambda n: "".join(r.choice("ACGT") for _ in range(n))
+    bases = [letters(400), letters(260)]
+    rows = [b[i : i + 100] for b in bases for i in range(0, len(b) - 60, 63)]
+    rows = [rc(x) if r.random() < 0.4 else x for x in rows]
+    r.shuffle(rows)
+    ring = letters(200)
+    rows += [ring[:110], ring[70:180], ring[150:] + ring[:50], letters(70)]
+    want = plain_assembly(rows, both)
+    got = {x.id: x for x in merging.assembled(spark.createDataFrame(list(enumerate(rows)), "id long, seq string"), both_strands=both).collect()}
+    assert {i: (x.seq, [tuple(c) for c in x.cover]) for i, x in got.items()} == {i: (x, [tuple(c) for c in y]) for i, (x, y) in want.items()}
+    if both:
+        assert len(want) <= 6 and max(len(x) for x, _ in want.values()) >= 380
+
+
 def test_joined(spark, words):
     r = random.Random(3)
     base = "".join(r.choice("ACGT") for _ in range(300))
