@@ -8,10 +8,11 @@ from pyspark.sql.window import Window
 
 from . import catalog, evaluate
 from .operators import junctions as J
-from .operators import merging, overlaps, positions
+from .operators import merging, overlaps, positions, transcripts
 from .plans.graph import pruned, signed_components
 from .plans.storage import stored, within
 from .sources import formats
+from .sources.config import Config, defaults
 
 
 @within("junctions")
@@ -123,6 +124,18 @@ def q68(spark, d):
     return out.select("id", "seq", F.length("seq").cast("long").alias("length"), depth.alias("volume"))
 
 
+@within("transcripts")
+def q69(spark, d):
+    """Transcripts of each group of contigs, with their depth, share and rates."""
+    rows = laid(spark, d)
+    name = lambda s, p: F.concat_ws(":", s, p)
+    found = positions.segments(rows.drop("a", "c", "g", "t"), rows.select("seq_id", "pos", "a", "c", "g", "t"))
+    found = found.select("grp", name("seg_seq", "seg_pos").alias("node"), "length", "seq", "depth")
+    edges = positions.splices(rows).select("grp", name("src_seq", "src_pos").alias("src"), name("dst_seq", "dst_pos").alias("dst"))
+    out = transcripts.with_rates(transcripts.transcripts(found, edges, defaults(Config(76, min_tr_length=100))))
+    return out.select("grp", "iso", "n_isoforms", F.array_join("nodes", " ").alias("nodes"), "length", "seq", "depth", "share", F.round("rpkm", 4).alias("rpkm"), F.round("tpm", 4).alias("tpm"))
+
+
 NAMED_HITS = "SELECT concat('ref', l_orderkey, ':', l_orderkey % 97, ':', l_orderkey % 50, ':', l_orderkey % 1000) AS qseqid, concat('asm', l_partkey, '_', l_partkey % 7 + 1, '_', l_partkey % 40, '_', l_partkey % 900, '_', l_partkey % 100) AS sseqid, 400 AS qlen, CAST(250 + 3 * l_quantity AS INT) AS length, CAST(280 + l_partkey % 200 AS INT) AS slen, CAST(249 + 3 * l_quantity AS INT) AS nident, 1 AS mismatch FROM lineitem"
 
 
@@ -196,6 +209,7 @@ OWN = {
     "q64_segments": (q64, None),
     "q65_segment_edges": (q65, None),
     "q68_assembled": (q68, None),
+    "q69_transcripts": (q69, None),
 }
 
 
