@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .functions import sequence as S
 from .functions import tails
-from .operators import numeric, overlaps
+from .operators import kmers, numeric, overlaps
 from .plans.graph import capped_components, compacted, connected_components, resolved, signed_components
 from .plans.storage import stored
 from .sources import formats
@@ -114,8 +114,7 @@ def q03(spark, d):
 
 
 def q04(spark, d):
-    k = sequences(spark, d).select("doc_id", F.posexplode(S.kmers(F.col("seq"))).alias("pos", "kmer")).filter("pos % 4 = 0")
-    return k.groupBy("kmer").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    return kmers.spectrum(sequences(spark, d), 8, 4)
 
 
 def q05(spark, d):
@@ -390,6 +389,64 @@ OWN |= {
 }
 
 
+def q70(spark, d):
+    """Every contig with the class that stands for it and its copies elsewhere, and the shared 8-mers that a candidate for it needs."""
+    known = classes(spark, d).select(F.col("id").alias("class_id"), "seq", "copies", S.count_limit(F.length("seq"), 4, 0.05, 2).alias("need"))
+    return pieces(spark, d).join(known, "seq").select("class_id", "id", "doc_id", "copies", "need")
+
+
+def q71(spark, d):
+    """Reads of two mates written as FASTQ and read again; quality lines may begin with @."""
+    reads = sequences(spark, d).select("doc_id", F.substring("seq", 1, 76).alias("first"), S.reverse_complement(F.expr("right(seq, 76)")).alias("second"))
+    return formats.fastq_round_trip(reads)
+
+
+def q72(spark, d):
+    """Segments with their counts written and read again."""
+    copies = F.col("doc_id") % 5 + 1
+    rows = sequences(spark, d).select(F.col("doc_id").alias("seg_id"), (F.length("seq") % 7).alias("group_id"), "seq", F.transform(F.split("seq", ""), lambda c: F.struct(*[F.when(c == x, copies).otherwise(0).cast("int").alias(x.lower()) for x in "ACGT"])).alias("cov"))
+    back = formats.segment_round_trip(rows)
+    return back.select(F.col("seg_id").cast("long").alias("seg_id"), F.col("group_id").cast("long").alias("group_id"), F.col("len").cast("long").alias("len"), "seq", *[F.array_join(F.col("cov")[x].cast("array<string>"), "").alias(x) for x in "acgt"])
+
+
+def q73(spark, d):
+    """Edges under a line of four numbers, written and read again."""
+    return formats.edge_round_trip(relational(f"WITH {BRANCHES} SELECT src AS from_seg, dst AS to_seg FROM branch")(spark, d))
+
+
+def q74(spark, d):
+    """The end overlap of each pair of contigs that have 20 8-mers of their ends in common, on either strand."""
+    rows = classes(spark, d)
+    pairs = overlaps.with_sequences(q11(spark, d).select("a", "b"), rows)
+    found = pairs.select("a", "b", S.prefix_suffix(F.col("sa"), F.col("sb"), 24, 119, 0.05).alias("m")).filter("m IS NOT NULL")
+    return found.select("a", "b", F.col("m.pos").cast("long").alias("pos"), F.col("m.dep").cast("long").alias("dep"), F.col("m.dist").cast("long").alias("dist"))
+
+
+def q75(spark, d):
+    """Later trimming passes: both tails are cut, nothing is turned; codes and letters back and forth."""
+    cut = tails.trimmed(F.col("seq"), 3, 0.05, turn=False, both=True)
+    return sequences(spark, d).select("doc_id", S.decoded(S.encoded(cut)).alias("seq"))
+
+
+def sql_first(x: str, y: str) -> str:
+    """The least overlap of x's tail with y's head."""
+    return f"list_filter(range(24, least(length({x}), length({y}), 119) + 1), lambda n: hamming(right({x}, n), left({y}, n)) <= floor(n * 0.05 + 0.5))[1]"
+
+
+ENDPAIR = f"""WITH {ENDS}, pairs AS (SELECT a, b, x.seq AS sa, y.seq AS sb, reverse(translate(y.seq, 'ACGT', 'TGCA')) AS rb FROM cand JOIN c x ON x.id = a JOIN c y ON y.id = b),
+    tried AS (SELECT *, {sql_first('sb', 'sa')} AS n1, {sql_first('sa', 'sb')} AS n2, {sql_first('rb', 'sa')} AS n3, {sql_first('sa', 'rb')} AS n4 FROM pairs),
+    listed AS (SELECT a, b, list_filter([[length(sb) - n1, n1, hamming(right(sb, n1), left(sa, n1))], [length(sb) - n2, -n2, hamming(right(sa, n2), left(sb, n2))], [n3 - length(sb), n3, hamming(right(rb, n3), left(sa, n3))], [n4 - length(sb), -n4, hamming(right(sa, n4), left(rb, n4))]], lambda x: x[1] IS NOT NULL) AS l FROM tried)
+    SELECT a, b, m[1] AS pos, m[2] AS dep, m[3] AS dist FROM (SELECT a, b, coalesce(list_filter(l, lambda x: x[1] <> 0)[1], l[-1]) AS m FROM listed) WHERE m IS NOT NULL"""
+OWN |= {
+    "q70_contig_classes": (q70, f"WITH {CLASSES} SELECT c.id AS class_id, contigs.id AS id, doc_id, copies, CAST(floor(greatest((length(c.seq) - 4) / 4 - ceil(length(c.seq) * 0.05) * 2, 2) + 0.5) AS BIGINT) AS need FROM contigs JOIN c USING (seq)"),
+    "q71_fastq_pairs": (q71, f"WITH {SEQS}, r AS (SELECT doc_id, 1 AS mate, left(seq, 76) AS seq FROM s UNION ALL SELECT doc_id, 2, reverse(translate(right(seq, 76), 'ACGT', 'TGCA')) FROM s) SELECT concat('read', doc_id) AS name, mate, seq, translate(seq, 'ACGT', '@IHG') AS qual FROM r"),
+    "q72_segment_file": (q72, f"WITH {SEQS} SELECT doc_id AS seg_id, length(seq) % 7 AS group_id, length(seq) AS len, seq, " + ", ".join(f"array_to_string(list_transform(string_split(seq, ''), lambda x: CASE WHEN x = '{b}' THEN doc_id % 5 + 1 ELSE 0 END), '') AS {b.lower()}" for b in "ACGT") + " FROM s"),
+    "q73_edge_file": (q73, f"WITH {BRANCHES} SELECT src AS from_seg, dst AS to_seg FROM branch"),
+    "q74_end_overlaps": (q74, ENDPAIR),
+    "q75_later_trimming": (q75, f"WITH {SEQS}, {tails.sql_run('tail', 'reverse(seq)', 'A', 3, 0.05)}, {tails.sql_run('head', 'seq', 'T', 3, 0.05)} SELECT doc_id, CASE WHEN tail.run >= length(seq) OR head.run >= length(seq) THEN NULL WHEN tail.run > 0 AND head.run > 0 THEN substr(seq, head.run - 2, length(seq) - head.run - tail.run + 6) WHEN tail.run > 0 THEN left(seq, length(seq) - tail.run + 3) WHEN head.run > 0 THEN substr(seq, head.run - 2) ELSE seq END AS seq FROM s JOIN tail USING (doc_id) JOIN head USING (doc_id)"),
+}
+
+
 def queries() -> dict:
     return dict(sorted({**{k: relational(v) for k, v in SHARED.items()}, **{k: v[0] for k, v in OWN.items()}}.items()))
 

@@ -240,3 +240,31 @@ def hits_round_trip(hits: DataFrame) -> DataFrame:
     zero = F.lit(0)
     hits.select("qseqid", "sseqid", "qlen", "length", "slen", F.lit(1), "length", F.lit(1), "length", "nident", "mismatch", zero, zero, zero, zero).toDF(*map(str, range(15))).write.csv(path, sep="\t")
     return read_hits(hits.sparkSession, path)
+
+
+def write_fastq(df: DataFrame, path: str) -> None:
+    """Reads (name, seq, qual) as records of four lines."""
+    df.select(F.concat_ws("\n", F.concat(F.lit("@"), "name"), "seq", F.lit("+"), "qual").alias("value")).write.text(path)
+
+
+def fastq_round_trip(reads: DataFrame) -> DataFrame:
+    """(name, mate, seq, qual) of reads (doc_id, first, second) written as two tables of FASTQ and read again."""
+    path = f"{shared_dir(reads.sparkSession)}/reads-{uuid.uuid4().hex}"
+    for mate in ("first", "second"):
+        write_fastq(reads.select(F.concat(F.lit("read"), "doc_id").alias("name"), F.col(mate).alias("seq"), F.translate(mate, "ACGT", "@IHG").alias("qual")), f"{path}/{mate}")
+    return read_fastq_pairs(reads.sparkSession, f"{path}/first", f"{path}/second").select("name", "mate", "seq", "qual")
+
+
+def segment_round_trip(rows: DataFrame) -> DataFrame:
+    """Segments written as six-line records and read again."""
+    path = f"{shared_dir(rows.sparkSession)}/segments-{uuid.uuid4().hex}"
+    write_segments(rows, path)
+    return read_segments(rows.sparkSession, path)
+
+
+def edge_round_trip(edges: DataFrame) -> DataFrame:
+    """Edges (from_seg, to_seg) written under a header with their nodes' number and their own, and read again."""
+    path = f"{shared_dir(edges.sparkSession)}/edges-{uuid.uuid4().hex}"
+    n = edges.select(F.explode(F.array("from_seg", "to_seg")).alias("node")).agg(F.count_distinct("node").alias("nodes"), F.count("*").alias("ends")).first()
+    write_edges(edges, path, n.nodes, 1, n.ends // 2, n.ends // 2)
+    return read_edges(edges.sparkSession, path)
