@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from . import catalog, evaluate
 from .operators import junctions as J
-from .operators import merging, overlaps, positions, transcripts
+from .operators import alignment, merging, overlaps, positions, transcripts
 from .plans.graph import pruned, signed_components
 from .plans.storage import stored, within
 from .sources import formats
@@ -136,6 +136,12 @@ def q69(spark, d):
     return out.select("grp", "iso", "n_isoforms", F.array_join("nodes", " ").alias("nodes"), "length", "seq", "depth", "share", F.round("rpkm", 4).alias("rpkm"), F.round("tpm", 4).alias("tpm"))
 
 
+def q76(spark, d):
+    """The best local alignment of each pair of contigs that have 19 letters in common, from 40 bits on."""
+    rows = catalog.classes(spark, d).select("id", "seq")
+    return alignment.aligned(rows, rows, 40.0)
+
+
 NAMED_HITS = "SELECT concat('ref', l_orderkey, ':', l_orderkey % 97, ':', l_orderkey % 50, ':', l_orderkey % 1000) AS qseqid, concat('asm', l_partkey, '_', l_partkey % 7 + 1, '_', l_partkey % 40, '_', l_partkey % 900, '_', l_partkey % 100) AS sseqid, 400 AS qlen, CAST(250 + 3 * l_quantity AS INT) AS length, CAST(280 + l_partkey % 200 AS INT) AS slen, CAST(249 + 3 * l_quantity AS INT) AS nident, 1 AS mismatch FROM lineitem"
 
 
@@ -210,6 +216,7 @@ OWN = {
     "q65_segment_edges": (q65, None),
     "q68_assembled": (q68, None),
     "q69_transcripts": (q69, None),
+    "q76_alignments": (q76, None),
 }
 
 
