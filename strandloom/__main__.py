@@ -1,4 +1,4 @@
-"""Command line: `python -m strandloom filter|evaluate|settings ...`."""
+"""Command line: `python -m strandloom assemble|filter|evaluate|settings ...`."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import logging
 
 from pyspark.sql import SparkSession
 
-from . import evaluate
+from . import evaluate, stages
 from .sources import formats
 from .sources.config import read_config
 
@@ -28,8 +28,12 @@ def main(args: list[str] | None = None) -> None:
     two.add_argument("--transcripts", help="the FASTA whose transcripts were aligned, to be counted")
     three = commands.add_parser("settings", help="the settings of a file with their defaults")
     three.add_argument("path")
+    four = commands.add_parser("assemble", help="contigs of a file to segments, edges and transcripts")
+    four.add_argument("contigs")
+    four.add_argument("out")
+    four.add_argument("settings", help="a settings file")
     asked = parser.parse_args(args)
-    logging.basicConfig(filename=asked.log, level=logging.INFO, format="%(asctime)s %(message)s")
+    logging.basicConfig(filename=asked.log, level=logging.INFO, format="%(asctime)s %(message)s", force=True)
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
     if asked.command == "filter":
         counts = formats.write_by_threshold(formats.read_transcripts(spark, asked.fasta), asked.out, [float(x) for x in asked.thresholds.split(",")])
@@ -41,6 +45,9 @@ def main(args: list[str] | None = None) -> None:
         formats.write_matches(matches, asked.out, found)
         for row in evaluate.recovered(matches).orderBy("share").collect():  # one row for each share
             logging.info("covered %s: %s matches, fit %s", row.share, row.n, row.r2)
+    elif asked.command == "assemble":
+        for what, n in stages.assemble(spark, asked.contigs, asked.out, read_config(spark, asked.settings)).items():
+            logging.info("%s: %s", what, n)
     else:
         logging.info("%s", read_config(spark, asked.path))
 

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import catalog, evaluate
+from . import catalog, evaluate, stages
 from .operators import junctions as J
-from .operators import alignment, merging, overlaps, positions, transcripts
-from .plans.graph import pruned, signed_components
-from .plans.storage import stored, within
+from .operators import alignment, merging, overlaps, transcripts
+from .plans.storage import within
 from .sources import formats
 from .sources.config import Config, defaults
 
@@ -50,48 +49,33 @@ def q60(spark, d):
     return J.connections(pairs(spark, d))
 
 
-@within("oriented")
+def covered(rows: DataFrame) -> DataFrame:
+    """(id, seq, cover) of contig classes: each letter counted as often as there are copies."""
+    deep = F.transform(merging.once(F.col("seq")), lambda x: F.struct(*[(x[b] * F.col("copies")).cast("int").alias(b) for b in "acgt"]))
+    return rows.select("id", "seq", deep.alias("cover"))
+
+
+SETTINGS = defaults(Config(76, norm_dist_threshold=0.05, min_tr_length=100))
+
+
 def oriented(spark, d):
-    """(kind, ..) in one table: the groups, strands and junctions that all later queries start from."""
-    rows = junction_table(spark, d)
-    best = stored(J.best_pairs(rows), "pairs")
-    edges = best.select(F.least("ref_id", "tgt_id").alias("src"), F.greatest("ref_id", "tgt_id").alias("dst"), "score", F.signum("onward").cast("int").alias("sign"))
-    # of the two searches of a pair the better one decides, the one as it is among equals
-    edges = stored(edges.groupBy("src", "dst").agg(F.max("score").alias("score"), F.max(F.struct("score", "sign")).alias("m")).select("src", "dst", "score", "m.sign"), "edges")
-    groups, kept = pruned(edges.select("src", "dst", "score"), 40, 50)
-    groups, kept = stored(groups, "groups"), stored(kept.select("src", "dst"), "kept")
-    every = catalog.classes(spark, d)
-    nodes = every.select(F.col("id").alias("node")).join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("grp"))
-    signs = signed_components(edges.join(kept, ["src", "dst"]).select("src", "dst", "sign"))
-    nodes = stored(nodes.join(signs.select("node", "strand", "conflict"), "node", "left").select("node", "grp", F.coalesce("strand", F.lit(1)).alias("strand"), F.coalesce("conflict", F.lit(False)).alias("conflict")), "nodes")
-    held = J.standing(rows, best).withColumn("src", F.least("ref_id", "tgt_id")).withColumn("dst", F.greatest("ref_id", "tgt_id")).join(kept, ["src", "dst"], "left_semi").drop("src", "dst")
-    turned = J.turned(every.select("id", "seq", "copies"), nodes)
-    fitting = J.rewritten(held, nodes)
-    whole = J.intact(fitting.filter("fits"), turned).select("ref_id", "block", "tgt_id", "side", F.lit(True).alias("whole"))
-    fitting = fitting.join(whole, ["ref_id", "block", "tgt_id", "side"], "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
-    contigs = nodes.join(turned, F.col("node") == F.col("id")).select(F.struct("node", "grp", "strand", "conflict", "seq", "copies").alias("contig"))
-    return contigs.unionByName(fitting.select(F.struct(*fitting.columns).alias("junction")), allowMissingColumns=True)
+    """The contigs, turned, with their groups, and the junctions that stand."""
+    rows = catalog.classes(spark, d)
+    return stages.oriented(covered(rows), J.table(J.searched(rows, rows), rows, rows), SETTINGS)
 
 
 def q61(spark, d):
     """Each contig's group of about 40 at most, and the strand that its connections give it."""
-    return oriented(spark, d).filter("contig IS NOT NULL").select("contig.node", "contig.grp", "contig.strand", "contig.conflict")
+    return oriented(spark, d)[0].select(F.col("id").alias("node"), "grp", "strand", "conflict")
 
 
 def q62(spark, d):
     """The standing junctions on turned contigs."""
-    return oriented(spark, d).filter("junction IS NOT NULL").select("junction.*")
+    return oriented(spark, d)[1]
 
 
-@within("laid")
 def laid(spark, d):
-    """Every position of every contig in its segment, and the contigs' letters."""
-    rows = oriented(spark, d)
-    contigs = rows.filter("contig IS NOT NULL").select("contig.*")
-    found = rows.filter("junction.whole").select("junction.*").join(contigs.select(F.col("node").alias("ref_id"), "grp"), "ref_id")
-    found = found.select("grp", "ref_id", F.col("ref_start").cast("int").alias("ref_pos"), "tgt_id", F.col("tgt_start").cast("int").alias("tgt_pos"), F.col("size").cast("int").alias("length"), (F.col("dist") - F.col("size")).alias("rank"))
-    placed = positions.laid_out(positions.cells(contigs.select("grp", F.col("node").alias("seq_id"), F.length("seq").alias("length")), found))
-    return placed.join(positions.letter_counts(contigs.select(F.col("node").alias("seq_id"), "seq", "copies"), F.col("copies")), ["seq_id", "pos"])
+    return stages.laid(*oriented(spark, d))
 
 
 def q63(spark, d):
@@ -104,22 +88,19 @@ def q63(spark, d):
 
 def q64(spark, d):
     """The segments with their letters, mean depth and members."""
-    rows = laid(spark, d)
-    out = positions.segments(rows.drop("a", "c", "g", "t"), rows.select("seq_id", "pos", "a", "c", "g", "t"))
-    return out.select("grp", "seg_seq", "seg_pos", "length", "seq", "depth", "members")
+    return stages.graph(laid(spark, d))[0].select("grp", "node", "length", "seq", "depth", "members")
 
 
 def q65(spark, d):
     """Which segments follow each other."""
-    return positions.splices(laid(spark, d))
+    return stages.graph(laid(spark, d))[1]
 
 
 @within("assembled")
 def q68(spark, d):
     """Contigs joined along their best overlaps on both strands until nothing joins: letters, and how deep they are covered."""
     rows = catalog.classes(spark, d)
-    deep = F.transform(merging.once(F.col("seq")), lambda x: F.struct(*[(x[b] * F.col("copies")).cast("int").alias(b) for b in "acgt"]))
-    out = merging.assembled(rows.withColumn("cover", deep))
+    out = merging.assembled(covered(rows))
     depth = F.aggregate("cover", F.lit(0).cast("long"), lambda n, x: n + x["a"] + x["c"] + x["g"] + x["t"])
     return out.select("id", "seq", F.length("seq").cast("long").alias("length"), depth.alias("volume"))
 
@@ -127,12 +108,7 @@ def q68(spark, d):
 @within("transcripts")
 def q69(spark, d):
     """Transcripts of each group of contigs, with their depth, share and rates."""
-    rows = laid(spark, d)
-    name = lambda s, p: F.concat_ws(":", s, p)
-    found = positions.segments(rows.drop("a", "c", "g", "t"), rows.select("seq_id", "pos", "a", "c", "g", "t"))
-    found = found.select("grp", name("seg_seq", "seg_pos").alias("node"), "length", "seq", "depth")
-    edges = positions.splices(rows).select("grp", name("src_seq", "src_pos").alias("src"), name("dst_seq", "dst_pos").alias("dst"))
-    out = transcripts.with_rates(transcripts.transcripts(found, edges, defaults(Config(76, min_tr_length=100))))
+    out = transcripts.with_rates(transcripts.transcripts(*stages.graph(laid(spark, d)), SETTINGS))
     return out.select("grp", "iso", "n_isoforms", F.array_join("nodes", " ").alias("nodes"), "length", "seq", "depth", "share", F.round("rpkm", 4).alias("rpkm"), F.round("tpm", 4).alias("tpm"))
 
 

@@ -55,20 +55,23 @@ def _deleted(spark: SparkSession, path: str) -> None:
 
 
 def within(name: str):
-    """A function whose result is stored, after which all tables go that it has stored on the way."""
+    """A function whose result, a table or a tuple of tables, is stored, after which all tables go that it has stored on the way."""
 
-    def decorated(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    def decorated(make: Callable) -> Callable:
         @functools.wraps(make)
-        def run(*args, **options) -> DataFrame:
+        def run(*args, **options):
             made: list[str] = []
             _scopes.append(made)
             try:
-                out = stored(make(*args, **options), name)
+                out = make(*args, **options)
+                out = tuple(stored(x, name) for x in out) if isinstance(out, tuple) else stored(out, name)
             finally:
                 _scopes[:] = [x for x in _scopes if x is not made]
+            kept = {x._stored_at: x for x in (out if isinstance(out, tuple) else (out,))}
+            spark = next(iter(kept.values())).sparkSession
             for path in made:
-                if path != out._stored_at:
-                    _deleted(out.sparkSession, path)
+                if path not in kept:
+                    _deleted(spark, path)
             return out
 
         return run
