@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from ..plans.graph import connected_components
 from . import kernels as K
-from .util import batch_bytes, documents, freed, pieces, stored, text_column, untouched
+from .util import batch_bytes, discarded, documents, freed, pieces, stored, text_column, untouched, within
 
 SKETCH, PERCENT, STAGE_PERCENT = 64, 85, 80
 #: By percentage: common values of SKETCH that two near sets have, and that their sketches' estimate is based on, each but for a chance under 1e-9.
@@ -154,6 +154,7 @@ def sets_of(wanted: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFra
         return stored(rows.mapInArrow(full_sets, "cls long, n long, shingles binary"), "sets")
 
 
+@within("links")
 def near_links(classes: DataFrame, texts: DataFrame, repeated: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (src, dst) between classes that suffice for the components of all pairs from `percent` on.
 
@@ -163,30 +164,38 @@ def near_links(classes: DataFrame, texts: DataFrame, repeated: DataFrame, percen
     # where n / percent is within SKETCH, a partner's set is within the sketch as well, and the needed overlap is exact
     needed = F.ceil(F.col("n") * percent / 100)
     need = F.when(F.col("n") <= SKETCH * percent // 100, needed).otherwise(F.least(F.lit(NEED[percent]), kept))
-    pairs, crowd = listed(stored(rarest(classes, "sketch", kept, need), "lists"), percent)
+    lists = stored(rarest(classes, "sketch", kept, need), "lists")
+    pairs, crowd = listed(lists, percent)
     estimated = lambda rows, sketches: with_both(rows, sketches, "sketch").mapInArrow(similar(ESTIMATE[percent]), MEASURES).drop("index")
     pairs = stored(estimated(pairs, classes), "pairs")
     crowd = stored(crowd.select("cls").distinct(), "crowd")
+    discarded(lists)
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(crowd).distinct()
-    sets = sets_of(stored(wanted.join(classes.select("cls", "n", "doc_id", "place"), "cls"), "wanted"), texts, repeated)
+    wanted = stored(wanted.join(classes.select("cls", "n", "doc_id", "place"), "cls"), "wanted")
+    sets = sets_of(wanted, texts, repeated)
+    discarded(wanted)
     # what follows about long lists and clouds reads and deals the sets of these classes alone
     crowded = stored(sets.join(crowd, "cls", "left_semi"), "crowded")
     exact = lambda rows, table: with_both(rows, table, "shingles").mapInArrow(similar(None), MEASURES)
     near = F.col("index") * 100 >= percent - 1e-9
     linked = lambda rows: rows.filter(near).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
-    more, clouded = listed(stored(rarest(crowded, "shingles", F.col("n"), needed), "lists"), percent)
+    lists = stored(rarest(crowded, "shingles", F.col("n"), needed), "lists")
+    more, clouded = listed(lists, percent)
     sketches = crowded.select("cls", F.substring("shingles", 1, 8 * SKETCH).alias("sketch"))
     more = stored(estimated(more.join(pairs, ["a", "b"], "left_anti").select("a", "b", "na", "nb"), sketches), "pairs")
-    links = linked(exact(pairs.unionByName(more), sets))
-
     clouded = stored(clouded, "clouded")
+    discarded(lists)
+    links = stored(linked(exact(pairs.unionByName(more), sets)), "linked")
+    discarded(sets, pairs, more)
+
     clouds = connected_components(clouded.select(F.col("cls").alias("src"), F.col("least").alias("dst")))
     counts = clouded.groupBy("cls").agg(F.count("*").alias("lists"), F.first("n").alias("n"))
     members = counts.join(clouds, F.col("cls") == F.col("node")).select("cls", "n", "lists", F.col("component").alias("cloud"))
     members = stored(members, "members")
     held = stored(crowded.join(members, "cls", "left_semi"), "held")
+    discarded(crowded)
     hubs = members.groupBy("cloud").agg(F.min_by(F.struct("cls", "n"), F.struct(-F.col("lists"), F.col("cls"))).alias("hub"))
     to_hub = members.join(hubs, "cloud").select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"))
     to_hub = stored(exact(to_hub, held), "hubs")
@@ -274,6 +283,16 @@ def components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     ids left aside; kept says that a row's id is that id (both null counts). Rows with one doc_id and one text
     have one verdict. place is a hash of the text.
     """
+    rows = labelled(df, percent)
+    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    rows = rows.join(least, "label", "left")
+    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return rows.select("doc_id", "place", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+@within("labelled")
+def labelled(df: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, place, n, label) of every row: the class, or the group of classes, that its text belongs to; null without words."""
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"), F.xxhash64(text_column()).alias("place"))
     with batch_bytes(df.sparkSession):
         marks = stored(texts.mapInArrow(signatures, "doc_id long, place long, n long, cls long, sketch binary"), "signatures")
@@ -281,11 +300,7 @@ def components(df: DataFrame, percent: int = PERCENT) -> DataFrame:
     repeated = stored(marks.filter("n > 0").groupBy("doc_id", "place").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", "place"), "repeated")
     labels = connected_components(near_links(classes, texts, repeated, percent))
     rows = marks.select("doc_id", "place", "n", "cls").join(labels, F.col("cls") == F.col("node"), "left").withColumn("label", F.coalesce("component", "cls"))
-    rows = stored(rows.select("doc_id", "place", "n", "label"), "labelled")
-    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
-    rows = rows.join(least, "label", "left")
-    component = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return rows.select("doc_id", "place", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "place", "n", "label")
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
