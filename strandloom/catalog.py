@@ -355,12 +355,23 @@ def q52(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.read_group_round_trip(q34(spark, sf_dir))
 
 
+def sql_pruned(rounds: int = 4, cap: int = 40, safe: int = 50) -> str:
+    """q49 in SQL: a parent is smaller than its part, so a group is known by the part at its top; there are as many rounds as scores."""
+    steps = ["e0 AS (SELECT p_partkey AS src, p_partkey // 2 AS dst, (p_size % 4 + 1) * 15 AS score FROM part WHERE p_partkey > 1)", "nodes AS (SELECT src AS node FROM e0 UNION SELECT dst FROM e0)"]
+    for t in range(rounds + 1):
+        steps.append(f"r{t} AS (SELECT node, node AS top FROM nodes WHERE node NOT IN (SELECT src FROM e{t}) UNION ALL SELECT e{t}.src, r{t}.top FROM e{t} JOIN r{t} ON e{t}.dst = r{t}.node)")
+        if t < rounds:
+            steps.append(f"w{t} AS (SELECT top, size, low FROM (SELECT top, count(*) AS size FROM r{t} GROUP BY top) JOIN (SELECT top, min(score) AS low FROM e{t} JOIN r{t} ON src = node GROUP BY top) USING (top))")
+            steps.append(f"e{t + 1} AS (SELECT src, dst, score FROM e{t} JOIN r{t} ON src = node JOIN w{t} USING (top) WHERE NOT (size > {cap} AND (low < {safe} OR size > {round(1.33 * cap)}) AND score <= low))")
+    return f"WITH RECURSIVE {', '.join(steps)} SELECT node, top AS component FROM r{rounds}"
+
+
 OWN |= {
     "q50_unary_compaction": (q50, f"WITH RECURSIVE {CHAINS} SELECT head, count(*) AS n_nodes, string_agg(concat(p_size, ' ', p_partkey % 7), ' ' ORDER BY depth) AS cover FROM walk JOIN part ON node = p_partkey GROUP BY head"),
     "q51_compacted_edges": (q51, f"WITH RECURSIVE {CHAINS} SELECT DISTINCT x.head AS src, y.head AS dst FROM branch b JOIN walk x ON b.src = x.node JOIN walk y ON b.dst = y.node WHERE NOT (x.head = y.head AND y.depth = x.depth + 1)"),
     "q52_read_group_file": (q52, f"WITH RECURSIVE {READS} SELECT read_id, group1, group2 FROM g WHERE group1 > 0 OR group2 > 0"),
     "q48_strand_propagation": (q48, "WITH RECURSIVE t AS (SELECT c_custkey AS node, c_custkey AS root, 1 AS strand FROM customer WHERE c_custkey % 7 = 0 OR c_custkey = 1 UNION ALL SELECT c.c_custkey, t.root, t.strand * CASE WHEN c.c_acctbal < 0 THEN -1 ELSE 1 END FROM customer c JOIN t ON c.c_custkey // 2 = t.node WHERE c.c_custkey % 7 <> 0 AND c.c_custkey > 1) SELECT node, root, CAST(strand AS INT) AS strand, false AS conflict FROM t"),
-    "q49_capped_components": (q49, None),
+    "q49_capped_components": (q49, sql_pruned()),
 }
 
 
