@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 from ..plans.graph import connected_components
 from . import kernels as K
+from .url_filter import bloom, possible, small
 from .util import batch_bytes, discarded, documents, freed, pieces, stored, text_column, untouched, within
 
 SKETCH, PERCENT, STAGE_PERCENT = 64, 85, 80
@@ -140,8 +141,12 @@ def sets_of(wanted: DataFrame, texts: DataFrame, repeated: DataFrame) -> DataFra
     """(cls, n, shingles), one row for each class wanted (cls, n, doc_id, place).
 
     Sets are wider than texts, so they aren't dealt by class to drop doubles: only where a (doc_id, place) is in
-    `repeated` has a class several rows, and these are dropped as texts.
+    `repeated` has a class several rows, and these are dropped as texts. A Bloom filter of the places wanted, where
+    it is small enough to be broadcast, keeps most other texts from being dealt for the join, which decides.
     """
+    filtered, blocks = bloom(wanted, key=("place",))
+    if small(blocks):
+        texts = possible(texts, filtered, blocks, ("place",))
     where = wanted.withColumnsRenamed({"doc_id": "id", "place": "at"})
     marked = repeated.withColumnsRenamed({"doc_id": "id", "place": "at"})
     same = where["id"].eqNullSafe(marked["id"]) & (where["at"] == marked["at"])

@@ -65,28 +65,33 @@ def entries(rules: DataFrame, listed: DataFrame) -> DataFrame:
     return sound.select(F.lit(0).alias("kind"), "host", "rest", "blocked").unionByName(urls)
 
 
-def key_block(blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(17), *ENTRY), F.lit(blocks)).alias("block")
+def key_block(blocks: int, key: tuple[str, ...] = ENTRY) -> Column:
+    return F.pmod(F.xxhash64(F.lit(17), *key), F.lit(blocks)).alias("block")
 
 
-def key_words() -> list[Column]:
+def key_words(key: tuple[str, ...] = ENTRY) -> list[Column]:
     """The bit of each of a block's eight words that a key sets, by six bits of a second hash each."""
-    second = "xxhash64(29, " + ", ".join(ENTRY) + ")"
+    second = "xxhash64(29, " + ", ".join(key) + ")"
     return [F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({second}, {6 * i}) & 63 AS int))") for i in range(8)]
 
 
-def bloom(listed: DataFrame, bits_each: int = BITS_EACH) -> tuple[DataFrame, int]:
+def bloom(listed: DataFrame, bits_each: int = BITS_EACH, key: tuple[str, ...] = ENTRY) -> tuple[DataFrame, int]:
     """The filter (block, w0 .. w7) over entries, blocks without a bit left out, and its number of blocks."""
     blocks = max(1, -(-listed.count() * bits_each // BLOCK_BITS))
-    set_bits = listed.select(key_block(blocks), *[w.alias(f"w{i}") for i, w in enumerate(key_words())])
+    set_bits = listed.select(key_block(blocks, key), *[w.alias(f"w{i}") for i, w in enumerate(key_words(key))])
     return set_bits.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)]), blocks
 
 
-def possible(keys: DataFrame, filtered: DataFrame, blocks: int) -> DataFrame:
-    """Those of keys (kind, host, rest, ..) whose bits are all set."""
-    filtered = F.broadcast(filtered) if blocks * (BLOCK_BITS // 8 + 8) <= SMALL_FILTER else filtered
-    met = keys.withColumn("block", key_block(blocks)).join(filtered, "block")
-    for i, word in enumerate(key_words()):
+def small(blocks: int) -> bool:
+    """Whether a filter of so many blocks may be broadcast."""
+    return blocks * (BLOCK_BITS // 8 + 8) <= SMALL_FILTER
+
+
+def possible(keys: DataFrame, filtered: DataFrame, blocks: int, key: tuple[str, ...] = ENTRY) -> DataFrame:
+    """Those of keys (kind, host, rest, .., or what `key` names) whose bits are all set."""
+    filtered = F.broadcast(filtered) if small(blocks) else filtered
+    met = keys.withColumn("block", key_block(blocks, key)).join(filtered, "block")
+    for i, word in enumerate(key_words(key)):
         met = met.filter(F.col(f"w{i}").bitwiseAND(word) != 0)
     return met.drop("block", *[f"w{i}" for i in range(8)])
 
