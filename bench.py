@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from strandloom import catalog
 
-HEADLINE = ["q01_multi_threshold_filter", "q04_kmer_spectrum", "q06_consensus", "q10_hamming_pairs", "q13_dovetail_overlap", "q14_containment", "q19_connected_components", "q22_topk_per_group", "q28_boundaries", "q38_best_hit", "q47_rpkm_tpm", "q54_junctions"]
+HEADLINE = ["q01_multi_threshold_filter", "q04_kmer_spectrum", "q06_consensus", "q10_hamming_pairs", "q14_containment", "q19_connected_components", "q22_topk_per_group", "q28_boundaries", "q38_best_hit", "q47_rpkm_tpm", "q54_junctions"]
 
 
 def main() -> None:
