@@ -160,6 +160,13 @@ def write_segments(df: DataFrame, path: str) -> None:
     df.select(F.concat_ws("\n", head, "seq", *counts).alias("value")).write.text(path)
 
 
+def write_contigs(df: DataFrame, path: str) -> None:
+    """Contigs (cntg_id, n_valid, n_total, seq, cov) as six-line records."""
+    counts = [F.array_join(F.col("cov")[base].cast("array<string>"), "\t") for base in "acgt"]
+    head = F.concat_ws("\t", F.lit(">Contig"), "cntg_id", "cntg_id", "n_valid", "n_total")
+    df.select(F.concat_ws("\n", head, "seq", *counts).alias("value")).write.text(path)
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """(at, value): the whole numbers of one text file in order, at from 0.
 
