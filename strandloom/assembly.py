@@ -123,6 +123,12 @@ def q76(spark, d):
     return alignment.aligned(rows, rows, 40.0)
 
 
+@within("candidates")
+def q79(spark, d):
+    """Which contigs may hold which others, by 8-mers of both strands."""
+    return overlaps.whole_candidates(catalog.classes(spark, d))
+
+
 #: Ranges of small files, so that even these tables are read in several.
 SMALL_RANGE = 1 << 16
 
@@ -221,6 +227,7 @@ OWN = {
     "q68_merged_round": (q68, None),
     "q69_transcripts": (q69, None),
     "q76_alignments": (q76, None),
+    "q79_whole_candidates": (q79, f"WITH {catalog.CLASSES}, picked AS (SELECT id AS a, length(seq) AS len, unnest(list_transform(range(0, (length(seq) - 8) // 4 + 1), lambda i: substr(seq, i * 4 + 1, 8))) AS kmer FROM c), strands AS (SELECT id, seq FROM c UNION ALL SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')) FROM c), held AS (SELECT DISTINCT id AS b, length(seq) AS blen, unnest(list_transform(range(1, length(seq) - 6), lambda i: substr(seq, i, 8))) AS kmer FROM strands) SELECT a, b, count(*) AS shared FROM picked JOIN held USING (kmer) WHERE blen > len OR (blen = len AND b < a) GROUP BY a, b, len HAVING count(*) >= floor(greatest((len - 4) / 4 - ceil(len * 0.05) * 2, 2) + 0.5)"),
     "q77_fastq_ranges": (q77, f"WITH {catalog.SEQS} SELECT concat('read', doc_id) AS name, seq, translate(seq, 'ACGT', '@+HG') AS qual FROM s"),
     "q78_contig_ranges": (q78, f"WITH {catalog.SEQS} SELECT doc_id AS cntg_id, doc_id % 5 + 1 AS n_valid, length(seq) AS n_total, seq, " + ", ".join(f"array_to_string(list_transform(string_split(seq, ''), lambda x: CASE WHEN x = '{b}' THEN doc_id % 5 + 1 ELSE 0 END), '') AS {b.lower()}" for b in "ACGT") + ", CAST(doc_id % 5 + 1 AS DOUBLE) AS depth FROM s"),
 }

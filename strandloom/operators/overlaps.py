@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import sequence as S
+from ..plans.storage import stored
 
 #: Letters of a contig cut from a longer sequence, the shortest one, and the letters of an end.
 WIDTH, LEAST, END = 120, 40, 40
@@ -102,6 +103,29 @@ def end_candidates(seqs: DataFrame, least: int, end: int = END, k: int = 8) -> D
     return pairs.select("a", "b", F.size(F.array_intersect("tail", "head")).cast("long").alias("shared")).filter(F.col("shared") >= least)
 
 
+def whole_candidates(seqs: DataFrame, step: int = 4, share: float = 0.05, least: float = 2, common: int = 3) -> DataFrame:
+    """(a, b, shared): which sequences b may hold the sequence a (id, seq), of those that are longer, or as long with a smaller id.
+
+    shared counts every step-th 8-mer of a, repeats included, that stands in b or its reverse complement; pairs with
+    fewer than `count_limit` of them are left out. A pair of so many has `common` of them (or all that it needs)
+    among a's rarest, however many a list of b has: those alone are joined and summed, then whole sequences are
+    compared. No list is cut off, so work grows with the lists of a's rarest 8-mers.
+    """
+    rows = seqs.select("id", "seq", F.length("seq").alias("len"), S.count_limit(F.length("seq"), step, share, least).alias("need"))
+    rows = rows.withColumns({"picked": F.filter(S.kmers(F.col("seq")), lambda _, i: i % step == 0), "held": F.array_union(S.kmers(F.col("seq")), S.kmers(S.reverse_complement(F.col("seq"))))}).drop("seq")
+    rows = stored(rows.filter("len >= 8"), "picked")
+    lists = rows.select(F.col("id").alias("b"), F.col("len").alias("blen"), F.explode("held").alias("kmer"))
+    probes = rows.select(F.col("id").alias("a"), "len", "need", F.explode("picked").alias("kmer")).groupBy("a", "len", "need", "kmer").agg(F.count("*").alias("m"))
+    enough = F.least("need", F.lit(common))
+    # what a pair may have in common behind each of a's 8-mers, the rarest of them first
+    behind = F.sum("m").over(Window.partitionBy("a").orderBy(F.desc("df"), F.desc("kmer")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rare = probes.join(lists.groupBy("kmer").agg(F.count("*").alias("df")), "kmer").withColumn("behind", behind).filter(F.col("behind") > F.col("need") - enough)
+    met = rare.join(lists, "kmer").filter("blen > len OR (blen = len AND b < a)").groupBy("a", "b").agg(F.sum("m").alias("m"), F.first(enough).alias("enough")).filter("m >= enough")
+    pairs = met.select("a", "b").join(rows.select(F.col("id").alias("a"), "picked", "need"), "a").join(rows.select(F.col("id").alias("b"), "held"), "b")
+    both = pairs.select("a", "b", "need", "picked", F.array_intersect("picked", "held").alias("both"))
+    return both.select("a", "b", F.size(F.filter("picked", lambda x: F.array_contains("both", x))).cast("long").alias("shared"), "need").filter("shared >= need").drop("need")
+
+
 def limit_steps(shortest: int, longest: int, share: float) -> list[tuple[int, int, int]]:
     """(first length, last length, mismatches allowed) of overlap lengths, by the number allowed."""
     out: list[tuple[int, int, int]] = []

@@ -261,3 +261,29 @@ def test_joined(spark, words):
     hits = spark.createDataFrame([(2, 1, 31), (3, 1, -51)], "probe_id long, id long, pos long")
     got = merging.absorbed(df, hits).collect()
     assert len(got) == 1 and got[0].seq == base[:120] and sum(got[0].cover[55]) == 3 and got[0].n == 3
+
+
+def test_whole_candidates(spark):
+    """Against a loop over all pairs: parts, turned and changed ones, repeats, equal lengths, short and empty ones."""
+    rng = random.Random(11)
+    base = ["".join(rng.choices("ACGT", k=200)) for _ in range(4)] + ["A" * 150, "ACGTACGTAA" * 14]
+    seqs = base + [base[0][30:110], rc(base[1][5:90]), base[2][:100] + "G" + base[2][101:], "A" * 60, "A" * 60 + "C" * 20, "ACGTACGTAA" * 6, "ACG", "", base[3]]
+    seqs += [s[:70] + rng.choice("ACGT") + s[71:] for s in base[:3]]
+    rows = list(enumerate(seqs))
+
+    def need(n):
+        return int(max((n - 4) / 4 - -(-n * 5 // 100) * 2, 2) + 0.5)
+
+    want = set()
+    for a, s in rows:
+        picked = [s[i : i + 8] for i in range(0, len(s) - 7, 4)]
+        for b, t in rows:
+            if len(t) > len(s) or (len(t) == len(s) and b < a):
+                held = {x[i : i + 8] for x in (t, rc(t)) for i in range(len(x) - 7)}
+                n = sum(x in held for x in picked)
+                if n >= need(len(s)):
+                    want.add((a, b, n))
+    assert len(want) > 8
+    for common in (1, 3, 50):
+        got = O.whole_candidates(spark.createDataFrame(rows, "id long, seq string"), common=common)
+        assert {tuple(r) for r in got.collect()} == want
