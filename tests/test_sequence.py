@@ -1,9 +1,13 @@
 """Hand-traced vectors of the sequence functions, and graph rounds against plain loops."""
 
+import collections
+import random
+
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
-from strandloom.operators import numeric
+from strandloom.functions import tails
+from strandloom.operators import kmers, numeric
 from strandloom.plans.graph import capped_components, compacted, connected_components, resolved, signed_components, unary_chains
 from strandloom.sources.formats import read_contigs, read_edges, read_group_round_trip, read_read_map, read_segments, write_edges, write_segments
 
@@ -124,3 +128,26 @@ def test_unary_chains(spark):
     assert {r["head"]: r.cover for r in chains.collect()} == {1: [1, 2, 3, 4, 5], 6: [6], 7: [7], 21: [21, 22, 23], 30: [30], 40: [40]}
     assert sorted(map(tuple, left.collect())) == [(1, 6), (1, 7), (21, 21), (40, 40)]
     assert unary_chains(n.limit(0), e.limit(0)).count() == 0
+
+
+def test_kmers_counted_in_place(spark):
+    """Counts within each sequence and on both strands as loops have them, without dealing any k-mer."""
+    rng = random.Random(11)
+    rows = [(i, "".join(rng.choices("ACGT", k=rng.choice([8, 9, 40, 700])))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, seq string").coalesce(1)
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    own = lambda s: [s[i : i + 8] for i in range(len(s) - 7)]
+    code = lambda w: int(w.translate(str.maketrans("ACGT", "0123")), 4)
+    out = kmers.counted(df)
+    assert {(r.doc_id, r.code): r.n for r in out.collect()} == {(i, code(w)): n for i, s in rows for w, n in collections.Counter(own(s)).items()}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    both = kmers.strand_counts(df.withColumnRenamed("doc_id", "id"))
+    assert {tuple(r) for r in both.collect()} == {(i, len(set(own(s))), len(set(own(s)) | set(own(turn(s))))) for i, s in rows}
+
+
+def test_tail_beyond_the_near_letters(spark):
+    """A run that goes on behind the letters that are read first counts as a whole, and one that ends there stays."""
+    for n in (tails.NEAR - 1, tails.NEAR, tails.NEAR + 1, 3 * tails.NEAR):
+        for rest in ("", "CGCGCGCGCGCGCGCGCG"):
+            got = spark.range(1).select(tails.fuzzy_run(F.lit("A" * n + rest), "A", 3, 0.0).alias("f")).first().f
+            assert got == n
