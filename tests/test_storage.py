@@ -1,6 +1,7 @@
 """Stored tables and when they go."""
 
 import os
+import time
 
 from strandloom.plans import storage
 
@@ -47,3 +48,19 @@ def test_within_fails_cleanly(spark):
         except ValueError:
             pass
     assert storage._scopes == []
+
+
+def test_released(spark):
+    """What was dealt for a stored table is gone once it is written, and the session's setting is as before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    dealt = lambda: {str(blocks.getAllFiles().apply(i)) for i in range(blocks.getAllFiles().size()) if "shuffle_" in str(blocks.getAllFiles().apply(i))}
+    then = dealt()
+    rows = storage.stored(spark.range(1000).repartition(3, "id"), "t")
+    assert spark.conf.get(name) == before
+    end = time.time() + 20
+    while dealt() - then and time.time() < end:
+        time.sleep(0.2)
+    assert not any(".data" in x for x in dealt() - then)
+    assert rows.count() == 1000
