@@ -287,3 +287,12 @@ def test_whole_candidates(spark):
     for common in (1, 3, 50):
         got = O.whole_candidates(spark.createDataFrame(rows, "id long, seq string"), common=common)
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_containment_deals_no_letters(spark, capsys):
+    """What is dealt by stretches holds numbers only."""
+    rows = spark.createDataFrame([(1, "ACGT" * 12), (2, "ACGT" * 30)], "id long, seq string")
+    O.contained(rows, rows).explain("formatted")
+    plan = capsys.readouterr().out
+    inputs = [x.split("\n")[1] for x in plan.split("\n\n") if "Exchange\n" in x and "hashpartitioning(key" in x]
+    assert len(inputs) == 2 and not any("sb#" in x or "seq#" in x for x in inputs)
