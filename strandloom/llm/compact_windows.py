@@ -6,10 +6,10 @@ Cartesian tree of the hashes, here cut to the REACH items that a passage of SPAN
 hold. A window stands in two buckets at most: that of its smallest item with the SIDE items before it, and that
 with the SIDE items after it. Windows with equal items are one class, linked with its first. Where a bucket has
 several classes, the intervals of their first windows are joined, aligned at the shared item, and their items
-compared: in a bucket of up to FIRST windows each with each other, in a larger one every window with the bucket's
-leaders, the windows that are like none of the leaders before them. So a window that is like any leader is
-linked, and a bucket of many like windows costs one comparison a window and leader, not all pairs. Intervals of
-two documents, from all functions, that overlap are one passage.
+compared, each with each other. A bucket of more than TILE of them is dealt in tiles, each the windows of one block
+or of two, so that a task holds 2 * TILE of a bucket at most. Windows that have a whole passage in common hold
+copies of it, and as many links are made as join them; of windows that are near each other every pair is a link.
+Intervals of two documents, from all functions, that overlap are one passage.
 
 Exact passages of WORDS words always meet: their smallest item has SIDE equal items on one side at least. Near
 ones meet under a function if their smallest item is common and has an unchanged side, so several functions are
@@ -28,7 +28,9 @@ from .util import documents, pieces, stored, text_column
 
 WIDTH, WORDS, HASHES = 5, 50, 3
 SPAN = WORDS - WIDTH + 1
-REACH, SIDE, FIRST = SPAN - 1, 11, 8
+REACH, SIDE = SPAN - 1, 11
+#: First windows of a bucket that a block holds.
+TILE = 512
 SEEDS = [K.U64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 #: Likeness: a Jaccard index of 4/5, i.e. of two stretches of n items GAIN * matched >= COST * n.
 LIKE, GAIN, COST = 0.8, 9, 8
@@ -121,8 +123,9 @@ def windows(batches):
 
 def classed(batches):
     """Over windows sorted by (key, same, doc_id, place, at): links of windows with the first of their class, and that
-    first one (without a link) where a bucket has several classes. One row of each kind is carried on."""
+    first one (without a link, with its number in the bucket) where a bucket has several classes. One row of each kind is carried on."""
     last, waiting = None, None  # the class's first row; the bucket's first class until a second one comes
+    numbered = (None, 0)  # the last bucket with several classes, and how many of them have been told
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -152,10 +155,16 @@ def classed(batches):
             last = rows[:, begins[-1]]
         a, b = first[:, linked], rows[:, linked]
         n = asks.shape[1]
+        begin = np.maximum.accumulate(np.where(np.diff(asks[0], prepend=asks[0, :1] + 1) != 0, np.arange(n), 0))
+        number = np.arange(n) - begin
+        if n:
+            number[begin == 0] += numbered[1] if numbered[0] == asks[0, 0] else 0
+            numbered = (asks[0, -1], int(number[-1]) + 1)
         none = np.arange(n + b.shape[1]) < n
         both = [np.concatenate([asks[i], b[i]]) for i in range(6)]
         of = [np.concatenate([np.zeros(n, np.int64), a[i]]) for i in (1, 2, 3, 4)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in both] + [pa.array(x, mask=none) for x in of], names=[*COLUMNS[:6], "a_id", "a_place", "a_at", "a_run"])
+        number = np.concatenate([number, np.zeros(b.shape[1], np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in both] + [pa.array(x, mask=none) for x in of] + [pa.array(number)], names=[*COLUMNS[:6], "a_id", "a_place", "a_at", "a_run", "number"])
 
 
 def contexts(batches):
@@ -164,7 +173,7 @@ def contexts(batches):
         values, bounds = items(batch.column("text"))
         lists = batch.column("asked")
         offsets, asked = np.asarray(lists.offsets), lists.flatten()
-        key, at, run, ends = (np.asarray(asked.field(c)) for c in ("key", "at", "run", "ends"))
+        key, at, run, ends, block = (np.asarray(asked.field(c)) for c in ("key", "at", "run", "ends", "block"))
         row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
         padded = np.concatenate([np.zeros(REACH, np.uint16), values.astype(np.uint16), np.zeros(REACH, np.uint16)])
         for i in range(0, len(at), 1 << 13):
@@ -172,24 +181,24 @@ def contexts(batches):
             around = padded[(bounds[:-1][row[p]] + at[p])[:, None] + np.arange(2 * REACH + 1)[None, :]]
             take = lambda c: np.asarray(batch.column(c))[row[p]]  # noqa: E731,B023
             fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * REACH + 2), len(around), [None, pa.py_buffer(around.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(take("doc_id")), pa.array(take("place")), pa.array(at[p]), pa.array(run[p]), pa.array(ends[p]), fixed], names=[*COLUMNS[:6], "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[p]), pa.array(take("doc_id")), pa.array(take("place")), pa.array(at[p]), pa.array(run[p]), pa.array(ends[p]), pa.array(block[p]), fixed], names=[*COLUMNS[:6], "block", "items"])
 
 
 class Rows:
     """Windows with their items as arrays."""
 
-    def __init__(self, key, doc, place, at, run, left, right, items):
-        self.columns = (key, doc, place, at, run, left, right, items)
-        self.key, self.doc, self.place, self.at, self.run, self.left, self.right, self.items = self.columns
+    def __init__(self, key, doc, place, at, run, left, right, block, items):
+        self.columns = (key, doc, place, at, run, left, right, block, items)
+        self.key, self.doc, self.place, self.at, self.run, self.left, self.right, self.block, self.items = self.columns
 
     @staticmethod
     def of(batch: pa.RecordBatch) -> Rows:
-        key, doc, place, at, run, ends = (np.asarray(batch.column(c)).astype(np.int64) for c in COLUMNS[:6])
+        key, doc, place, at, run, ends, block = (np.asarray(batch.column(c)).astype(np.int64) for c in (*COLUMNS[:6], "block"))
         data = batch.column("items").cast(pa.large_binary())
         offset = np.frombuffer(data.buffers()[1], np.int64)[data.offset]
         width = 2 * REACH + 1
         raw = np.frombuffer(data.buffers()[2], np.uint8)[offset : offset + 2 * width * len(data)].view(np.uint16).reshape(len(data), width)
-        return Rows(key, doc, place, at, run, ends >> 6, ends & 63, raw)
+        return Rows(key, doc, place, at, run, ends >> 6, ends & 63, block, raw)
 
     def __len__(self) -> int:
         return len(self.key)
@@ -202,8 +211,8 @@ class Rows:
         return Rows(*(np.concatenate(c) for c in zip(*(x.columns for x in parts))))
 
 
-def alike(b: Rows, a: Rows) -> tuple[np.ndarray, np.ndarray]:
-    """For pairs of windows row by row: which are like, and (first and last item of b, of a, likeness in millionths) of these.
+def alike(b: Rows, a: Rows) -> tuple[np.ndarray, np.ndarray, int]:
+    """For pairs of windows row by row: which are like, (first and last item of b, of a, likeness in millionths) of these, and how many, the first ones, have a whole passage in common.
 
     Windows of one document are no pair. Equal items around the shared one that make a passage are one; where
     there are fewer, but enough in place or further on with a shift, the longest near stretch is looked for.
@@ -224,7 +233,7 @@ def alike(b: Rows, a: Rows) -> tuple[np.ndarray, np.ndarray]:
     near, values = stretched(b.take(at[rest[maybe]]), a.take(at[rest[maybe]]))
     i, k = at[exact], at[rest[maybe]][near]
     whole = np.stack([b.at[i] - back[exact], b.at[i] + b.run[i] + onward[exact], a.at[i] - back[exact], a.at[i] + a.run[i] + onward[exact], np.full(len(i), 1_000_000)])
-    return np.concatenate([i, k]), np.concatenate([whole, values], axis=1)
+    return np.concatenate([i, k]), np.concatenate([whole, values], axis=1), len(i)
 
 
 def _run(equal: np.ndarray) -> np.ndarray:
@@ -284,101 +293,59 @@ def stretched(b: Rows, a: Rows) -> tuple[np.ndarray, np.ndarray]:
     return ok, np.stack([b.at[ok] - x, b.at[ok] + b.run[ok] + y, a.at[ok] + from_, a.at[ok] + a.run[ok] + to, np.round(like * 1e6).astype(np.int64)])
 
 
-class Groups:
-    """Which leaders have been linked, so that a window is linked once with each group of them."""
+def joining(later: list[int], earlier: list[int]) -> list[int]:
+    """Of links (later, earlier) in their order, those that join different groups."""
+    parent: dict[int, int] = {}
 
-    def __init__(self):
-        self.parent: dict = {}
-
-    def root(self, x: int) -> int:
-        while self.parent.setdefault(x, x) != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
         return x
 
-    def chosen(self, later: list, earlier: list) -> list[int]:
-        """Of links (later, earlier) in the order of `later`, those that join different groups."""
-        out = []
-        for k, (j, i) in enumerate(zip(later, earlier)):
-            a, b = self.root(j), self.root(i)
-            if a != b:
-                self.parent[a] = b
-                out.append(k)
-        return out
-
-
-class Bucket:
-    """The leaders of one bucket, which may come in several parts."""
-
-    def __init__(self, key: int):
-        self.key, self.leaders, self.groups = key, [], Groups()
-
-    def add(self, rows: Rows):
-        """The links of further rows with the leaders, and of new leaders with the rows before them."""
-        later, earlier, found = [], [], []
-        met, names = np.zeros(len(rows), bool), [-1 - i for i in range(len(rows))]
-        pool = list(self.leaders)
-
-        def compare(b: np.ndarray, leader: int) -> None:
-            for p in range(0, len(b), 2048):
-                x = b[p : p + 2048]
-                ok, values = alike(rows.take(x), pool[leader].take(np.zeros(len(x), np.int64)))
-                met[x[ok]] = True
-                later.extend(x[ok].tolist())
-                earlier.extend([leader] * len(ok))
-                found.append(values)
-
-        every = np.arange(len(rows))
-        for leader in range(len(pool)):
-            compare(every, leader)
-        i = 0
-        while i < len(rows):
-            if not met[i]:
-                names[i] = len(pool)
-                pool.append(rows.take(np.array([i])))
-                compare(every[i + 1 :], names[i])
-                # a leader with the rows before it, which are linked with other leaders
-                for p in range(0, i, 2048):
-                    x = every[p : min(p + 2048, i)]
-                    ok, values = alike(pool[names[i]].take(np.zeros(len(x), np.int64)), rows.take(x))
-                    later.extend([i] * len(ok))
-                    earlier.extend((-1 - x[ok]).tolist())
-                    found.append(values)
-            ahead = np.flatnonzero(~met[i + 1 :])
-            i = i + 1 + int(ahead[0]) if len(ahead) else len(rows)
-        self.leaders = pool
-        if not later:
-            return
-        found = np.concatenate(found, axis=1)
-        name = lambda e: e if e >= 0 else names[-1 - e]
-        order = np.argsort(np.array(later), kind="stable").tolist()
-        keep = self.groups.chosen([names[later[k]] for k in order], [name(earlier[k]) for k in order])
-        self.groups.parent = {k: v for k, v in self.groups.parent.items() if k >= 0 and v >= 0}
-        if keep:
-            keep = [order[k] for k in keep]
-            a = Rows.joined([pool[earlier[k]] if earlier[k] >= 0 else rows.take(np.array([-1 - earlier[k]])) for k in keep])
-            yield rows.take(np.array([later[k] for k in keep])), a, found[:, keep]
-
-
-def small(rows: Rows, bounds: np.ndarray):
-    """The links within buckets of up to FIRST windows, all of which are leaders."""
+    out = []
+    for k, (j, i) in enumerate(zip(later, earlier)):
+        a, b = root(j), root(i)
+        if a != b:
+            parent[a] = b
+            out.append(k)
+    return out
+
+
+def met(rows: Rows):
+    """(later, earlier): all pairs of windows of one bucket or tile, some thousands at a time; in a tile of two blocks those of different ones."""
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(rows.key)) + 1, [len(rows)]])
     size = np.diff(bounds)
     end = np.repeat(bounds[1:], size)
-    later, earlier, found = [], [], []
-    i = np.arange(len(rows))
+    held, n, i = [], 0, np.arange(len(rows))
     for step in range(1, int(size.max(initial=1))):
         i = i[i + step < end[i]]
-        for p in range(0, len(i), 2048):
-            x = i[p : p + 2048]
-            ok, values = alike(rows.take(x + step), rows.take(x))
-            later.append(x[ok] + step)
-            earlier.append(x[ok])
-            found.append(values)
-    if not later:
+        pairs = i[(rows.block[i] == 0) | (rows.block[i] != rows.block[i + step])]
+        held.append((pairs + step, pairs))
+        n += len(pairs)
+        if n >= 2048:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield tuple(map(np.concatenate, zip(*held)))
+
+
+def linked(rows: Rows):
+    """(b, a, values): the links within whole buckets or tiles, which are sorted by document."""
+    copies = []
+    for later, earlier in met(rows):
+        for p in range(0, len(later), 2048):
+            x, y = later[p : p + 2048], earlier[p : p + 2048]
+            ok, values, exact = alike(rows.take(x), rows.take(y))
+            copies.append((x[ok[:exact]], y[ok[:exact]], values[:, :exact]))
+            near = ok[exact:]
+            if len(near):
+                yield rows.take(x[near]), rows.take(y[near]), values[:, exact:]
+    if not copies:
         return
-    later, earlier, found = np.concatenate(later), np.concatenate(earlier), np.concatenate(found, axis=1)
+    later, earlier, found = (np.concatenate(c, axis=-1) for c in zip(*copies))
     order = np.lexsort((earlier, later))
-    keep = order[Groups().chosen(later[order].tolist(), earlier[order].tolist())]
+    keep = order[joining(later[order].tolist(), earlier[order].tolist())]
     if len(keep):
         yield rows.take(later[keep]), rows.take(earlier[keep]), found[:, keep]
 
@@ -387,28 +354,23 @@ LINK = ["b_id", "b_place", "a_id", "a_place", "b_lo", "b_hi", "a_lo", "a_hi", "l
 
 
 def compared(batches):
-    """Over windows sorted by (key, doc_id, place, at): the links within each bucket; the last one's leaders are carried on."""
-    bucket = None
+    """Over windows sorted by (key, doc_id, place, at): the links within each bucket or tile; the last one's windows, 2 * TILE at most, are carried on."""
+    held = None
+
+    def told(rows):
+        for b, a, values in linked(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b.doc, b.place, a.doc, a.place, *values)], names=LINK)
+
     for batch in batches:
         for start in range(0, batch.num_rows, 1 << 13):
             rows = Rows.of(batch.slice(start, 1 << 13))
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(rows.key)) + 1, [len(rows)]])
-            size = np.diff(cuts)
-            alone = np.ones(len(size), bool)
-            alone[-1] = False
-            alone[0] &= bucket is None or bucket.key != rows.key[0]
-            alone &= size <= FIRST
-            found = []
-            several = alone & (size > 1)
-            if several.any():
-                inner = rows.take(K.ragged(cuts[:-1][several], size[several]))
-                found += small(inner, np.concatenate([[0], np.cumsum(size[several])]))
-            for k in np.flatnonzero(~alone):
-                if bucket is None or bucket.key != rows.key[cuts[k]]:
-                    bucket = Bucket(int(rows.key[cuts[k]]))
-                found += bucket.add(rows.take(np.arange(cuts[k], cuts[k + 1])))
-            for b, a, values in found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b.doc, b.place, a.doc, a.place, *values)], names=LINK)
+            rows = rows if held is None else Rows.joined([held, rows])
+            cuts = np.flatnonzero(np.diff(rows.key))
+            cut = int(cuts[-1]) + 1 if len(cuts) else 0
+            held = rows.take(slice(cut, None))
+            yield from told(rows.take(slice(0, cut)))
+    if held is not None:
+        yield from told(held)
 
 
 FOUND = "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, similarity double"
@@ -454,20 +416,25 @@ def near_passages(df: DataFrame) -> DataFrame:
 
     Rows: doc_id, other_id (the smaller id), start_word, end_word, other_start, other_end, similarity (the least
     Jaccard index of the shingles in a stretch of it). A passage that stands in many documents is a class: each
-    of its documents is linked with a representative of it, not with all others, and representatives that are
-    like each other are linked as well. Every place has a row of its own, but for repeats that overlap, which
+    of its documents is linked with a representative of it, not with all others, and all representatives that are
+    near each other are linked as well. Every place has a row of its own, but for repeats that overlap, which
     are one place. A null text counts as empty; texts under WORDS words have none; null ids count as -1. Rows
     of one doc_id and one text are one document. Other columns are left aside.
     """
     texts = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), text_column().alias("text"), F.xxhash64(text_column()).alias("place"))
     rows = texts.mapInArrow(windows, "key long, doc_id long, place long, at int, run int, ends int, same int")
     rows = rows.repartition("key").sortWithinPartitions("key", "same", "doc_id", "place", "at")
-    found = stored(rows.mapInArrow(classed, "key long, doc_id long, place long, at long, run long, ends long, a_id long, a_place long, a_at long, a_run long"), "classes")
+    found = stored(rows.mapInArrow(classed, "key long, doc_id long, place long, at long, run long, ends long, a_id long, a_place long, a_at long, a_run long, number long"), "classes")
     left, right = F.floor(F.col("ends") / 64), F.col("ends") % 64
     exact = found.filter("a_id IS NOT NULL").select(F.col("doc_id").alias("b_id"), F.col("place").alias("b_place"), "a_id", "a_place", (F.col("at") - left).alias("b_lo"), (F.col("at") + F.col("run") + right).alias("b_hi"), (F.col("a_at") - left).alias("a_lo"), (F.col("a_at") + F.col("a_run") + right).alias("a_hi"), F.lit(1_000_000).cast("long").alias("like"))
-    asked = found.filter("a_id IS NULL").groupBy(F.col("doc_id").alias("d"), F.col("place").alias("p")).agg(F.collect_list(F.struct("key", "at", "run", "ends")).alias("asked"))
+    large = stored(found.filter(f"a_id IS NULL AND number >= {TILE}").groupBy("key").agg(F.max(F.expr(f"number div {TILE}")).alias("last")), "large")
+    # a window of a large bucket goes to the tiles of its block with itself (block 0) and with each other one (1 or 2)
+    tile = lambda own, other: F.struct(F.xxhash64("key", F.least(own, other), F.greatest(own, other)).alias("key"), F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("block"))
+    tiles = F.when(F.col("last").isNull(), F.array(F.struct("key", F.lit(0).alias("block")))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda k: tile(F.expr(f"number div {TILE}"), k)))
+    asked = found.filter("a_id IS NULL").join(large, "key", "left").select("doc_id", "place", "at", "run", "ends", F.explode(tiles).alias("t"))
+    asked = asked.groupBy(F.col("doc_id").alias("d"), F.col("place").alias("p")).agg(F.collect_list(F.struct("t.key", "at", "run", "ends", "t.block")).alias("asked"))
     known = texts.join(asked, (texts.doc_id == F.col("d")) & (texts.place == F.col("p"))).select("doc_id", "place", "text", "asked")
-    around = known.mapInArrow(contexts, "key long, doc_id long, place long, at long, run long, ends long, items binary")
+    around = known.mapInArrow(contexts, "key long, doc_id long, place long, at long, run long, ends long, block int, items binary")
     around = around.repartition("key").sortWithinPartitions("key", "doc_id", "place", "at")
     near = around.mapInArrow(compared, ", ".join(f"{c} long" for c in LINK))
     links = exact.unionByName(near).repartition("b_id", "b_place", "a_id", "a_place").sortWithinPartitions("b_id", "b_place", "a_id", "a_place")

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandloom.llm import compact_windows as C
@@ -123,3 +125,62 @@ def test_odd_texts(spark):
     rows = [(None, None), (None, " ".join(passage)), (1, ""), (2, "the " * 5000), (3, "the " * 4000), (4, " ".join(fresh(r, 30_000) + passage)), (5, " ".join(passage)), (5, " ".join(passage))]
     got = {(x.doc_id, x.other_id) for x in C.near_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(3, 2), (4, -1), (5, -1)} or got == {(3, 2), (4, -1), (5, 4), (5, -1)}
+
+
+def bucket(keys, texts, blocks):
+    """Windows of one bucket, REACH items to each side of the shared one."""
+    width = 2 * C.REACH + 1
+    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * width), len(texts), [None, pa.py_buffer(np.stack(texts).astype(np.uint16).tobytes())]).cast(pa.binary())
+    n = len(texts)
+    columns = [keys, range(n), [0] * n, [500] * n, [0] * n, [C.REACH * 64 + C.REACH] * n]
+    return pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.int64()) for c in columns), pa.array(list(blocks), pa.int32()), data], names=[*C.COLUMNS[:6], "block", "items"])
+
+
+def links(batches):
+    return [(b, a) for x in C.compared(batches) for b, a in zip(x.column("b_id").to_pylist(), x.column("a_id").to_pylist())]
+
+
+def triples(n):
+    """Windows of which each three neighbours differ in own stretches of two items and others only have the middle in common; no two hold a whole passage."""
+    r, out = np.random.default_rng(4), []
+    for _ in range(n):
+        whole = r.integers(1, 1 << 16, 2 * C.REACH + 1)
+        whole[C.REACH - 11 : C.REACH + 5] = np.arange(16)
+        for k in range(3):
+            own = whole.copy()
+            own[C.REACH - 14 - 3 * k :][:2] = r.integers(1, 1 << 16, 2)
+            own[C.REACH + 15 + 3 * k :][:2] = r.integers(1, 1 << 16, 2)
+            out.append(own)
+    return out
+
+
+def test_every_pair_of_a_bucket():
+    """Near windows are linked, each with each other, whatever their number and however they are cut into batches."""
+    texts = triples(10)
+    want = [(b, a) for b in range(30) for a in range(b // 3 * 3, b)]
+    whole = bucket([7] * 30, texts, [0] * 30)
+    assert sorted(links([whole])) == want
+    assert sorted(links([whole.slice(0, 13), whole.slice(13, 1), whole.slice(14)])) == want
+    few = bucket([1, 1, 1, 2, 2, 2], texts[:6], [0] * 6)
+    assert sorted(links([few])) == want[:6]
+
+
+def test_tile_of_two_blocks():
+    """A tile of two blocks links windows of different blocks only."""
+    got = links([bucket([7] * 30, triples(10), [1 + i % 3 % 2 for i in range(30)])])
+    assert sorted(got) == [(b, a) for b in range(30) for a in range(b // 3 * 3, b) if (b % 3 % 2) != (a % 3 % 2)]
+
+
+def test_tiles(spark, monkeypatch):
+    """A bucket that is dealt in tiles links what it links whole."""
+    r, texts = random.Random(31), []
+    head = fresh(r, 24)
+    for _ in range(4):
+        more = fresh(r, 64)
+        for k in range(3):
+            own = list(more)
+            own[14 + 3 * k] = f"c{r.getrandbits(40):x}"
+            texts.append(fresh(r, 25) + head + own + fresh(r, 25))
+    want = found(spark, texts)
+    monkeypatch.setattr(C, "TILE", 4)
+    assert want and found(spark, texts) == want
