@@ -64,3 +64,16 @@ def test_pruned(spark, monkeypatch, in_task):
 def test_no_edges(spark):
     nodes, kept = graph.pruned(spark.createDataFrame([], "src long, dst long, score double"))
     assert nodes.count() == kept.count() == 0
+
+
+def test_nothing_is_sent_through_the_driver(spark):
+    """Tables of nodes and groups are joined by exchanges: a session that broadcasts no more than 100 bytes gives the same groups."""
+    edges = spark.createDataFrame([(i, i // 2, float(i % 4)) for i in range(2, 2000)], "src long, dst long, score double")
+    name = "spark.sql.maxBroadcastTableSize"
+    want = {(r.node, r.component) for r in graph.capped_components(edges, 40, 2).collect()}
+    spark.conf.set(name, "100b")
+    try:
+        got = {(r.node, r.component) for r in graph.capped_components(edges, 40, 2).collect()}
+    finally:
+        spark.conf.unset(name)
+    assert got == want and len(want) == 1999
