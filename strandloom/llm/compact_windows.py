@@ -9,7 +9,8 @@ several classes, the intervals of their first windows are joined, aligned at the
 compared, each with each other. A bucket of more than TILE of them is dealt in tiles, each the windows of one block
 or of two, so that a task holds 2 * TILE of a bucket at most. Windows that have a whole passage in common hold
 copies of it, and as many links are made as join them; of windows that are near each other every pair is a link.
-Intervals of two documents, from all functions, that overlap are one passage.
+Intervals of two documents, from all functions, that overlap are one passage. Where classes of passages are asked
+for, the same windows are compared, but a bucket gives one row for each window that any other one is near.
 
 Exact passages of WORDS words always meet: their smallest item has SIDE equal items on one side at least. Near
 ones meet under a function if their smallest item is common and has an unchanged side, so several functions are
@@ -22,9 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..plans.graph import connected_components, dealt
 from . import kernels as K
-from .util import documents, pieces, stored, text_column
+from .util import discarded, documents, pieces, stored, text_column, within
 
 WIDTH, WORDS, HASHES = 5, 50, 3
 SPAN = WORDS - WIDTH + 1
@@ -354,13 +357,15 @@ LINK = ["b_id", "b_place", "a_id", "a_place", "b_lo", "b_hi", "a_lo", "a_hi", "l
 
 
 def compared(batches):
-    """Over windows sorted by (key, doc_id, place, at): the links within each bucket or tile; the last one's windows, 2 * TILE at most, are carried on."""
-    held = None
-
-    def told(rows):
+    """Over windows sorted by (key, doc_id, place, at): the links within each bucket or tile."""
+    for rows in buckets(batches):
         for b, a, values in linked(rows):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b.doc, b.place, a.doc, a.place, *values)], names=LINK)
 
+
+def buckets(batches):
+    """Windows sorted by key as whole buckets or tiles; the last one's windows, 2 * TILE at most, are carried on."""
+    held = None
     for batch in batches:
         for start in range(0, batch.num_rows, 1 << 13):
             rows = Rows.of(batch.slice(start, 1 << 13))
@@ -368,9 +373,50 @@ def compared(batches):
             cuts = np.flatnonzero(np.diff(rows.key))
             cut = int(cuts[-1]) + 1 if len(cuts) else 0
             held = rows.take(slice(cut, None))
-            yield from told(rows.take(slice(0, cut)))
+            if cut:
+                yield rows.take(slice(0, cut))
     if held is not None:
-        yield from told(held)
+        yield held
+
+
+MEMBER = ["doc_id", "place", "lo", "hi", "like", "root_id", "root_place", "root_at"]
+
+
+def grouped(batches):
+    """Over windows as in compared: each window that has a link, with all items that its links hold, the least likeness and the first window of its group.
+
+    Groups are what the links join, so a bucket or tile has no more rows than windows, however many links.
+    """
+    for rows in buckets(batches):
+        n = len(rows)
+        parent = np.arange(n)
+        low, high, least = np.full(n, 1 << 40), np.full(n, -1), np.full(n, 1_000_000)
+        for later, earlier in met(rows):
+            for p in range(0, len(later), 2048):
+                x, y = later[p : p + 2048], earlier[p : p + 2048]
+                ok, values, _ = alike(rows.take(x), rows.take(y))
+                x, y = x[ok], y[ok]
+                for i, lo, hi in ((x, values[0], values[1]), (y, values[2], values[3])):
+                    np.minimum.at(low, i, lo)
+                    np.maximum.at(high, i, hi)
+                    np.minimum.at(least, i, values[4])
+                united(parent, x, y)
+        i = np.flatnonzero(high >= 0)
+        if len(i):
+            columns = (rows.doc[i], rows.place[i], low[i], high[i], least[i], rows.doc[parent[i]], rows.place[parent[i]], rows.at[parent[i]])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=MEMBER)
+
+
+def united(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the groups of x[i] and y[i] in place; parent[i] is the first of i's group."""
+    a, b = parent[x], parent[y]
+    while len(apart := np.flatnonzero(a != b)):
+        a, b = a[apart], b[apart]
+        # the larger first one goes to the least one it meets
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+        a, b = parent[a], parent[b]
 
 
 FOUND = "doc_id long, other_id long, start_word long, end_word long, other_start long, other_end long, similarity double"
@@ -411,6 +457,27 @@ def passages(batches):
         yield merged()
 
 
+def classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts (doc_id, place, text), and of their windows the links within classes and the first ones of classes that share a bucket."""
+    texts = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), text_column().alias("text"), F.xxhash64(text_column()).alias("place"))
+    rows = texts.mapInArrow(windows, "key long, doc_id long, place long, at int, run int, ends int, same int")
+    rows = rows.repartition("key").sortWithinPartitions("key", "same", "doc_id", "place", "at")
+    return texts, stored(rows.mapInArrow(classed, "key long, doc_id long, place long, at long, run long, ends long, a_id long, a_place long, a_at long, a_run long, number long"), "classes")
+
+
+def around(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """The first windows of the classes that share a bucket, with their items, sorted by bucket or tile."""
+    large = stored(found.filter(f"a_id IS NULL AND number >= {TILE}").groupBy("key").agg(F.max(F.expr(f"number div {TILE}")).alias("last")), "large")
+    # a window of a large bucket goes to the tiles of its block with itself (block 0) and with each other one (1 or 2)
+    tile = lambda own, other: F.struct(F.xxhash64("key", F.least(own, other), F.greatest(own, other)).alias("key"), F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("block"))
+    tiles = F.when(F.col("last").isNull(), F.array(F.struct("key", F.lit(0).alias("block")))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda k: tile(F.expr(f"number div {TILE}"), k)))
+    asked = found.filter("a_id IS NULL").join(large, "key", "left").select("doc_id", "place", "at", "run", "ends", F.explode(tiles).alias("t"))
+    asked = asked.groupBy(F.col("doc_id").alias("d"), F.col("place").alias("p")).agg(F.collect_list(F.struct("t.key", "at", "run", "ends", "t.block")).alias("asked"))
+    known = texts.join(asked, (texts.doc_id == F.col("d")) & (texts.place == F.col("p"))).select("doc_id", "place", "text", "asked")
+    rows = known.mapInArrow(contexts, "key long, doc_id long, place long, at long, run long, ends long, block int, items binary")
+    return rows.repartition("key").sortWithinPartitions("key", "doc_id", "place", "at")
+
+
 def near_passages(df: DataFrame) -> DataFrame:
     """Passages of WORDS words or more that a document has in common with an earlier one, in words (end excluded).
 
@@ -421,26 +488,42 @@ def near_passages(df: DataFrame) -> DataFrame:
     are one place. A null text counts as empty; texts under WORDS words have none; null ids count as -1. Rows
     of one doc_id and one text are one document. Other columns are left aside.
     """
-    texts = df.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), text_column().alias("text"), F.xxhash64(text_column()).alias("place"))
-    rows = texts.mapInArrow(windows, "key long, doc_id long, place long, at int, run int, ends int, same int")
-    rows = rows.repartition("key").sortWithinPartitions("key", "same", "doc_id", "place", "at")
-    found = stored(rows.mapInArrow(classed, "key long, doc_id long, place long, at long, run long, ends long, a_id long, a_place long, a_at long, a_run long, number long"), "classes")
+    texts, found = classes(df)
     left, right = F.floor(F.col("ends") / 64), F.col("ends") % 64
     exact = found.filter("a_id IS NOT NULL").select(F.col("doc_id").alias("b_id"), F.col("place").alias("b_place"), "a_id", "a_place", (F.col("at") - left).alias("b_lo"), (F.col("at") + F.col("run") + right).alias("b_hi"), (F.col("a_at") - left).alias("a_lo"), (F.col("a_at") + F.col("a_run") + right).alias("a_hi"), F.lit(1_000_000).cast("long").alias("like"))
-    large = stored(found.filter(f"a_id IS NULL AND number >= {TILE}").groupBy("key").agg(F.max(F.expr(f"number div {TILE}")).alias("last")), "large")
-    # a window of a large bucket goes to the tiles of its block with itself (block 0) and with each other one (1 or 2)
-    tile = lambda own, other: F.struct(F.xxhash64("key", F.least(own, other), F.greatest(own, other)).alias("key"), F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("block"))
-    tiles = F.when(F.col("last").isNull(), F.array(F.struct("key", F.lit(0).alias("block")))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), "last"), lambda k: tile(F.expr(f"number div {TILE}"), k)))
-    asked = found.filter("a_id IS NULL").join(large, "key", "left").select("doc_id", "place", "at", "run", "ends", F.explode(tiles).alias("t"))
-    asked = asked.groupBy(F.col("doc_id").alias("d"), F.col("place").alias("p")).agg(F.collect_list(F.struct("t.key", "at", "run", "ends", "t.block")).alias("asked"))
-    known = texts.join(asked, (texts.doc_id == F.col("d")) & (texts.place == F.col("p"))).select("doc_id", "place", "text", "asked")
-    around = known.mapInArrow(contexts, "key long, doc_id long, place long, at long, run long, ends long, block int, items binary")
-    around = around.repartition("key").sortWithinPartitions("key", "doc_id", "place", "at")
-    near = around.mapInArrow(compared, ", ".join(f"{c} long" for c in LINK))
+    near = around(texts, found).mapInArrow(compared, ", ".join(f"{c} long" for c in LINK))
     links = exact.unionByName(near).repartition("b_id", "b_place", "a_id", "a_place").sortWithinPartitions("b_id", "b_place", "a_id", "a_place")
     return links.mapInArrow(passages, FOUND)
 
 
+@within("passages")
+def passage_classes(df: DataFrame) -> DataFrame:
+    """Passages that a document has in common with another one or is near to, each with the class of passages that links join.
+
+    Rows: doc_id, start_word, end_word (excluded), similarity (the least Jaccard index of a stretch of it), class_id.
+    The links are those of near_passages, every two representatives compared, but none is a row. Places of one
+    document that overlap are one passage. Rows grow with the windows of the texts, not with pairs.
+    """
+    texts, found = classes(df)
+    left, right = F.floor(F.col("ends") / 64), F.col("ends") % 64
+    exact = found.filter("a_id IS NOT NULL")
+    root = [F.col(c).alias(m) for c, m in zip(("a_id", "a_place", "a_at"), MEMBER[5:])]
+    side = lambda doc, place, at, run: exact.select(F.col(doc).alias("doc_id"), F.col(place).alias("place"), (F.col(at) - left).alias("lo"), (F.col(at) + F.col(run) + right).alias("hi"), F.lit(1_000_000).cast("long").alias("like"), *root)
+    near = around(texts, found).mapInArrow(grouped, ", ".join(f"{c} long" for c in MEMBER))
+    rows = side("doc_id", "place", "at", "run").unionByName(side("a_id", "a_place", "a_at", "a_run").distinct()).unionByName(near)
+    order = Window.partitionBy("doc_id", "place").orderBy("lo")
+    past = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("head", F.when(F.coalesce(F.col("lo") > past + BREAK, F.lit(True)), F.col("lo")))
+    rows = rows.withColumn("start", F.max("head").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    members = stored(rows.select("doc_id", "start", "hi", "like", F.xxhash64("doc_id", "place", "start").alias("node"), F.xxhash64(*MEMBER[5:]).alias("root")), "members")
+    discarded(found)
+    # passages with one root are one class
+    roots = members.select("node", "root").distinct()
+    edges = roots.join(roots.groupBy("root").agg(F.min("node").alias("dst")), "root").select(F.col("node").alias("src"), "dst").distinct()
+    spans = members.groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.first("start").alias("start_word"), (F.max("hi") + WIDTH).alias("end_word"), (F.min("like") / 1e6).alias("similarity"))
+    return spans.join(dealt(connected_components(edges)), "node").select("doc_id", "start_word", "end_word", "similarity", F.col("component").alias("class_id"))
+
+
 def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-duplicate passages among all documents."""
-    return near_passages(documents(spark, sf_dir))
+    """Near-duplicate passages among all documents, and their classes."""
+    return passage_classes(documents(spark, sf_dir))

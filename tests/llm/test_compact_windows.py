@@ -184,3 +184,57 @@ def test_tiles(spark, monkeypatch):
     want = found(spark, texts)
     monkeypatch.setattr(C, "TILE", 4)
     assert want and found(spark, texts) == want
+
+
+def joined(pairs):
+    """The groups that pairs join."""
+    group = {}
+    for b, a in pairs:
+        one, other = group.get(b, {b}), group.get(a, {a})
+        if one is not other or a not in one:
+            whole = one | other
+            group.update((x, whole) for x in whole)
+    return {frozenset(x) for x in {id(x): x for x in group.values()}.values()}
+
+
+def test_rows_of_a_group():
+    """A bucket of near windows gives one row a window, whatever the number of its links, in the groups that the links join."""
+    r = np.random.default_rng(8)
+    texts = triples(20)
+    near = r.integers(1, 1 << 16, 2 * C.REACH + 1)
+    for _ in range(200):
+        own = near.copy()
+        own[C.REACH - 14 - int(r.integers(0, 3)) * 3 :][:2] = r.integers(1, 1 << 16, 2)
+        own[C.REACH + 15 + int(r.integers(0, 3)) * 3 :][:2] = r.integers(1, 1 << 16, 2)
+        texts.append(own)
+    whole = bucket([7] * 260, texts, [0] * 260)
+    every = links([whole])
+    assert len(every) > 10_000
+    got = [(b, a) for x in C.grouped([whole.slice(0, 99), whole.slice(99)]) for b, a in zip(x.column("doc_id").to_pylist(), x.column("root_id").to_pylist())]
+    assert len(got) == len({b for b, _ in got}) <= 260
+    groups = joined(every)
+    assert joined(got) == groups and {a for _, a in got} == {min(x) for x in groups}
+
+
+@pytest.mark.parametrize("tile", [512, 16])
+def test_classes(spark, monkeypatch, tile):
+    """Groups of near copies have a row for each passage, not for each pair; classes and places are those of the links."""
+    monkeypatch.setattr(C, "TILE", tile)
+    r, texts = random.Random(12), []
+    for size in (2, 3, 60):
+        passage = fresh(r, 100)
+        for _ in range(size):
+            own = list(passage)
+            own[r.randrange(100)] = f"c{r.getrandbits(40):x}"
+            texts.append(fresh(r, 25) + own + fresh(r, 25))
+    texts += [texts[0], fresh(r, 90), *(fresh(r, 30) + texts[2][20:100] + fresh(r, 60) + texts[9][20:100] for _ in range(2))]
+    rows = [(i, " ".join(x)) for i, x in enumerate(texts)] + [(None, None), (90, ""), (91, "the " * 500), (92, "the " * 400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs, got = C.near_passages(df).collect(), C.passage_classes(df).collect()
+    assert len(pairs) > 1000 and len(got) <= len(rows) + 2
+    place = lambda doc, start: next((doc, x.start_word) for x in got if x.doc_id == doc and x.start_word <= start < x.end_word)
+    want = joined([(place(x.doc_id, x.start_word), place(x.other_id, x.other_start)) for x in pairs])
+    classes = {}
+    for x in got:
+        classes.setdefault(x.class_id, set()).add((x.doc_id, x.start_word))
+    assert want == {frozenset(x) for x in classes.values()}
