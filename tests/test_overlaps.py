@@ -296,3 +296,25 @@ def test_containment_deals_no_letters(spark, capsys):
     plan = capsys.readouterr().out
     inputs = [x.split("\n")[1] for x in plan.split("\n\n") if "Exchange\n" in x and "hashpartitioning(key" in x]
     assert len(inputs) == 2 and not any("sb#" in x or "seq#" in x for x in inputs)
+
+
+def test_overlaps_of_few_letters():
+    """Seeds of overlaps hold as many letters as fit, within the shortest overlap of each number of mismatches."""
+    for shortest, longest, share in ((24, 119, 0.05), (1, 30, 0.05), (3, 20, 0.3)):
+        for low, _, d in O.limit_steps(shortest, longest, share):
+            size, parts, exact = O.stretches(low, d)
+            assert parts == d + exact and size * parts <= low and size == low // parts
+            assert shortest < 24 or size * exact >= O.SELECTIVE
+
+
+def test_overlaps_deal_few_places(spark, monkeypatch):
+    """Of texts without overlaps hardly any place is dealt; it was one for each place and number of mismatches."""
+    import random
+
+    r, sizes, whole = random.Random(3), [], O.stored
+    monkeypatch.setattr(O, "stored", lambda df, name: sizes.append((out := whole(df, name)).count()) or out)
+    seqs = [("".join(r.choices("ACGT", k=120))) for _ in range(40)]
+    seqs.append(seqs[0][-60:] + "".join(r.choices("ACGT", k=60)))
+    rows = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
+    assert {tuple(x) for x in O.dovetails(rows).collect()} == {(0, 40, 2, 60, 0), (40, 0, 1, 60, 0)}
+    assert 0 < sizes[0] < 1000
