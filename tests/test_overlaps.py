@@ -318,3 +318,24 @@ def test_overlaps_deal_few_places(spark, monkeypatch):
     rows = spark.createDataFrame(list(enumerate(seqs)), "id long, seq string")
     assert {tuple(x) for x in O.dovetails(rows).collect()} == {(0, 40, 2, 60, 0), (40, 0, 1, 60, 0)}
     assert 0 < sizes[0] < 1000
+
+
+def test_end_candidates_of_long_lists(spark, monkeypatch, tmp_path):
+    """A list that goes to several tasks, ends with other letters, short ones and rearranged ones give the pairs of a loop, and what meets is not dealt."""
+    r = random.Random(11)
+    letters = lambda n, of="ACGT": "".join(r.choice(of) for _ in range(n))
+    base = letters(40)
+    rows = [letters(30) + base[i % 5 :] + letters(i % 5) for i in range(60)] + [base[i % 4 :] + letters(30) for i in range(70)]
+    rows += [base[:14] + base[26:] + base[13:25] + letters(20), letters(9) + base[20:] + base[:20], letters(60, "ACGTN"), "ACGTA", "AC" * 40, base.replace("A", "N"), base.replace("A", "N") * 2]
+    rows = list(enumerate(rows))
+
+    def has(x):
+        return {x[i : i + 8] for i in range(max(len(x) - 7, 1))}
+
+    want = {(a, b, n) for a, x in rows for b, y in rows if a != b and (n := len(has(x[-40:]) & has(y[:40]))) >= 20}
+    monkeypatch.setattr(O, "LIST", 16)
+    seqs = spark.createDataFrame(rows, "id long, seq string")
+    found = O.end_candidates(seqs, 20)
+    assert sorted(tuple(x) for x in found.collect()) == sorted(want) and len(want) > 3000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
