@@ -339,3 +339,21 @@ def test_end_candidates_of_long_lists(spark, monkeypatch, tmp_path):
     assert sorted(tuple(x) for x in found.collect()) == sorted(want) and len(want) > 3000
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_hamming_pairs_of_long_lists(spark):
+    """Lists of over 1024 and over several batches, other letters, equal and empty sequences; what meets is not dealt."""
+    r = random.Random(5)
+    base = "".join(r.choice("ACGT") for _ in range(60))
+    rows = [base[:i] + x + base[i + 1 :] for i in range(60) for x in "ACGTN"] * 4 + ["", "", "A", base[:59], base[:30] + "NNNN" + base[34:]]
+    rows = list(enumerate(rows))
+    want = {(a, b, n) for a, x in rows for b, y in rows if a < b and len(x) == len(y) and (n := wrong(x, y)) <= limit(len(x))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        found = O.hamming_pairs(spark.createDataFrame(rows, "id long, seq string"))
+        got = [tuple(x) for x in found.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
