@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.functions import sequence as S
 from strandloom.functions import tails
 from strandloom.operators import merging, numeric
 from strandloom.operators import overlaps as O
@@ -357,3 +358,16 @@ def test_hamming_pairs_of_long_lists(spark):
     assert sorted(got) == sorted(want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_end_overlaps_are_those_of_the_expression(spark, seqs, words):
+    """Every pair of test sequences, short ones, other letters and overlaps of a whole one, on one strand and both."""
+    more = [words[0][-30:], words[0][:26], rc(words[1][:28]), "ACG", "", words[2][:50] + "NN" + words[2][52:], "AC" * 30]
+    rows = spark.createDataFrame([*enumerate([*words, *more])], "id long, seq string")
+    pairs = rows.select(F.col("id").alias("a")).crossJoin(rows.select(F.col("id").alias("b"))).filter("a <> b")
+    for both in (True, False):
+        m = S.prefix_suffix(F.col("sa"), F.col("sb"), 24, 119, 0.05, both).alias("m")
+        want = O.with_sequences(pairs, rows).select("a", "b", m).filter("m IS NOT NULL").select("a", "b", "m.pos", "m.dep", "m.dist")
+        found = O.end_overlaps(pairs, rows, 24, 119, 0.05, both)
+        want = {tuple(x) for x in want.collect()}
+        assert {tuple(x) for x in found.collect()} == want and len(want) > 20
