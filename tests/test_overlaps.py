@@ -371,3 +371,39 @@ def test_end_overlaps_are_those_of_the_expression(spark, seqs, words):
         found = O.end_overlaps(pairs, rows, 24, 119, 0.05, both)
         want = {tuple(x) for x in want.collect()}
         assert {tuple(x) for x in found.collect()} == want and len(want) > 20
+
+
+def test_overlaps_by_blocks(spark, words, monkeypatch):
+    """Small blocks, parts that are halved, other letters, short and equal sequences and other limits give the pairs of a loop; neither places nor what meets is dealt."""
+    monkeypatch.setattr(O.tiles, "BLOCK", 7)
+    monkeypatch.setattr(O.tiles, "HELD", 40)
+    more = [words[0][-50:] + "N" * 9, words[1][:40] + "NN" + words[1][42:], "N" * 50, "N" * 40 + "A", "ACG", "", "AC" * 40, "AC" * 40, words[3]]
+    rows = [*enumerate([*words, *more])]
+    table = spark.createDataFrame([(i, 0, x) for i, x in rows] + [(i, 1, rc(x)) for i, x in rows], "id long, turn int, seq string")
+    for shortest, longest, share in ((24, 119, 0.05), (30, 60, 0.1), (20, 40, 0.0)):
+        want = set()
+        for i, x in rows:
+            for j, y in rows:
+                for p, q in ((0, 0), (0, 1), (1, 0)):
+                    if i != j:
+                        s, t = (rc(x) if p else x), (rc(y) if q else y)
+                        hit = next(((n, wrong(s[-n:], t[:n])) for n in range(shortest, min(len(s), len(t), longest) + 1) if wrong(s[-n:], t[:n]) <= int(n * share + 0.5)), None)
+                        want |= {(i, p, j, q, *hit)} if hit else set()
+        found = O.tail_head(table, table, shortest, longest, share)
+        assert sorted(tuple(x) for x in found.collect()) == sorted(want) and len(want) > 10
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_index_of_seeds(monkeypatch):
+    """Every row of an equal seed is met, a few at a time."""
+    import numpy as np
+
+    monkeypatch.setattr(O.tiles, "AT_ONCE", 5)
+    r = np.random.default_rng(2)
+    seeds, asked = r.integers(0, 40, 300).astype(np.uint64), r.integers(0, 60, 200).astype(np.uint64)
+    some = asked % np.uint64(3) > 0
+    for which in (None, some):
+        got = [x for t, h in O.tiles.Index(seeds, np.arange(300)).met(asked, which) for x in zip(t.tolist(), h.tolist(), strict=True)]
+        assert sorted(got) == sorted((i, j) for i in range(200) for j in range(300) if asked[i] == seeds[j] and (which is None or some[i]))
+    assert not list(O.tiles.Index(seeds[:0], np.arange(0)).met(asked))
