@@ -407,3 +407,18 @@ def test_index_of_seeds(monkeypatch):
         got = [x for t, h in O.tiles.Index(seeds, np.arange(300)).met(asked, which) for x in zip(t.tolist(), h.tolist(), strict=True)]
         assert sorted(got) == sorted((i, j) for i in range(200) for j in range(300) if asked[i] == seeds[j] and (which is None or some[i]))
     assert not list(O.tiles.Index(seeds[:0], np.arange(0)).met(asked))
+
+
+def test_contained_by_blocks(spark, words, monkeypatch):
+    """Small blocks, parts that are halved, other letters and equal lengths give what joins by stretches give; nothing is dealt for it."""
+    monkeypatch.setattr(O.tiles, "BLOCK", 7)
+    monkeypatch.setattr(O.tiles, "HELD", 5)
+    more = [words[0][10:70], rc(words[0][5:66]), words[1][:40] + "N" + words[1][41:60], words[2][:30] + "NN" + words[2][32:], words[2][:30] + "NA" + words[2][32:70], "N" * 50, "N" * 45, "ACG", "", "AC" * 40, "AC" * 30]
+    rows = spark.createDataFrame([*enumerate([*words, *more])], "id long, seq string")
+    for both in (True, False):
+        found = O.contained_by_blocks(rows, rows, both_strands=both)
+        want = sorted(tuple(x) for x in O.contained(rows.filter("length(seq) >= 36"), rows, both_strands=both).collect())
+        got = sorted(tuple(x) for x in found.collect() if len([*words, *more][x.probe_id]) >= 36)
+        assert got == want and len(want) > 10
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
